@@ -81,12 +81,17 @@ class Tables:
             self.vectors.select("series_id", "position", "label", F.posexplode("embedding").alias("k", "v"))
             .withColumn("y", F.floor(k / SIDE).cast("int"))
             .withColumn("x", (k % SIDE).cast("int"))
-            .withColumn("brightness", F.round(F.lit(0.5) + F.col("v").cast("double"), 6))
+            .withColumn("brightness", F.lit(0.5) + F.col("v").cast("double"))
             .withColumn("in_mask", (F.abs(F.col("x") - 3.5) + F.abs(F.col("y") - 3.5)) <= 6)
             .withColumn("valid", F.abs(F.col("v")) < 0.3)
-            .select("series_id", "position", "label", "y", "x", "brightness", "in_mask", "valid")
+            .withColumn("observed", F.col("label") != 3)
+            .select("series_id", "position", "label", "y", "x", "brightness", "in_mask", "valid", "observed")
         )
 
+    @cached_property
+    def frames(self) -> DataFrame:
+        return self.vectors.select("series_id", "position", "label", (F.col("label") != 3).alias("observed"))
+
     @cached_property
     def profiles(self) -> DataFrame:
         return self.embeddings.select(
@@ -100,7 +105,7 @@ class Tables:
             "vec_id",
             "k",
             ((F.col("k") + 0.5) / 64).alias("u"),
-            F.round(F.col("v").cast("double"), 6).alias("value"),
+            F.col("v").cast("double").alias("value"),
             (F.abs(F.col("v")) < 0.3).alias("supported"),
         )
 
@@ -150,14 +155,31 @@ flat AS (
 pixels AS (
   SELECT vec_id // {FRAMES} AS series_id, vec_id % {FRAMES} AS position, label,
          CAST(k // {SIDE} AS INTEGER) AS y, CAST(k % {SIDE} AS INTEGER) AS x,
-         round(0.5 + CAST(v AS DOUBLE), 6) AS brightness,
-         abs(k % {SIDE} - 3.5) + abs(k // {SIDE} - 3.5) <= 6 AS in_mask, abs(v) < 0.3::FLOAT AS valid
-  FROM flat)"""
+         0.5 + CAST(v AS DOUBLE) AS brightness,
+         abs(k % {SIDE} - 3.5) + abs(k // {SIDE} - 3.5) <= 6 AS in_mask, abs(v) < 0.3::FLOAT AS valid,
+         label <> 3 AS observed
+  FROM flat),
+frames AS (
+  SELECT vec_id // {FRAMES} AS series_id, vec_id % {FRAMES} AS position, label, label <> 3 AS observed
+  FROM embeddings)"""
+
+SUPPORT = PIXELS + """,
+fixed AS (
+  SELECT series_id, y, x FROM pixels WHERE observed AND valid AND in_mask GROUP BY 1, 2, 3
+  HAVING count(*) = (SELECT count(*) FROM frames f WHERE f.observed AND f.series_id = pixels.series_id)),
+fixed_px AS (SELECT p.* FROM pixels p SEMI JOIN fixed USING (series_id, y, x) WHERE observed),
+whole AS (
+  SELECT series_id, position, median(brightness) AS g, quantile_cont(brightness, 0.9) - quantile_cont(brightness, 0.1) AS gs
+  FROM fixed_px GROUP BY 1, 2)"""
+
+BAND = """CASE WHEN greatest(abs(x - 3.5), abs(y - 3.5)) / 4 < 0.2 THEN 'centre'
+              WHEN greatest(abs(x - 3.5), abs(y - 3.5)) / 4 < 0.45 THEN 'inner'
+              WHEN greatest(abs(x - 3.5), abs(y - 3.5)) / 4 < 0.7 THEN 'middle' ELSE 'outer' END"""
 
 PROFILES = f"""
 samples AS (
   SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS k FROM embeddings),
 profiles AS (
   SELECT vec_id // {SECTORS} AS series_id, vec_id % {SECTORS} AS sector, vec_id, k, (k + 0.5) / 64 AS u,
-         round(CAST(v AS DOUBLE), 6) AS value, abs(v) < 0.3::FLOAT AS supported
+         CAST(v AS DOUBLE) AS value, abs(v) < 0.3::FLOAT AS supported
   FROM samples)"""
