@@ -19,10 +19,16 @@ HEAVY_KEYS = 256  # at most this many keys are cut; any other holds < 1/256 of t
 SIDE = 16  # SIDE * SIDE value bins per heavy key
 
 
-def value_table(df: DataFrame, keys: list[str], value: str, weight: Column | None = None) -> DataFrame:
-    """(keys, value) -> cnt, the pre-aggregated input of the rank functions."""
+def value_table(
+    df: DataFrame, keys: list[str], value: str, weight: Column | None = None, carry: dict[str, Column] | None = None
+) -> DataFrame:
+    """(keys, value) -> cnt, the pre-aggregated input of the rank functions.
+
+    `carry` adds aggregates per value, for example the first position showing it.
+    """
     agg = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(agg.alias("cnt"))
+    extra = [c.alias(n) for n, c in (carry or {}).items()]
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(agg.alias("cnt"), *extra)
 
 
 def ranked_values(
@@ -32,6 +38,7 @@ def ranked_values(
     heavy_values: int = HEAVY_VALUES,
 ) -> DataFrame:
     """Add `below` (rows with a smaller value) and `total` per key to a value table."""
+    counts = counts.select(*keys, value, *[c for c in counts.columns if c not in (*keys, value)])
     bins = SIDE * SIDE
     heavy = (
         counts.groupBy(*keys)
@@ -73,9 +80,7 @@ def ranked_values(
     )
     out = run.join(F.broadcast(offsets), keys + ["__bin"], "left")
     return out.select(
-        *keys,
-        value,
-        "cnt",
+        *counts.columns,
         (F.coalesce("__off", F.lit(0)) + F.col("__run") - F.col("cnt")).alias("below"),
         F.coalesce("__all", "__tot").alias("total"),
     )

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyre.functions.guards import log_positive, pearson, ratio
+from gyre.functions.guards import joined, log_positive, pearson
+from gyre.operators.sequence import direction_summary, paired_changes
+
+# Opposing sector pairs and the weights of the segment matching cost.
+OPPOSING = (
+    ("east_west", "side_E", "side_W"),
+    ("north_south", "side_N", "side_S"),
+    ("northeast_southwest", "corner_NE", "corner_SW"),
+    ("northwest_southeast", "corner_NW", "corner_SE"),
+)
+RADIAL_WEIGHT, EUCLIDEAN_WEIGHT = 0.75, 0.25
 
 
 def contrast_trace(a: DataFrame, b: DataFrame, keys: list[str], value: str, logs: bool = False) -> DataFrame:
@@ -19,3 +31,357 @@ def contrast_trace(a: DataFrame, b: DataFrame, keys: list[str], value: str, logs
         signed.alias("signed_log_contrast"),
         F.abs(signed).alias("separation"),
     )
+
+
+def level_correlation(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """Pearson r over rows where both values are present; the reason when it is unavailable."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    n = F.count(x)
+    constant = (F.max(x) == F.min(x)) | (F.max(y) == F.min(y))
+    out = df.groupBy(*keys).agg(n.alias("paired"), pearson(x, y).alias("__r"), constant.alias("__c"))
+    few = F.col("paired") < 3
+    return out.select(
+        *keys,
+        "paired",
+        F.when(~few, F.col("__r")).alias("pearson_r"),
+        F.when(few | F.col("__c"), "unavailable").otherwise("ok").alias("status"),
+        F.when(few, "insufficient_aligned_finite_frames").when(F.col("__c"), "constant_component_trace").alias("reason"),
+    )
+
+
+def paired_traces(traces: DataFrame, keys: list[str], order: str, name: str, value: str, pairs: list[tuple]) -> DataFrame:
+    """Rows of each named pair of traces side by side: (pair_id, keys, order, a, b).
+
+    Each trace row is labelled with the pairs it belongs to (a short literal list), so both
+    sides meet in one aggregate; no join, no broadcast.
+    """
+    roles = []
+    for pair_id, left, right in pairs:
+        roles += [(left, pair_id, "a"), (right, pair_id, "b")]
+    options = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(p).alias("p"), F.lit(s).alias("s")) for n, p, s in roles])
+    mine = F.filter(options, lambda o: o["n"] == F.col(name))
+    rows = traces.select(*keys, order, value, F.explode(mine).alias("z"))
+    side = lambda s: F.max(F.when(F.col("z.s") == s, F.col(value)))
+    seen = lambda s: F.max(F.col("z.s") == s)
+    return (
+        rows.groupBy(*keys, F.col("z.p").alias("pair_id"), order)
+        .agg(side("a").alias("a"), side("b").alias("b"), seen("a").alias("__x"), seen("b").alias("__y"))
+        .where("__x and __y")
+        .drop("__x", "__y")
+    )
+
+
+def opposing_pairs(paired: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Correlation, median absolute difference and sign agreement of opposing traces.
+
+    `paired` holds one bounded window per key (see the median over its frames).
+    """
+    corr = level_correlation(paired, keys, "a", "b").select(*keys, "paired", F.col("pearson_r").alias("correlation"), "status")
+    diff = paired.groupBy(*keys).agg(
+        F.median(F.abs(F.col("a") - F.col("b"))).alias("median_absolute_difference"),
+        F.median(F.col("a") - F.col("b")).alias("median_signed_difference"),
+    )
+    moves = paired_changes(paired.withColumn("__src", F.col(order)), keys, order, "__src", "a", "b")
+    signs = direction_summary(moves, keys, "direction", "flat").select(
+        *keys, "observed_pairs", "flat_pairs", F.col("same_fraction").alias("sign_agreement")
+    )
+    return corr.join(diff, keys).join(signs, keys, "left")
+
+
+def proximity_pairs(obs: DataFrame, keys: list[str], frame: str, offset: str, tolerance: float) -> DataFrame:
+    """Every pair of selected frames: smallest offset difference and whether it is close.
+
+    Works on a bounded selection of frames; each frame is one row holding its short sorted
+    offset list, so no observation pairs are shuffled.
+    """
+    frames = obs.groupBy(*keys, frame).agg(F.array_sort(F.collect_list(offset)).alias("offsets"))
+    later = frames.select(*keys, F.col(frame).alias("frame_b"), F.col("offsets").alias("__b"))
+    gap = F.array_min(
+        F.transform("offsets", lambda a: F.array_min(F.transform("__b", lambda b: F.abs(a - b))))
+    )
+    return (
+        frames.withColumnRenamed(frame, "frame_a")
+        .join(later, keys)
+        .where("frame_a < frame_b")
+        .select(*keys, "frame_a", "frame_b", gap.alias("separation"))
+        .withColumn("close", F.col("separation") <= tolerance)
+    )
+
+
+def greedy_match(
+    before: DataFrame, after: DataFrame, keys: list[str], family: str, fraction: str, x: str, y: str, ident: str,
+    radial_gate: float, euclid_gate: float,
+) -> DataFrame:
+    """One-to-one matching of two frames' segments by ascending (cost, before, after).
+
+    Candidates meet only within one key, family and radial bucket of the gate's width (own
+    and neighbouring bucket), then pass both gates. The few gated candidates of one frame
+    pair are folded in cost order, which is the global greedy for that pair. Returns all
+    segments of both frames with `kind` matched / not_redetected / newly_detected.
+    """
+    bucket = F.floor(F.col(fraction) / radial_gate)
+    cols = [family, fraction, x, y, ident]
+    left = before.select(*keys, *[F.col(c).alias(f"a_{c}") for c in cols], bucket.alias("__b"))
+    right = after.select(
+        *keys, *[F.col(c).alias(f"b_{c}") for c in cols],
+        F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__b"),
+    )
+    radial = F.abs(F.col(f"a_{fraction}") - F.col(f"b_{fraction}"))
+    euclid = F.sqrt(F.pow(F.col(f"a_{x}") - F.col(f"b_{x}"), 2) + F.pow(F.col(f"a_{y}") - F.col(f"b_{y}"), 2))
+    gated = (
+        left.join(right.withColumnRenamed(f"b_{family}", f"a_{family}"), keys + ["__b", f"a_{family}"])
+        .where((radial <= radial_gate) & (euclid <= euclid_gate))
+        .withColumn("cost", F.round(RADIAL_WEIGHT * radial / radial_gate + EUCLIDEAN_WEIGHT * euclid / euclid_gate, 12))
+        .withColumn("delta", F.col(f"b_{fraction}") - F.col(f"a_{fraction}"))
+        .withColumn("shift", euclid)
+    )
+    entry = F.struct("cost", F.col(f"a_{ident}").alias("i"), F.col(f"b_{ident}").alias("j"), "delta", "shift")
+    lists = gated.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("__e"))
+    kind = "array<struct<cost:double,i:bigint,j:bigint,delta:double,shift:double>>"
+    fold = F.aggregate(
+        "__e",
+        F.array().cast(kind),
+        lambda acc, e: F.when(
+            F.exists(acc, lambda m: (m["i"] == e["i"]) | (m["j"] == e["j"])), acc
+        ).otherwise(F.concat(acc, F.array(e)).cast(kind)),
+    )
+    matched = lists.select(*keys, F.explode(fold).alias("m")).select(*keys, "m.i", "m.j", "m.cost", "m.delta", "m.shift")
+    lost = before.select(*keys, F.col(ident).alias("i")).join(matched, keys + ["i"], "left_anti")
+    new = after.select(*keys, F.col(ident).alias("j")).join(matched, keys + ["j"], "left_anti")
+    return (
+        matched.withColumn("kind", F.lit("matched"))
+        .unionByName(lost.withColumn("kind", F.lit("not_redetected")), allowMissingColumns=True)
+        .unionByName(new.withColumn("kind", F.lit("newly_detected")), allowMissingColumns=True)
+    )
+
+
+def distance_bins(distance: Column, bins: list[tuple[int, int]]) -> Column:
+    """Closed integer bins labelled 003-008; outside every bin is null."""
+    out = F.lit(None).cast("string")
+    for low, high in reversed(bins):
+        out = F.when(distance.between(low, high), f"{low:03d}-{high:03d}").otherwise(out)
+    return out
+
+
+def _candidate_pairs(rows: DataFrame, keys: list[str], order: str, axis: str, width: float, carry: list[str]) -> DataFrame:
+    """Unordered row pairs whose `axis` differs by at most `width`, by bucketed equi-join."""
+    bucket = F.floor(F.col(axis) / width)
+    left = rows.select(*keys, *[F.col(c).alias(f"{c}_1") for c in carry], bucket.alias("__b"))
+    right = rows.select(
+        *keys, *[F.col(c).alias(f"{c}_2") for c in carry], F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__b")
+    )
+    return left.join(right, keys + ["__b"]).where(
+        (F.col(f"{order}_1") < F.col(f"{order}_2")) & (F.abs(F.col(f"{axis}_1") - F.col(f"{axis}_2")) <= width)
+    )
+
+
+def _closest_neighbours(rows: DataFrame, keys: list[str], order: str, axis: str, carry: list[str]) -> DataFrame:
+    """Pairs adjacent in `axis` order; without any pair in tolerance the closest is among them."""
+    w = Window.partitionBy(*keys).orderBy(axis, order)
+    near = rows.select(*keys, *carry, *[F.lag(c).over(w).alias(f"__{c}") for c in carry]).where(F.col(f"__{order}").isNotNull())
+    first = F.col(f"__{order}") < F.col(order)
+    return near.select(
+        *keys,
+        *[F.when(first, F.col(f"__{c}")).otherwise(F.col(c)).alias(f"{c}_1") for c in carry],
+        *[F.when(first, F.col(c)).otherwise(F.col(f"__{c}")).alias(f"{c}_2") for c in carry],
+    )
+
+
+def matched_pair(df: DataFrame, keys: list[str], order: str, level: str, measure: str, max_ratio: float = 1.02) -> DataFrame:
+    """Pair of equally bright frames with the largest measure gap, else the closest pair.
+
+    Only pairs within the brightness tolerance are formed (bucketed join); the fallback
+    looks at neighbours in brightness order. Ties: smaller brightness gap, earlier frame.
+    """
+    tolerance = math.log(max_ratio)
+    rows = df.where((F.col(level) > 0) & F.col(measure).isNotNull()).select(
+        *keys, order, F.col(measure).alias("m"), F.ln(level).alias("b")
+    )
+    carry = [order, "m", "b"]
+
+    def gaps(pairs: DataFrame) -> DataFrame:
+        return pairs.select(
+            *keys, f"{order}_1", f"{order}_2",
+            F.round(F.abs(F.col("m_2") - F.col("m_1")), 12).alias("measure_gap"),
+            F.round(F.abs(F.col("b_2") - F.col("b_1")), 12).alias("brightness_gap"),
+        )
+
+    close = gaps(_candidate_pairs(rows, keys, order, "b", tolerance, carry))
+    best = close.groupBy(*keys).agg(
+        F.min(F.struct((-F.col("measure_gap")).alias("n"), "brightness_gap", f"{order}_1", f"{order}_2")).alias("c"),
+        F.count(F.lit(1)).alias("candidates"),
+    )
+    other = gaps(_closest_neighbours(rows, keys, order, "b", carry)).groupBy(*keys).agg(
+        F.min(F.struct("brightness_gap", (-F.col("measure_gap")).alias("n"), f"{order}_1", f"{order}_2")).alias("f")
+    )
+    both = other.join(best, keys, "left")
+    pick = lambda field: F.when(F.col("c").isNotNull(), F.col(f"c.{field}")).otherwise(F.col(f"f.{field}"))
+    return both.select(
+        *keys,
+        pick(f"{order}_1").alias("first"),
+        pick(f"{order}_2").alias("second"),
+        (-pick("n")).alias("measure_gap"),
+        pick("brightness_gap").alias("brightness_gap"),
+        F.col("c").isNotNull().alias("matched"),
+        F.coalesce("candidates", F.lit(0)).alias("candidates"),
+    )
+
+
+def matched_area_pair(df: DataFrame, keys: list[str], order: str, area: str, shape: str, tolerance: float = 0.02) -> DataFrame:
+    """Pair of equal-area frames with the largest shape difference, else the widest pair.
+
+    Without any pair in tolerance the largest shape difference belongs to an extreme of the
+    shape values: the fallback needs the rows holding the minimum or maximum only.
+    """
+    rows = df.where(F.col(area).isNotNull() & F.col(shape).isNotNull()).select(
+        *keys, order, F.col(area).alias("a"), F.col(shape).alias("s")
+    )
+
+    def score(pairs: DataFrame) -> DataFrame:
+        return pairs.select(
+            *keys, f"{order}_1", f"{order}_2",
+            F.round(-F.abs(F.col("s_1") - F.col("s_2")), 12).alias("n"),
+            F.round(F.abs(F.col("a_1") - F.col("a_2")), 12).alias("area_gap"),
+        ).groupBy(*keys).agg(F.min(F.struct("n", "area_gap", f"{order}_1", f"{order}_2")).alias("c"))
+
+    carry = [order, "a", "s"]
+    close = score(_candidate_pairs(rows, keys, order, "a", tolerance, carry))
+    edge = rows.groupBy(*keys).agg(F.min("s").alias("__lo"), F.max("s").alias("__hi"))
+    ends = rows.join(edge, keys)
+    low = ends.where("s = __lo").select(*keys, *[F.col(c).alias(f"l_{c}") for c in carry])
+    high = ends.where("s = __hi").select(*keys, *[F.col(c).alias(f"h_{c}") for c in carry])
+    swap = F.col(f"l_{order}") < F.col(f"h_{order}")
+    wide = low.join(high, keys).where(F.col(f"l_{order}") != F.col(f"h_{order}")).select(
+        *keys,
+        *[F.when(swap, F.col(f"l_{c}")).otherwise(F.col(f"h_{c}")).alias(f"{c}_1") for c in carry],
+        *[F.when(swap, F.col(f"h_{c}")).otherwise(F.col(f"l_{c}")).alias(f"{c}_2") for c in carry],
+    )
+    both = score(wide).withColumnRenamed("c", "f").join(close, keys, "full")
+    pick = lambda field: F.when(F.col("c").isNotNull(), F.col(f"c.{field}")).otherwise(F.col(f"f.{field}"))
+    return both.select(
+        *keys,
+        pick(f"{order}_1").alias("first"),
+        pick(f"{order}_2").alias("second"),
+        (-pick("n")).alias("shape_gap"),
+        pick("area_gap").alias("area_gap"),
+        F.col("c").isNotNull().alias("within_tolerance"),
+    )
+
+
+def id_set_diff(reference: DataFrame, candidate: DataFrame, ident: str, owner: str) -> DataFrame:
+    """Ids missing from or extra in the candidate, and ids whose owner changed."""
+    a = reference.select(ident, F.col(owner).alias("reference_owner"), F.lit(True).alias("__a"))
+    b = candidate.select(ident, F.col(owner).alias("candidate_owner"), F.lit(True).alias("__b"))
+    kind = (
+        F.when(F.col("__b").isNull(), "missing")
+        .when(F.col("__a").isNull(), "extra")
+        .when(~F.col("reference_owner").eqNullSafe(F.col("candidate_owner")), "reassigned")
+    )
+    return a.join(b, ident, "full").withColumn("kind", kind).where("kind is not null").drop("__a", "__b")
+
+
+def state_regressions(reference: DataFrame, candidate: DataFrame, keys: list[str], ranks: dict[str, dict[str, int]], confidence: str) -> DataFrame:
+    """Per shared id: which ranked states fell, and the confidence change."""
+    def rank(c: Column, order: dict[str, int]) -> Column:
+        out = F.lit(-1)
+        for text, r in order.items():
+            out = F.when(c == text, r).otherwise(out)
+        return out
+
+    cols = [*ranks, confidence]
+    both = reference.select(*keys, *[F.col(c).alias(f"reference_{c}") for c in cols]).join(
+        candidate.select(*keys, *[F.col(c).alias(f"candidate_{c}") for c in cols]), keys
+    )
+    for c, order in ranks.items():
+        both = both.withColumn(
+            f"{c}_regressed", rank(F.col(f"candidate_{c}"), order) < rank(F.col(f"reference_{c}"), order)
+        )
+    return both.withColumn("confidence_delta", F.col(f"candidate_{confidence}") - F.col(f"reference_{confidence}"))
+
+
+def before_after(before: DataFrame, after: DataFrame, keys: list[str], metric: str, value: str) -> DataFrame:
+    """Absolute and relative delta of long metrics; a key on one side only is flagged."""
+    a = before.select(*keys, metric, F.col(value).alias("before"), F.lit(True).alias("__a"))
+    b = after.select(*keys, metric, F.col(value).alias("after"), F.lit(True).alias("__b"))
+    delta = F.col("after") - F.col("before")
+    return a.join(b, keys + [metric], "full").select(
+        *keys,
+        metric,
+        "before",
+        "after",
+        delta.alias("absolute_delta"),
+        F.when(F.abs("before") > 1e-12, delta / F.abs("before")).alias("relative_delta"),
+        F.when(F.col("__a").isNull(), "missing_before").when(F.col("__b").isNull(), "missing_after").otherwise("ok").alias("status"),
+    )
+
+
+def referential_check(child: DataFrame, parent: DataFrame, link: str, ident: str, child_tag: str | None = None, parent_tag: str | None = None) -> DataFrame:
+    """Links to an absent target or to one of another identity; the child side is collapsed first."""
+    tags = [child_tag] if child_tag else []
+    links = child.where(F.col(link).isNotNull()).groupBy(link, *tags).agg(F.count(F.lit(1)).alias("links"))
+    targets = parent.select(F.col(ident).alias(link), *([F.col(parent_tag).alias("__tag")] if parent_tag else []), F.lit(True).alias("__have"))
+    problem = F.when(F.col("__have").isNull(), "missing_target")
+    if child_tag and parent_tag:
+        problem = problem.when(~F.col(child_tag).eqNullSafe(F.col("__tag")), "identity_mismatch")
+    return links.join(targets, link, "left").withColumn("problem", problem).where("problem is not null").drop("__have", "__tag")
+
+
+def can_compare(pairs: DataFrame, assessed: DataFrame, ident: str, extra: list[tuple[str, str, Column]]) -> DataFrame:
+    """Status and prefixed reasons for requested pairs and every measurement family.
+
+    `assessed` is (ident, family, status, reasons, facts...); `extra` lists
+    (family, reason, condition over left_ / right_ facts) that worsen a pair to review.
+    Work is linear in the requested pairs.
+    """
+    from gyre.functions.guards import worst_status
+
+    facts = [c for c in assessed.columns if c not in (ident, "family")]
+    side = lambda s: assessed.select(F.col(ident).alias(s), "family", *[F.col(c).alias(f"{s}_{c}") for c in facts])
+    both = pairs.join(side("left"), "left").join(side("right"), ["right", "family"])
+    base = worst_status("left_status", "right_status")
+    prefixed = F.concat(
+        F.transform("left_reasons", lambda r: F.concat(F.lit("left:"), r)),
+        F.transform("right_reasons", lambda r: F.concat(F.lit("right:"), r)),
+    )
+    added = F.array_compact(F.array(*[F.when((F.col("family") == f) & c, F.lit(r)) for f, r, c in extra]))
+    added = F.when(base == "unavailable", F.array().cast("array<string>")).otherwise(added)
+    return both.select(
+        "left",
+        "right",
+        "family",
+        F.when(base == "ok", F.when(F.size(added) > 0, "review").otherwise("ok")).otherwise(base).alias("status"),
+        joined(F.array_sort(F.array_distinct(F.concat(prefixed, added)))).alias("reasons"),
+    )
+
+
+def human_links(obs: DataFrame, items: DataFrame, period: int) -> DataFrame:
+    """Each observation link to evidence by exact field, else by family; overlap and distance.
+
+    obs: id, series_id, family, field_id, frames; items: item_id, series_id, family,
+    field_ids, frames. Frame lists are short arrays, compared in place.
+    """
+    fields = items.select("item_id", "series_id", F.explode("field_ids").alias("field_id"), F.col("frames").alias("item_frames"))
+    exact = obs.join(fields, ["series_id", "field_id"]).withColumn("resolution", F.lit("exact_field"))
+    rest = obs.join(exact.select("id", "field_id").distinct(), ["id", "field_id"], "left_anti")
+    family = rest.join(
+        items.select("item_id", "series_id", "family", F.col("frames").alias("item_frames")), ["series_id", "family"]
+    ).withColumn("resolution", F.lit("family"))
+    none = rest.join(family.select("id", "field_id").distinct(), ["id", "field_id"], "left_anti").withColumn(
+        "resolution", F.lit("unresolved")
+    )
+    rows = exact.unionByName(family).unionByName(none, allowMissingColumns=True)
+    hop = lambda a, b: F.least(F.pmod(a - b, F.lit(period)), F.pmod(b - a, F.lit(period)))
+    return rows.select(
+        "id",
+        "series_id",
+        "field_id",
+        "item_id",
+        "resolution",
+        F.size(F.array_intersect("frames", "item_frames")).alias("overlap"),
+        F.array_min(
+            F.transform("frames", lambda a: F.array_min(F.transform("item_frames", lambda b: hop(a, b))))
+        ).alias("nearest"),
+    ).withColumn("overlap", F.when(F.col("item_id").isNotNull(), F.col("overlap")))
+
+
