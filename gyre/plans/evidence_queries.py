@@ -1 +1,276 @@
-"""Queries of this family."""
+"""Evidence selection, top-k and set operations (family G)."""
+
+from pyspark.sql import functions as F
+
+from gyre.operators import evidence as V
+from gyre.operators import sequence as S
+from gyre.operators import support as U
+from gyre.operators import traces as D
+from gyre.plans.registry import query, r6
+from gyre.plans.sequence_queries import PAIRS, WRAPPED
+from gyre.plans.trace_queries import BANDED, MORPH, banded, flash_cells
+from gyre.plans.views import CYCLES, PERIOD, STEPS
+
+KEY = ["series_id"]
+FRAME = ["series_id", "position"]
+
+
+def nearest_sql(source, value, rules, position="position"):
+    parts = " UNION ALL ".join(
+        f"SELECT series_id, '{name}' AS rule, quantile_cont({value}, {q}) AS tg FROM {source} GROUP BY 1" for name, q in rules
+    )
+    return f"""tg AS ({parts}),
+    nr AS (SELECT s.series_id, rule, {position}, {value}, row_number() OVER (PARTITION BY s.series_id, rule ORDER BY round(abs({value} - tg), 9), {position}) AS k
+           FROM {source} s JOIN tg ON tg.series_id = s.series_id WHERE {value} IS NOT NULL)"""
+
+
+@query(
+    "g1_nearest_to_quantile",
+    f"""WITH {STEPS}{WRAPPED.replace("pairs AS", "pairs2 AS")}, {nearest_sql("steps", "value", (("q10", 0.1), ("q50", 0.5), ("q90", 0.9)))},
+    mv AS (SELECT series_id, position, da, row_number() OVER (PARTITION BY series_id ORDER BY da DESC, position) AS up,
+                  row_number() OVER (PARTITION BY series_id ORDER BY da, position) AS dn FROM moves WHERE stepped AND da IS NOT NULL)
+    SELECT series_id, rule, position, {r6("value")} AS "value" FROM nr WHERE k = 1
+    UNION ALL SELECT series_id, 'largest_positive_move', position, {r6("da")} FROM mv WHERE up = 1 AND da > 0
+    UNION ALL SELECT series_id, 'largest_negative_move', position, {r6("da")} FROM mv WHERE dn = 1 AND da < 0""",
+)
+def nearest_to_quantile(t):
+    near = V.nearest_to_quantile(t.steps, KEY, "position", "value", {"q10": 0.1, "q50": 0.5, "q90": 0.9})
+    moves = S.adjacent_delta(t.steps, KEY, "position", "source_index", "value", wrap="any")
+    return near.unionByName(V.extreme_moves(moves, KEY, "position", "signed_delta").withColumnRenamed("signed_delta", "value"))
+
+
+@query(
+    "g2_extreme_rows",
+    f"""WITH {STEPS}{PAIRS}, {nearest_sql("pairs", "change", (("median", 0.5), ("q90", 0.9)))},
+    x AS (SELECT series_id, position, change, row_number() OVER (PARTITION BY series_id ORDER BY change DESC, position) AS hi,
+                 row_number() OVER (PARTITION BY series_id ORDER BY change, position) AS lo FROM pairs WHERE change IS NOT NULL),
+    nz AS (SELECT series_id, position, change, row_number() OVER (PARTITION BY series_id ORDER BY change, position) AS lo FROM pairs WHERE change > 0)
+    SELECT series_id, rule, position, {r6("change")} AS change FROM nr WHERE k = 1
+    UNION ALL SELECT series_id, 'largest', position, {r6("change")} FROM x WHERE hi = 1
+    UNION ALL SELECT series_id, 'lowest', position, {r6("change")} FROM x WHERE lo = 1
+    UNION ALL SELECT series_id, 'lowest_nonzero', position, {r6("change")} FROM nz WHERE lo = 1""",
+)
+def extreme_rows(t):
+    pairs = S.adjacent_delta(t.steps, KEY, "position", "source_index", "value")
+    return V.extreme_rows(pairs, KEY, "position", "change")
+
+
+@query(
+    "g3_pair_events",
+    f"""WITH {STEPS}{WRAPPED}, d AS (SELECT series_id, position, da * db AS pr, least(abs(da), abs(db)) AS st FROM pairs WHERE da * db <> 0),
+    {nearest_sql("d", "st", (("typical_directional", 0.5),))},
+    x AS (SELECT *, row_number() OVER (PARTITION BY series_id, pr > 0 ORDER BY st DESC, position) AS k FROM d)
+    SELECT series_id, CASE WHEN pr > 0 THEN 'strongest_coordinated' ELSE 'strongest_divergent' END AS rule, position, {r6("st")} AS joint_strength
+    FROM x WHERE k = 1
+    UNION ALL SELECT series_id, rule, position, {r6("st")} FROM nr WHERE k = 1""",
+)
+def pair_events(t):
+    pairs = S.paired_changes(t.steps, KEY, "position", "source_index", "value", "other", wrap="any")
+    return V.pair_events(pairs, KEY, "position")
+
+
+@query(
+    "g4_morphology_events",
+    f"""WITH RECURSIVE {MORPH}, o AS (SELECT * FROM morph WHERE status = 'ok'),
+    b AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ls DESC, lf DESC, position) AS kb,
+                 row_number() OVER (PARTITION BY series_id ORDER BY eff DESC, lf, position) AS kf FROM o)
+    SELECT series_id, 'broadest' AS rule, position, {r6("ls")} AS "value" FROM b WHERE kb = 1
+    UNION ALL SELECT series_id, 'most_fragmented', position, {r6("eff")} FROM b WHERE kf = 1""",
+)
+def morphology_events(t):
+    return V.morphology_events(D.flash_morphology(*flash_cells(t), FRAME), KEY, "position")
+
+
+@query(
+    "g4_threshold_range",
+    f"""WITH {BANDED}, sh AS (
+      SELECT series_id, position, k, count(*) FILTER (brightness < k * g) / count(*) AS f FROM banded, (VALUES (0.65::DOUBLE), (0.75::DOUBLE), (0.85::DOUBLE)) AS v(k)
+      GROUP BY 1, 2, 3),
+    sp AS (SELECT series_id, position, max(f) - min(f) AS s FROM sh GROUP BY 1, 2)
+    SELECT series_id, 'widest_threshold_range' AS rule, position, {r6("s")} AS span FROM (
+      SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY s DESC, position) AS k FROM sp) WHERE k = 1""",
+)
+def threshold_range(t):
+    rows = D.with_whole(D.on_support(t.pixels, t.frames, "fixed"), D.whole_trace(t.pixels, t.frames))
+    frames = U.sweep(rows, [0.65, 0.75, 0.85]).groupBy(*FRAME, "threshold_key").agg(
+        (F.count_if(F.col("brightness") < F.col("threshold") * F.col("whole")) / F.count(F.lit(1))).alias("share")
+    )
+    return V.widest_range(frames, KEY, "position", "share")
+
+
+@query(
+    "g4_support_disagreement",
+    f"""WITH {BANDED}, a AS (SELECT series_id, position, median(brightness) AS v FROM banded GROUP BY 1, 2),
+    b AS (SELECT series_id, position, median(brightness) AS v FROM dyn GROUP BY 1, 2),
+    d AS (SELECT a.series_id, a.position, round(abs(a.v - b.v), 12) AS d FROM a JOIN b ON b.series_id = a.series_id AND b.position = a.position),
+    k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY d DESC, position) AS hi,
+                 row_number() OVER (PARTITION BY series_id ORDER BY d, position) AS lo FROM d)
+    SELECT series_id, 'strongest' AS rule, position, {r6("d")} AS difference FROM k WHERE hi = 1
+    UNION ALL SELECT series_id, 'control', position, {r6("d")} FROM k WHERE lo = 1""",
+)
+def support_disagreement(t):
+    med = lambda m: D.on_support(t.pixels, t.frames, m).groupBy(*FRAME).agg(F.median("brightness").alias("v"))
+    return V.mode_disagreement(med("fixed"), med("dynamic"), KEY, "position", "v")
+
+
+@query(
+    "g5_max_disagreement",
+    f"""WITH {BANDED}, a AS (SELECT series_id, position, band, median(brightness) AS v FROM banded GROUP BY 1, 2, 3),
+    b AS (SELECT series_id, position, band, median(brightness) AS v FROM dyn GROUP BY 1, 2, 3),
+    d AS (SELECT a.series_id, a.band, a.position, a.v AS l, b.v AS r, round(abs(a.v - b.v), 12) AS d
+          FROM a JOIN b ON b.series_id = a.series_id AND b.position = a.position AND b.band = a.band)
+    SELECT series_id, band, position, {r6("l")} AS left_value, {r6("r")} AS right_value, {r6("d")} AS difference FROM (
+      SELECT *, row_number() OVER (PARTITION BY series_id, band ORDER BY d DESC, position) AS k FROM d) WHERE k = 1""",
+)
+def max_disagreement(t):
+    px = banded(t)
+    med = lambda m: D.on_support(px, t.frames, m, ["band"]).groupBy(*FRAME, "band").agg(F.median("brightness").alias("v")).withColumn("mode", F.lit(m))
+    return V.max_disagreement(med("fixed").unionByName(med("dynamic")), ["series_id", "band"], "mode", "fixed", "dynamic", ["position"], "v")
+
+
+# Candidates of four families from the hourly cycle of a series.
+CAND = f"""
+mvs AS (SELECT series_id, slot, abs(round(score, 6) - lag(round(score, 6)) OVER w) AS ch, lag(slot) OVER w AS pslot FROM cycles
+        WINDOW w AS (PARTITION BY series_id ORDER BY slot)),
+adj AS (SELECT * FROM mvs WHERE pslot = slot - 1),
+c1 AS (SELECT series_id, 'occupancy' AS family, 'score' AS native_id, 'highest' AS event_type, 'frame' AS kind, CAST(slot AS VARCHAR) AS idx,
+              'score|peak' AS fields, score AS imp FROM (
+         SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(score, 6) DESC, slot) AS k FROM cycles) WHERE k = 1),
+c2 AS (SELECT series_id, 'occupancy', 'score', 'lowest_nonzero', 'frame', CAST(slot AS VARCHAR), 'score|peak', score FROM (
+         SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(score, 6), slot) AS k FROM cycles WHERE score > 0) WHERE k = 1),
+c3 AS (SELECT series_id, 'mobility', 'step', 'largest', 'pair', pslot || ',' || slot, 'step', ch FROM (
+         SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ch DESC, slot) AS k FROM adj) WHERE k = 1),
+c4 AS (SELECT series_id, 'activation', 'peak', 'q90', 'frame', CAST(slot AS VARCHAR), 'peak', peak FROM (
+         SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY peak DESC, slot) AS k FROM cycles) WHERE k = 1),
+cand AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c4)"""
+
+
+def candidates(t):
+    from gyre.operators.selection import extreme
+
+    cyc = t.cycles.withColumn("score", F.round("score", 6))
+    one = F.array(F.col("slot").cast("int"))
+    high = extreme(cyc, KEY, "highest", "score", "slot", True)
+    low = extreme(cyc, KEY, "lowest_nonzero", "score", "slot", False, F.col("score") > 0)
+    moves = S.adjacent_delta(cyc.withColumn("src", F.col("slot")), KEY, "slot", "src", "score")
+    step = extreme(moves, KEY, "largest", "change", "slot", True)
+    peak = extreme(cyc, KEY, "q90", "peak", "slot", True)
+    pair = F.array((F.col("slot") - 1).cast("int"), F.col("slot").cast("int"))
+    parts = [
+        V.candidate(high, "occupancy", "score", "frame", one, ["score", "peak"], F.col("score")),
+        V.candidate(low, "occupancy", "score", "frame", one, ["score", "peak"], F.col("score")),
+        V.candidate(step, "mobility", "step", "pair", pair, ["step"], F.col("change")),
+        V.candidate(peak, "activation", "peak", "frame", one, ["peak"], F.col("peak")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query(
+    "g6_collect_candidates",
+    f"""WITH {CYCLES}, {CAND} SELECT series_id, family, native_id, event_type, kind, idx AS source_indices, fields AS field_ids,
+        {r6("imp")} AS importance, 'ok' AS status FROM cand""",
+)
+def collect_candidates(t):
+    return candidates(t).select(
+        "series_id", "family", "native_id", "event_type", "kind", F.array_join("source_indices", ",").alias("source_indices"),
+        F.array_join("field_ids", "|").alias("field_ids"), "importance", "status",
+    )
+
+
+def profile(t):
+    """Three field cells per series; 'score' is missing for every fifth series."""
+    size = t.cycles.groupBy(*KEY).agg(F.count(F.lit(1)).alias("k"))
+    fields = size.withColumn("field_id", F.explode(F.array(F.lit("score"), F.lit("peak"), F.lit("step"))))
+    rows = fields.where((F.col("field_id") != "score") | (F.col("series_id") % 5 != 0))
+    weak = (F.col("field_id") == "peak") & (F.col("k") < 16)
+    return rows.select(
+        "series_id", "field_id",
+        F.when(weak, "review").otherwise("ok").alias("status"),
+        F.when(weak, F.array(F.lit("sparse_cycle"))).otherwise(F.array().cast("array<string>")).alias("reasons"),
+    )
+
+
+CONTRACT = f"""
+siz AS (SELECT series_id, count(*) AS k FROM cycles GROUP BY 1),
+kept AS (SELECT c.*, array_to_string(list_filter(string_split(fields, '|'), lambda f: f <> 'score' OR c.series_id % 5 <> 0), '|') AS held, k
+         FROM cand c JOIN siz USING (series_id)),
+ctr AS (SELECT *, CASE WHEN k < 16 AND list_contains(string_split(held, '|'), 'peak') THEN 'review' ELSE 'ok' END AS st FROM kept WHERE held <> '')"""
+
+
+def contracted(t):
+    return V.apply_contract(candidates(t), profile(t))
+
+
+@query(
+    "g7_apply_contract",
+    f"""WITH {CYCLES}, {CAND}, {CONTRACT} SELECT series_id, family, native_id, event_type, kind, idx AS source_indices, held AS field_ids,
+        {r6("imp")} AS importance, st AS status, CASE WHEN st = 'review' THEN 'sparse_cycle' ELSE '' END AS reasons FROM ctr""",
+)
+def apply_contract(t):
+    return contracted(t).select(
+        "series_id", "family", "native_id", "event_type", "kind", F.array_join("source_indices", ",").alias("source_indices"),
+        F.array_join("field_ids", "|").alias("field_ids"), "importance", "status", F.array_join("reasons", "|").alias("reasons"),
+    )
+
+
+@query(
+    "g8_merge_exact",
+    f"""WITH {CYCLES}, {CAND}, {CONTRACT} SELECT series_id, kind, idx AS source_indices, CAST(count(*) AS INTEGER) AS claims,
+        array_to_string(list(family || ':' || event_type ORDER BY family, native_id, event_type), '|') AS claim_names FROM ctr GROUP BY 1, 2, 3""",
+)
+def merge_exact(t):
+    names = F.transform("claims", lambda c: F.concat(c["family"], F.lit(":"), c["event_type"]))
+    return V.merge_exact(contracted(t)).select(
+        "series_id", "kind", F.array_join("source_indices", ",").alias("source_indices"), F.size("claims").alias("claims"),
+        F.array_join(names, "|").alias("claim_names"),
+    )
+
+
+@query("g9_near_groups")
+def near_groups(t):
+    groups = V.near_groups(V.merge_exact(contracted(t)), PERIOD, 1)
+    return groups.withColumn("source_indices", F.array_join("source_indices", ","))
+
+
+@query("g10_coverage_select")
+def coverage_select(t):
+    return V.coverage_select(V.merge_exact(contracted(t))).withColumn("source_indices", F.array_join("source_indices", ","))
+
+
+@query("g11_inventory_counts")
+def inventory_counts(t):
+    kept = contracted(t)
+    items = V.merge_exact(kept)
+    return V.inventory(kept, items, V.near_groups(items, PERIOD, 1), V.coverage_select(items))
+
+
+@query("g12_packet")
+def packet(t):
+    selected = V.coverage_select(V.merge_exact(contracted(t)))
+    frames = t.cycles.select("series_id", F.col("slot").cast("int").alias("source_index"), F.concat(F.lit("frame-"), F.col("slot")).alias("path"))
+    return V.packet(selected, frames, "source_index", "path")
+
+
+@query(
+    "g13_filter_by_disposition",
+    f"""WITH {BANDED}, tr AS (
+      SELECT series_id, band, mode, count(*) AS frames FROM (
+        SELECT DISTINCT series_id, position, band, 'fixed' AS mode FROM banded UNION ALL SELECT DISTINCT series_id, position, band, 'dynamic' FROM dyn)
+      GROUP BY 1, 2, 3)
+    SELECT *, CASE WHEN band = 'outer' THEN 'REVISE' ELSE 'KEEP' END AS disposition,
+           CASE WHEN band = 'outer' THEN 'upstream sensitivity candidate' ELSE 'primary local activation descriptor' END AS role
+    FROM tr WHERE mode = 'fixed'""",
+)
+def filter_by_disposition(t):
+    px = banded(t)
+    rows = lambda m: D.on_support(px, t.frames, m, ["band"]).select(*FRAME, "band").distinct().withColumn("mode", F.lit(m))
+    traces = rows("fixed").unionByName(rows("dynamic")).groupBy("series_id", "band", "mode").agg(F.count(F.lit(1)).alias("frames"))
+    fixed = F.col("mode") == "fixed"
+    rules = [
+        (fixed & F.col("band").isin("centre", "inner", "middle"), "KEEP", "primary local activation descriptor"),
+        (fixed & (F.col("band") == "outer"), "REVISE", "upstream sensitivity candidate"),
+    ]
+    return V.filter_by_disposition(traces, rules, ("REJECT", "not selected"))
