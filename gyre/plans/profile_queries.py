@@ -1 +1,181 @@
-"""Queries of this family."""
+"""Radial profile queries (F15, F16, F22-F29, D22, D23)."""
+
+from pyspark.sql import functions as F
+
+from gyre.functions.arrays import robust_z as robust_z_of
+from gyre.operators import profiles as R
+from gyre.plans.registry import query, r6
+from gyre.plans.views import PROFILES
+
+N = 64
+SET = ["set_id"]
+
+
+def arrays(t):
+    """One row per profile: 8 frames x 8 sectors per set, value null where unsupported."""
+    v = F.transform("embedding", lambda x: F.when(F.abs(x) < F.lit(0.3).cast("float"), x.cast("double")))
+    return t.embeddings.select(
+        F.floor(F.col("vec_id") / 64).alias("set_id"),
+        F.pmod(F.floor(F.col("vec_id") / 8), F.lit(8)).alias("frame"),
+        F.pmod("vec_id", F.lit(8)).alias("sector"),
+        "vec_id",
+        v.alias("profile"),
+    )
+
+
+ZED = PROFILES + """,
+pv AS (SELECT vec_id, k, u, CASE WHEN supported THEN value END AS v FROM profiles),
+pm AS (SELECT vec_id, median(v) AS m, stddev_pop(v) AS s FROM pv GROUP BY 1),
+pd AS (SELECT vec_id, greatest(1.4826 * median(abs(v - m)), 0.2 * max(s), 1e-6) AS sc, max(m) AS m FROM pv JOIN pm USING (vec_id) GROUP BY 1),
+pz AS (SELECT vec_id, k, u, v, (v - m) / sc AS z FROM pv JOIN pd USING (vec_id))"""
+
+
+@query("f16_robust_z", f"""WITH {ZED} SELECT vec_id, CAST(k AS INTEGER) AS k, {r6("z")} AS z FROM pz""")
+def robust_z(t):
+    return arrays(t).select("vec_id", F.posexplode(robust_z_of(F.col("profile"))).alias("k", "z"))
+
+
+@query(
+    "f15_local_peak",
+    f"""WITH {ZED}, w AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, k) AS o, count(*) OVER (PARTITION BY vec_id) AS n
+                          FROM pz WHERE v IS NOT NULL AND abs(u - 0.5) <= 0.055)
+    SELECT vec_id, CAST(k AS INTEGER) AS "index", {r6("u")} AS u, {r6("v")} AS "value", {r6("z")} AS z, {r6("u - 0.5")} AS "offset"
+    FROM w WHERE o = 1 AND n >= 3""",
+)
+def local_peak(t):
+    rows = arrays(t).withColumn("z", robust_z_of(F.col("profile")))
+    peak = R.local_peak(F.col("profile"), F.col("z"), F.lit(0.5), 0.055, 3, N)
+    return rows.select("vec_id", peak.alias("p")).where("p is not null").select("vec_id", "p.*")
+
+
+TARGETS = (0.51, 0.73, 0.87)
+
+
+def fixed_controls(t):
+    """The same three circular boundaries for every set."""
+    sets = arrays(t).select("set_id").distinct()
+    rows = F.array(
+        *[
+            F.struct(F.lit(b).alias("boundary"), F.array(*[F.lit(u + 0.002 * s) for s in range(8)]).alias("sector_u"))
+            for b, u in zip(R.BOUNDARIES, TARGETS)
+        ]
+    )
+    return sets.select("set_id", F.explode(rows).alias("c")).select("set_id", "c.*")
+
+
+def scored(t):
+    return R.boundary_frame(arrays(t), fixed_controls(t), SET, "frame", "sector", 8, N)
+
+
+FRAMES_SQL = ZED + """,
+ctl(boundary, base) AS (VALUES ('centre_inner', 0.51::DOUBLE), ('inner_middle', 0.73::DOUBLE), ('middle_outer', 0.87::DOUBLE)),
+tg AS (SELECT vec_id // 64 AS set_id, (vec_id // 8) % 8 AS frame, vec_id % 8 AS sector, vec_id, boundary, k, u, v, z,
+              round(base + 0.002::DOUBLE * (vec_id % 8), 12) AS target FROM pz, ctl),
+nr AS (SELECT *, row_number() OVER (PARTITION BY vec_id, boundary ORDER BY v DESC, k) AS o, count(*) OVER (PARTITION BY vec_id, boundary) AS n
+       FROM tg WHERE v IS NOT NULL AND abs(u - target) <= 0.04),
+ry AS (SELECT t.set_id, t.frame, t.sector, t.boundary, n.z AS z, n.u - n.target AS off, coalesce(n.z >= 0.8, false) AS ok
+       FROM (SELECT DISTINCT set_id, frame, sector, vec_id, boundary FROM tg) t
+       LEFT JOIN nr n ON n.vec_id = t.vec_id AND n.boundary = t.boundary AND n.o = 1 AND n.n >= 2),
+db AS (SELECT *, sector + 8 * d AS p FROM ry, (SELECT unnest([0, 1]) AS d)),
+isl AS (SELECT *, sum(ok::INT) OVER (PARTITION BY set_id, frame, boundary ORDER BY p) AS g FROM db),
+gap AS (SELECT set_id, frame, boundary, max(c) AS gap FROM (
+          SELECT set_id, frame, boundary, g, count(*) FILTER (NOT ok) AS c FROM isl GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+om AS (SELECT set_id, frame, boundary, median(off) AS om FROM ry GROUP BY 1, 2, 3),
+fs AS (SELECT set_id, frame, boundary, count(z) AS fin, count(*) FILTER (ok) AS sup, count(*) AS n, median(z) AS mz, quantile_cont(z, 0.1) AS qz,
+              median(abs(off)) AS ao, max(om) AS mo, 1.4826 * median(abs(off - om)) AS mad, max(gap) AS gap
+       FROM ry JOIN om USING (set_id, frame, boundary) JOIN gap USING (set_id, frame, boundary) GROUP BY 1, 2, 3),
+fr AS (SELECT *, CASE WHEN fin >= 8 THEN 'ok' WHEN fin >= 4 THEN 'review' ELSE 'unavailable' END AS st FROM fs)"""
+
+
+@query(
+    "d22_boundary_frame",
+    f"""WITH {FRAMES_SQL}
+    SELECT set_id, frame, boundary, st AS status, CAST(fin AS INTEGER) AS finite_peaks, CAST(sup AS INTEGER) AS supported_rays,
+           {r6("sup / n")} AS supported_fraction, {r6("least(gap, n) / n")} AS longest_gap_fraction, {r6("mz")} AS median_peak_z,
+           {r6("qz")} AS q10_peak_z, {r6("round(ao, 9)")} AS median_abs_offset, {r6("mad")} AS offset_mad, {r6("mo")} AS median_signed_offset
+    FROM fr""",
+)
+def boundary_frame(t):
+    return scored(t)
+
+
+@query(
+    "d23_boundary_summary",
+    f"""WITH {FRAMES_SQL}, u AS (SELECT *, st <> 'unavailable' AS us FROM fr)
+    SELECT set_id, boundary, CAST(8 AS BIGINT) AS requested_frames, count(*) AS scored_frames, count(*) FILTER (us) AS usable_frames,
+           {r6("count(*) / 8")} AS coverage, CASE WHEN count(*) FILTER (us) >= 3 THEN 'ok' ELSE 'unavailable' END AS status,
+           {r6("median(mz) FILTER (us)")} AS strength_median, {r6("quantile_cont(mz, 0.1) FILTER (us)")} AS strength_q10,
+           {r6("median(sup / n) FILTER (us)")} AS continuity_median, {r6("max(least(gap, n) / n) FILTER (us)")} AS worst_gap,
+           {r6("median(mad) FILTER (us)")} AS position_median_mad, {r6("quantile_cont(mad, 0.9) FILTER (us)")} AS position_q90_mad
+    FROM u GROUP BY 1, 2""",
+)
+def boundary_summary(t):
+    return R.boundary_summary(scored(t), SET, F.max(F.lit(8).cast("bigint")))
+
+
+@query("f22_medoid_consensus")
+def medoid_consensus(t):
+    shapes = t.embeddings.select(
+        F.floor(F.col("vec_id") / 16).alias("series_id"),
+        "vec_id",
+        F.col("label").cast("double").alias("score"),
+        F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("shape"),
+    )
+    return R.medoid_consensus(shapes, ["series_id"], "vec_id", "score", 0.02, 2.5, 5)
+
+
+KERNEL = R.gaussian_kernel(R.SMOOTHING)
+
+
+@query(
+    "f23_consensus_profile",
+    f"""WITH {PROFILES}, c AS (SELECT vec_id // 64 AS set_id, sector, k, median(CASE WHEN supported THEN value END) AS v FROM profiles GROUP BY 1, 2, 3),
+    m AS (SELECT set_id, k, coalesce(median(v), 0.0) AS c FROM c GROUP BY 1, 2),
+    kw(o, w) AS (VALUES {", ".join(f"({o}, {w!r}::DOUBLE)" for o, w in zip(range(-5, 6), KERNEL))}),
+    s AS (SELECT m.set_id, m.k, w, (m.k + o + 128) % 128 AS f FROM m, kw)
+    SELECT s.set_id, CAST(s.k AS INTEGER) AS k, {r6("sum(w * x.c)")} AS curve
+    FROM s JOIN m x ON x.set_id = s.set_id AND x.k = CASE WHEN f < 64 THEN f ELSE 127 - f END GROUP BY 1, 2""",
+)
+def consensus_profile(t):
+    return R.consensus(arrays(t), SET, "sector", N).select("set_id", F.posexplode("curve").alias("k", "curve"))
+
+
+@query("f24_profile_peaks")
+def profile_peaks(t):
+    curves = arrays(t).select("vec_id", F.transform("profile", lambda v: F.coalesce(v, F.lit(0.0))).alias("curve"))
+    return R.profile_peaks(curves, "curve", N).drop("curve")
+
+
+def candidates(t):
+    return R.candidates(R.consensus(arrays(t), SET, "sector", N), N)
+
+
+def template(t):
+    return R.boundary_template(candidates(t), SET, N)
+
+
+@query("f25_boundary_template")
+def boundary_template(t):
+    text = F.array_join(F.transform("sector_u", lambda v: F.format_number(v, 6)), ",")
+    return template(t).withColumn("sector_u", text)
+
+
+@query("f26_candidate_persistence")
+def candidate_persistence(t):
+    return R.candidate_persistence(arrays(t), candidates(t), SET, "frame", N)
+
+
+@query("f27_boundary_alignment")
+def boundary_alignment(t):
+    return R.boundary_alignment(arrays(t), template(t), SET, "sector", N)
+
+
+@query("f28_crossfit")
+def crossfit(t):
+    return R.crossfit(arrays(t), SET, "frame", "sector", N)
+
+
+@query("f29_peak_suppression")
+def peak_suppression(t):
+    curves = arrays(t).select("vec_id", F.transform("profile", lambda v: F.coalesce(v, F.lit(0.0))).alias("curve"))
+    return R.peak_suppression(curves, ["vec_id"], "curve", N)
