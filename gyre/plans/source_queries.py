@@ -1 +1,187 @@
-"""Queries of this family."""
+"""Sources, sinks and their checks (family A)."""
+
+from pyspark.sql import functions as F
+
+from gyre.plans.registry import query, r6
+from gyre.session import shared_dir
+from gyre.sources import frames as A
+
+
+@query("a1_frame_records", "SELECT doc_id, CAST(strlen(text) AS INTEGER) AS bytes, sha256(text) AS sha256 FROM documents")
+def frame_records(t):
+    return A.frame_records(t.documents.select("doc_id", "text"), "text")
+
+
+@query(
+    "a2_explode_pixels",
+    """WITH b AS (SELECT vec_id, unnest(range(63)) AS i, embedding FROM embeddings),
+    v AS (SELECT vec_id, i, CAST(greatest(0, least(255, floor((CAST(embedding[i + 1] AS DOUBLE) + 0.5) * 255))) AS INTEGER) AS v FROM b)
+    SELECT vec_id, CAST(i // 3 // 7 AS INTEGER) AS y, CAST(i // 3 % 7 AS INTEGER) AS x, max(v) FILTER (i % 3 = 2) AS r, max(v) FILTER (i % 3 = 1) AS g, max(v) FILTER (i % 3 = 0) AS b
+    FROM v GROUP BY vec_id, i // 3""",
+)
+def explode_pixels(t):
+    level = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v.cast("double") + 0.5) * 255)))
+    data = F.unhex(F.array_join(F.transform(F.slice("embedding", 1, 63), lambda v: F.lpad(F.hex(level(v)), 2, "0")), ""))
+    image = F.struct(F.lit(3).alias("height"), F.lit(7).alias("width"), F.lit(3).alias("nChannels"), data.alias("data"))
+    return A.explode_pixels(t.embeddings.select("vec_id", image.alias("image")), ["vec_id"])
+
+
+@query(
+    "a3_validate_sequence",
+    """WITH f AS (SELECT source AS seq, doc_id AS name, sha256(text) AS sha FROM documents WHERE doc_id % 11 <> 0),
+    m AS (SELECT source AS seq, doc_id AS name, CASE WHEN doc_id % 13 = 0 THEN -1 ELSE doc_id - doc_id % 2 END AS idx,
+                 CASE WHEN doc_id % 17 = 0 THEN 'zz' WHEN doc_id % 19 = 0 THEN sha256('x') ELSE upper(sha256(text)) END AS decl FROM documents WHERE doc_id % 7 <> 0),
+    j AS (SELECT coalesce(m.seq, f.seq) AS seq, coalesce(m.name, f.name) AS name, m.name IS NOT NULL AS hm, f.name IS NOT NULL AS hf, idx, lower(decl) AS decl, sha
+          FROM m FULL JOIN f ON m.seq = f.seq AND m.name = f.name),
+    p AS (SELECT seq, CAST(name AS VARCHAR) AS name, unnest(list_filter([CASE WHEN NOT hf THEN 'listed_file_absent' END, CASE WHEN NOT hm THEN 'file_not_listed' END,
+           CASE WHEN hm AND idx < 0 THEN 'invalid_index' END, CASE WHEN NOT regexp_full_match(decl, '[0-9a-f]{64}') THEN 'invalid_hash_format' END,
+           CASE WHEN regexp_full_match(decl, '[0-9a-f]{64}') AND decl <> sha THEN 'hash_mismatch' END], lambda x: x IS NOT NULL)) AS problem FROM j),
+    c AS (SELECT seq, idx, count(*) AS n FROM m GROUP BY 1, 2)
+    SELECT * FROM p UNION ALL SELECT seq, CAST(idx AS VARCHAR), 'repeated_index' FROM c WHERE n > 1
+    UNION ALL SELECT seq, NULL, 'incomplete_cycle' FROM c GROUP BY 1 HAVING min(idx) <> 0 OR max(idx) <> count(*) - 1""",
+)
+def validate_sequence(t):
+    d = F.col("doc_id")
+    docs = t.documents.withColumn("seq", F.col("source")).withColumn("name", d.cast("string")).withColumn("sha256", F.sha2("text", 256))
+    files = docs.where(d % 11 != 0).select("seq", "name", "sha256")
+    manifest = docs.where(d % 7 != 0).select(
+        "seq", "name", F.when(d % 13 == 0, -1).otherwise(d - d % 2).alias("source_index"),
+        F.when(d % 17 == 0, "zz").when(d % 19 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.upper("sha256")).alias("sha256"),
+    )
+    return A.validate_sequence(files, manifest, "seq")
+
+
+@query(
+    "a4_natural_order",
+    """WITH p AS (SELECT page_id, url, regexp_extract_all(url, '([0-9]+|[^0-9]+)', 1) AS parts FROM pages),
+    k AS (SELECT page_id, list_transform(parts, lambda s: CASE WHEN regexp_matches(s, '^[0-9]')
+             THEN (1, CAST(length(regexp_replace(s, '^0+', '')) AS INTEGER), regexp_replace(s, '^0+', '')) ELSE (0, 0, lower(s)) END) AS k FROM p)
+    SELECT page_id, CAST(rank() OVER (ORDER BY k) AS INTEGER) AS place FROM k""",
+)
+def natural_order(t):
+    """Rank of every page in natural order of its address."""
+    from gyre.functions.ranking import value_table
+
+    keyed = t.pages.select("page_id", F.lit(0).alias("all"), A.natural_key(F.col("url")).alias("key"))
+    # Rank through an order-preserving text of the key (zero-padded widths), so equal keys tie.
+    text = F.array_join(
+        F.transform("key", lambda s: F.concat(s["isnum"].cast("string"), F.lpad(s["width"].cast("string"), 6, "0"), s["text"], F.lit("\u0001"))), ""
+    )
+    rows = keyed.select("page_id", "all", text.alias("text"))
+    ranked = _text_ranks(rows, value_table)
+    return rows.join(ranked, ["all", "text"]).select("page_id", (F.col("below") + 1).cast("int").alias("place"))
+
+
+def _text_ranks(rows, value_table):
+    """Dense text order by first characters: buckets of a common prefix are ranked apart."""
+    from pyspark.sql import Window
+
+    counts = value_table(rows, ["all"], "text").withColumn("head", F.substring("text", 1, 24))
+    heads = counts.groupBy("all", "head").agg(F.sum("cnt").alias("n"))
+    before = Window.partitionBy("all").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = heads.select("all", "head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    inside = Window.partitionBy("all", "head").orderBy("text").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("r", F.coalesce(F.sum("cnt").over(inside), F.lit(0))).join(offsets, ["all", "head"]).select(
+        "all", "text", (F.col("off") + F.col("r")).alias("below")
+    )
+
+
+@query(
+    "a5_trailing_index",
+    r"""SELECT page_id, CAST(nullif(regexp_extract(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\.[^.]*$', ''), '([0-9]+)$', 1), '') AS BIGINT) AS source_index FROM pages""",
+)
+def trailing_index(t):
+    return t.pages.select("page_id", A.trailing_index(F.col("url")).alias("source_index"))
+
+
+@query(
+    "a6_reading_order",
+    """WITH o AS (SELECT doc_id AS name, source AS seq, n_chars AS position FROM documents WHERE doc_id % 4 <> 0
+                  UNION ALL SELECT doc_id, source, n_chars + 1 FROM documents WHERE doc_id % 9 = 1),
+    l AS (SELECT seq, name, min(position) AS position, count(*) AS n FROM o GROUP BY 1, 2), f AS (SELECT source AS seq, doc_id AS name FROM documents WHERE doc_id % 5 <> 0),
+    j AS (SELECT coalesce(f.seq, l.seq) AS seq, coalesce(f.name, l.name) AS name, position,
+                 CASE WHEN n > 1 THEN 'repeated_in_order' WHEN f.name IS NULL THEN 'ordered_file_missing' WHEN n IS NULL THEN 'file_not_in_order' END AS problem
+          FROM f FULL JOIN l ON f.seq = l.seq AND f.name = l.name)
+    SELECT seq, name, CASE WHEN problem IS NULL THEN position END AS position, problem FROM j""",
+)
+def reading_order(t):
+    d = F.col("doc_id")
+    base = t.documents.select(F.col("source").alias("seq"), d.alias("name"), F.col("n_chars").alias("position"))
+    order = base.where("name % 4 <> 0").unionByName(base.where("name % 9 = 1").withColumn("position", F.col("position") + 1))
+    good, bad = A.reading_order(base.where("name % 5 <> 0").select("seq", "name"), order, "seq")
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
+@query(
+    "a7_reorder_by_permutation",
+    """WITH RECURSIVE lv(m, serial, slot) AS (
+      SELECT * FROM (VALUES (2, 1, 1), (2, 2, 5), (2, 3, 9), (2, 4, 13)) AS v(m, serial, slot)),
+    p AS (SELECT serial, slot FROM lv UNION ALL SELECT 5 + j, 2 * (2 * j + 1) + 1 FROM range(4) AS r(j)
+          UNION ALL SELECT 9 + j, 1 * (2 * j + 1) + 1 FROM range(8) AS r(j))
+    SELECT vec_id // 16 AS series_id, vec_id % 16 + 1 AS serial, CAST(slot - 1 AS BIGINT) AS final_position FROM embeddings JOIN p ON p.serial = vec_id % 16 + 1""",
+)
+def reorder_by_permutation(t):
+    rows = t.vectors.select("series_id", (F.col("position") + 1).alias("serial"))
+    return A.reorder_by_permutation(rows, ["series_id"], "serial", 16)
+
+
+@query(
+    "a8_mark_duplicates",
+    """WITH d AS (SELECT doc_id, sha256(text) AS h, sha256(lower(text)) AS p FROM documents),
+    f AS (SELECT *, min(doc_id) OVER (PARTITION BY h) AS fh, min(doc_id) OVER (PARTITION BY p) AS fp FROM d)
+    SELECT doc_id, CASE WHEN fh < doc_id THEN fh END AS duplicate_of, CASE WHEN NOT fh < doc_id AND fp < doc_id THEN fp END AS pixel_duplicate_of FROM f""",
+)
+def mark_duplicates(t):
+    rows = t.documents.select("doc_id", F.sha2("text", 256).alias("h"), F.sha2(F.lower("text"), 256).alias("p"))
+    return A.mark_duplicates(rows.withColumn("name", F.col("doc_id")), "name", "doc_id", "h", "p").select("doc_id", "duplicate_of", "pixel_duplicate_of")
+
+
+@query(
+    "a9_read_catalogue",
+    """SELECT CAST(o_custkey AS VARCHAR) AS id, count(*) AS listings, count(*) FILTER (o_orderstatus = 'F') AS evidence, count(*) FILTER (o_orderstatus = 'F') * 2 AS frames
+       FROM orders GROUP BY 1""",
+)
+def read_catalogue(t):
+    frame = lambda i: F.struct(F.lit(i).alias("source_index"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("sha256"))
+    listing = F.struct(
+        F.col("o_orderdate").alias("observed_at"), F.concat(F.lit("https://x/"), F.col("o_orderkey")).alias("url"),
+        F.col("o_totalprice").cast("decimal(12,2)").alias("price"), F.lit("GBP").alias("currency"),
+    )
+    item = F.when(
+        F.col("o_orderstatus") == "F",
+        F.struct(F.col("o_orderkey").cast("string").alias("record_key"), F.lit("rotation").alias("kind"), F.lit("success").alias("status"), F.array(frame(0), frame(1)).alias("frames")),
+    )
+    docs = t.orders.groupBy(F.col("o_custkey").cast("string").alias("id")).agg(
+        F.collect_list(listing).alias("listings"), F.array_compact(F.collect_list(item)).alias("evidence")
+    )
+    tables = A.catalogue_tables(A.parse_manifests(docs.select(F.to_json(F.struct("id", "listings", "evidence")).alias("text")), "text"))
+    count = lambda name: tables[name].groupBy("id").agg(F.count(F.lit(1)).alias(name))
+    return count("listings").join(count("evidence"), "id", "left").join(count("frames"), "id", "left").na.fill(0)
+
+
+@query(
+    "a10_write_trace",
+    f"""SELECT user_id AS series_id, count(*) AS "rows", count(CASE WHEN value < 400 THEN value END) AS finite_rows, {r6("sum(CASE WHEN value < 400 THEN value END)")} AS total FROM events GROUP BY 1""",
+)
+def write_trace(t):
+    rows = t.events.select(
+        F.col("user_id").alias("series_id"), "event_id", F.when(F.col("value") < 400, F.col("value")).otherwise(F.lit(float("nan"))).alias("value")
+    )
+    path = A.write_table(rows, shared_dir(t.spark), "csv")
+    back = t.spark.read.schema("series_id bigint, event_id bigint, value double").option("header", "true").csv(path)
+    return back.groupBy("series_id").agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("finite_rows"), F.sum("value").alias("total"))
+
+
+@query(
+    "a11_sequence_warnings",
+    """WITH f AS (SELECT l_orderkey AS seq, l_returnflag = 'R' AS bad, l_linenumber AS w, CAST(l_quantity AS BIGINT) AS h FROM lineitem),
+    a AS (SELECT seq, count(*) AS n, count(*) FILTER (bad) AS i, min((w, h)) <> max((w, h)) AS mx FROM f GROUP BY 1)
+    SELECT seq, n AS frames, i AS invalid, array_to_string(list_filter([CASE WHEN i > 0 THEN 'invalid_images_excluded' END, CASE WHEN mx THEN 'mixed_dimensions' END,
+           CASE WHEN n <> 4 THEN 'sparse_selection' END], lambda x: x IS NOT NULL), '|') AS warnings FROM a""",
+)
+def sequence_warnings(t):
+    rows = t.lineitem.select(
+        F.col("l_orderkey").alias("seq"), F.when(F.col("l_returnflag") == "R", "invalid").otherwise("valid").alias("status"),
+        F.col("l_linenumber").alias("width"), F.col("l_quantity").cast("bigint").alias("height"), F.lit(4).alias("declared"),
+    )
+    return A.sequence_warnings(rows, "seq", "declared")
