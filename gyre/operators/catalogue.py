@@ -342,8 +342,7 @@ def violations(df: DataFrame, ident: str, rules: list[tuple[str, Column]]) -> Da
 
 
 def extracted(text: Column, pattern: str, group: int = 1) -> Column:
-    found = F.regexp_extract(text, pattern, group)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
 def extract_certificate_fields(df: DataFrame, text: str) -> DataFrame:
@@ -351,12 +350,14 @@ def extract_certificate_fields(df: DataFrame, text: str) -> DataFrame:
     t = F.col(text)
     known = [alias for aliases in SHAPES.values() for alias in aliases]
     shape = squeezed(extracted(t, SHAPE_PATTERN))
+    # The measurement phrase is found once; its numbers are read from the short match.
+    sizes = F.regexp_extract_all(F.regexp_extract(t, MEASURE_PATTERN, 0), F.lit(r"([0-9.]+)"), F.lit(1))
     return df.select(
         *[c for c in df.columns if c != text],
         F.upper(extracted(t, REPORT_PATTERN)).alias("report_number"),
         F.when(t.rlike(r"(?i)INTERNATIONAL\s+GEMOLOGICAL\s+INSTITUTE"), "IGI").alias("lab"),
         F.when(shape.isin(*known), shape).alias("shape"),
-        *[extracted(t, MEASURE_PATTERN, i).try_cast("double").alias(n) for i, n in ((1, "length_mm"), (2, "width_mm"), (3, "depth_mm"))],
+        *[F.get(sizes, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(("length_mm", "width_mm", "depth_mm"))],
         extracted(t, CARAT_PATTERN).try_cast("double").alias("carat"),
         F.upper(extracted(t, COLOUR_PATTERN)).alias("colour"),
         F.upper(extracted(t, CLARITY_PATTERN)).alias("clarity"),

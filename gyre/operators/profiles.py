@@ -384,13 +384,13 @@ def medoid_consensus(shapes: DataFrame, keys: list[str], ident: str, score: str,
     they form one array and the distances are row expressions, so no shape pairs travel.
     """
     cell = F.struct(F.col(ident).alias("id"), F.col(score).alias("score"), F.col("shape").alias("shape"))
-    sets = shapes.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("s")).where(F.size("s") >= minimum)
+    sets = shapes.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("__set")).where(F.size("__set") >= minimum)
     medians = F.transform(
-        "s",
+        "__set",
         lambda a: F.struct(
             F.round(
                 array_median(
-                    F.transform(F.filter("s", lambda b: b["id"] != a["id"]), lambda b: quarter_turn_distance(a["shape"], b["shape"]))
+                    F.transform(F.filter("__set", lambda b: b["id"] != a["id"]), lambda b: quarter_turn_distance(a["shape"], b["shape"]))
                 ),
                 12,
             ).alias("m"),
@@ -400,9 +400,9 @@ def medoid_consensus(shapes: DataFrame, keys: list[str], ident: str, score: str,
     )
     sets = sets.withColumn("medoid", F.array_min(medians))
     sets = sets.withColumn(
-        "d", F.transform("s", lambda a: F.struct(a["id"].alias("id"), a["score"].alias("score"), quarter_turn_distance(a["shape"], F.col("medoid.shape")).alias("distance")))
+        "__dist", F.transform("__set", lambda a: F.struct(a["id"].alias("id"), a["score"].alias("score"), quarter_turn_distance(a["shape"], F.col("medoid.shape")).alias("distance")))
     )
-    dist = F.transform("d", lambda x: x["distance"])
+    dist = F.transform("__dist", lambda x: x["distance"])
     sets = sets.withColumn("__med", array_median(dist)).withColumn(
         "__mad", array_median(F.transform(dist, lambda v: F.abs(v - F.col("__med"))))
     )
@@ -410,12 +410,12 @@ def medoid_consensus(shapes: DataFrame, keys: list[str], ident: str, score: str,
     sets = sets.withColumn("threshold", limit)
     order = F.array_sort(
         F.transform(
-            F.filter("d", lambda x: x["distance"] <= F.col("threshold")),
+            F.filter("__dist", lambda x: x["distance"] <= F.col("threshold")),
             lambda x: F.struct((-x["score"]).alias("n"), F.round(x["distance"], 12).alias("d"), x["id"].alias("id")),
         )
     )
     chosen = F.transform(F.slice(order, 1, top), lambda x: x["id"])
-    rows = sets.withColumn("__chosen", chosen).select(*keys, "medoid.id", "threshold", "__chosen", F.explode("d").alias("x"))
+    rows = sets.withColumn("__chosen", chosen).select(*keys, "medoid.id", "threshold", "__chosen", F.explode("__dist").alias("x"))
     status = (
         F.when(F.array_contains("__chosen", F.col("x.id")), "selected")
         .when(F.col("x.distance") > F.col("threshold"), "rejected")
