@@ -292,7 +292,7 @@ def boundary_frame(profiles: DataFrame, controls: DataFrame, keys: list[str], fr
         array_quantile(z, 0.1).alias("q10_peak_z"),
         F.round(array_median(F.transform(o, lambda v: F.abs(v))), 9).alias("median_abs_offset"),
         mad.alias("offset_mad"),
-        med.alias("median_signed_offset"),
+        F.round(med, 9).alias("median_signed_offset"),
     )
 
 

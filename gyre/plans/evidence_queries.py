@@ -41,7 +41,7 @@ def nearest_to_quantile(t):
 
 @query(
     "g2_extreme_rows",
-    f"""WITH {STEPS}{PAIRS}, {nearest_sql("pairs", "change", (("median", 0.5), ("q90", 0.9)))},
+    f"""WITH {STEPS}{PAIRS.replace("abs(value - pv) END AS change", "round(abs(value - pv), 6) END AS change")}, {nearest_sql("pairs", "change", (("median", 0.5), ("q90", 0.9)))},
     x AS (SELECT series_id, position, change, row_number() OVER (PARTITION BY series_id ORDER BY change DESC, position) AS hi,
                  row_number() OVER (PARTITION BY series_id ORDER BY change, position) AS lo FROM pairs WHERE change IS NOT NULL),
     nz AS (SELECT series_id, position, change, row_number() OVER (PARTITION BY series_id ORDER BY change, position) AS lo FROM pairs WHERE change > 0)
@@ -51,13 +51,14 @@ def nearest_to_quantile(t):
     UNION ALL SELECT series_id, 'lowest_nonzero', position, {r6("change")} FROM nz WHERE lo = 1""",
 )
 def extreme_rows(t):
-    pairs = S.adjacent_delta(t.steps, KEY, "position", "source_index", "value")
+    # Two-decimal inputs: rounding removes the last-bit noise of the difference.
+    pairs = S.adjacent_delta(t.steps, KEY, "position", "source_index", "value").withColumn("change", F.round("change", 6))
     return V.extreme_rows(pairs, KEY, "position", "change")
 
 
 @query(
     "g3_pair_events",
-    f"""WITH {STEPS}{WRAPPED}, d AS (SELECT series_id, position, da * db AS pr, least(abs(da), abs(db)) AS st FROM pairs WHERE da * db <> 0),
+    f"""WITH {STEPS}{WRAPPED}, d AS (SELECT series_id, position, da * db AS pr, round(least(abs(da), abs(db)), 6) AS st FROM pairs WHERE da * db <> 0),
     {nearest_sql("d", "st", (("typical_directional", 0.5),))},
     x AS (SELECT *, row_number() OVER (PARTITION BY series_id, pr > 0 ORDER BY st DESC, position) AS k FROM d)
     SELECT series_id, CASE WHEN pr > 0 THEN 'strongest_coordinated' ELSE 'strongest_divergent' END AS rule, position, {r6("st")} AS joint_strength
@@ -66,7 +67,7 @@ def extreme_rows(t):
 )
 def pair_events(t):
     pairs = S.paired_changes(t.steps, KEY, "position", "source_index", "value", "other", wrap="any")
-    return V.pair_events(pairs, KEY, "position")
+    return V.pair_events(pairs.withColumn("joint_strength", F.round("joint_strength", 6)), KEY, "position")
 
 
 @query(

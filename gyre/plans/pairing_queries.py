@@ -269,7 +269,7 @@ def id_set_diff(t):
 @query(
     "e18_state_regressions",
     f"""WITH c AS (SELECT l_orderkey AS id, min(l_linestatus) AS st, avg(l_discount) AS cf FROM lineitem GROUP BY 1),
-    r AS (SELECT o_orderkey AS id, o_orderstatus AS st, o_totalprice / 1000000.0::DOUBLE AS cf FROM orders),
+    r AS (SELECT o_orderkey AS id, o_orderstatus AS st, o_totalprice / 1000.0::DOUBLE AS cf FROM orders),
     b AS (SELECT r.id, r.st AS rs, c.st AS cs, r.cf AS rc, c.cf AS cc FROM r JOIN c ON r.id = c.id)
     SELECT id, rs AS reference_state, cs AS candidate_state, {r6("rc")} AS reference_confidence, {r6("cc")} AS candidate_confidence,
            CASE cs WHEN 'F' THEN 0 WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE -1 END
@@ -278,7 +278,7 @@ def id_set_diff(t):
 )
 def state_regressions(t):
     ref = t.orders.select(
-        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"), (F.col("o_totalprice") / 1e6).alias("confidence")
+        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"), (F.col("o_totalprice") / 1000.0).alias("confidence")
     )
     cand = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(
         F.min("l_linestatus").alias("state"), F.avg("l_discount").alias("confidence")

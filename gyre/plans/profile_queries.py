@@ -92,7 +92,7 @@ fr AS (SELECT *, CASE WHEN fin >= 8 THEN 'ok' WHEN fin >= 4 THEN 'review' ELSE '
     f"""WITH {FRAMES_SQL}
     SELECT set_id, frame, boundary, st AS status, CAST(fin AS INTEGER) AS finite_peaks, CAST(sup AS INTEGER) AS supported_rays,
            {r6("sup / n")} AS supported_fraction, {r6("least(gap, n) / n")} AS longest_gap_fraction, {r6("mz")} AS median_peak_z,
-           {r6("qz")} AS q10_peak_z, {r6("round(ao, 9)")} AS median_abs_offset, {r6("mad")} AS offset_mad, {r6("mo")} AS median_signed_offset
+           {r6("qz")} AS q10_peak_z, {r6("round(ao, 9)")} AS median_abs_offset, {r6("mad")} AS offset_mad, {r6("round(mo, 9)")} AS median_signed_offset
     FROM fr""",
 )
 def boundary_frame(t):
