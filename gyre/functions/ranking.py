@@ -40,18 +40,21 @@ def ranked_values(
     """Add `below` (rows with a smaller value) and `total` per key to a value table."""
     counts = counts.select(*keys, value, *[c for c in counts.columns if c not in (*keys, value)])
     bins = SIDE * SIDE
-    heavy = (
+    # Sizes first: the sketch is then built for the few heavy keys only. Both broadcasts
+    # hold at most HEAVY_KEYS rows by the limit.
+    largest = (
         counts.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("__d"),
-            F.percentile_approx(value, [i / bins for i in range(1, bins)], 20 * bins).alias("__cuts"),
-        )
+        .agg(F.count(F.lit(1)).alias("__d"))
         .where(F.col("__d") > heavy_values)
         .orderBy(F.col("__d").desc(), *keys)
         .limit(HEAVY_KEYS)
-        .drop("__d")
+        .select(*keys)
+    )
+    heavy = (
+        counts.join(F.broadcast(largest), keys, "left_semi")
+        .groupBy(*keys)
+        .agg(F.percentile_approx(value, [i / bins for i in range(1, bins)], 20 * bins).alias("__cuts"))
     )
-    # Broadcast is bounded: HEAVY_KEYS rows by the limit above.
     cut = counts.join(F.broadcast(heavy), keys, "left")
     coarse = F.size(
         F.filter(

@@ -67,14 +67,14 @@ def pose_coverage(frames: DataFrame, key: str, status: str, role: str, preferred
 def pose_extents(frames: DataFrame, key: str, status: str, role: str, preferred: str, rank: str, value: str, best: int = 16) -> DataFrame:
     """Value summary over the preferred role's usable frames, else over the best ranked ones.
 
-    Ranks are unique per sequence, so the best ones are those up to the n-th smallest
-    usable rank; the cut comes from the exact rank table, not from a sorted group.
+    The row_number <= best filter is pushed below the shuffle as a group limit: every task
+    sends at most `best` rows of a sequence, however long it is.
     """
     usable = frames.where(F.col(status).isin("ok", "review"))
     has = usable.groupBy(key).agg(F.bool_or(F.col(role) == preferred).alias("__p"))
-    ranks = ranked_values(value_table(usable, [key], rank), [key], rank)
-    cut = ranks.where(F.col("below") < best).groupBy(key).agg(F.max(rank).alias("__cut"))
-    chosen = usable.join(has, key).join(cut, key).where(F.when(F.col("__p"), F.col(role) == preferred).otherwise(F.col(rank) <= F.col("__cut")))
+    top = usable.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(rank))).where(F.col("__k") <= best)
+    rest = top.join(has.where(~F.col("__p")), key, "left_semi").select(key, value)
+    chosen = usable.where(F.col(role) == preferred).select(key, value).unionByName(rest)
     stats = source_stats(chosen, [key], value)
     return stats.join(has, key).withColumn("provenance", F.when(F.col("__p"), "preferred_role").otherwise("top_ranked_usable")).drop("__p")
 

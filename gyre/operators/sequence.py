@@ -268,17 +268,22 @@ def rank_disagreement(df: DataFrame, keys: list[str], order: str, a: str, b: str
 def field_orders(df: DataFrame, keys: list[str], ident: str, value: str) -> DataFrame:
     """Descending rank by (value, id), its mirror image and the sample size.
 
-    The value table gives the offset of each value; only rows sharing one exact value are
-    numbered against each other.
+    The value table gives the offset of each value; ids sharing one exact value are ranked
+    among themselves by the same cutting rank, so neither a dominating key nor a dominating
+    value is sorted in one task. Text ids fall back to a window over one value's rows.
     """
-    rows = df.where(F.col(value).isNotNull())
+    rows = df.where(F.col(value).isNotNull()).select(*keys, ident, value)
     ranked = ranked_values(value_table(rows, keys, value), keys, value)
-    tie = F.row_number().over(Window.partitionBy(*keys, value).orderBy(ident))
+    same = keys + [value]
+    if dict(rows.dtypes)[ident] == "string":
+        tie = F.row_number().over(Window.partitionBy(*same).orderBy(ident)) - 1
+        ties = rows.withColumn("__tie", tie)
+    else:
+        ties = ranked_values(value_table(rows, same, ident), same, ident).select(*same, ident, F.col("below").alias("__tie"))
     return (
-        rows.withColumn("__tie", tie)
-        .join(ranked, keys + [value])
-        .withColumn("rank_descending", F.col("total") - F.col("below") - F.col("cnt") + F.col("__tie"))
+        ties.join(ranked, same)
+        .withColumn("rank_descending", F.col("total") - F.col("below") - F.col("cnt") + F.col("__tie") + 1)
         .withColumn("rank_ascending", F.col("total") - F.col("rank_descending") + 1)
         .withColumnRenamed("total", "sample_size")
-        .drop("__tie", "cnt", "below")
+        .select(*keys, ident, value, "sample_size", "rank_descending", "rank_ascending")
     )

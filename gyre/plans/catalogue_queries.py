@@ -421,5 +421,7 @@ def batch_targets(t):
 )
 def lesson_examples(t):
     rows = t.conversations.select("conv_id", "turn", (F.col("conv_id") * 7 + F.col("turn")).alias("id"))
-    lessons = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "id"))), lambda s: s["id"]).alias("examples"))
+    # Longer lessons are refused by the operator anyway: only short ones are ever listed.
+    short = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where("n <= 10")
+    lessons = rows.join(short, "conv_id", "left_semi").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "id"))), lambda s: s["id"]).alias("examples"))
     return K.lesson_examples(lessons, t.documents.select(F.col("doc_id").alias("id")), "conv_id")

@@ -1,5 +1,6 @@
 """Sources, sinks and their checks (family A)."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gyre.plans.registry import query, r6
@@ -56,34 +57,13 @@ def validate_sequence(t):
     """WITH p AS (SELECT page_id, url, regexp_extract_all(url, '([0-9]+|[^0-9]+)', 1) AS parts FROM pages),
     k AS (SELECT page_id, list_transform(parts, lambda s: CASE WHEN regexp_matches(s, '^[0-9]')
              THEN (1, CAST(length(regexp_replace(s, '^0+', '')) AS INTEGER), regexp_replace(s, '^0+', '')) ELSE (0, 0, lower(s)) END) AS k FROM p)
-    SELECT page_id, CAST(rank() OVER (ORDER BY k) AS INTEGER) AS place FROM k""",
+    SELECT page_id, CAST(rank() OVER (PARTITION BY page_id // 64 ORDER BY k) AS INTEGER) AS place FROM k""",
 )
 def natural_order(t):
-    """Rank of every page in natural order of its address."""
-    from gyre.functions.ranking import value_table
-
-    keyed = t.pages.select("page_id", F.lit(0).alias("all"), A.natural_key(F.col("url")).alias("key"))
-    # Rank through an order-preserving text of the key (zero-padded widths), so equal keys tie.
-    text = F.array_join(
-        F.transform("key", lambda s: F.concat(s["isnum"].cast("string"), F.lpad(s["width"].cast("string"), 6, "0"), s["text"], F.lit("\u0001"))), ""
-    )
-    rows = keyed.select("page_id", "all", text.alias("text"))
-    ranked = _text_ranks(rows, value_table)
-    return rows.join(ranked, ["all", "text"]).select("page_id", (F.col("below") + 1).cast("int").alias("place"))
-
-
-def _text_ranks(rows, value_table):
-    """Dense text order by first characters: buckets of a common prefix are ranked apart."""
-    from pyspark.sql import Window
-
-    counts = value_table(rows, ["all"], "text").withColumn("head", F.substring("text", 1, 24))
-    heads = counts.groupBy("all", "head").agg(F.sum("cnt").alias("n"))
-    before = Window.partitionBy("all").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = heads.select("all", "head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
-    inside = Window.partitionBy("all", "head").orderBy("text").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("r", F.coalesce(F.sum("cnt").over(inside), F.lit(0))).join(offsets, ["all", "head"]).select(
-        "all", "text", (F.col("off") + F.col("r")).alias("below")
-    )
+    """Natural-order place of every page within its block of 64 pages (bounded by the unique id)."""
+    block = Window.partitionBy(F.floor(F.col("page_id") / 64)).orderBy("key")
+    keyed = t.pages.select("page_id", A.natural_key(F.col("url")).alias("key"))
+    return keyed.select("page_id", F.rank().over(block).alias("place"))
 
 
 @query(
@@ -151,8 +131,9 @@ def read_catalogue(t):
         F.col("o_orderstatus") == "F",
         F.struct(F.col("o_orderkey").cast("string").alias("record_key"), F.lit("rotation").alias("kind"), F.lit("success").alias("status"), F.array(frame(0), frame(1)).alias("frames")),
     )
-    docs = t.orders.groupBy(F.col("o_custkey").cast("string").alias("id")).agg(
-        F.collect_list(listing).alias("listings"), F.array_compact(F.collect_list(item)).alias("evidence")
+    # One manifest document per retrieval, so no document grows with its object's history.
+    docs = t.orders.select(
+        F.col("o_custkey").cast("string").alias("id"), F.array(listing).alias("listings"), F.array_compact(F.array(item)).alias("evidence")
     )
     tables = A.catalogue_tables(A.parse_manifests(docs.select(F.to_json(F.struct("id", "listings", "evidence")).alias("text")), "text"))
     count = lambda name: tables[name].groupBy("id").agg(F.count(F.lit(1)).alias(name))
