@@ -174,3 +174,37 @@ def test_stream_upsert_keeps_older_and_rejects_conflicts(spark, tmp_path):
     out = flows.stream_upsert(stream, lambda b: b, "id", "at", ["colour", "cut"], str(tmp_path / "out"))
     got = {r.id: (r.colour, r.cut) for r in out.collect()}
     assert got[1] == ("D", "fair") and got[3] == ("G", None) and got[2] in {("E", "good"), ("F", "good")}
+
+
+def test_suppressors_equal_a_plain_search(spark):
+    n, rng = 64, np.random.default_rng(9)
+    curve = rng.normal(size=n)
+    df = spark.createDataFrame([("a", [float(v) for v in curve])], "s string, curve array<double>")
+    peaks = [i for i in range(1, n - 1) if curve[i - 1] < curve[i] > curve[i + 1]]
+    kept = []
+    for i in sorted(peaks, key=lambda i: -curve[i]):
+        if all(abs(i - k) >= 6 for k in kept):
+            kept.append(i)
+    kept = [i for i in kept if 0.16 <= (i + 0.5) / n <= 0.92]
+    want = {}
+    for i in (i for i in peaks if 0.40 <= (i + 0.5) / n <= 0.68):
+        rivals = [k for k in kept if k != i and abs(k - i) < 6 and curve[k] >= curve[i]]
+        best = max(rivals, key=lambda k: curve[k]) if rivals and i not in kept else None
+        want[i] = (i in kept, best)
+    got = {r.peak_index: (r.retained, r.suppressor_index) for r in R.peak_suppression(df, ["s"], "curve", n).collect()}
+    assert got == want and any(not kept for kept, _ in want.values())
+
+
+def test_packet_and_inventory(spark):
+    shape = "series_id long, rank int, kind string, source_indices array<int>, selected_for string"
+    picked = spark.createDataFrame([(1, 1, "run", [0, 1, 2, 3, 4], "x"), (1, 2, "frame", [9], "y")], shape)
+    frames = spark.createDataFrame([(1, i, f"f{i}") for i in range(5)], "series_id long, source_index int, path string")
+    got = {r["rank"]: r for r in V.packet(picked, frames, "source_index", "path").collect()}
+    assert (got[1].render_indices, got[1].frame_refs, got[1].status) == ("0,2,4", "f0,f1,f2,f3,f4", "ok")
+    assert got[2].status == "missing_frame"
+    schema = "series_id long, family string, native_id string, event_type string, kind string, source_indices array<int>, field_ids array<string>, importance double, status string, reasons array<string>"
+    cands = spark.createDataFrame([claim("mobility", "largest", [3]), claim("switching", "highest", [3]), claim("opposing", "typical", [8])], schema)
+    items = V.merge_exact(cands)
+    row = V.inventory(cands, items, V.near_groups(items, 24, 1), V.coverage_select(items)).first()
+    assert (row.candidates, row.exact_items, row.near_groups) == (3, 2, 2)
+    assert row.available == row.covered == "activity_motion|relative_dark_state|directional" and row.uncovered == ""
