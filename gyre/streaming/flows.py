@@ -129,26 +129,23 @@ def stream_upsert(stream: DataFrame, to_rows, key: str, order: str, fields: list
     """Idempotent merge of arriving observations into versioned snapshots.
 
     A batch collapses to its earliest non-null value per field; the merge keeps older
-    values and rejects conflicting rows. Version n is written once from version n - 1, so
-    a replay rewrites the same version.
+    values and rejects conflicting rows. Batch ids are consecutive across restarts, so
+    version n is always built from version n - 1 and a replay rewrites the same version.
     """
     spark = stream.sparkSession
-    state = {"version": None}
+    version = lambda n: f"{folder}/versions/{n:09d}"
 
     def each(batch: DataFrame, batch_id: int) -> None:
         rows = to_rows(batch)
         first = rows.groupBy(key).agg(
             *[F.min(F.when(F.col(f).isNotNull(), F.struct(order, f))).alias(f"__{f}") for f in fields]
         ).select(key, *[F.col(f"__{f}.{f}").alias(f) for f in fields])
-        if state["version"] is None:
+        if batch_id == 0:
             merged = first.withColumn("action", F.lit("inserted"))
         else:
-            merged = upsert(spark.read.parquet(state["version"]), first, key, fields)[0]
-        path = f"{folder}/versions/{batch_id:09d}"
-        merged.write.mode("overwrite").parquet(path)
-        state["version"] = path
+            merged = upsert(spark.read.parquet(version(batch_id - 1)), first, key, fields)[0]
+        merged.write.mode("overwrite").parquet(version(batch_id))
+        spark.range(1).select(F.lit(batch_id).alias("version")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/current")
 
     drain(stream, each, folder)
-    return spark.read.parquet(state["version"])
-
-
+    return spark.read.parquet(version(spark.read.parquet(f"{folder}/current").first().version))

@@ -174,6 +174,12 @@ def test_stream_upsert_keeps_older_and_rejects_conflicts(spark, tmp_path):
     out = flows.stream_upsert(stream, lambda b: b, "id", "at", ["colour", "cut"], str(tmp_path / "out"))
     got = {r.id: (r.colour, r.cut) for r in out.collect()}
     assert got[1] == ("D", "fair") and got[3] == ("G", None) and got[2] in {("E", "good"), ("F", "good")}
+    # A restart with nothing new changes nothing; later files continue from the last version.
+    again = flows.stream_upsert(stream, lambda b: b, "id", "at", ["colour", "cut"], str(tmp_path / "out"))
+    assert {r.id: (r.colour, r.cut) for r in again.collect()} == got
+    spark.createDataFrame([(1, 9, "Z", None), (4, 9, "H", "ideal")], shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    more = {r.id: (r.colour, r.cut) for r in flows.stream_upsert(stream, lambda b: b, "id", "at", ["colour", "cut"], str(tmp_path / "out")).collect()}
+    assert more == got | {4: ("H", "ideal")}
 
 
 def test_suppressors_equal_a_plain_search(spark):
