@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 def test_every_oracle_belongs_to_a_query():
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names)
-    assert all(re.fullmatch(r"[a-hkt]\d+_[a-z0-9_]+", n) for n in names)
+    assert all(re.fullmatch(r"([a-hkt]|op)\d+_[a-z0-9_]+|pipeline", n) for n in names)
 
 
 def test_every_family_is_covered():
