@@ -1,6 +1,6 @@
 """Ask the whole corpus how often names occur.
 
-A name is a 64-bit hash. Texts are dealt out once into chunks; a chunk asks for its distinct names
+A name is a 56-bit hash. Texts are dealt out once into chunks; a chunk asks for its distinct names
 (counted inside the chunk first, so a name that a third of all texts hold is sent once a chunk),
 names meet in buckets, and every chunk is told which of its names occur at least twice. Both
 ways the rows carry packed arrays, and no name table is ever broadcast or collected.
@@ -8,12 +8,15 @@ ways the rows carry packed arrays, and no name table is ever broadcast or collec
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gyre.llm.text import packed, unpacked
+from gyre.session import shared_dir
 
 ASK = "chunk long, bucket int, names binary, counts binary"
 REPLY = "chunk long, names binary, counts binary, first binary"
@@ -25,26 +28,66 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a compressed table in the shared folder: cuts lineage, and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def coded(names: np.ndarray) -> bytes:
+    """Ascending names as differences, byte plane by byte plane, which compresses well."""
+    steps = np.diff(names, prepend=np.uint64(0))
+    return packed(steps.view(np.uint8).reshape(-1, 8).T)
+
+
+def decoded(blob) -> np.ndarray:
+    planes = np.frombuffer(blob or b"", np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _payloads(batches):
+    """Rows of a batch by chunk, each chunk's rows as one compressed arrow stream."""
+    for batch in batches:
+        chunk = batch.column("chunk").to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        rows = pa.Table.from_batches([batch]).drop_columns("chunk").take(pa.array(order))
+        chunk = chunk[order]
+        cuts = np.flatnonzero(np.diff(chunk, prepend=-1))
+        blobs = []
+        for a, b in zip(cuts, np.append(cuts[1:], len(chunk))):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows.slice(a, b - a).combine_chunks())
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[cuts], pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "payload"])
+
+
 def in_chunks(docs: DataFrame, per_partition: int = 4) -> DataFrame:
-    """`docs` (doc_id, text, ...) dealt into chunks by a hash of id and text. The exchange is the
-    same wherever this frame is used in a plan, so Spark writes it once and reads it again."""
+    """`docs` (doc_id, text and more) as rows (chunk, payload), dealt by a hash of id and text. The
+    exchange is the same wherever this frame is used in a plan, so Spark writes it once."""
     n = partitions(docs)
-    chunk = F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns]), F.lit(n * per_partition)).alias("chunk")
-    return docs.select(chunk, *docs.columns).repartition(n, "chunk")
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n * per_partition)).alias("chunk")
+    return docs.select(chunk, *docs.columns).mapInArrow(_payloads, "chunk long, payload binary").repartition(n, "chunk")
+
+
+def chunk_rows(table: pa.Table) -> pa.Table | None:
+    """The rows packed in a chunk, or None for an empty chunk."""
+    if not table.num_rows:
+        return None
+    return pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in table["payload"]])
 
 
 def ask_rows(chunk: int, names: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
     """One row a bucket for the distinct, ascending `names` of a chunk."""
-    place = (names >> np.uint64(40)) % np.uint64(buckets)
-    order = np.argsort(place, kind="stable")
-    names, counts, place = names[order], counts[order].astype(np.uint32), place[order]
-    cuts = np.flatnonzero(np.diff(place, prepend=np.uint64(2**63))) if len(place) else np.zeros(0, int)
-    ends = np.append(cuts[1:], len(place))
+    place = ((names >> np.uint64(24)) * np.uint64(buckets)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, int)
+    counts, ends = counts.astype(np.uint32), np.append(cuts[1:], len(place))
     return pa.table(
         {
             "chunk": pa.array([chunk] * len(cuts), pa.int64()),
             "bucket": pa.array(place[cuts].astype(np.int32)),
-            "names": pa.array([packed(names[a:b]) for a, b in zip(cuts, ends)], pa.binary()),
+            "names": pa.array([coded(names[a:b]) for a, b in zip(cuts, ends)], pa.binary()),
             "counts": pa.array([packed(counts[a:b]) for a, b in zip(cuts, ends)], pa.binary()),
         },
         _ask,
@@ -52,8 +95,9 @@ def ask_rows(chunk: int, names: np.ndarray, counts: np.ndarray, buckets: int) ->
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    sizes = np.array([len(b) // 8 for b in table["names"].to_pylist()], np.int64)
-    names = np.concatenate([unpacked(b) for b in table["names"].to_pylist()])
+    names = [decoded(b) for b in table["names"].to_pylist()]
+    sizes = np.array([len(x) for x in names], np.int64)
+    names = np.concatenate(names)
     counts = np.concatenate([unpacked(b, np.uint32) for b in table["counts"].to_pylist()]).astype(np.int64)
     row = np.repeat(np.arange(len(sizes)), sizes)
     order = np.lexsort((np.asarray(table["chunk"])[row], names))
@@ -74,7 +118,7 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table(
         {
             "chunk": pa.array(chunks[row[cuts]], pa.int64()),
-            "names": pa.array([packed(names[a:b]) for a, b in zip(cuts, ends)], pa.binary()),
+            "names": pa.array([coded(names[a:b]) for a, b in zip(cuts, ends)], pa.binary()),
             "counts": pa.array([packed(total[a:b]) for a, b in zip(cuts, ends)], pa.binary()),
             "first": pa.array([packed(first[a:b]) for a, b in zip(cuts, ends)], pa.binary()),
         },
@@ -92,7 +136,7 @@ def reply_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(names ascending, counts, first) of a chunk's replies."""
     if not table.num_rows:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
-    names = np.concatenate([unpacked(b) for b in table["names"].to_pylist()])
+    names = np.concatenate([decoded(b) for b in table["names"].to_pylist()])
     counts = np.concatenate([unpacked(b, np.uint32) for b in table["counts"].to_pylist()])
     first = np.concatenate([unpacked(b, np.uint8) for b in table["first"].to_pylist()])
     order = np.argsort(names, kind="stable")

@@ -9,11 +9,12 @@
    length bound, and the shared token's place leaves room for the overlap (position bound).
 4. Round one verifies each set against one centre per prefix token and length band: linear in the
    postings, and enough to join large groups of near copies.
-5. Round two takes, under every order, all pairs that share a prefix token and lie in different
-   components, intersects the orders' pairs, and verifies what is left. Pairs inside one component
-   cannot change the result. Shingles whose sets already form one component emit nothing.
+5. Round two takes all pairs that share a prefix token of the first order, are in bounds and lie in
+   different components (pairs inside one cannot change the result; a token whose sets already
+   form one component emits nothing), drops those without a common prefix token under every other
+   order, and verifies what is left.
 
-Texts are compared by 64-bit hashes of shingles. Null and empty texts, and texts without words,
+Texts are compared by 56-bit hashes of shingles. Null and empty texts, and texts without words,
 have the empty set and link with nothing. Repeated rows are separate rows of one class. A null id
 gets its class's smallest id, or null if there is none. Memory is bounded by a chunk of texts.
 """
@@ -29,8 +30,20 @@ from pyspark.sql import functions as F
 
 from gyre.llm import text as X
 from gyre.llm.components import components
-from gyre.llm.exchange import ASK, answers, ask_rows, counted, in_chunks, looked_up, partitions, reply_arrays
-from gyre.session import cut_lineage
+from gyre.llm.exchange import (
+    ASK,
+    answers,
+    ask_rows,
+    chunk_rows,
+    coded,
+    counted,
+    decoded,
+    in_chunks,
+    looked_up,
+    partitions,
+    reply_arrays,
+    written,
+)
 
 ORDERS = 3
 PERCENT = 75
@@ -44,7 +57,7 @@ def _sets(column, size: int):
         starts, ends, first = X.word_spans(part, offsets[lo : hi + 1] - offsets[lo], X.NOT_BLANK)
         shingles, at = X.shingle_hashes(X.word_hashes(part, starts, ends), first, size)
         for i in range(hi - lo):
-            yield lo + i, np.unique(shingles[at[i] : at[i + 1]])
+            yield lo + i, np.unique(shingles[at[i] : at[i + 1]] >> np.uint64(8))
 
 
 def _signature(shingles: np.ndarray) -> int:
@@ -59,7 +72,7 @@ def _first_tokens(n: np.ndarray, percent: int) -> np.ndarray:
 def _asks(size: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         seen, parts = set(), []
-        for _, shingles in _sets(table["text"], size):
+        for _, shingles in _sets(chunk_rows(table)["text"], size):
             signature = _signature(shingles)
             if len(shingles) and signature not in seen:
                 seen.add(signature)
@@ -71,9 +84,9 @@ def _asks(size: int, buckets: int):
 
 
 _CLASS = pa.schema(
-    [("sig", pa.int64()), ("n", pa.int32()), ("ids", pa.list_(pa.int64())), ("rows", pa.int64()), ("tokens", pa.binary()), ("rank", pa.binary())]
+    [("sig", pa.int64()), ("n", pa.int32()), ("ids", pa.list_(pa.int64())), ("tokens", pa.binary()), ("rank", pa.binary())]
 )
-CLASS = "sig long, n int, ids array<long>, rows long, tokens binary, rank binary"
+CLASS = "sig long, n int, ids array<long>, tokens binary, rank binary"
 
 
 def _classes(size: int, percent: int):
@@ -82,9 +95,10 @@ def _classes(size: int, percent: int):
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
         known, counts, _ = reply_arrays(replies)
         rarity = np.floor(np.log2(np.maximum(counts, 1))).astype(np.uint8)
-        ids = texts["doc_id"].to_pylist() if texts.num_rows else []
+        rows = chunk_rows(texts)
+        ids = rows["doc_id"].to_pylist() if rows else []
         found: dict[int, list] = {}
-        for row, shingles in _sets(texts["text"], size) if texts.num_rows else ():
+        for row, shingles in _sets(rows["text"], size) if rows else ():
             signature, n = _signature(shingles), len(shingles)
             if signature in found:
                 found[signature][1].append(ids[row])
@@ -93,14 +107,13 @@ def _classes(size: int, percent: int):
             tokens, rank = shingles[shared], rarity[place[shared]]
             if _first_tokens(np.int64(n), percent) - (n - len(tokens)) <= 0:
                 tokens, rank = tokens[:0], rank[:0]
-            found[signature] = [n, [ids[row]], X.packed(tokens), X.packed(rank)]
+            found[signature] = [n, [ids[row]], coded(tokens), X.packed(rank)]
         rows = list(found.items())
         return pa.table(
             {
                 "sig": pa.array([k for k, _ in rows], pa.int64()),
                 "n": pa.array([v[0] for _, v in rows], pa.int32()),
                 "ids": pa.array([v[1] for _, v in rows], pa.list_(pa.int64())),
-                "rows": pa.array([len(v[1]) for _, v in rows], pa.int64()),
                 "tokens": pa.array([v[2] for _, v in rows], pa.binary()),
                 "rank": pa.array([v[3] for _, v in rows], pa.binary()),
             },
@@ -110,44 +123,48 @@ def _classes(size: int, percent: int):
     return run
 
 
-POSTING = "order_no int, token long, sig long, n int, place int"
+POSTING = "token long, sig long, n int, place int"
+
+
+def _prefix(n: int, tokens: np.ndarray, rank: np.ndarray, percent: int, order_no: int) -> np.ndarray:
+    """Shared tokens among the first |x| - ceil(t |x|) + 1 of a set under one order."""
+    take = int(_first_tokens(np.int64(n), percent)) - (n - len(tokens))
+    return tokens[np.lexsort((X.salted(tokens, 100 + order_no), rank))[: max(take, 0)]]
 
 
 def _postings(percent: int):
-    """Prefix tokens of every set under every order; `place` counts the unshared tokens before."""
+    """Prefix tokens under the first order; `place` counts the tokens before, unshared ones too."""
 
     def run(batches):
         for batch in batches:
-            out = ([], [], [], [], [])
+            out = ([], [], [], [])
             for sig, n, tokens, rank in zip(*(batch.column(c).to_pylist() for c in ("sig", "n", "tokens", "rank"))):
-                tokens, rank = X.unpacked(tokens), X.unpacked(rank, np.uint8)
-                alone = n - len(tokens)
-                take = int(_first_tokens(np.int64(n), percent)) - alone
-                if take <= 0:
-                    continue
-                for k in range(ORDERS):
-                    order = np.lexsort((X.salted(tokens, 100 + k), rank))[:take]
-                    chosen = tokens[order]
-                    out[0].append(np.full(len(chosen), k, np.int32))
-                    out[1].append(chosen.view(np.int64))
-                    out[2].append(np.full(len(chosen), sig, np.int64))
-                    out[3].append(np.full(len(chosen), n, np.int32))
-                    out[4].append(np.arange(alone, alone + len(chosen), dtype=np.int32))
+                tokens, rank = decoded(tokens), X.unpacked(rank, np.uint8)
+                chosen = _prefix(n, tokens, rank, percent, 0)
+                out[0].append(chosen.view(np.int64))
+                out[1].append(np.full(len(chosen), sig, np.int64))
+                out[2].append(np.full(len(chosen), n, np.int32))
+                out[3].append(np.arange(n - len(tokens), n - len(tokens) + len(chosen), dtype=np.int32))
             if out[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in out], names=["order_no", "token", "sig", "n", "place"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["token", "sig", "n", "place"])
 
     return run
 
 
 def _verify(percent: int):
+    """Pairs that share a prefix token under the other orders too, then the exact similarity."""
+
     def run(batches):
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "ta", "tb")]
+            columns = [batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "ta", "tb", "ra", "rb")]
             keep_a, keep_b = [], []
-            for a, b, na, nb, ta, tb in zip(*columns):
-                both = len(np.intersect1d(X.unpacked(ta), X.unpacked(tb), assume_unique=True))
+            for a, b, na, nb, ta, tb, ra, rb in zip(*columns):
+                ta, tb, ra, rb = decoded(ta), decoded(tb), X.unpacked(ra, np.uint8), X.unpacked(rb, np.uint8)
+                if not all(
+                    np.isin(_prefix(na, ta, ra, percent, k), _prefix(nb, tb, rb, percent, k)).any() for k in range(1, ORDERS)
+                ):
+                    continue
+                both = len(np.intersect1d(ta, tb, assume_unique=True))
                 if 100 * both >= percent * (na + nb - both):
                     keep_a.append(a)
                     keep_b.append(b)
@@ -158,9 +175,9 @@ def _verify(percent: int):
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets that reach the threshold."""
-    left = sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb")
+    left = sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"), F.col("rank").alias("ra"))
+    right = sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), F.col("rank").alias("rb"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb", "ra", "rb")
     return both.mapInArrow(_verify(percent), "a long, b long")
 
 
@@ -196,31 +213,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = partitions(docs) * 4
     replies = answers(chunks.groupBy("chunk").applyInArrow(_asks(size, buckets), ASK))
     local = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_classes(size, percent), CLASS)
-    local = cut_lineage(local)
+    local = written(local)
     ids = local.select("sig", "n", F.explode("ids").alias("doc_id"))
     sets = local.where("length(tokens) > 0").groupBy("sig").agg(
         F.first("n").alias("n"), F.max(F.struct(F.length("tokens"), "tokens", "rank")).alias("best")
-    ).select("sig", "n", "best.tokens", "best.rank")
-    sets = cut_lineage(sets)
-    postings = cut_lineage(sets.mapInArrow(_postings(percent), POSTING))
+    )
+    sets = written(sets.select("sig", "n", "best.tokens", "best.rank"))
+    postings = written(sets.mapInArrow(_postings(percent), POSTING))
 
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).alias("band")
-    first = postings.where("order_no = 0").select("token", "sig", band)
+    first = postings.select("token", "sig", band)
     centre = first.groupBy("token", "band").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a != z").select("token", "band", "a")
     star = first.join(centre, ["token", "band"]).where("sig != a").select("a", F.col("sig").alias("b")).distinct()
-    links = cut_lineage(_links(star, sets, percent))
+    star = written(star)
+    links = written(_links(star, sets, percent))
     joined = components(links)
 
-    with_comp = cut_lineage(
-        postings.join(joined.withColumnRenamed("node", "sig"), "sig", "left").select(
-            "order_no", "token", "sig", "n", "place", F.coalesce("component", "sig").alias("comp")
-        )
-    )
-    pairs = None
-    for k in range(ORDERS):
-        found = _crossing(with_comp.where(F.col("order_no") == k).drop("order_no"), percent)
-        pairs = found if pairs is None else pairs.join(found, ["a", "b"])
-    more = _links(pairs.join(star, ["a", "b"], "left_anti"), sets, percent)
+    with_comp = postings.join(joined.withColumnRenamed("node", "sig"), "sig", "left")
+    with_comp = written(with_comp.select("token", "sig", "n", "place", F.coalesce("component", "sig").alias("comp")))
+    pairs = _crossing(with_comp, percent)
+    more = written(_links(pairs.join(star, ["a", "b"], "left_anti"), sets, percent))
     whole = components(links.union(more))
 
     classes = ids.groupBy("sig").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("class_rows"))
