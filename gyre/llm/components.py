@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyre.session import cut_lineage
+from gyre.llm.exchange import written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,7 +17,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     the logarithm of a component's size. Nulls and loops are ignored.
     """
     def stored(df: DataFrame) -> DataFrame:
-        return cut_lineage(df.distinct())
+        return written(df.distinct())
 
     def lowest(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m"))

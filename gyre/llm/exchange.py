@@ -63,7 +63,7 @@ def _payloads(batches):
         yield pa.RecordBatch.from_arrays([pa.array(chunk[cuts], pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "payload"])
 
 
-def in_chunks(docs: DataFrame, per_partition: int = 4) -> DataFrame:
+def in_chunks(docs: DataFrame, per_partition: int = 2) -> DataFrame:
     """`docs` (doc_id, text and more) as rows (chunk, payload), dealt by a hash of id and text. The
     exchange is the same wherever this frame is used in a plan, so Spark writes it once."""
     n = partitions(docs)

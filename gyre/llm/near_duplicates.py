@@ -7,8 +7,8 @@
 3. Under each of `ORDERS` total orders (rarity class first, then a hash of its own) two sets of
    Jaccard similarity >= t share one of their first |x| - ceil(t |x|) + 1 tokens, lie within the
    length bound, and the shared token's place leaves room for the overlap (position bound).
-4. Round one verifies each set against one centre per prefix token and length band: linear in the
-   postings, and enough to join large groups of near copies.
+4. Round one verifies each set against `CENTRES` sets per prefix token and length band: linear in
+   the postings, and enough to join large groups of near copies.
 5. Round two takes all pairs that share a prefix token of the first order, are in bounds and lie in
    different components (pairs inside one cannot change the result; a token whose sets already
    form one component emits nothing), drops those without a common prefix token under every other
@@ -46,6 +46,7 @@ from gyre.llm.exchange import (
 )
 
 ORDERS = 3
+CENTRES = 3
 PERCENT = 75
 
 
@@ -181,28 +182,43 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_verify(percent), "a long, b long")
 
 
-def _room(percent: int):
-    """Length bound and position bound of a posting pair x, y."""
-    overlap = F.ceil((F.col("nx") + F.col("ny")) * percent / (100.0 + percent) - 1e-9)
-    return (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent) & (
-        F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= overlap
-    )
+def _overlap(percent: int, *sizes: str):
+    """Smallest intersection of two sets of the given sizes that reaches the threshold."""
+    return F.ceil(sum(F.col(s) for s in sizes) * percent / (100.0 + percent) - 1e-9)
 
 
 def _crossing(postings: DataFrame, percent: int) -> DataFrame:
-    """All pairs with a common prefix token of one order whose sets lie in different components."""
-    seats = postings.groupBy("token", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    mixed = seats.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("token")
-    seats = seats.join(mixed, "token", "left_semi")
-    one = seats.select("token", F.col("comp").alias("cx"), F.col("low").alias("lx"), F.col("high").alias("hx"))
-    two = seats.select("token", F.col("comp").alias("cy"), F.col("low").alias("ly"), F.col("high").alias("hy"))
-    near = one.join(two, "token").where(
-        (F.col("cx") < F.col("cy")) & (F.col("hx") * 100 >= F.col("ly") * percent) & (F.col("hy") * 100 >= F.col("lx") * percent)
+    """All pairs with a common prefix token whose sets lie in different components and are in bounds.
+
+    `room` is what is left of a set from the token on and bounds the overlap. In every pair the
+    smaller set needs room for an overlap with one of its own size; sets without it (strong = false)
+    only serve as the larger side, so a token without strong sets emits nothing.
+    """
+    rows = postings.withColumn("room", F.col("n") - F.col("place"))
+    rows = rows.withColumn("strong", F.col("room") >= _overlap(percent, "n", "n"))
+    seats = rows.groupBy("token", "comp").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("room"), F.max("strong").alias("strong")
+    )
+    mixed = seats.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("strong").alias("s"))
+    seats = seats.join(mixed.where("s and c0 != c1").select("token"), "token", "left_semi")
+    seat = lambda x: seats.select(
+        "token", "strong", F.col("comp").alias(f"c{x}"), F.col("low").alias(f"l{x}"), F.col("high").alias(f"h{x}"), F.col("room").alias(f"r{x}")
+    )
+    near = seat("x").where("strong").drop("strong").join(seat("y").drop("strong"), "token").where(
+        (F.col("cx") != F.col("cy"))
+        & (F.col("hy") >= F.col("lx"))
+        & (F.col("hx") * 100 >= F.col("ly") * percent)
+        & (F.least("rx", "ry") >= _overlap(percent, "lx", "ly"))
     ).select("token", "cx", "cy")
-    member = lambda x: postings.select(
-        "token", F.col("comp").alias(f"c{x}"), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}")
+    member = lambda x, of: of.select(
+        "token", F.col("comp").alias(f"c{x}"), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("room").alias(f"r{x}")
+    )
+    fits = (
+        (F.col("ny") >= F.col("nx"))
+        & (F.col("nx") * 100 >= F.col("ny") * percent)
+        & (F.least("rx", "ry") >= _overlap(percent, "nx", "ny"))
     )
-    met = near.join(member("x"), ["token", "cx"]).join(member("y"), ["token", "cy"]).where(_room(percent))
+    met = near.join(member("x", rows.where("strong")), ["token", "cx"]).join(member("y", rows), ["token", "cy"]).where(fits)
     return met.select(F.least("sx", "sy").alias("a"), F.greatest("sx", "sy").alias("b")).distinct()
 
 
@@ -210,7 +226,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, n_shingles, component_id, class_rows) per row of `docs`; see the module's notes."""
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chunks = in_chunks(chosen)
-    buckets = partitions(docs) * 4
+    buckets = partitions(docs) * 2
     replies = answers(chunks.groupBy("chunk").applyInArrow(_asks(size, buckets), ASK))
     local = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_classes(size, percent), CLASS)
     local = written(local)
@@ -223,8 +239,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).alias("band")
     first = postings.select("token", "sig", band)
-    centre = first.groupBy("token", "band").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a != z").select("token", "band", "a")
-    star = first.join(centre, ["token", "band"]).where("sig != a").select("a", F.col("sig").alias("b")).distinct()
+    lowest_by = lambda k: F.min(F.struct(F.xxhash64("sig", F.lit(k)).alias("h"), "sig"))["sig"]
+    centre = first.groupBy("token", "band").agg(F.array_distinct(F.array(*[lowest_by(k) for k in range(CENTRES)])).alias("centres"), F.count(F.lit(1)).alias("held"))
+    star = first.join(centre.where("held > 1").drop("held"), ["token", "band"]).select("sig", F.explode("centres").alias("a"))
+    star = star.where("sig != a").select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct()
     star = written(star)
     links = written(_links(star, sets, percent))
     joined = components(links)
