@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("near_duplicates",)
+MODULES = ("substrings", "chat", "near_duplicates", "decontamination", "language", "toxicity", "mixing", "vectors")
 
 
 def _all(name: str) -> dict:
