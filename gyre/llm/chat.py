@@ -109,7 +109,7 @@ def formatted_turns(table: DataFrame, conv_col="conv_id", turn_col="turn", role_
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    coded = turns.repartition().mapInArrow(_encode(path, pattern), "conv_id long, turn long, role string, ids binary, mask binary")
+    coded = turns.mapInArrow(_encode(path, pattern), "conv_id long, turn long, role string, ids binary, mask binary")
     return coded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")
 
 
