@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("substrings", "chat", "near_duplicates", "decontamination", "language", "toxicity", "mixing", "vectors")
+MODULES = (
+    "licences",
+    "substrings",
+    "site_quality",
+    "chat",
+    "near_duplicates",
+    "decontamination",
+    "language",
+    "toxicity",
+    "mixing",
+    "vectors",
+)
 
 
 def _all(name: str) -> dict:
