@@ -194,16 +194,18 @@ def object_status(objects: DataFrame, traces: DataFrame, key: str, source_status
     )
 
 
-def ordered_claims(claims: DataFrame, cells: DataFrame, ident: str) -> DataFrame:
+def ordered_claims(claims: DataFrame, cells: DataFrame, ident: str, strict: bool = False) -> DataFrame:
     """Whether a field rises or falls along each claim's sample list.
 
     `claims` (claim_id, field_id, increasing, samples array); lists are short and ordered.
+    Equal neighbours support either direction unless `strict`.
     """
     rows = claims.select("claim_id", "field_id", "increasing", F.posexplode("samples").alias("i", ident)).join(cells, [ident, "field_id"], "left")
     w = Window.partitionBy("claim_id").orderBy("i")
     step = F.col("value") - F.lag("value").over(w)
     moved = rows.withColumn("__step", step).withColumn("__first", F.col("i") == 0)
-    good = F.when(F.col("increasing"), F.col("__step") > 0).otherwise(F.col("__step") < 0)
+    rises, falls = (F.col("__step") > 0, F.col("__step") < 0) if strict else (F.col("__step") >= 0, F.col("__step") <= 0)
+    good = F.when(F.col("increasing"), rises).otherwise(falls)
     out = moved.groupBy("claim_id").agg(
         F.bool_and(F.col("__first") | good).alias("__ok"), F.max(F.col("value").isNull()).alias("__gap"), F.count(F.lit(1)).alias("samples")
     )

@@ -20,20 +20,33 @@ ORIGINS = {
     "EARTH MINED": "NATURAL",
 }
 SHAPES = {
-    "ROUND": ("ROUND", "ROUND BRILLIANT", "ROUND BRILLIANT CUT"),
-    "OVAL": ("OVAL", "OVAL BRILLIANT", "OVAL MODIFIED BRILLIANT"),
-    "EMERALD": ("EMERALD", "EMERALD CUT"),
-    "ASSCHER": ("ASSCHER", "ASSCHER CUT"),
-    "CUSHION": ("CUSHION", "CUSHION BRILLIANT", "CUSHION MODIFIED BRILLIANT"),
-    "PEAR": ("PEAR", "PEAR BRILLIANT"),
-    "PRINCESS": ("PRINCESS", "PRINCESS CUT"),
-    "RADIANT": ("RADIANT", "RADIANT CUT"),
-    "MARQUISE": ("MARQUISE", "MARQUISE BRILLIANT"),
-    "HEART": ("HEART", "HEART BRILLIANT"),
+    "ROUND": "ROUND",
+    "ROUND BRILLIANT": "ROUND",
+    "ROUND BRILLIANT CUT": "ROUND",
+    "OVAL": "OVAL",
+    "OVAL BRILLIANT": "OVAL",
+    "OVAL MODIFIED BRILLIANT": "OVAL",
+    "EMERALD": "EMERALD",
+    "EMERALD CUT": "EMERALD",
+    "ASSCHER": "ASSCHER",
+    "ASSCHER CUT": "ASSCHER",
+    "CUSHION": "CUSHION",
+    "CUSHION BRILLIANT": "CUSHION",
+    "CUSHION MODIFIED BRILLIANT": "CUSHION",
+    "PEAR": "PEAR",
+    "PEAR BRILLIANT": "PEAR",
+    "PRINCESS": "PRINCESS",
+    "PRINCESS CUT": "PRINCESS",
+    "RADIANT": "RADIANT",
+    "RADIANT CUT": "RADIANT",
+    "MARQUISE": "MARQUISE",
+    "MARQUISE BRILLIANT": "MARQUISE",
+    "HEART": "HEART",
+    "HEART BRILLIANT": "HEART",
 }
 COLOUR_GRADES = tuple("DEFGHIJKLMNOPQRSTUVWXYZ")
 CLARITY_GRADES = ("FL", "IF", "VVS1", "VVS2", "VS1", "VS2", "SI1", "SI2", "I1", "I2", "I3")
-REPORT_PATTERN = r"(?i)REPORT\s*(?:NUMBER|NO\.?|#)\s*:?[ ]*([A-Z]{0,3}\d{6,})"
+REPORT_PATTERN = r"(?i)(?:REPORT\s+(?:NUMBER|NO\.?|#)|REPORT\s*#)\s*:?[ ]*([A-Z]{0,3}\d{6,})"
 MEASURE_PATTERN = r"(?i)MEASUREMENTS\s*:?[ ]*([0-9.]+)\s*(?:mm)?\s*[xX×-]\s*([0-9.]+)\s*(?:mm)?\s*[xX×-]\s*([0-9.]+)"
 CARAT_PATTERN = r"(?i)CARAT\s+WEIGHT\s*:?[ ]*([0-9.]+)"
 COLOUR_PATTERN = r"(?i)COL(?:O|OU)R\s+GRADE\s*:?[ ]*([A-Z]+)"
@@ -64,18 +77,26 @@ def object_key(lab: Column, report: Column) -> tuple[Column, Column, Column]:
     return F.when(ok, name), F.when(ok, number), F.when(ok, F.lower(F.concat_ws("-", name, number)))
 
 
+def canonical(value: Column) -> Column:
+    """Plain decimals without leading and trailing zeros, of any length; other text trimmed upper-case."""
+    text = F.trim(value.cast("string"))
+    digits = F.regexp_replace(text, "^[+-]?0*", "")
+    digits = F.when(digits.contains("."), F.regexp_replace(digits, r"\.?0*$", "")).otherwise(digits)
+    digits = F.when(digits == "", "0").when(digits.startswith("."), F.concat(F.lit("0"), digits)).otherwise(digits)
+    signed = F.when(text.startswith("-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
+    return F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), signed).otherwise(F.upper(text))
+
+
 def normalise_field(field: Column, value: Column) -> Column:
     """Canonical text of an identity value under its field's narrow equivalences."""
-    shape_of = {alias: shape for shape, aliases in SHAPES.items() for alias in aliases}
     shape = squeezed(F.translate(value, "-", " "))
     origin = F.trim(F.regexp_replace(F.upper(value), r"[^A-Z]+", " "))
-    number = F.trim(value).try_cast("decimal(20,6)")
     return (
         F.when(field == "report_number", F.regexp_replace(F.upper(value), "[^A-Z0-9]", ""))
         .when(field == "lab", F.coalesce(lookup(LAB_ALIASES, squeezed(value)), squeezed(value)))
         .when(field == "origin", F.coalesce(lookup(ORIGINS, origin), origin))
-        .when(field == "shape", F.coalesce(lookup(shape_of, shape), shape))
-        .when(field == "carat", F.coalesce(number.cast("string"), F.trim(value)))
+        .when(field == "shape", F.coalesce(lookup(SHAPES, shape), shape))
+        .when(field == "carat", canonical(value))
         .otherwise(F.upper(F.trim(value)))
     )
 
@@ -97,10 +118,11 @@ def identity_compare(obs: DataFrame, keys: list[str], field: str, side: str, val
     return out.select(*keys, field, "observations", outcome.alias("outcome"))
 
 
-def completion(evidence: DataFrame, attempts: DataFrame, outcomes: DataFrame, key: str, failures: list[str]) -> DataFrame:
-    """Complete or partial, with reasons in their fixed order.
+def completion(evidence: DataFrame, attempts: DataFrame, outcomes: DataFrame, listings: DataFrame, key: str, failures: list[str]) -> DataFrame:
+    """Complete or partial, with reasons in their fixed order, for every object of any table.
 
-    `outcomes` (key, field, outcome, on_certificate) is one row per compared field.
+    `outcomes` (key, field, outcome, on_certificate) is one row per compared field; `listings`
+    (key, lab) tells whether a listing names a lab, without which none has to match.
     """
     success = F.col("status") == "success"
     have = evidence.groupBy(key).agg(
@@ -110,13 +132,15 @@ def completion(evidence: DataFrame, attempts: DataFrame, outcomes: DataFrame, ke
     failed = attempts.groupBy(key).agg(F.bool_or(F.col("status").isin(*failures)).alias("failed"))
     agreed = lambda f: F.bool_or((F.col("field") == f) & (F.col("outcome") == "agreement") & F.col("on_certificate"))
     ids = outcomes.groupBy(key).agg(agreed("report_number").alias("report_ok"), agreed("lab").alias("lab_ok"))
-    rows = have.join(failed, key, "left").join(ids, key, "left")
+    labs = listings.groupBy(key).agg(F.count("lab").alias("labs"))
+    every = have.select(key).union(failed.select(key)).union(ids.select(key)).union(labs.select(key)).distinct()
+    rows = every.join(have, key, "left").join(failed, key, "left").join(ids, key, "left").join(labs, key, "left")
     no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
     reasons = F.array_compact(
         F.array(
             F.when(no("cert"), "missing successful certificate evidence"),
             F.when(~no("cert") & no("report_ok"), "certificate report number was not parsed and matched"),
-            F.when(~no("cert") & no("lab_ok"), "certificate lab identity was not parsed and matched"),
+            F.when(~no("cert") & no("lab_ok") & (F.coalesce("labs", F.lit(0)) > 0), "certificate lab identity was not parsed and matched"),
             F.when(no("motion"), "missing successful motion evidence"),
             F.when(F.coalesce("failed", F.lit(False)), "one or more requested evidence assets failed"),
         )
@@ -126,8 +150,7 @@ def completion(evidence: DataFrame, attempts: DataFrame, outcomes: DataFrame, ke
 
 def equivalent(a: Column, b: Column) -> Column:
     """Equal as decimals where both read as numbers, else as trimmed upper-case text."""
-    da, db = a.cast("string").try_cast("decimal(30,10)"), b.cast("string").try_cast("decimal(30,10)")
-    return F.when(da.isNotNull() & db.isNotNull(), da == db).otherwise(F.upper(F.trim(a.cast("string"))) == F.upper(F.trim(b.cast("string"))))
+    return canonical(a) == canonical(b)
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -306,7 +329,8 @@ def asset_plan(evidence: DataFrame, digest: str, media: str, size: str) -> DataF
 
 
 def record_key(*material: str) -> Column:
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(m).cast("string"), F.lit("")) for m in material]), 256)
+    """Hash of the named values; names and quoting keep different records apart."""
+    return F.sha2(F.to_json(F.struct(*material)), 256)
 
 
 def finalise(plan: DataFrame, published: DataFrame, digest: str) -> DataFrame:
@@ -348,7 +372,7 @@ def extracted(text: Column, pattern: str, group: int = 1) -> Column:
 def extract_certificate_fields(df: DataFrame, text: str) -> DataFrame:
     """Certificate fields of a whole text; unrecognised values stay null."""
     t = F.col(text)
-    known = [alias for aliases in SHAPES.values() for alias in aliases]
+    known = list(SHAPES)
     shape = squeezed(extracted(t, SHAPE_PATTERN))
     # The measurement phrase is found once; its numbers are read from the short match.
     sizes = F.regexp_extract_all(F.regexp_extract(t, MEASURE_PATTERN, 0), F.lit(r"([0-9.]+)"), F.lit(1))

@@ -248,7 +248,7 @@ def quarter_turns(df: DataFrame, keys: list[str], slot: str, angle: str) -> Data
     cycles = rows.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(F.col(slot).alias("slot"), F.col(angle).alias("angle"), F.col("__p").alias("previous")))).alias("f")
     )
-    swept = cycles.withColumn("acc", F.aggregate(F.slice("f", 2, 1_000_000), seed, advance))
+    swept = cycles.withColumn("acc", F.aggregate(F.slice("f", 2, F.size("f")), seed, advance))
     closing = F.transform(
         F.col("acc"),
         lambda a: F.struct(

@@ -65,7 +65,7 @@ KINDS = ("frame", "pair", "run")
 
 
 def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, qs: list[float]) -> DataFrame:
-    """Quantile on the cumulative weight, interpolated between values; two values at least.
+    """Quantile on the cumulative weight, interpolated between values; null below two points.
 
     Equal values collapse to one point (row order cannot matter). The brackets around each
     target are plain min / max aggregates over the ranked value table.
@@ -78,11 +78,14 @@ def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q
     low = F.max(F.when(up_to < target, F.struct(up_to.alias("c"), F.col(value).alias("v"))))
     high = F.min(F.when(up_to >= target, F.struct(up_to.alias("c"), F.col(value).alias("v"))))
     cut = ranked.groupBy(*keys, F.col("__q").alias("q")).agg(
-        low.alias("a"), high.alias("b"), F.count(F.lit(1)).alias("__n"), F.max("total").alias("__t")
+        low.alias("a"), high.alias("b"), F.max("total").alias("__t")
     )
     at = F.col("q") * F.col("__t")
     blend = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (at - F.col("a.c")) / (F.col("b.c") - F.col("a.c"))
-    return cut.where("__n >= 2").select(*keys, "q", F.coalesce(blend, F.col("b.v")).alias("value"))
+    points = df.groupBy(*keys).agg(F.count_if((F.col(weight) > 0) & F.col(value).isNotNull()).alias("__n"))
+    asked = points.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
+    found = cut.select(*keys, "q", F.coalesce(blend, F.col("b.v")).alias("value"))
+    return asked.join(found, [*keys, "q"], "left").select(*keys, "q", F.when(F.col("__n") >= 2, F.col("value")).alias("value"))
 
 
 def nearest_to_quantile(df: DataFrame, keys: list[str], order: str, value: str, qs: dict[str, float]) -> DataFrame:

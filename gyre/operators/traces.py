@@ -474,13 +474,13 @@ def run_event(per_pixel: DataFrame, run_rows: DataFrame, width: int) -> DataFram
     )
 
 
-def components(active: DataFrame, keys: list[str], connectivity: int = 8, max_rounds: int = 64) -> DataFrame:
+def components(active: DataFrame, keys: list[str], connectivity: int = 8) -> DataFrame:
     """Connected components of active cells: (keys, y, x) -> label (row-major first cell).
 
     Cells are first compressed to horizontal runs, so the graph has runs as nodes and
     touching runs of neighbouring rows as edges. Labels then spread by repeated minimum
     over edges with pointer jumping, checkpointed each round, until nothing changes;
-    rounds grow with the logarithm of the chain length, and reaching the limit raises.
+    rounds grow with the logarithm of the chain length. A label is a struct (y, x).
     """
     from gyre.session import cut_lineage
 
@@ -488,7 +488,7 @@ def components(active: DataFrame, keys: list[str], connectivity: int = 8, max_ro
     w = Window.partitionBy(*keys, "y").orderBy("x")
     cells = active.select(*keys, "y", "x").withColumn("__g", F.col("x") - F.row_number().over(w))
     run_rows = cells.groupBy(*keys, "y", "__g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    node = F.col("y").cast("long") * 1_000_000 + F.col("x0")
+    node = F.struct(F.col("y").cast("long").alias("y"), F.col("x0").cast("long").alias("x"))
     nodes = cut_lineage(run_rows.select(*keys, node.alias("node"), "y", "x0", "x1"))
     up = nodes.select(*keys, (F.col("y") + 1).alias("y"), F.col("node").alias("b"), F.col("x0").alias("u0"), F.col("x1").alias("u1"))
     touch = (
@@ -498,7 +498,7 @@ def components(active: DataFrame, keys: list[str], connectivity: int = 8, max_ro
     )
     edges = cut_lineage(touch.unionByName(touch.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = nodes.select(*keys, "node", F.col("node").alias("label"))
-    for _ in range(max_rounds):
+    while True:
         heard = (
             edges.join(labels.select(*keys, F.col("node").alias("b"), F.col("label").alias("__l")), keys + ["b"])
             .groupBy(*keys, F.col("a").alias("node"))
@@ -515,8 +515,6 @@ def components(active: DataFrame, keys: list[str], connectivity: int = 8, max_ro
         labels = stepped.drop("__old")
         if not changed:
             break
-    else:
-        raise RuntimeError("components did not settle within the round limit")
     return (
         nodes.join(labels, keys + ["node"])
         .select(*keys, "y", F.explode(F.sequence("x0", "x1")).alias("x"), "label")

@@ -64,7 +64,7 @@ def pose_coverage(t):
 
 
 EXTENTS = """us AS (SELECT *, bool_or(role = 'main') OVER (PARTITION BY id) AS p, row_number() OVER (PARTITION BY id ORDER BY rank) AS k FROM pose WHERE status IN ('ok', 'review')),
-ch AS (SELECT * FROM us WHERE CASE WHEN p THEN role = 'main' ELSE k <= 4 END),
+ch AS (SELECT * FROM us WHERE CASE WHEN p THEN role = 'main' ELSE k <= 16 END),
 cm AS (SELECT id, median(width) AS m FROM ch GROUP BY 1)"""
 
 
@@ -74,7 +74,7 @@ cm AS (SELECT id, median(width) AS m FROM ch GROUP BY 1)"""
         CASE WHEN bool_or(p) THEN 'preferred_role' ELSE 'top_ranked_usable' END AS provenance FROM ch JOIN cm USING (id) GROUP BY 1""",
 )
 def pose_extents(t):
-    return B.pose_extents(pose(t), "id", "status", "role", "main", "rank", "width", best=4)
+    return B.pose_extents(pose(t), "id", "status", "role", "main", "rank", "width")
 
 
 @query(
@@ -86,7 +86,7 @@ def pose_extents(t):
 def physical_scale(t):
     rows = pose(t)
     cover = B.pose_coverage(rows, "id", "status", "role", "main").select("id", F.col("status").alias("pose_status"))
-    extents = B.pose_extents(rows, "id", "status", "role", "main", "rank", "width", best=4).select(
+    extents = B.pose_extents(rows, "id", "status", "role", "main", "rank", "width").select(
         "id", F.col("median").alias("median_width"), F.col("median").alias("median_height")
     )
     dims = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("width_mm"), F.col("c_nationkey").alias("length_mm"))
@@ -252,7 +252,7 @@ def object_status(t):
     f"""WITH {PROFILE}, c AS (SELECT DISTINCT id AS claim_id, id % 2 = 0 AS inc FROM sm),
     s AS (SELECT claim_id, inc, i, claim_id + i AS id FROM c, range(3) AS r(i)),
     j AS (SELECT s.claim_id, inc, i, "value" - lag("value") OVER (PARTITION BY s.claim_id ORDER BY i) AS st, "value" FROM s LEFT JOIN cl ON cl.id = s.id AND cl.field_id = 'view_core')
-    SELECT claim_id, count(*) AS samples, CASE WHEN count("value") < 3 THEN 'mismatch' WHEN bool_and(i = 0 OR CASE WHEN inc THEN st > 0 ELSE st < 0 END) THEN 'supports' ELSE 'contradicts' END AS verdict
+    SELECT claim_id, count(*) AS samples, CASE WHEN count("value") < 3 THEN 'mismatch' WHEN bool_and(i = 0 OR CASE WHEN inc THEN st >= 0 ELSE st <= 0 END) THEN 'supports' ELSE 'contradicts' END AS verdict
     FROM j GROUP BY 1""",
 )
 def ordered_claims(t):

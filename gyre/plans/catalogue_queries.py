@@ -102,7 +102,8 @@ def evidence(t):
     "k4_completion",
     f"""WITH {EVID}, h AS (SELECT id, bool_or(kind = 'certificate' AND status = 'success') AS c, bool_or(kind IN ('rotation', 'video') AND status = 'success') AS m,
                                   bool_or(status = 'download_failed') AS f FROM ev GROUP BY 1),
-    j AS (SELECT h.*, coalesce(o.o_orderstatus = 'O', false) AS ro, coalesce(o.o_orderstatus IN ('O', 'F'), false) AS lo FROM h LEFT JOIN orders o ON o.o_orderkey = h.id),
+    j AS (SELECT coalesce(h.id, o.o_orderkey) AS id, coalesce(c, false) AS c, coalesce(m, false) AS m, coalesce(f, false) AS f, coalesce(o.o_orderstatus = 'O', false) AS ro,
+            coalesce(o.o_orderstatus IN ('O', 'F'), false) OR coalesce(o.o_orderpriority LIKE '5%', true) AS lo FROM h FULL JOIN orders o ON o.o_orderkey = h.id),
     r AS (SELECT id, list_filter([CASE WHEN NOT c THEN 'missing successful certificate evidence' END,
         CASE WHEN c AND NOT ro THEN 'certificate report number was not parsed and matched' END,
         CASE WHEN c AND NOT lo THEN 'certificate lab identity was not parsed and matched' END,
@@ -119,7 +120,8 @@ def completion(t):
     )
     outcomes = t.orders.select(F.col("o_orderkey").alias("id"), outcome.alias("z")).select("id", "z.field", "z.outcome", F.lit(True).alias("on_certificate"))
     ev = evidence(t)
-    return K.completion(ev, ev.select("id", "status"), outcomes, "id", ["download_failed"])
+    listings = t.orders.select(F.col("o_orderkey").alias("id"), F.when(~F.col("o_orderpriority").startswith("5"), F.lit("GIA")).alias("lab"))
+    return K.completion(ev, ev.select("id", "status"), outcomes, listings, "id", ["download_failed"])
 
 
 @query(
@@ -288,7 +290,7 @@ def planned(t):
     return K.asset_plan(rows, "sha", "media", "n_chars")
 
 
-@query("k16_asset_plan", f"""WITH {ASSETS} SELECT *, sha256(sha || '|' || media_type) AS record_key FROM plan""")
+@query("k16_asset_plan", f"""WITH {ASSETS} SELECT *, sha256('{{"sha":"' || sha || '","media_type":"' || media_type || '"}}') AS record_key FROM plan""")
 def asset_plan(t):
     return planned(t).withColumn("record_key", K.record_key("sha", "media_type"))
 

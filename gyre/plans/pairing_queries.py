@@ -113,15 +113,14 @@ def next_observed(t):
 
 
 ANCHORS = """,
-anchors AS (SELECT * FROM (SELECT series_id, slot, row_number() OVER (PARTITION BY series_id ORDER BY round(peak, 6) DESC, slot) AS rank
-                           FROM cycles) WHERE rank <= 4)"""
+anchors AS (SELECT series_id, slot, row_number() OVER (PARTITION BY series_id ORDER BY round(peak, 6) DESC, slot) AS rank FROM cycles)"""
 
 
 def anchors(t):
     from pyspark.sql import Window
 
     w = Window.partitionBy("series_id").orderBy(F.round("peak", 6).desc(), "slot")
-    return t.cycles.select("series_id", "slot", F.row_number().over(w).alias("rank")).where("rank <= 4")
+    return t.cycles.select("series_id", "slot", F.row_number().over(w).alias("rank"))
 
 
 @query(

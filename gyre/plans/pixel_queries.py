@@ -112,17 +112,17 @@ def relative_strips(t):
 @query(
     "b8_periodic_interp",
     f"""WITH a AS (
-      SELECT vec_id, step, embedding, (step * 0.37) % (2 * pi()) / (pi() / 4) AS t
+      SELECT vec_id, step, embedding, (step * 0.37) % (2 * pi()) / (pi() / 32) AS t
       FROM (SELECT vec_id, embedding, unnest(range(20)) AS step FROM embeddings))
-    SELECT vec_id, CAST(step AS INTEGER) AS step, {r6('''CAST(embedding[CAST(floor(t) AS INTEGER) % 8 + 1] AS DOUBLE)
-           + (CAST(embedding[CAST(floor(t) + 1 AS INTEGER) % 8 + 1] AS DOUBLE)
-              - CAST(embedding[CAST(floor(t) AS INTEGER) % 8 + 1] AS DOUBLE)) * (t - floor(t))''')} AS boundary
+    SELECT vec_id, CAST(step AS INTEGER) AS step, {r6('''CAST(embedding[CAST(floor(t) AS INTEGER) % 64 + 1] AS DOUBLE)
+           + (CAST(embedding[CAST(floor(t) + 1 AS INTEGER) % 64 + 1] AS DOUBLE)
+              - CAST(embedding[CAST(floor(t) AS INTEGER) % 64 + 1] AS DOUBLE)) * (t - floor(t))''')} AS boundary
     FROM a""",
 )
 def periodic_interp(t):
-    controls = F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double"))
+    controls = F.transform("embedding", lambda v: v.cast("double"))
     rows = t.embeddings.select("vec_id", controls.alias("c"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("step"))
-    return rows.select("vec_id", "step", P.periodic_interp(F.col("step") * 0.37, F.col("c")).alias("boundary"))
+    return rows.select("vec_id", "step", P.periodic_interp(F.col("step") * 0.37, F.col("c"), 64).alias("boundary"))
 
 
 RIM = """,

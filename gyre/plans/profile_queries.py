@@ -119,7 +119,7 @@ def medoid_consensus(t):
         F.floor(F.col("vec_id") / 16).alias("series_id"),
         "vec_id",
         F.col("label").cast("double").alias("score"),
-        F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("shape"),
+        F.transform("embedding", lambda v: v.cast("double")).alias("shape"),
     )
     return R.medoid_consensus(shapes, ["series_id"], "vec_id", "score", 0.02, 2.5, 5)
 

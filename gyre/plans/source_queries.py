@@ -15,15 +15,16 @@ def frame_records(t):
 
 @query(
     "a2_explode_pixels",
-    """WITH b AS (SELECT vec_id, unnest(range(63)) AS i, embedding FROM embeddings),
-    v AS (SELECT vec_id, i, CAST(greatest(0, least(255, floor((CAST(embedding[i + 1] AS DOUBLE) + 0.5) * 255))) AS INTEGER) AS v FROM b)
-    SELECT vec_id, CAST(i // 3 // 7 AS INTEGER) AS y, CAST(i // 3 % 7 AS INTEGER) AS x, max(v) FILTER (i % 3 = 2) AS r, max(v) FILTER (i % 3 = 1) AS g, max(v) FILTER (i % 3 = 0) AS b
+    """WITH b AS (SELECT vec_id, unnest(range(66)) AS i, embedding FROM embeddings),
+    v AS (SELECT vec_id, i, CASE WHEN i < 64 THEN CAST(greatest(0, least(255, floor((CAST(embedding[i + 1] AS DOUBLE) + 0.5) * 255))) AS INTEGER) ELSE 0 END AS v FROM b)
+    SELECT vec_id, CAST(i // 3 // 11 AS INTEGER) AS y, CAST(i // 3 % 11 AS INTEGER) AS x, max(v) FILTER (i % 3 = 2) AS r, max(v) FILTER (i % 3 = 1) AS g, max(v) FILTER (i % 3 = 0) AS b
     FROM v GROUP BY vec_id, i // 3""",
 )
 def explode_pixels(t):
     level = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v.cast("double") + 0.5) * 255)))
-    data = F.unhex(F.array_join(F.transform(F.slice("embedding", 1, 63), lambda v: F.lpad(F.hex(level(v)), 2, "0")), ""))
-    image = F.struct(F.lit(3).alias("height"), F.lit(7).alias("width"), F.lit(3).alias("nChannels"), data.alias("data"))
+    data = F.unhex(F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(level(v)), 2, "0")), ""))
+    data = F.concat(data, F.unhex(F.lit("0000")))  # two blank bytes fill the last pixel
+    image = F.struct(F.lit(2).alias("height"), F.lit(11).alias("width"), F.lit(3).alias("nChannels"), data.alias("data"))
     return A.explode_pixels(t.embeddings.select("vec_id", image.alias("image")), ["vec_id"])
 
 

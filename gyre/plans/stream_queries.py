@@ -56,7 +56,10 @@ def stream_runs(t):
 @query(
     "t3_stream_upsert",
     """SELECT o_custkey AS id, arg_min(o_orderstatus, (o_orderdate, o_orderstatus)) AS status,
-              arg_min(o_orderpriority, (o_orderdate, o_orderpriority)) FILTER (o_orderpriority NOT LIKE '4%') AS priority FROM orders GROUP BY 1""",
+              arg_min(o_orderpriority, (o_orderdate, o_orderpriority)) FILTER (o_orderpriority NOT LIKE '4%') AS priority,
+              array_to_string(list_filter([CASE WHEN count(DISTINCT upper(o_orderpriority)) FILTER (o_orderpriority NOT LIKE '4%') > 1 THEN 'priority' END,
+                                           CASE WHEN count(DISTINCT upper(o_orderstatus)) > 1 THEN 'status' END], lambda x: x IS NOT NULL), '|') AS conflicts
+       FROM orders GROUP BY 1""",
 )
 def stream_upsert(t):
     def to_rows(batch):
@@ -66,4 +69,5 @@ def stream_upsert(t):
         )
 
     stream = flows.table_stream(t.spark, t.sf_dir, "orders")
-    return flows.stream_upsert(stream, to_rows, "id", "seen_at", ["status", "priority"], flows.fresh_folder(t.spark, "upsert")).drop("action")
+    merged, rejects = flows.stream_upsert(stream, to_rows, "id", "seen_at", ["status", "priority"], flows.fresh_folder(t.spark, "upsert"))
+    return merged.join(rejects, "id", "left").fillna("", ["conflicts"])

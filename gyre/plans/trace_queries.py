@@ -259,10 +259,10 @@ def flash_cells(t):
 @query(
     "d13_components",
     f"""WITH RECURSIVE {COMPONENTS}
-    SELECT series_id, position, y, x, (cell // 8) * 1000000 + cell % 8 AS label FROM lab""",
+    SELECT series_id, position, y, x, cell // 8 AS label_y, cell % 8 AS label_x FROM lab""",
 )
 def components(t):
-    return flash_cells(t)[0]
+    return flash_cells(t)[0].select(*FRAME, "y", "x", F.col("label.y").alias("label_y"), F.col("label.x").alias("label_x"))
 
 
 MORPH = COMPONENTS + """,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,13 +28,19 @@ def local_session(cpus: int | str = 8, app: str = "gyre") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share; a private one only where the session names none."""
+    """Folder that driver and executors share, as the session names it.
+
+    Only a single-machine session without one gets a folder of its own; elsewhere its absence is
+    an error, as files on one machine's disk would be missed by the others.
+    """
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if named:
-        return named
-    fallback = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set(CHECKPOINT_KEY, fallback)
-    return fallback
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all machines share")
+    own = f"/tmp/spark-{uuid.uuid4().hex}"
+    spark.conf.set(CHECKPOINT_KEY, own)
+    return own
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gyre.functions.guards import ratio
-from gyre.operators.catalogue import upsert
+from gyre.operators.catalogue import canonical
 from gyre.session import shared_dir
 
 
@@ -125,27 +125,32 @@ def runs_of_sparse(states: DataFrame, keys: list[str]) -> DataFrame:
     ).drop("__c", "__run")
 
 
-def stream_upsert(stream: DataFrame, to_rows, key: str, order: str, fields: list[str], folder: str) -> DataFrame:
-    """Idempotent merge of arriving observations into versioned snapshots.
+def upsert_partials(rows: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
+    """Per key and field the earliest (order, value) and the range of canonical values."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
+    long = rows.select(key, F.col(order).alias("seen"), F.explode(pairs).alias("p")).select(key, "seen", "p.field", "p.value")
+    form = canonical(F.col("value"))
+    earliest = F.min(F.when(F.col("value").isNotNull(), F.struct("seen", "value")))
+    return long.groupBy(key, "field").agg(earliest.alias("first"), F.min(form).alias("low"), F.max(form).alias("high"))
 
-    A batch collapses to its earliest non-null value per field; the merge keeps older
-    values and rejects conflicting rows. Batch ids are consecutive across restarts, so
-    version n is always built from version n - 1 and a replay rewrites the same version.
-    """
+
+def merge_upserts(partials: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(merged, rejects): the earliest value of every field, and the keys and fields whose
+    observations disagree. Minima and maxima merge alike in any order and any cut into batches."""
+    per = partials.groupBy(key, "field").agg(F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"))
+    clash = F.col("low") != F.col("high")
+    merged = per.groupBy(key).agg(*[F.max(F.when(F.col("field") == f, F.col("first.value"))).alias(f) for f in fields])
+    rejects = per.where(clash).groupBy(key).agg(F.array_join(F.sort_array(F.collect_set("field")), "|").alias("conflicts"))
+    return merged, rejects
+
+
+def stream_upsert(stream: DataFrame, to_rows, key: str, order: str, fields: list[str], folder: str) -> tuple[DataFrame, DataFrame]:
+    """Idempotent merge of arriving observations: every batch appends partials under its id (a
+    replay overwrites itself), and the merged table does not depend on batches or arrival."""
     spark = stream.sparkSession
-    version = lambda n: f"{folder}/versions/{n:09d}"
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        rows = to_rows(batch)
-        first = rows.groupBy(key).agg(
-            *[F.min(F.when(F.col(f).isNotNull(), F.struct(order, f))).alias(f"__{f}") for f in fields]
-        ).select(key, *[F.col(f"__{f}.{f}").alias(f) for f in fields])
-        if batch_id == 0:
-            merged = first.withColumn("action", F.lit("inserted"))
-        else:
-            merged = upsert(spark.read.parquet(version(batch_id - 1)), first, key, fields)[0]
-        merged.write.mode("overwrite").parquet(version(batch_id))
-        spark.range(1).select(F.lit(batch_id).alias("version")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/current")
+        upsert_partials(to_rows(batch), key, order, fields).write.mode("overwrite").parquet(f"{folder}/partials/batch={batch_id}")
 
     drain(stream, each, folder)
-    return spark.read.parquet(version(spark.read.parquet(f"{folder}/current").first().version))
+    return merge_upserts(spark.read.parquet(f"{folder}/partials"), key, fields)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gyre.operators import benchmark as B
+from gyre.operators import catalogue as K
 from gyre.operators import cycles as C
 from gyre.operators import evidence as V
 from gyre.operators import pairing as E
@@ -165,21 +166,21 @@ def test_stream_runs_close_late_holes(spark, tmp_path):
     assert (out.observed, out.transitions, out.longest_true, out.longest_false) == (6, 1, 4, 2)
 
 
-def test_stream_upsert_keeps_older_and_rejects_conflicts(spark, tmp_path):
+def test_stream_upsert_does_not_depend_on_batches_or_arrival(spark, tmp_path):
     shape = "id long, at int, colour string, cut string"
-    batches = ([(1, 1, "D", None), (2, 1, "E", "good")], [(1, 2, None, "fair"), (2, 2, "F", "good"), (3, 2, "G", None)])
-    for rows in batches:
-        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
-    out = flows.stream_upsert(stream, lambda b: b, "id", "at", ["colour", "cut"], str(tmp_path / "out"))
-    got = {r.id: (r.colour, r.cut) for r in out.collect()}
-    assert got[1] == ("D", "fair") and got[3] == ("G", None) and got[2] in {("E", "good"), ("F", "good")}
-    # A restart with nothing new changes nothing; later files continue from the last version.
-    again = flows.stream_upsert(stream, lambda b: b, "id", "at", ["colour", "cut"], str(tmp_path / "out"))
-    assert {r.id: (r.colour, r.cut) for r in again.collect()} == got
-    spark.createDataFrame([(1, 9, "Z", None), (4, 9, "H", "ideal")], shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    more = {r.id: (r.colour, r.cut) for r in flows.stream_upsert(stream, lambda b: b, "id", "at", ["colour", "cut"], str(tmp_path / "out")).collect()}
-    assert more == got | {4: ("H", "ideal")}
+    rows = [(1, 1, "D", None), (2, 1, "E", "good"), (1, 2, None, "fair"), (2, 2, "F", "good"), (3, 2, "G", None), (2, 3, None, "1.50"), (3, 4, "g", None)]
+    want = {1: ("D", "fair", None), 2: ("E", "good", "colour|cut"), 3: ("G", None, None)}
+    cuts = {"one": [rows], "time": [rows[:2], rows[2:5], rows[5:]], "reverse": [rows[5:], rows[2:5], rows[:2]]}
+    for name, batches in cuts.items():
+        source, out = str(tmp_path / name / "in"), str(tmp_path / name / "out")
+        run = lambda: flows.stream_upsert(
+            spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(source), lambda b: b, "id", "at", ["colour", "cut"], out  # noqa: B023
+        )
+        spark.createDataFrame([], shape).write.parquet(source)
+        for batch in batches:  # each file is a batch of its own, and the flow restarts in between
+            spark.createDataFrame(batch, shape).coalesce(1).write.mode("append").parquet(source)
+            merged, rejects = run()
+        assert {r.id: (r.colour, r.cut, r.conflicts) for r in merged.join(rejects, "id", "left").collect()} == want
 
 
 def test_suppressors_equal_a_plain_search(spark):
@@ -214,3 +215,36 @@ def test_packet_and_inventory(spark):
     row = V.inventory(cands, items, V.near_groups(items, 24, 1), V.coverage_select(items)).first()
     assert (row.candidates, row.exact_items, row.near_groups) == (3, 2, 2)
     assert row.available == row.covered == "activity_motion|relative_dark_state|directional" and row.uncovered == ""
+
+
+def test_equal_neighbours_support_both_directions(spark):
+    cells = spark.createDataFrame([(i, "f", v) for i, v in enumerate([1.0, 1.0, 2.0])], "id long, field_id string, value double")
+    claims = spark.createDataFrame([(1, "f", True, [0, 1, 2]), (2, "f", False, [2, 1, 0]), (3, "f", False, [0, 1, 2])], "claim_id long, field_id string, increasing boolean, samples array<long>")
+    verdicts = {r.claim_id: r.verdict for r in B.ordered_claims(claims, cells, "id").collect()}
+    assert verdicts == {1: "supports", 2: "supports", 3: "contradicts"}
+    assert {r.verdict for r in B.ordered_claims(claims, cells, "id", strict=True).collect()} == {"contradicts"}
+
+
+def test_completion_needs_a_lab_only_where_listed(spark):
+    evidence = spark.createDataFrame([(i, k, "success") for i in (1, 2) for k in ("certificate", "video")], "id long, kind string, status string")
+    outcomes = spark.createDataFrame([(i, "report_number", "agreement", True) for i in (1, 2)], "id long, field string, outcome string, on_certificate boolean")
+    attempts = spark.createDataFrame([(3, "failed")], "id long, status string")
+    listings = spark.createDataFrame([(1, None), (2, "GIA")], "id long, lab string")
+    got = {r.id: (r.complete, r.reasons) for r in K.completion(evidence, attempts, outcomes, listings, "id", ["failed"]).collect()}
+    assert got[1] == (True, "") and got[2] == (False, "certificate lab identity was not parsed and matched")
+    assert not got[3][0] and got[3][1].startswith("missing successful certificate evidence|")
+
+
+def test_canonical_values_of_any_length(spark):
+    df = spark.createDataFrame([("1.50", "1.5"), ("1.5000001", "1.5"), ("-0.0", "0"), ("007", "7"), (" abc", "ABC"), (".5", "0.50"), ("1.", "1")], "a string, b string")
+    assert [r[0] for r in df.select(K.equivalent(F.col("a"), F.col("b"))).collect()] == [True, False, True, True, True, True, True]
+
+
+def test_record_keys_keep_parts_apart(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "a"), ("a", None)], "x string, y string")
+    assert df.select(K.record_key("x", "y").alias("k")).distinct().count() == 4
+
+
+def test_weighted_quantile_counts_points(spark):
+    df = spark.createDataFrame([("one", 5.0, 1.0), ("two", 5.0, 1.0), ("two", 5.0, 2.0), ("none", 1.0, 0.0)], "k string, v double, w double")
+    assert {r.k: r.value for r in V.weighted_quantile(df, ["k"], "v", "w", [0.5]).collect()} == {"one": None, "two": 5.0, "none": None}
