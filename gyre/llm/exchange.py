@@ -12,8 +12,10 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gyre.llm.text import packed, unpacked
 from gyre.session import shared_dir
@@ -63,11 +65,11 @@ def _payloads(batches):
         yield pa.RecordBatch.from_arrays([pa.array(chunk[cuts], pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "payload"])
 
 
-def in_chunks(docs: DataFrame, per_partition: int = 2) -> DataFrame:
-    """`docs` (doc_id, text and more) as rows (chunk, payload), dealt by a hash of id and text. The
-    exchange is the same wherever this frame is used in a plan, so Spark writes it once."""
+def in_chunks(docs: DataFrame, by: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """`docs` as rows (chunk, payload), dealt by a hash of the columns `by`. The exchange is the
+    same wherever this frame is used in a plan, so Spark writes it once."""
     n = partitions(docs)
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n * per_partition)).alias("chunk")
+    chunk = F.pmod(F.xxhash64(*by), F.lit(n)).alias("chunk")
     return docs.select(chunk, *docs.columns).mapInArrow(_payloads, "chunk long, payload binary").repartition(n, "chunk")
 
 
@@ -154,3 +156,30 @@ def looked_up(names: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndar
     place = np.searchsorted(known, names)
     place[place == len(known)] = 0
     return known[place] == names, place
+
+
+def _kept_rows(id_col: str, text_col: str, empty: pa.Table):
+    def run(texts: pa.Table, ids: pa.Table) -> pa.Table:
+        rows = chunk_rows(texts)
+        if rows is None or not ids.num_rows:
+            return empty
+        wanted = np.flatnonzero(pa.compute.is_in(rows[id_col], ids["kept_id"].combine_chunks()).to_numpy())
+        seen, take = set(), []
+        for i in wanted:
+            row = (rows[id_col][i].as_py(), rows[text_col][i].as_py())
+            if row not in seen:
+                seen.add(row)
+                take.append(i)
+        return rows.take(pa.array(take, pa.int64()))
+
+    return run
+
+
+def rows_with_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of `docs` whose id is in the first column of `ids`, one for equal (id, text). Texts go
+    through the shuffle compressed."""
+    chunks = in_chunks(docs, by=(id_col,))
+    ids = ids.select(F.col(ids.columns[0]).alias("kept_id")).where("kept_id is not null")
+    ids = ids.select(F.pmod(F.xxhash64("kept_id"), F.lit(partitions(docs))).alias("chunk"), "kept_id")
+    empty = to_arrow_schema(docs.schema).empty_table()
+    return chunks.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_kept_rows(id_col, text_col, empty), docs.schema)

@@ -152,6 +152,18 @@ def _postings(percent: int):
     return run
 
 
+def _prefixes(percent: int):
+    """Whole prefix of every set under the first order, in that order."""
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("n", "tokens", "rank")))
+            own = [_prefix(n, decoded(t), X.unpacked(r, np.uint8), percent, 0).view(np.int64) for n, t, r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(own, pa.list_(pa.int64()))], names=["sig", "prefix"])
+
+    return run
+
+
 def _verify(percent: int):
     """Pairs that share a prefix token under the other orders too, then the exact similarity."""
 
@@ -187,8 +199,9 @@ def _overlap(percent: int, *sizes: str):
     return F.ceil(sum(F.col(s) for s in sizes) * percent / (100.0 + percent) - 1e-9)
 
 
-def _crossing(postings: DataFrame, percent: int) -> DataFrame:
-    """All pairs with a common prefix token whose sets lie in different components and are in bounds.
+def _crossing(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs with a common prefix token whose sets lie in different components and are in bounds,
+    each met once, at the first token that its two prefixes share (where the bounds are widest).
 
     `room` is what is left of a set from the token on and bounds the overlap. In every pair the
     smaller set needs room for an overlap with one of its own size; sets without it (strong = false)
@@ -210,13 +223,19 @@ def _crossing(postings: DataFrame, percent: int) -> DataFrame:
         & (F.col("hx") * 100 >= F.col("ly") * percent)
         & (F.least("rx", "ry") >= _overlap(percent, "lx", "ly"))
     ).select("token", "cx", "cy")
+    near = written(near)
+    wanted = near.select("token", F.col("cx").alias("comp")).union(near.select("token", "cy")).distinct()
+    rows = rows.join(wanted, ["token", "comp"], "left_semi")
+    held = sets.join(rows.select("sig").distinct(), "sig", "left_semi").mapInArrow(_prefixes(percent), "sig long, prefix array<long>")
+    rows = rows.join(held, "sig")
     member = lambda x, of: of.select(
-        "token", F.col("comp").alias(f"c{x}"), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("room").alias(f"r{x}")
+        "token", F.col("comp").alias(f"c{x}"), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("room").alias(f"r{x}"), F.col("prefix").alias(f"p{x}")
     )
     fits = (
         (F.col("ny") >= F.col("nx"))
         & (F.col("nx") * 100 >= F.col("ny") * percent)
         & (F.least("rx", "ry") >= _overlap(percent, "nx", "ny"))
+        & (F.element_at(F.array_intersect("px", "py"), 1) == F.col("token"))
     )
     met = near.join(member("x", rows.where("strong")), ["token", "cx"]).join(member("y", rows), ["token", "cy"]).where(fits)
     return met.select(F.least("sx", "sy").alias("a"), F.greatest("sx", "sy").alias("b")).distinct()
@@ -226,7 +245,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, n_shingles, component_id, class_rows) per row of `docs`; see the module's notes."""
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chunks = in_chunks(chosen)
-    buckets = partitions(docs) * 2
+    buckets = partitions(docs)
     replies = answers(chunks.groupBy("chunk").applyInArrow(_asks(size, buckets), ASK))
     local = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_classes(size, percent), CLASS)
     local = written(local)
@@ -249,9 +268,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     with_comp = postings.join(joined.withColumnRenamed("node", "sig"), "sig", "left")
     with_comp = written(with_comp.select("token", "sig", "n", "place", F.coalesce("component", "sig").alias("comp")))
-    pairs = _crossing(with_comp, percent)
+    pairs = _crossing(with_comp, sets, percent)
     more = written(_links(pairs.join(star, ["a", "b"], "left_anti"), sets, percent))
-    whole = components(links.union(more))
+    known = joined.select(F.col("node").alias("sig"), "component")
+    side = lambda c: known.select(F.col("sig").alias(c), F.col("component").alias(f"of_{c}"))
+    bridge = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(
+        F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")
+    )
+    wider = components(bridge).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+    alone = more.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(known, "sig", "left_anti").select("sig", F.col("sig").alias("component"))
+    whole = known.union(alone).join(wider, "component", "left").select(F.col("sig").alias("node"), F.coalesce("wider", "component").alias("component"))
 
     classes = ids.groupBy("sig").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("class_rows"))
     group = classes.join(whole.withColumnRenamed("node", "sig"), "sig", "left").withColumn("group", F.coalesce("component", "sig"))

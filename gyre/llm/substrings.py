@@ -189,7 +189,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if with_text:
         chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text, F.struct(*[c for c in docs.columns if c != text_col]).alias("row"))
     chunks = in_chunks(chosen)
-    buckets = partitions(docs) * 2
+    buckets = partitions(docs)
     parse = answers(chunks.groupBy("chunk").applyInArrow(_parse_asks(length, buckets), ASK))
     asks = chunks.groupBy("chunk").cogroup(parse.groupBy("chunk")).applyInArrow(_window_asks(length, buckets), ASK)
     replies = parse.withColumn("step", F.lit(1)).unionByName(answers(asks).withColumn("step", F.lit(2)))
