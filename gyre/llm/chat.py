@@ -157,8 +157,20 @@ def _digests(path: str, pattern: str):
 def op4_chat_format(spark: SparkSession, sf_dir: str, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     table = given.union(spark.createDataFrame(PROBE, given.schema))
-    return formatted_turns(table, path=path, pattern=pattern).mapInArrow(_digests(path, pattern), DIGEST)
+    rows = formatted_turns(table, path=path, pattern=pattern).mapInArrow(_digests(path, pattern), DIGEST)
+    return rows.drop("n_tokens", "loss_tokens")
 
 
 QUERIES = {"op4_chat_format": op4_chat_format}
-ORACLES: dict[str, str] = {}
+_ESCAPED = "length(regexp_replace({0}, '" + r"\\" + "', 'xx', 'g')) + len(regexp_extract_all({0}, '" + "|".join(re.escape(c) for c in sorted(CONTROL, key=len, reverse=True)) + "'))"
+ORACLES = {
+    "op4_chat_format": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum({_ESCAPED.format("text")} + {len(MARKS[END])} + CASE {" ".join(f"WHEN role = '{r}' THEN {len(MARKS[k])}" for r, k in ROLES.items())}
+                ELSE {len(MARKS[OTHER]) + len(MARKS[TEXT])} + {_ESCAPED.format("role")} END) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id""",
+}

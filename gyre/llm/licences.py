@@ -75,7 +75,8 @@ def statements(pages: DataFrame, least_cosine: float, least_share: float) -> Dat
     idf, unit = _template_weights(spark, df, cut.count())
     names = F.array(*[F.lit(n) for n, _ in TEMPLATES])
 
-    tokens = cut.select("key", F.posexplode("segments").alias("place", "segment")).select("key", "place", F.posexplode(_tokens(F.col("segment"))).alias("at", "token"))
+    stating = cut.where(F.size("segments") > 0).dropDuplicates(["key"])
+    tokens = stating.select("key", F.posexplode("segments").alias("place", "segment")).select("key", "place", F.posexplode(_tokens(F.col("segment"))).alias("at", "token"))
     tf = tokens.groupBy("key", "place", "token").agg(F.count(F.lit(1)).alias("tf"))
     weighed = tf.join(F.broadcast(idf), "token", "left").withColumn("w", F.coalesce((1 + F.ln("tf")) * F.col("idf"), F.lit(0.0)))
     size = weighed.groupBy("key", "place").agg(
@@ -132,4 +133,33 @@ def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_licence_scan": op1_licence_scan}
-ORACLES: dict[str, str] = {}
+_VALUES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+ORACLES = {
+    "op1_licence_scan": f"""
+WITH t AS (SELECT * FROM (VALUES {_VALUES}) AS v(template, name, text)),
+a AS (SELECT row_number() OVER () AS r, page_id, regexp_replace(html, '<[^>]*>', chr(10), 'g') AS plain,
+             regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[?#].*$', '') AS address FROM pages),
+p AS (SELECT r, page_id, plain, CASE WHEN contains(address, '/') THEN regexp_extract(address, '^(.*/)', 1) ELSE address || '/' END AS dir,
+             CASE WHEN contains(address, '/') THEN lower(regexp_extract(address, '([^/]*)$', 1)) ELSE '' END AS file FROM a),
+tt AS (SELECT template, token, count(*) AS tf FROM (SELECT template, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS token FROM t) GROUP BY 1, 2),
+held AS (SELECT r, unnest(list_distinct(regexp_extract_all(lower(plain), '{TOKEN}'))) AS token FROM p),
+df AS (SELECT token, count(r) AS df FROM (SELECT DISTINCT token FROM tt) LEFT JOIN held USING (token) GROUP BY 1),
+idf AS (SELECT token, ln(((SELECT count(*) FROM p) + 1.0) / (df + 1)) + 1 AS idf FROM df),
+tw AS (SELECT template, token, (1 + ln(tf)) * idf / sqrt(sum(((1 + ln(tf)) * idf) ** 2) OVER (PARTITION BY template)) AS tw FROM tt JOIN idf USING (token)),
+seg AS (SELECT r, generate_subscripts(s, 1) AS place, unnest(s) AS segment FROM (SELECT r, string_split_regex(plain, '\n+') AS s FROM p)),
+tok AS (SELECT r, place, token, count(*) AS tf FROM (SELECT r, place, unnest(regexp_extract_all(lower(segment), '{TOKEN}')) AS token FROM seg WHERE regexp_matches(lower(segment), '{CUES}')) GROUP BY 1, 2, 3),
+w AS (SELECT r, place, token, tf, idf, coalesce((1 + ln(tf)) * idf, 0) AS w FROM tok LEFT JOIN idf USING (token)),
+sz AS (SELECT r, place, sqrt(sum(w * w)) AS size, sum(CASE WHEN idf IS NULL THEN 0 ELSE tf END) / sum(tf) AS share FROM w GROUP BY 1, 2),
+dot AS (SELECT r, place, template, sum(w * tw) AS dot FROM w JOIN tw USING (token) GROUP BY 1, 2, 3),
+met AS (SELECT r, place, template, round(dot / size, 9) AS cosine FROM dot JOIN sz USING (r, place) WHERE size > 0 AND share >= 0.5 AND round(dot / size, 9) >= 0.8),
+own AS (SELECT r, name AS licence, cosine FROM met JOIN t USING (template) QUALIFY row_number() OVER (PARTITION BY r ORDER BY cosine DESC, template, place) = 1),
+st AS (SELECT DISTINCT dir, file, plain, licence, cosine, CASE WHEN regexp_matches(file, '{FILE_NAME}') THEN 2 WHEN regexp_matches(file, '{FRONT_NAME}') THEN 1 ELSE 0 END AS rank
+       FROM own JOIN p USING (r) WHERE dir IS NOT NULL),
+sp AS (SELECT dir, arg_max(licence, (rank, cosine, licence)) AS licence FROM st GROUP BY dir HAVING max(rank) > 0 OR (min(licence) = max(licence) AND count(*) >= 2)),
+up AS (SELECT dir, depth, array_to_string(string_split(dir, '/')[1:depth], '/') || '/' AS above
+       FROM (SELECT DISTINCT dir, unnest(range(1, len(string_split(dir, '/')))) AS depth FROM p WHERE dir IS NOT NULL)),
+near AS (SELECT up.dir, arg_max(sp.licence, depth) AS near_licence, arg_max(above, depth) AS near_dir FROM up JOIN sp ON sp.dir = up.above GROUP BY 1)
+SELECT page_id, coalesce(licence, near_licence) AS licence, CASE WHEN licence IS NOT NULL THEN 'own' WHEN near_licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis,
+       cosine, CASE WHEN licence IS NULL THEN near_dir END AS directory
+FROM p LEFT JOIN own USING (r) LEFT JOIN near ON near.dir = p.dir""",
+}

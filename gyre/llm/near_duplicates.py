@@ -296,4 +296,24 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_ngram_jaccard_join": op5_ngram_jaccard_join}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op5_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+c AS (SELECT list_sort(list(g)) AS l, r FROM s GROUP BY r),
+same AS (SELECT r, min(r) OVER (PARTITION BY l) AS rep, len(l) AS n, count(*) OVER (PARTITION BY l) AS class_rows FROM c),
+rare AS (SELECT g FROM s JOIN same USING (r) WHERE r = rep GROUP BY g HAVING count(*) > 1),
+p AS (SELECT r, g FROM s JOIN rare USING (g) JOIN same USING (r) WHERE r = rep),
+inter AS (SELECT a.r AS x, b.r AS y, count(*) AS common FROM p a JOIN p b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+link AS (SELECT x, y FROM inter JOIN same u ON u.r = x JOIN same v ON v.r = y WHERE 100 * common >= 75 * (u.n + v.n - common)),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(x, y) AS (SELECT r, r FROM same WHERE r = rep UNION SELECT reach.x, edge.y FROM reach JOIN edge ON edge.x = reach.y),
+low AS (SELECT rep, min(doc_id) AS doc_id FROM same JOIN d USING (r) GROUP BY rep),
+comp AS (SELECT reach.x AS rep, min(low.doc_id) AS component_id FROM reach JOIN low ON low.rep = reach.y GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS component_id,
+       CAST(coalesce(class_rows, (SELECT count(*) FROM d WHERE len(w) = 0)) AS BIGINT) AS class_rows
+FROM d LEFT JOIN same USING (r) LEFT JOIN comp USING (rep)""",
+}

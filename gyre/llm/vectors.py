@@ -218,4 +218,14 @@ def op10_vector_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_vector_near_duplicates": op10_vector_near_duplicates}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op10_vector_near_duplicates": """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT r, vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_aggregate(list_transform(e, lambda x: abs(x)), 'max') > 0),
+link AS (SELECT a.r AS x, b.r AS y FROM ok a JOIN ok b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(x, y) AS (SELECT r, r FROM v UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y),
+comp AS (SELECT reach.x AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.y GROUP BY 1),
+n AS (SELECT x AS r, count(*) AS n FROM link GROUP BY 1)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM v JOIN comp USING (r) LEFT JOIN n USING (r)""",
+}
