@@ -55,7 +55,40 @@ SHAPE_PATTERN = r"(?im)^[ \t]*SHAPE(?:[ \t]+AND[ \t]+(?:CUTTING[ \t]+STYLE|CUT))
 TABLE_PATTERN = r"(?i)\bTable\s*%?\s*:?\s*([0-9]+(?:\.[0-9]+)?)\s*%"
 DEPTH_PATTERN = r"(?i)\bDepth\s*%?\s*:?\s*([0-9]+(?:\.[0-9]+)?)\s*%"
 RATIO_PATTERN = r"(?i)\b(?:L/W Ratio|Ratio)\s*:?\s*([0-9]+(?:\.[0-9]+)?)\b"
-GRADES = {"ideal": "Ideal", "excellent": "Excellent", "very good": "Very Good", "good": "Good", "fair": "Fair", "poor": "Poor"}
+# Words and abbreviations of a grade, of fluorescence, of the girdle and of the culet.
+GRADES = {
+    "ideal": "Ideal",
+    "id": "Ideal",
+    "excellent": "Excellent",
+    "ex": "Excellent",
+    "very good": "Very Good",
+    "vg": "Very Good",
+    "good": "Good",
+    "gd": "Good",
+    "g": "Good",
+    "fair": "Fair",
+    "f": "Fair",
+    "poor": "Poor",
+    "pr": "Poor",
+    "p": "Poor",
+}
+FLUORESCENCE = {
+    "none": "None",
+    "nil": "None",
+    "non": "None",
+    "no": "None",
+    "faint": "Faint",
+    "very slight": "Very Slight",
+    "slight": "Slight",
+    "medium": "Medium",
+    "med": "Medium",
+    "strong": "Strong",
+    "very strong": "Very Strong",
+    "vs": "Very Strong",
+    "negligible": "Negligible",
+}
+GIRDLE = ("extremely thin", "very thin", "slightly thin", "thin", "medium", "slightly thick", "thick", "very thick", "extremely thick")
+CULET = ("none", "pointed", "very small", "small", "medium", "slightly large", "large", "very large")
 EXCERPT = 180
 CERT_FIELDS = ("shape", "origin", "colour", "clarity", "carat")
 
@@ -390,15 +423,20 @@ def extract_certificate_fields(df: DataFrame, text: str) -> DataFrame:
 
 
 def extract_proportions(df: DataFrame, text: str) -> DataFrame:
-    """Table, depth and ratio within their ranges, and the closed grade vocabulary."""
+    """Table, depth and ratio within their ranges, and the closed vocabularies of grades, fluorescence,
+    girdle (one level or a range) and culet; placeholders are no grade and stay null."""
     t = F.col(text)
 
     def number(pattern: str, limit: float) -> Column:
         v = extracted(t, pattern).try_cast("double")
         return F.when((v > 0) & (v <= limit), v)
 
-    words = "|".join(sorted(GRADES, key=len, reverse=True))
-    grade = lambda label: lookup(GRADES, F.lower(extracted(t, rf"(?i)\b{label}\s*:?\s*({words})\b")))
+    def word(label: str, words, tail: str = "") -> Column:
+        one_of = "|".join(w.replace(" ", r"\s+") for w in sorted(words, key=len, reverse=True))
+        found = extracted(t, rf"(?i)\b{label}\s*:?\s*((?:{one_of}){tail.format(one_of)})\b")
+        return F.lower(F.regexp_replace(found, r"\s+", " "))
+
+    grade = lambda label: lookup(GRADES, word(label, GRADES))
     return df.select(
         *[c for c in df.columns if c != text],
         number(TABLE_PATTERN, 100).alias("table_percent"),
@@ -407,6 +445,9 @@ def extract_proportions(df: DataFrame, text: str) -> DataFrame:
         grade(r"Cut(?:\s+Grade)?").alias("cut"),
         grade("Polish").alias("polish"),
         grade("Symmetry").alias("symmetry"),
+        lookup(FLUORESCENCE, word("Fluorescence", FLUORESCENCE)).alias("fluorescence"),
+        F.replace(F.initcap(word("Girdle", GIRDLE, r"(?:\s+to\s+(?:{}))?")), F.lit(" To "), F.lit(" to ")).alias("girdle"),
+        F.initcap(word("Culet", CULET)).alias("culet"),
     )
 
 

@@ -347,7 +347,8 @@ CERT_TEXT = """ct AS (SELECT l_orderkey * 10 + l_linenumber AS id, 'Report Numbe
    || CASE l_returnflag WHEN 'A' THEN 'ASSCHER CUT' WHEN 'N' THEN 'Style' ELSE 'Round  Brilliant' END || chr(10) || 'Measurements: ' || CAST(l_quantity AS INTEGER) || '.5 x '
    || CAST(l_linenumber AS INTEGER) || '.25 x 3.1' || chr(10) || 'CARAT WEIGHT ' || CAST(l_linenumber AS INTEGER) || '.02' || chr(10) || 'COLOR GRADE ' || l_linestatus || chr(10)
    || 'Clarity Grade VS' || (1 + l_partkey % 2) || chr(10) || CASE WHEN l_suppkey % 2 = 0 THEN 'Laboratory Grown' ELSE 'x' END || ' Table: '
-   || CAST(l_quantity * 3 AS INTEGER) || '% Depth 61.5 % Ratio: ' || CAST(l_linenumber AS INTEGER) || '.01 Polish: very good Cut and set Symmetry Excellent' AS txt FROM lineitem)"""
+   || CAST(l_quantity * 3 AS INTEGER) || '% Depth 61.5 % Ratio: ' || CAST(l_linenumber AS INTEGER) || '.01 Polish: very good Cut and set Symmetry EX Fluorescence: '
+   || CASE l_returnflag WHEN 'A' THEN 'VS' WHEN 'N' THEN 'n/a' ELSE 'Very  Slight' END || ' Girdle: very thin to THICK Culet None' AS txt FROM lineitem)"""
 
 
 def certificate_text(t):
@@ -360,7 +361,9 @@ def certificate_text(t):
         F.lit("\nClarity Grade VS"), (1 + F.col("l_partkey") % 2).cast("string"), F.lit("\n"),
         F.when(F.col("l_suppkey") % 2 == 0, "Laboratory Grown").otherwise("x"), F.lit(" Table: "),
         (F.col("l_quantity") * 3).cast("int").cast("string"), F.lit("% Depth 61.5 % Ratio: "), n,
-        F.lit(".01 Polish: very good Cut and set Symmetry Excellent"),
+        F.lit(".01 Polish: very good Cut and set Symmetry EX Fluorescence: "),
+        F.when(F.col("l_returnflag") == "A", "VS").when(F.col("l_returnflag") == "N", "n/a").otherwise("Very  Slight"),
+        F.lit(" Girdle: very thin to THICK Culet None"),
     )
     return t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), text.alias("text"))
 
@@ -383,9 +386,10 @@ def extract_certificate_fields(t):
 
 @query(
     "k21_extract_proportions",
-    f"""WITH {CERT_TEXT}, x AS (SELECT id, CAST(regexp_extract(txt, 'Table: ([0-9]+)%', 1) AS DOUBLE) AS t, CAST(regexp_extract(txt, 'Ratio: ([0-9.]+)', 1) AS DOUBLE) AS r FROM ct)
+    f"""WITH {CERT_TEXT}, x AS (SELECT id, CAST(regexp_extract(txt, 'Table: ([0-9]+)%', 1) AS DOUBLE) AS t, CAST(regexp_extract(txt, 'Ratio: ([0-9.]+)', 1) AS DOUBLE) AS r, txt FROM ct)
     SELECT id, CASE WHEN t > 0 AND t <= 100 THEN {r6("t")} END AS table_percent, 61.5::DOUBLE AS depth_percent, CASE WHEN r <= 10 THEN {r6("r")} END AS length_width_ratio,
-           CAST(NULL AS VARCHAR) AS cut, 'Very Good' AS polish, 'Excellent' AS symmetry FROM x""",
+           CAST(NULL AS VARCHAR) AS cut, 'Very Good' AS polish, 'Excellent' AS symmetry,
+           CASE WHEN contains(txt, ': VS Girdle') THEN 'Very Strong' WHEN contains(txt, 'Very  Slight') THEN 'Very Slight' END AS fluorescence, 'Very Thin to Thick' AS girdle, 'None' AS culet FROM x""",
 )
 def extract_proportions(t):
     return K.extract_proportions(certificate_text(t), "text")

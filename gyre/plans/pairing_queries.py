@@ -370,7 +370,7 @@ obs AS (SELECT user_id AS series_id, user_id AS id, 'mobility' AS family, CASE W
 items AS (SELECT user_id AS series_id, event_type AS item_id, CASE WHEN event_type = 'view' THEN 'mobility' ELSE 'occupancy' END AS family,
                  CASE WHEN event_type = 'purchase' THEN ['score', 'peak'] ELSE ['peak'] END AS field_ids,
                  list_sort(list_distinct(list(CAST(hour(ts) AS INTEGER)))) AS frames
-          FROM events WHERE event_type IN ('purchase', 'view') GROUP BY 1, 2)"""
+          FROM events WHERE event_type <> 'signup' GROUP BY 1, 2)"""
 
 
 @query(
@@ -398,7 +398,7 @@ def human_links(t):
         )
     )
     items = (
-        t.events.where("event_type in ('purchase', 'view')")
+        t.events.where("event_type != 'signup'")
         .groupBy(F.col("user_id").alias("series_id"), F.col("event_type").alias("item_id"))
         .agg(hours.alias("frames"))
         .select(

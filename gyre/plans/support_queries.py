@@ -48,7 +48,7 @@ FRAMES_SQL = f"""
 reqd AS (SELECT user_id AS series_id, CAST(p AS INTEGER) AS position, CAST((p * 5) % {PERIOD} AS INTEGER) AS source_index
          FROM (SELECT DISTINCT user_id FROM events), range({PERIOD}) AS r(p)),
 have AS (SELECT user_id AS series_id, CAST(hour(ts) AS INTEGER) AS source_index, count(*) AS n, min(CAST(floor(value) AS BIGINT)) AS digest,
-                bool_and(value > 1.0) AS ok FROM events WHERE event_type = 'view' GROUP BY 1, 2),
+                bool_and(value > 1.0) AS ok FROM events GROUP BY 1, 2),
 one AS (SELECT r.*, h.n, h.digest, h.ok FROM reqd r LEFT JOIN have h USING (series_id, source_index)),
 fst AS (SELECT series_id, digest, min(position) AS f FROM one WHERE n = 1 AND ok GROUP BY 1, 2),
 sel AS (SELECT o.series_id, o.position, o.source_index,
@@ -62,7 +62,7 @@ def selected(t):
     requested = users.select("series_id", F.explode(F.sequence(F.lit(0), F.lit(PERIOD - 1))).alias("position")).withColumn(
         "source_index", F.pmod(F.col("position") * 5, F.lit(PERIOD))
     )
-    frames = t.events.where("event_type = 'view'").select(
+    frames = t.events.select(
         F.col("user_id").alias("series_id"),
         F.hour("ts").alias("source_index"),
         F.floor("value").alias("digest"),

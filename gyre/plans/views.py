@@ -3,7 +3,7 @@
 Each view has a DataFrame form and a SQL form (a common table expression for the oracle).
 
 steps    one series per user: dense position, cyclic source index, value null on 'error'
-cycles   one series per user on a 24-slot cycle (hour of day); unseen hours are real gaps
+cycles   one series per user on a 24-slot cycle (hour of day); hours of fewer than SEEN events are gaps
 pixels   one 8 x 8 frame per vector, 16 frames per series, one row per pixel
 profiles one radial profile of 64 samples per vector, 8 sectors per profile set
 """
@@ -22,6 +22,7 @@ PERIOD = 24
 FRAMES = 16
 SIDE = 8
 SECTORS = 8
+SEEN = 3  # events that make an hour an observed slot
 
 
 class Tables:
@@ -59,9 +60,9 @@ class Tables:
     @cached_property
     def cycles(self) -> DataFrame:
         return (
-            self.events.where("event_type in ('purchase', 'view')")
-            .groupBy(F.col("user_id").alias("series_id"), F.hour("ts").alias("slot"))
+            self.events.groupBy(F.col("user_id").alias("series_id"), F.hour("ts").alias("slot"))
             .agg(F.avg("value").alias("score"), F.count(F.lit(1)).alias("n"), F.max("value").alias("peak"))
+            .where(F.col("n") >= SEEN)
         )
 
     @cached_property
@@ -147,7 +148,7 @@ CYCLES = """
 cycles AS (
   SELECT user_id AS series_id, CAST(hour(ts) AS INTEGER) AS slot, avg(value) AS score, count(*) AS n,
          max(value) AS peak
-  FROM events WHERE event_type IN ('purchase', 'view') GROUP BY 1, 2)"""
+  FROM events GROUP BY 1, 2 HAVING count(*) >= 3)"""
 
 PIXELS = f"""
 flat AS (
