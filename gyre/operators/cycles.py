@@ -168,7 +168,8 @@ def two_lobes(
 ) -> DataFrame:
     """Main smoothed peak, best peak a quarter cycle away and which of the two is preferred.
 
-    `df` holds complete cycles (missing scores as 0). Fixed values of the rule: quarter-cycle
+    `df` holds complete cycles (missing scores as 0); an incomplete cycle, or one without a second
+    peak, is `unavailable`. Fixed values of the rule: quarter-cycle
     separation, smoothing radius n/32 (at least 2), gap limit, noise floor, 1.5 MAD units.
     """
     radius = max(2, round(period / 32))
@@ -182,7 +183,7 @@ def two_lobes(
     far = smooth.join(top, keys).where(circular_distance(F.col(slot), F.col("primary"), period) >= apart)
     second = far.groupBy(*keys).agg(F.max(F.struct(value, (-F.col(slot)).alias("neg"))).alias("t"))
     lobes = top.join(
-        second.select(*keys, (-F.col("t.neg")).alias("secondary"), F.col(f"t.{value}").alias("secondary_score")), keys
+        second.select(*keys, (-F.col("t.neg")).alias("secondary"), F.col(f"t.{value}").alias("secondary_score")), keys, "left"
     )
     near = df.join(lobes, keys)
 
@@ -192,7 +193,7 @@ def two_lobes(
         mad = inside.join(med, keys).groupBy(*keys).agg(F.median(F.abs(F.col(tie) - F.col(f"{which}_tie"))).alias(f"{which}_mad"))
         return med.join(mad, keys)
 
-    out = lobes.join(side("primary"), keys, "left").join(side("secondary"), keys, "left")
+    out = df.select(*keys).distinct().join(lobes, keys, "left").join(side("primary"), keys, "left").join(side("secondary"), keys, "left")
     gap = F.col("primary_score") - F.col("secondary_score")
     diff = F.col("primary_tie") - F.col("secondary_tie")
     noise = F.greatest(F.coalesce("primary_mad", F.lit(0.0)), F.coalesce("secondary_mad", F.lit(0.0)), F.lit(noise_floor))
@@ -201,7 +202,7 @@ def two_lobes(
     return out.select(
         *keys, "primary", "secondary", "primary_score", "secondary_score", gap.alias("gap"),
         confidence.alias("confidence"),
-        F.when(gap > gap_limit, "not_needed").when(resolved, "resolved").otherwise("ambiguous").alias("status"),
+        F.when(F.col("secondary").isNull(), "unavailable").when(gap > gap_limit, "not_needed").when(resolved, "resolved").otherwise("ambiguous").alias("status"),
         F.when(resolved & (diff > 0), F.col("primary")).when(resolved, F.col("secondary")).alias("preferred"),
     )
 

@@ -216,11 +216,31 @@ def zone_sensitivity(px: DataFrame, zone: Column) -> DataFrame:
     return wide.select(
         *FRAME,
         F.col("baseline_p").alias("baseline_percentile"),
+        F.col("baseline_v").alias("baseline_mean"),
         *[(F.col(f"{v}_p") - F.col("baseline_p")).alias(f"delta_{v}") for v in ("inset_1", "inset_2", "outset_1")],
         F.when(F.col("iqr") > 1e-12, (F.col("baseline_v") - F.col("med")) / F.col("iqr")).alias("centred_over_iqr"),
     )
 
 
+def zone_summary(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """Per entity over its frames: ranges of the baseline and size of each variant's deviation."""
+    spread = lambda c: F.max(c) - F.min(c)
+    return frames.groupBy(*keys).agg(
+        F.count("baseline_mean").alias("valid_frames"),
+        spread("baseline_mean").alias("mean_range"),
+        spread("baseline_percentile").alias("percentile_range"),
+        *[
+            f
+            for v in ("inset_1", "inset_2", "outset_1")
+            for f in (
+                F.count(f"delta_{v}").alias(f"comparable_{v}"),
+                F.median(F.abs(f"delta_{v}")).alias(f"median_abs_{v}"),
+                F.max(F.abs(f"delta_{v}")).alias(f"max_abs_{v}"),
+            )
+        ],
+    )
+
+
 def frame_pairs(px: DataFrame, cols: list[str], period: int | None = None) -> DataFrame:
     """Each pixel with the same pixel of the following frame: an equi-join on pixel and position."""
     after = F.col("position") - 1 if period is None else F.pmod(F.col("position") - 1, F.lit(period))
@@ -320,7 +340,7 @@ def clipping(rgb: DataFrame, keys: list[str], channels: tuple[str, ...] = ("r",
 
 
 def background_reference(rgb: DataFrame, mask: DataFrame, keys: list[str], dilations: int, min_share: float, min_pixels: int) -> DataFrame:
-    """Median colour outside the dilated mask, if enough of the frame is background."""
+    """Median colour outside the dilated mask; null with a status where too little is background."""
     grown = mask
     for _ in range(dilations):
         grown = dilated(grown, keys, 4)
@@ -328,11 +348,15 @@ def background_reference(rgb: DataFrame, mask: DataFrame, keys: list[str], dilat
     back = rgb.join(grown, keys + ["y", "x"], "left_anti").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("background_pixels"), *[F.median(c).alias(f"median_{c}") for c in ("r", "g", "b")]
     )
-    return (
-        back.join(total, keys)
-        .withColumn("background_fraction", ratio("background_pixels", "__all"))
-        .where((F.col("background_fraction") >= min_share) & (F.col("background_pixels") >= min_pixels))
-        .drop("__all")
+    rows = total.join(back, keys, "left").withColumn("background_pixels", F.coalesce("background_pixels", F.lit(0)))
+    rows = rows.withColumn("background_fraction", ratio("background_pixels", "__all"))
+    enough = (F.col("background_fraction") >= min_share) & (F.col("background_pixels") >= min_pixels)
+    return rows.select(
+        *keys,
+        "background_pixels",
+        *[F.when(enough, F.col(f"median_{c}")).alias(f"median_{c}") for c in ("r", "g", "b")],
+        "background_fraction",
+        F.when(enough, "ok").otherwise("too_little_background").alias("status"),
     )
 
 

@@ -194,9 +194,7 @@ def zone_brightness(t):
     return G.zone_brightness(t.pixels, zones, status, confidence)
 
 
-@query(
-    "d27_zone_sensitivity",
-    f"""WITH {PIXELS}, act AS (
+ZONES = f"""WITH {PIXELS}, act AS (
       SELECT series_id, position, y, x, brightness,
              (2 * (rank() OVER (PARTITION BY series_id, position ORDER BY brightness) - 1)
               + count(*) OVER (PARTITION BY series_id, position, brightness))
@@ -213,8 +211,13 @@ def zone_brightness(t):
           UNION ALL SELECT series_id, position, y, x, 'j' FROM t2 WHERE n = 5 UNION ALL SELECT series_id, position, y, x, 'o' FROM t1),
     g AS (SELECT series_id, position, avg(p) FILTER (k = 'b') AS b, avg(p) FILTER (k = 'i') AS i, avg(p) FILTER (k = 'j') AS j,
                  avg(p) FILTER (k = 'o') AS o, avg(brightness) FILTER (k = 'b') AS bv
-          FROM v JOIN act USING (series_id, position, y, x) GROUP BY 1, 2)
-    SELECT series_id, position, {r6("b")} AS baseline_percentile, {r6("i - b")} AS delta_inset_1, {r6("j - b")} AS delta_inset_2,
+          FROM v JOIN act USING (series_id, position, y, x) GROUP BY 1, 2)"""
+
+
+@query(
+    "d27_zone_sensitivity",
+    f"""{ZONES}
+    SELECT series_id, position, {r6("b")} AS baseline_percentile, {r6("bv")} AS baseline_mean, {r6("i - b")} AS delta_inset_1, {r6("j - b")} AS delta_inset_2,
            {r6("o - b")} AS delta_outset_1, CASE WHEN iqr > 1e-12 THEN {r6("(bv - med) / iqr")} END AS centred_over_iqr
     FROM g JOIN sp USING (series_id, position)""",
 )
@@ -222,6 +225,19 @@ def zone_sensitivity(t):
     return G.zone_sensitivity(t.pixels, P.chebyshev(SIDE, SIDE) < 0.7)
 
 
+@query(
+    "d27_zone_summary",
+    f"""{ZONES}, d AS (SELECT series_id, bv, b, i - b AS i, j - b AS j, o - b AS o FROM g JOIN sp USING (series_id, position))
+    SELECT series_id, count(bv) AS valid_frames, {r6("max(bv) - min(bv)")} AS mean_range, {r6("max(b) - min(b)")} AS percentile_range,
+           count(i) AS comparable_inset_1, {r6("median(abs(i))")} AS median_abs_inset_1, {r6("max(abs(i))")} AS max_abs_inset_1,
+           count(j) AS comparable_inset_2, {r6("median(abs(j))")} AS median_abs_inset_2, {r6("max(abs(j))")} AS max_abs_inset_2,
+           count(o) AS comparable_outset_1, {r6("median(abs(o))")} AS median_abs_outset_1, {r6("max(abs(o))")} AS max_abs_outset_1
+    FROM d GROUP BY 1""",
+)
+def zone_summary(t):
+    return G.zone_summary(G.zone_sensitivity(t.pixels, P.chebyshev(SIDE, SIDE) < 0.7), ["series_id"])
+
+
 STEP = PIXELS + """,
 hop AS (SELECT a.series_id, a.position, a.y, a.x, a.brightness AS va, b.brightness AS vb, a.valid AND a.in_mask AS oka,
                b.valid AND b.in_mask AS okb
@@ -314,8 +330,10 @@ def clipping(t):
     b AS (SELECT vec_id, count(*) AS n, median(r) AS mr, median(g) AS mg, median(b) AS mb
           FROM rgb r ANTI JOIN d USING (vec_id, y, x) GROUP BY 1)
     SELECT vec_id, n AS background_pixels, {r6("mr")} AS median_r, {r6("mg")} AS median_g, {r6("mb")} AS median_b,
-           {r6("n / 64")} AS background_fraction
-    FROM b WHERE n / 64 >= 0.2 AND n >= 10""",
+           {r6("n / 64")} AS background_fraction, 'ok' AS status
+    FROM b WHERE n / 64 >= 0.2 AND n >= 10
+    UNION ALL SELECT vec_id, coalesce(n, 0), NULL, NULL, NULL, {r6("coalesce(n, 0) / 64")}, 'too_little_background'
+    FROM (SELECT DISTINCT vec_id FROM rgb) LEFT JOIN b USING (vec_id) WHERE coalesce(n, 0) / 64 < 0.2 OR coalesce(n, 0) < 10""",
 )
 def background_reference(t):
     px = rgb(t)
