@@ -115,14 +115,17 @@ def _frequency(shared):
     return run
 
 
-def _find(shared):
+def _find(shared, text_col: str):
+    """Spans and items of every row; the text is a column of its own or a field of `row`."""
+
     def run(batches):
         tokens, lengths, window_of, offset_of, begin, matrix, size_of, items_of = shared.value
         probe = _Probe(tokens, lengths)
         for batch in batches:
             n = batch.num_rows
             n_words, spans, items = np.zeros(n, np.int64), [b""] * n, [None] * n
-            for lo, words, first in _words(batch.column("text")):
+            text = batch.column("text") if "text" in batch.schema.names else batch.column("row").field(text_col)
+            for lo, words, first in _words(text):
                 n_words[lo : lo + len(first) - 1] = np.diff(first)
                 hits = []
                 for at, token in probe.find(words, first):
@@ -175,7 +178,7 @@ def contamination(
     windows = cut_lineage(windows)
     blocks = max(1, -(-windows.count() // block_windows))
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"))
     if blocks > 1:  # findings of several scans meet by text, and only those of texts with hits
         keyed = texts.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("row"), "text")
     found = []
@@ -206,7 +209,7 @@ def contamination(
             (tokens[used], lengths[used], order, offset[order], used_begin, matrix, np.array([len(w) for w in rows], np.int64), [r["items"] for r in part])
         )
         schema = T.StructType([keyed.schema["row"]]).add("n_words", "long").add("spans", "binary").add("items", T.ArrayType(T.LongType()))
-        found.append(keyed.mapInArrow(_find(shared), schema))
+        found.append(keyed.mapInArrow(_find(shared, text_col), schema))
     if blocks == 1:
         lists = found[0].select("row", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
     else:

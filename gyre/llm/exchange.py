@@ -65,11 +65,11 @@ def _payloads(batches):
         yield pa.RecordBatch.from_arrays([pa.array(chunk[cuts], pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "payload"])
 
 
-def in_chunks(docs: DataFrame, by: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+def in_chunks(docs: DataFrame, by: tuple[str, ...] = ("doc_id", "text"), per_partition: int = 1) -> DataFrame:
     """`docs` as rows (chunk, payload), dealt by a hash of the columns `by`. The exchange is the
     same wherever this frame is used in a plan, so Spark writes it once."""
     n = partitions(docs)
-    chunk = F.pmod(F.xxhash64(*by), F.lit(n)).alias("chunk")
+    chunk = F.pmod(F.xxhash64(*by), F.lit(n * per_partition)).alias("chunk")
     return docs.select(chunk, *docs.columns).mapInArrow(_payloads, "chunk long, payload binary").repartition(n, "chunk")
 
 
@@ -77,6 +77,7 @@ def chunk_rows(table: pa.Table) -> pa.Table | None:
     """The rows packed in a chunk, or None for an empty chunk."""
     if not table.num_rows:
         return None
+    pa.default_memory_pool().release_unused()  # a worker that served other stages gives its rest back
     return pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in table["payload"]])
 
 

@@ -152,18 +152,18 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST
     return Model(np.array([np.frombuffer(x, np.float32) for _, x in rows]), np.array([n for n, _ in rows], dtype=object))
 
 
-def _predict(shared):
+def _predict(shared, text_col: str):
     def run(batches):
         model = shared.value
         for batch in batches:
             n = batch.num_rows
             names, score = ["und"] * n, np.zeros(n)
             if model is not None:
-                for first, x in features(batch.column("text")):
+                for first, x in features(batch.column("row").field(text_col)):
                     own, chance = model.predict(x)
                     names[first : first + len(own)] = own
                     score[first : first + len(own)] = chance
-            carried = [c for c in batch.schema.names if c != "text"]
+            carried = batch.schema.names
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(names, pa.string()), pa.array(score)], names=[*carried, "lang_pred", "score"])
 
     return run
@@ -176,9 +176,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = fit(known.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), **parameters)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"), text.alias("text"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     schema = T.StructType([rows.schema["row"]]).add("letters", "boolean").add("lang_pred", "string").add("score", "double")
-    out = rows.mapInArrow(_predict(shared), schema)
+    out = rows.mapInArrow(_predict(shared, text_col), schema)
     return out.select(
         "row", F.when(F.col("letters"), F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score")
     )

@@ -244,8 +244,8 @@ def _crossing(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_rows) per row of `docs`; see the module's notes."""
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chunks = in_chunks(chosen)
-    buckets = partitions(docs)
+    chunks = in_chunks(chosen, per_partition=2)
+    buckets = partitions(docs) * 2
     replies = answers(chunks.groupBy("chunk").applyInArrow(_asks(size, buckets), ASK))
     local = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_classes(size, percent), CLASS)
     local = written(local)

@@ -204,7 +204,9 @@ class Model:
             self._calibrate(np.array([*raw, self.blank_raw, self.blank_raw]), np.array([*self.labels, 0, 1]), np.array([*self.stands_for[self.labels], *blank]))
 
     def raw(self, term: np.ndarray, weight: np.ndarray, skip: int = -1) -> float:
-        example, cosine = self.index.nearest(term, weight, self.k, skip)
+        return self.vote(*self.index.nearest(term, weight, self.k, skip))
+
+    def vote(self, example: np.ndarray, cosine: np.ndarray) -> float:
         vote = cosine**2 * self.stands_for[self.labels[example]]
         strength = 0.25 * min(self.stands_for)
         return float((vote @ self.labels[example] + strength * self.base) / (vote.sum() + strength))
@@ -234,26 +236,25 @@ class Model:
         return float(1 / (1 + np.exp(-(self.slope * self._logit(raw) + self.shift)))) if self.known else 0.0
 
 
-def _score(shared):
+def _score(shared, text_col: str):
     def run(batches):
         model = shared.value
         vocabulary = Vocabulary(model.terms)
         blank = model.score(model.blank_raw)
         for batch in batches:
             n = batch.num_rows
-            row, term, count = vocabulary.counts(batch.column("text"), n)
+            row, term, count = vocabulary.counts(batch.column("row").field(text_col), n)
             score, nearest, votes = np.full(n, blank), np.zeros(n), np.zeros(n, np.int64)
             cut = np.searchsorted(row, np.arange(n + 1))
             for i in np.unique(row):
                 t, c = term[cut[i] : cut[i + 1]], count[cut[i] : cut[i + 1]]
                 weight = _weights(t, c, model.idf)
-                score[i] = model.score(model.raw(t, weight))
                 example, cosine = model.index.nearest(t, weight, model.k)
+                score[i] = model.score(model.vote(example, cosine))
                 votes[i] = model.labels[example].sum()
                 nearest[i] = cosine[0] if len(cosine) else 0.0
-            carried = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in carried), pa.array(score), pa.array(nearest), pa.array(votes)], names=[*carried, "score", "nearest", "toxic_votes"]
+                [batch.column("row"), pa.array(score), pa.array(nearest), pa.array(votes)], names=["row", "score", "nearest", "toxic_votes"]
             )
 
     return run
@@ -293,9 +294,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = (labels if learn is None else labels.where(learn)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).alias("toxic"))
     model = fit(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), known, **parameters)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
     schema = T.StructType([rows.schema["row"]]).add("score", "double").add("nearest", "double").add("toxic_votes", "long")
-    return rows.mapInArrow(_score(shared), schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return rows.mapInArrow(_score(shared, text_col), schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
