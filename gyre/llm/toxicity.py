@@ -1,17 +1,18 @@
 """Operator 8: toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Fit, all bounded by parameters: up to `per_class` labelled rows of each label (lowest hashes of id)
-are examples. Terms are words and word beginnings of 4 to 8 bytes; the up to `terms` of them that most
-favour the toxic examples (log-likelihood ratio, at least `least_ratio`) span the vectors, with
-inverse document frequencies counted over all documents; all words together are one more term, so that
-one hit in a long text is far from many in a short one. Each document then finds its `k` nearest
-examples in a block-max inverted index: for every term and block of examples the largest weight
-is kept, blocks are opened in the order of their upper bounds and only while the bound can still
-reach the k-th best cosine, so the result is the exact one. Votes weigh cosine squared times the
-number of labelled rows an example stands for; a logistic map fitted on leave-one-out votes of the
-examples turns them into probabilities. Ids, languages, sources and labels are no inputs of a score.
-
-Null and empty texts, and texts without any term, get the calibrated share of toxic examples without terms. Without
+Fit: up to `per_class` labelled rows of each label (lowest hashes of id) are examples. Terms are all
+their words and word beginnings of 4 to 8 bytes, none left out, so their number is bounded by the
+examples' texts; inverse document frequencies are counted over all documents. A term's weight is also
+multiplied by the root of one tenth plus its log-likelihood ratio between the labels: terms without evidence
+weigh little, but every shared term counts. The cosine is taken over these terms. Each document that
+shares any term finds its `k` nearest examples in a block-max inverted index: postings of the rarer terms are summed, for terms
+held by many examples the largest weight of every block of examples bounds what they can add, and they
+are read only for examples whose bound reaches the k-th best cosine, so the result is the exact one. Votes weigh
+cosine squared times the number of labelled rows an example stands for; a logistic map fitted on
+leave-one-out votes of the examples turns them into probabilities. Ids, languages, sources and labels are no
+inputs of a score.
+
+Null and empty texts, and texts that share no term, get the calibrated share of toxic examples without terms. Without
 labelled rows every score is 0. A row labelled both ways counts as toxic; null labels are ignored;
 repeated rows score alike. Texts are read whole; only sums and bounded samples are gathered.
 """
@@ -27,10 +28,10 @@ from pyspark.sql import types as T
 from gyre.llm import text as X
 
 PER_CLASS = 2000
-TERMS = 256
-LEAST_RATIO = 25.0
 NEIGHBOURS = 15
 BLOCK_EXAMPLES = 32
+COMMON = 2  # terms of more than 1 / COMMON of the examples are read last
+NO_EVIDENCE = 0.1
 BEGINNINGS = (4, 5, 6, 7, 8)
 
 
@@ -57,92 +58,96 @@ def _blocks(column):
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
+def _occurrences(column):
+    """(row, feature) of all occurrences in a batch."""
+    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for lo, _, data, offsets in _blocks(column):
+        for features, doc in _features(data, offsets):
+            rows.append(doc + lo)
+            found.append(features)
+    return np.concatenate(rows), np.concatenate(found)
+
+
 class Vocabulary:
+    """Places of features in the ascending `terms`, through a table of their leading bits."""
+
     def __init__(self, terms: np.ndarray):
-        self.terms = np.sort(terms)
-        self.maybe = np.zeros(1 << 18, bool)
-        self.maybe[self.terms >> np.uint64(46)] = True
-
-    def counts(self, column, n_rows: int):
-        """(row, term, count) of all occurrences in a batch, rows ascending; a row with any term
-        also counts all its words under one more term, the last."""
-        rows, terms, words = [], [], np.zeros(n_rows, np.int64)
+        self.terms = terms
+        bits = len(terms).bit_length() + 2
+        self.shift = np.uint64(64 - bits)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount((terms >> self.shift).astype(np.int64), minlength=1 << bits))]).astype(np.int32)
+
+    def places(self, features: np.ndarray) -> np.ndarray:
+        """Place of every feature, -1 for unknown ones."""
+        out = np.full(len(features), -1, np.int64)
+        slot = (features >> self.shift).astype(np.int64)
+        at, end = self.first[slot], self.first[slot + 1]
+        live = np.flatnonzero(at < end)
+        while len(live):
+            same = self.terms[at[live]] == features[live]
+            out[live[same]] = at[live[same]]
+            live = live[~same]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
+
+    def counts(self, column):
+        """(row, term, count) of all occurrences in a batch, rows ascending."""
+        width, keys = max(len(self.terms), 1), [np.zeros(0, np.int64)]
         for lo, _, data, offsets in _blocks(column):
-            for kind, (features, doc) in enumerate(_features(data, offsets)):
-                if kind == 0:
-                    words += np.bincount(doc + lo, minlength=n_rows)
-                at = np.flatnonzero(self.maybe[features >> np.uint64(46)])
-                place = np.searchsorted(self.terms, features[at])
-                place[place == len(self.terms)] = 0
-                good = self.terms[place] == features[at] if len(self.terms) else np.zeros(0, bool)
-                rows.append(doc[at[good]] + lo)
-                terms.append(place[good])
-        width = len(self.terms) + 1
-        if not rows:
-            return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
-        key, count = np.unique(np.concatenate(rows) * width + np.concatenate(terms), return_counts=True)
-        some = np.unique(key // width)
-        key, count = np.concatenate([key, some * width + width - 1]), np.concatenate([count, words[some]])
-        order = np.argsort(key)
-        return key[order] // width, key[order] % width, count[order]
-
-
-def _support(batches):
-    """Examples of either label that hold a feature, summed over the batch."""
-    for batch in batches:
-        toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-        parts, owner = [], []
-        for lo, _, data, offsets in _blocks(batch.column("text")):
             for features, doc in _features(data, offsets):
-                both = np.unique(np.stack([features, (doc + lo).astype(np.uint64)], 1), axis=0) if len(features) else np.zeros((0, 2), np.uint64)
-                parts.append(both[:, 0])
-                owner.append(both[:, 1].astype(np.int64))
-        every = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        names, place = np.unique(every, return_inverse=True)
-        label = toxic[np.concatenate(owner)] if parts else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(names.view(np.int64)),
-                pa.array(np.bincount(place, label, minlength=len(names)).astype(np.int64)),
-                pa.array(np.bincount(place, 1 - label, minlength=len(names)).astype(np.int64)),
-            ],
-            names=["feature", "toxic", "clean"],
-        )
+                place = self.places(features)
+                good = place >= 0
+                keys.append((doc[good] + lo) * width + place[good])
+        key, count = np.unique(np.concatenate(keys), return_counts=True)
+        return key // width, key % width, count
 
 
 def _document_frequency(shared):
     def run(batches):
         vocabulary = Vocabulary(shared.value)
-        df, n = np.zeros(len(vocabulary.terms) + 1, np.int64), 0
+        df, n = np.zeros(len(vocabulary.terms), np.int64), 0
         for batch in batches:
-            _, term, _ = vocabulary.counts(batch.column("text"), batch.num_rows)
-            df += np.bincount(term, minlength=len(df))[: len(df)]
+            _, term, _ = vocabulary.counts(batch.column("text"))
+            df += np.bincount(term, minlength=len(df))
             n += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(df) - 1), -1], pa.int32()), pa.array([*df[:-1], n], pa.int64())], names=["term", "df"])
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([*held, -1], pa.int32()), pa.array([*df[held], n], pa.int64())], names=["term", "df"])
 
     return run
 
 
-def _example_rows(shared):
-    def run(batches):
-        vocabulary = Vocabulary(shared.value)
-        for batch in batches:
-            row, term, count = vocabulary.counts(batch.column("text"), batch.num_rows)
-            cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("toxic"),
-                    pa.array([X.packed(term[a:b].astype(np.int32)) for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                    pa.array([X.packed(count[a:b].astype(np.int32)) for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                ],
-                names=["toxic", "term", "count"],
-            )
+def _example_rows(batches):
+    """Distinct features of an example and their counts."""
+    for batch in batches:
+        row, feature = _occurrences(batch.column("text"))
+        names, place = np.unique(feature, return_inverse=True)
+        key, count = np.unique(row * max(len(names), 1) + place, return_counts=True)
+        row, feature = key // max(len(names), 1), names[key % max(len(names), 1)]
+        cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("toxic"),
+                pa.array([X.packed(feature[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
+                pa.array([X.packed(count[a:b].astype(np.int32)) for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
+            ],
+            names=["toxic", "feature", "count"],
+        )
 
-    return run
 
+def _evidence(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Log-likelihood ratio of every term held by `toxic` and `clean` examples."""
+
+    def part(seen, of, share):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(seen > 0, seen * np.log(seen / (of * share)), 0.0) + np.where(of > seen, (of - seen) * np.log((of - seen) / (of * (1 - share))), 0.0)
+
+    share = (toxic + clean) / max(n_toxic + n_clean, 1)
+    return np.maximum(2 * (part(toxic, n_toxic, share) + part(clean, n_clean, share)), 0.0)
 
-def _weights(term: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(count)) * idf[term]
+
+def _weights(term: np.ndarray, count: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    w = (1 + np.log(count)) * scale[term]
     return w / np.sqrt(w @ w)
 
 
@@ -150,57 +155,80 @@ class BlockMaxIndex:
     """Exact k nearest examples; `matrix` holds a row of unit weights an example."""
 
     def __init__(self, matrix: np.ndarray, block: int = BLOCK_EXAMPLES):
-        self.order = np.lexsort(matrix.T[::-1]) if len(matrix) else np.zeros(0, int)
-        self.postings = np.ascontiguousarray(matrix[self.order].T)
-        self.starts = np.arange(0, len(matrix), block)
-        self.tops = np.maximum.reduceat(self.postings, self.starts, axis=1) if len(matrix) else self.postings
-        self.block = block
+        row, term = np.nonzero(matrix)
+        self._build(row, term, matrix[row, term], *matrix.shape, block)
+
+    @classmethod
+    def of(cls, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, width: int, block: int = BLOCK_EXAMPLES) -> BlockMaxIndex:
+        """The index of `n` examples given as (row, term, weight) triples."""
+        index = cls.__new__(cls)
+        index._build(row, term, weight, n, width, block)
+        return index
+
+    def _build(self, row, term, weight, n: int, width: int, block: int) -> None:
+        held = np.bincount(term, minlength=width)
+        common = held * COMMON > n
+        self.n, self.common = n, np.where(common, np.cumsum(common) - 1, -1).astype(np.int32)
+        self.dense = np.zeros((n, int(common.sum())))
+        often = common[term]
+        self.dense[row[often], self.common[term[often]]] = weight[often]
+        row, term, weight = row[~often], term[~often], weight[~often]
+        order = np.lexsort((row, term))
+        self.examples, self.weights = row[order].astype(np.intp), weight[order].astype(float)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=width))])
+        self.block_of = np.arange(n) // block
+        self.tops = np.maximum.reduceat(self.dense, np.arange(0, n, block), axis=0).T.copy() if n else np.zeros((self.dense.shape[1], 0))
+
+    def _read(self, place: np.ndarray, column: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What the common terms add; einsum, as BLAS would start threads in every worker."""
+        return np.einsum("ij,j->i", self.dense[np.ix_(place, column)], weight)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) in falling order; ties go to the lower place in the index."""
-        bound = weight @ self.tops[term]
-        place, score, worst = np.zeros(0, int), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(score) >= k and bound[b] < worst):
-                break
-            lo = self.starts[b]
-            own = weight @ self.postings[term, lo : lo + self.block]
-            at = np.arange(lo, lo + len(own))
-            good = (own > 0) & (self.order[at] != skip)
-            place, score = np.concatenate([place, at[good]]), np.concatenate([score, own[good]])
-            best = np.lexsort((place, -score))[:k]
-            place, score = place[best], score[best]
-            worst = score[-1] if len(score) else 0.0
-        return self.order[place], score
+        if not self.n:
+            return np.zeros(0, int), np.zeros(0)
+        start = self.first[term]
+        size = self.first[term + 1] - start
+        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        sure = np.bincount(self.examples[at], self.weights[at] * np.repeat(weight, size), minlength=self.n)
+        column = self.common[term]
+        often = column >= 0
+        column, heavy = column[often], weight[often]
+        bound = sure + np.einsum("i,ij->j", heavy, self.tops[column])[self.block_of] * (1 + 1e-9) if len(column) else sure
+        place = np.arange(self.n)
+        if len(column) and self.n > k + 1:
+            ahead = np.argpartition(-bound, k)[: k + 1]
+            good = ahead[ahead != skip]
+            worst = np.sort(sure[good] + self._read(good, column, heavy))[-k]
+            place = np.flatnonzero(bound >= worst * (1 - 1e-9))
+        place = place[place != skip]
+        score = sure[place] + self._read(place, column, heavy)
+        best = np.lexsort((place, -score))[:k]
+        best = best[score[best] > 0]
+        return place[best], score[best]
 
 
 class Model:
-    """Index, votes and calibration; small, fitted on the driver from bounded samples."""
-
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, rows: list[tuple], stands_for: dict[int, float], k: int):
-        self.terms, self.idf, self.k = np.sort(terms), idf, k
-        vectors, labels, blank = [], [], [0.0, 0.0]
-        for toxic, term, count in rows:
-            if not len(term):
-                blank[toxic] += stands_for[toxic]
-                continue
-            vector = np.zeros(len(self.terms) + 1)
-            vector[term] = _weights(term, count, idf)
-            vectors.append(vector)
-            labels.append(toxic)
-        matrix = np.array(vectors).reshape(len(vectors), len(self.terms) + 1)
-        order = np.lexsort(np.column_stack([matrix, labels]).T[::-1]) if vectors else np.zeros(0, int)
-        matrix = matrix[order]
-        self.labels = np.array(labels, np.int64)[order] if vectors else np.zeros(0, np.int64)
+    """Index, votes and calibration; fitted on the driver from bounded samples."""
+
+    def __init__(self, terms: np.ndarray, scale: np.ndarray, rows: list[tuple], stands_for: dict[int, float], k: int):
+        self.terms, self.scale, self.k = terms, scale, k
+        rows = sorted(rows, key=lambda r: (r[1].tobytes(), r[2].tobytes(), r[0]))
+        full = [r for r in rows if len(r[1])]
+        blank = [sum(stands_for[x] for t, term, _ in rows if t == x and not len(term)) for x in (0, 1)]
+        vectors = [_weights(term, count, scale) for _, term, count in full]
+        self.labels = np.array([r[0] for r in full], np.int64)
         self.stands_for = np.array([stands_for.get(x, 1.0) for x in (0, 1)])
-        self.index = BlockMaxIndex(matrix)
+        join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+        row = np.repeat(np.arange(len(full)), [len(v) for v in vectors])
+        self.index = BlockMaxIndex.of(row, join([r[1] for r in full], np.int64), join(vectors, float), len(full), len(terms))
         everyone = np.array(blank) + [self.stands_for[x] * (self.labels == x).sum() for x in (0, 1)]
         self.base = (everyone[1] + 0.5) / (everyone.sum() + 1.0)
         self.blank_raw = (blank[1] + 0.5 * self.base) / (sum(blank) + 0.5)
         self.slope, self.shift = 1.0, 0.0
         self.known = bool(rows)
-        if len(matrix) and len(set(self.labels)) == 2:
-            raw = [self.raw(np.flatnonzero(v), v[v > 0], i) for i, v in enumerate(matrix)]
+        if len(set(self.labels)) == 2:
+            raw = [self.raw(r[1], v, i) for i, (r, v) in enumerate(zip(full, vectors))]
             self._calibrate(np.array([*raw, self.blank_raw, self.blank_raw]), np.array([*self.labels, 0, 1]), np.array([*self.stands_for[self.labels], *blank]))
 
     def raw(self, term: np.ndarray, weight: np.ndarray, skip: int = -1) -> float:
@@ -243,12 +271,12 @@ def _score(shared, text_col: str):
         blank = model.score(model.blank_raw)
         for batch in batches:
             n = batch.num_rows
-            row, term, count = vocabulary.counts(batch.column("row").field(text_col), n)
+            row, term, count = vocabulary.counts(batch.column("row").field(text_col))
             score, nearest, votes = np.full(n, blank), np.zeros(n), np.zeros(n, np.int64)
             cut = np.searchsorted(row, np.arange(n + 1))
             for i in np.unique(row):
                 t, c = term[cut[i] : cut[i + 1]], count[cut[i] : cut[i + 1]]
-                weight = _weights(t, c, model.idf)
+                weight = _weights(t, c, model.scale)
                 example, cosine = model.index.nearest(t, weight, model.k)
                 score[i] = model.score(model.vote(example, cosine))
                 votes[i] = model.labels[example].sum()
@@ -260,7 +288,7 @@ def _score(shared, text_col: str):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: int = TERMS, k: int = NEIGHBOURS, least_ratio: float = LEAST_RATIO) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int = NEIGHBOURS) -> Model:
     """`docs` (doc_id, text) and `labels` (doc_id, toxic), the rows to learn from."""
     spark = docs.sparkSession
     rows = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -269,23 +297,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: i
     sample = spark.createDataFrame([tuple(r) for p in picked for r in p.collect()], "doc_id long, toxic int")
     examples = docs.join(F.broadcast(sample), "doc_id").select("toxic", "text")
     have = {x: min(per_class, totals.get(x, 0)) for x in (0, 1)}
-    support = examples.mapInArrow(_support, "feature long, toxic long, clean long").groupBy("feature").agg(
-        F.sum("toxic").cast("double").alias("t"), F.sum("clean").cast("double").alias("c")
-    )
-    a, b = float(max(have[1], 1)), float(max(have[0], 1))
-    share = (F.col("t") + F.col("c")) / (a + b)
-    gain = lambda seen, of: F.when(seen > 0, seen * F.ln(seen / (share * of))).otherwise(0.0)
-    rest = lambda seen, of: F.when(of - seen > 0, (of - seen) * F.ln((of - seen) / ((1 - share) * of))).otherwise(0.0)
-    ratio = 2 * (gain(F.col("t"), a) + gain(F.col("c"), b) + rest(F.col("t"), a) + rest(F.col("c"), b))
-    best = support.where((F.col("t") / a > F.col("c") / b) & (F.col("t") <= a) & (F.col("c") <= b)).withColumn("ratio", ratio).where(F.col("ratio") >= least_ratio)
-    chosen = np.array([r["feature"] for r in best.orderBy(F.desc("ratio"), "feature").limit(terms).collect()], np.int64).view(np.uint64)
-    shared = spark.sparkContext.broadcast(chosen)
-    counts = docs.select("text").mapInArrow(_document_frequency(shared), "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    df = {r["term"]: r["df"] for r in counts.collect()}
-    idf = np.log1p([*(df.get(-1, 0) / max(df.get(i, 0), 1) for i in range(len(chosen))), 1.0])
-    vectors = examples.mapInArrow(_example_rows(shared), "toxic int, term binary, count binary").collect()
-    rows = [(r["toxic"], X.unpacked(r["term"], np.int32), X.unpacked(r["count"], np.int32)) for r in vectors]
-    return Model(chosen, idf, rows, {x: totals.get(x, 0) / max(have[x], 1) for x in (0, 1)}, k)
+    seen = [(r["toxic"], X.unpacked(r["feature"]), X.unpacked(r["count"], np.int32)) for r in examples.mapInArrow(_example_rows, "toxic int, feature binary, count binary").collect()]
+    terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *(f for _, f, _ in seen)]))
+    rows = [(x, np.searchsorted(terms, f), c) for x, f, c in seen]
+    held = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for x, t, _ in rows if x == label)]), minlength=len(terms)) for label in (0, 1)]
+    shared = spark.sparkContext.broadcast(terms)
+    counts = docs.select("text").mapInArrow(_document_frequency(shared), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    term, df = counts["term"].to_numpy(), counts["df"].to_numpy()
+    n, df_of = df[term < 0].sum(), np.ones(len(terms), np.int64)
+    df_of[term[term >= 0]] = df[term >= 0]
+    evidence = _evidence(held[1], held[0], *(sum(x == label for x, _, _ in rows) for label in (1, 0)))
+    return Model(terms, np.log1p(n / df_of) * np.sqrt(NO_EVIDENCE + evidence), rows, {x: totals.get(x, 0) / max(have[x], 1) for x in (0, 1)}, k)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn: Column | None = None, **parameters) -> DataFrame:

@@ -43,3 +43,36 @@ def test_without_labels_and_empty(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity(documents(spark, ["a b", None]), labels).collect()] == [0.0, 0.0]
     assert toxicity(documents(spark, []).limit(0), labels).collect() == []
+
+
+def test_rare_toxic_words_of_a_large_lexicon(spark):
+    """400 abusive words, each in 1 to 5 labelled rows: no word is frequent enough to stand out alone."""
+    rng = random.Random(11)
+    bad = ["".join(rng.choice("pqrstuvwxyz") for _ in range(9)) for _ in range(400)]
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    texts, toxic = [], {}
+    for i in range(900):
+        t = [rng.choice(plain) for _ in range(50)]
+        if i % 5 == 0:
+            for w in rng.sample(bad, 6):
+                t.insert(rng.randrange(len(t)), w)
+        texts.append(" ".join(t))
+        toxic[i] = int(i % 5 == 0)
+    held = [sum(w in texts[i].split() for i in range(0, 600, 5)) for w in bad]
+    bad_seen = {w for w, n in zip(bad, held) if 1 <= n <= 5}
+    assert len(bad_seen) > 300
+    labels = spark.createDataFrame([(i, toxic[i]) for i in range(600)], "doc_id long, toxic int")
+    rows = {r.row.doc_id: r for r in toxicity(documents(spark, texts), labels).collect()}
+    found = [rows[i].predicted for i in range(600, 900) if toxic[i] and bad_seen & set(texts[i].split())]
+    assert sum(found) >= 0.9 * len(found) and len(found) >= 55
+    assert sum(rows[i].predicted for i in range(600, 900) if not toxic[i]) <= 5
+    one = sum(n == 1 for n in held)
+    assert one > 50 and all(0 <= r.score <= 1 for r in rows.values())
+
+
+def test_every_shared_term_counts(spark):
+    texts = ["zorgle one two", "mild one four", "zorgle", "mild", "unseen"]
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    rows = {r.row.doc_id: r for r in toxicity(documents(spark, texts), labels).collect()}
+    assert rows[2].nearest > 0 and rows[3].nearest > 0 and rows[4].nearest == 0
+    assert rows[2].score > rows[3].score
