@@ -13,13 +13,14 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gyre.llm.text import packed, unpacked
 from gyre.session import shared_dir
 
+CHUNK_BYTES = 16 << 20
 ASK = "chunk long, bucket int, names binary, counts binary"
 REPLY = "chunk long, names binary, counts binary, first binary"
 _ask = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("names", pa.binary()), ("counts", pa.binary())])
@@ -65,11 +66,19 @@ def _payloads(batches):
         yield pa.RecordBatch.from_arrays([pa.array(chunk[cuts], pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "payload"])
 
 
-def in_chunks(docs: DataFrame, by: tuple[str, ...] = ("doc_id", "text"), per_partition: int = 1) -> DataFrame:
-    """`docs` as rows (chunk, payload), dealt by a hash of the columns `by`. The exchange is the
-    same wherever this frame is used in a plan, so Spark writes it once."""
-    n = partitions(docs)
-    chunk = F.pmod(F.xxhash64(*by), F.lit(n * per_partition)).alias("chunk")
+def chunks_for(df: DataFrame, size: Column, chunk_bytes: int = CHUNK_BYTES) -> int:
+    """So many chunks that one holds about `chunk_bytes`, one a shuffle partition at least."""
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return max(partitions(df), -(-total // chunk_bytes))
+
+
+def in_chunks(docs: DataFrame, by: tuple[str, ...] | None = ("doc_id", "text"), per_partition: int = 1, chunks: int | None = None) -> DataFrame:
+    """`docs` as rows (chunk, payload), dealt by a hash of the columns `by` (None: of the row's number, for
+    tables in files, where equal rows have to spread). The exchange is the same wherever this frame is
+    used in a plan, so Spark writes it once."""
+    n = chunks or partitions(docs)
+    key = F.xxhash64(*by) if by else F.xxhash64(F.monotonically_increasing_id())
+    chunk = F.pmod(key, F.lit(n * per_partition)).alias("chunk")
     return docs.select(chunk, *docs.columns).mapInArrow(_payloads, "chunk long, payload binary").repartition(n, "chunk")
 
 
@@ -97,7 +106,7 @@ def ask_rows(chunk: int, names: np.ndarray, counts: np.ndarray, buckets: int) ->
     )
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _answer(table: pa.Table, least: int = 2) -> pa.Table:
     names = [decoded(b) for b in table["names"].to_pylist()]
     sizes = np.array([len(x) for x in names], np.int64)
     names = np.concatenate(names)
@@ -111,7 +120,7 @@ def _answer(table: pa.Table) -> pa.Table:
     total = np.repeat(totals, lengths)
     first = np.zeros(len(names), np.uint8)
     first[cuts] = 1
-    keep = total >= 2
+    keep = total >= least
     names, total, first, row = names[keep], np.minimum(total[keep], 2**32 - 1).astype(np.uint32), first[keep], row[keep]
     order = np.argsort(row, kind="stable")
     names, total, first, row = names[order], total[order], first[order], row[order]
@@ -129,10 +138,14 @@ def _answer(table: pa.Table) -> pa.Table:
     )
 
 
-def answers(asks: DataFrame) -> DataFrame:
-    """Rows of `ASK` to rows of `REPLY`: names with a total of two or more, `first` marking the
+def answers(asks: DataFrame, least: int = 2) -> DataFrame:
+    """Rows of `ASK` to rows of `REPLY`: names with a total of `least` or more, `first` marking the
     one chunk (the lowest) that stands for the name."""
-    return asks.groupBy("bucket").applyInArrow(_answer, REPLY)
+
+    def run(table: pa.Table) -> pa.Table:
+        return _answer(table, least)
+
+    return asks.groupBy("bucket").applyInArrow(run, REPLY)
 
 
 def reply_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

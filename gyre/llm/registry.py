@@ -15,6 +15,9 @@ MODULES = (
     "toxicity",
     "mixing",
     "vectors",
+    "ranked_search",
+    "sharding",
+    "collocations",
 )
 
 
