@@ -1,12 +1,14 @@
-"""Exact order statistics whose cost does not depend on how rows spread over the keys.
+"""Exact order statistics by range partitioning, whatever the spread of rows over the keys.
 
 A plain grouped `percentile` keeps a whole group's value table in one buffer, and a plain
 `row_number` sorts a whole group in one task. Both are fine for groups whose size the data
 model bounds (the pixels of one frame, the slots of one cycle) and unusable for a key that
-holds a third of all rows. The functions here first collapse equal values, then cut the few
-heaviest keys into value bins found by a mergeable sketch, so that no task ever sees more
-than a small fixed share of the rows. The ranks stay exact: the sketch only chooses where
-to cut, the counts per bin are exact.
+holds a third of all rows. Here the rows (keys, value) are put into one total order: equal values
+are collapsed, a sample chosen by hash cuts the order into as many pieces as the session has shuffle
+partitions, each piece is ranked on its own, and the counts of the pieces before it are added. A
+key with nine tenths of the values is spread over nine tenths of the pieces, a million small
+keys share one. The sample only chooses where to cut; counts, and so ranks, are exact. Cuts are a
+function of the data alone, so a task that is run again places its rows as before.
 """
 
 from __future__ import annotations
@@ -14,9 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEAVY_VALUES = 200_000  # distinct values from which a key is cut into bins
-HEAVY_KEYS = 256  # at most this many keys are cut; any other holds < 1/256 of the values
-SIDE = 16  # SIDE * SIDE value bins per heavy key
+SAMPLE = 64  # sampled rows for each piece
 
 
 def value_table(
@@ -31,57 +31,49 @@ def value_table(
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(agg.alias("cnt"), *extra)
 
 
-def ranked_values(
-    counts: DataFrame,
-    keys: list[str],
-    value: str,
-    heavy_values: int = HEAVY_VALUES,
-) -> DataFrame:
+def _pieces(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """`df` with `__piece`, the place of a row's (order) among n - 1 cuts sampled from all rows."""
+    rows = F.struct(*df.columns)  # all columns, so that the sample reads the exchange that the ranking reads
+    sample = df.select(rows.alias("r"), F.xxhash64(*order).alias("h")).orderBy("h", *[F.col(f"r.{c}") for c in order]).limit(SAMPLE * n)
+    at = lambda x: F.struct(*[x[c].alias(c) for c in order])
+    every = sample.agg(F.sort_array(F.transform(F.collect_list("r"), at)).alias("s"))
+    step = F.sequence(F.lit(1), F.lit(n - 1))
+    cuts = every.select(
+        F.when(F.size("s") > 0, F.transform(step, lambda i: F.element_at("s", F.floor(i * F.size("s") / n).cast("int") + 1))).alias("cuts")
+    ).scalar()
+    side = max(2, round(n**0.5))
+    here, below = F.struct(*[F.col(c) for c in order]), lambda c: c <= F.col("__here")
+    placed = df.withColumn("__here", here).withColumn("__cuts", cuts)
+    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.lit(max(1, (n - 1) // side))), lambda i: F.get("__cuts", i * side - 1)), below))
+    placed = placed.withColumn("__coarse", coarse)
+    fine = F.size(F.filter(F.slice("__cuts", F.col("__coarse") * side + 1, F.lit(side)), below))
+    return placed.withColumn("__piece", F.col("__coarse") * side + fine).drop("__here", "__cuts", "__coarse")
+
+
+def ranked_values(counts: DataFrame, keys: list[str], value: str, pieces: int | None = None) -> DataFrame:
     """Add `below` (rows with a smaller value) and `total` per key to a value table."""
-    counts = counts.select(*keys, value, *[c for c in counts.columns if c not in (*keys, value)])
-    bins = SIDE * SIDE
-    # Sizes first: the sketch is then built for the few heavy keys only. Both broadcasts
-    # hold at most HEAVY_KEYS rows by the limit.
-    largest = (
-        counts.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__d"))
-        .where(F.col("__d") > heavy_values)
-        .orderBy(F.col("__d").desc(), *keys)
-        .limit(HEAVY_KEYS)
-        .select(*keys)
-    )
-    heavy = (
-        counts.join(F.broadcast(largest), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx(value, [i / bins for i in range(1, bins)], 20 * bins).alias("__cuts"))
-    )
-    cut = counts.join(F.broadcast(heavy), keys, "left")
-    coarse = F.size(
-        F.filter(
-            F.transform(F.sequence(F.lit(1), F.lit(SIDE - 1)), lambda i: F.element_at("__cuts", i * SIDE)),
-            lambda c: c < F.col(value),
-        )
-    )
-    fine = F.size(
-        F.filter(F.slice("__cuts", coarse * SIDE + 1, SIDE), lambda c: c < F.col(value))
-    )
-    cut = cut.withColumn("__cut", F.col("__cuts").isNotNull()).withColumn(
-        "__bin", F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(coarse * SIDE + fine)
-    ).drop("__cuts")
-    part = Window.partitionBy(*keys, "__bin")
-    run = cut.withColumn("__run", F.sum("cnt").over(part.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    n = pieces or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = _pieces(counts, [*keys, value], n) if n > 1 else counts.withColumn("__piece", F.lit(0))
+    part = Window.partitionBy(*keys, "__piece")
+    run = laid.withColumn("__run", F.sum("cnt").over(part.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
     run = run.withColumn("__tot", F.sum("cnt").over(part))
-    # Offsets exist for cut keys only: at most HEAVY_KEYS * SIDE * SIDE rows.
+    if n == 1:
+        return run.select(*counts.columns, (F.col("__run") - F.col("cnt")).alias("below"), F.col("__tot").alias("total"))
+    # Only a key that a cut parts needs sums of other pieces: n - 1 cuts part n - 1 keys at most,
+    # and leave at most 2 (n - 1) rows, which bounds the broadcast.
     by_key = Window.partitionBy(*keys)
     offsets = (
-        cut.where("__cut")
-        .groupBy(*keys, "__bin")
+        laid.groupBy(*keys, "__piece")
         .agg(F.sum("cnt").alias("__n"))
-        .withColumn("__off", F.sum("__n").over(by_key.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("__off", F.sum("__n").over(by_key.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("__all", F.sum("__n").over(by_key))
-        .drop("__n")
+        .where(F.col("__all") > F.col("__n"))
+        .select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__piece").alias("__p"), "__off", "__all")
     )
-    out = run.join(F.broadcast(offsets), keys + ["__bin"], "left")
+    same = F.col("__piece") == F.col("__p")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    out = run.join(F.broadcast(offsets), same, "left")
     return out.select(
         *counts.columns,
         (F.coalesce("__off", F.lit(0)) + F.col("__run") - F.col("cnt")).alias("below"),
@@ -120,13 +112,13 @@ def quantiles(
     value: str,
     qs: dict[str, float],
     extra: dict[str, Column] | None = None,
-    heavy_values: int = HEAVY_VALUES,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per key for groups of any size; null values are left out.
 
     `extra` aggregates run over the ranked value table (columns `value`, `cnt`).
     """
-    ranked = ranked_values(value_table(df, keys, value), keys, value, heavy_values)
+    ranked = ranked_values(value_table(df, keys, value), keys, value, pieces)
     return quantiles_of_ranked(ranked, keys, value, qs, extra)
 
 

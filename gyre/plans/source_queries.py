@@ -1,10 +1,9 @@
 """Sources, sinks and their checks (family A)."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gyre.plans.registry import query, r6
-from gyre.session import shared_dir
+from gyre.session import scratch_dir
 from gyre.sources import frames as A
 
 
@@ -58,13 +57,12 @@ def validate_sequence(t):
     """WITH p AS (SELECT page_id, url, regexp_extract_all(url, '([0-9]+|[^0-9]+)', 1) AS parts FROM pages),
     k AS (SELECT page_id, list_transform(parts, lambda s: CASE WHEN regexp_matches(s, '^[0-9]')
              THEN (1, CAST(length(regexp_replace(s, '^0+', '')) AS INTEGER), regexp_replace(s, '^0+', '')) ELSE (0, 0, lower(s)) END) AS k FROM p)
-    SELECT page_id, CAST(rank() OVER (PARTITION BY page_id // 64 ORDER BY k) AS INTEGER) AS place FROM k""",
+    SELECT page_id, CAST(rank() OVER (ORDER BY k) AS BIGINT) AS place FROM k""",
 )
 def natural_order(t):
-    """Natural-order place of every page within its block of 64 pages (bounded by the unique id)."""
-    block = Window.partitionBy(F.floor(F.col("page_id") / 64)).orderBy("key")
+    """Place of every page in the natural order of all of them."""
     keyed = t.pages.select("page_id", A.natural_key(F.col("url")).alias("key"))
-    return keyed.select("page_id", F.rank().over(block).alias("place"))
+    return A.natural_order(keyed, "key").select("page_id", "place")
 
 
 @query(
@@ -149,7 +147,7 @@ def write_trace(t):
     rows = t.events.select(
         F.col("user_id").alias("series_id"), "event_id", F.when(F.col("value") < 400, F.col("value")).otherwise(F.lit(float("nan"))).alias("value")
     )
-    path = A.write_table(rows, shared_dir(t.spark), "csv")
+    path = A.write_table(rows, scratch_dir(t.spark), "csv")
     back = t.spark.read.schema("series_id bigint, event_id bigint, value double").option("header", "true").csv(path)
     return back.groupBy("series_id").agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("finite_rows"), F.sum("value").alias("total"))
 

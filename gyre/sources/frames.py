@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gyre.functions.guards import finite
+from gyre.functions.ranking import ranked_values, value_table
 
 MANIFEST = T.StructType(
     [
@@ -116,6 +117,16 @@ def natural_key(name: Column) -> Column:
     )
 
 
+def natural_order(df: DataFrame, key: str, keys: list[str] | None = None) -> DataFrame:
+    """Add `place`, the 1-based rank of `key` among all rows (of `keys`), equal keys sharing the lowest.
+
+    Ranks come from range pieces of the whole order, so neither the table nor a hot key is sorted in one task.
+    """
+    keys = keys or []
+    ranked = ranked_values(value_table(df, keys, key), keys, key)
+    return df.join(ranked.select(*keys, key, (F.col("below") + 1).alias("place")), [*keys, key])
+
+
 def trailing_index(name: Column) -> Column:
     """Trailing integer of the file stem, or null."""
     stem = F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.[^.]*$", "")

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from gyre.functions import ranking as R
 from gyre.operators import sequence as S
 from gyre.operators.evidence import nearest_to_quantile, weighted_quantile
 from gyre.operators.traces import trace_summary
+from gyre.sources.frames import natural_key, natural_order
 
 
 def skewed(spark):
@@ -16,11 +19,11 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "k string, v double").repartition(7)
 
 
-@pytest.mark.parametrize("heavy", [50, 10**9])
-def test_quantiles_are_exact_with_and_without_cutting(spark, heavy):
+@pytest.mark.parametrize("pieces", [1, 2, 7, 40])
+def test_quantiles_are_exact_for_any_number_of_pieces(spark, pieces):
     rows, df = skewed(spark)
     qs = {"a": 0.1, "b": 0.5, "c": 0.9, "d": 0.0, "e": 1.0}
-    got = {r.k: r for r in R.quantiles(df, ["k"], "v", qs, heavy_values=heavy).collect()}
+    got = {r.k: r for r in R.quantiles(df, ["k"], "v", qs, pieces=pieces).collect()}
     for key in ("hot", "flat", "two", "small"):
         data = np.array([v for k, v in rows if k == key])
         assert got[key].n == len(data)
@@ -28,20 +31,40 @@ def test_quantiles_are_exact_with_and_without_cutting(spark, heavy):
             assert abs(got[key][name] - np.quantile(data, q)) < 1e-9
 
 
-@pytest.mark.parametrize("heavy", [50, 10**9])
-def test_ranks_are_tie_averaged(spark, heavy):
+@pytest.mark.parametrize("pieces", [1, 2, 7, 40])
+def test_ranks_are_tie_averaged(spark, pieces):
     rows, df = skewed(spark)
-    ranked = R.ranked_values(R.value_table(df, ["k"], "v"), ["k"], "v", heavy)
+    ranked = R.ranked_values(R.value_table(df, ["k"], "v"), ["k"], "v", pieces)
     got = {(r.k, r.v): (r.below, r.cnt, r.total) for r in ranked.collect()}
     data = np.array([v for k, v in rows if k == "hot"])
     for v in np.unique(data):
         assert got[("hot", v)] == ((data < v).sum(), (data == v).sum(), len(data))
 
 
-def test_cut_bins_share_the_hot_key(spark):
+def test_pieces_share_the_hot_key(spark):
     _, df = skewed(spark)
-    plan = R.ranked_values(R.value_table(df, ["k"], "v"), ["k"], "v", 50)._jdf.queryExecution().toString()
-    assert "__bin" in plan and "CartesianProduct" not in plan
+    counts = R.value_table(df, ["k"], "v")
+    sizes = [r["count"] for r in R._pieces(counts, ["k", "v"], 16).groupBy("__piece").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * sum(sizes) / 16
+    plan = R.ranked_values(counts, ["k"], "v")._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_ranks_without_keys_nulls_and_empty_tables(spark):
+    df = spark.createDataFrame([(None, 3.0), (None, 1.0), ("a", 1.0), ("a", None), ("b", 2.0)], "k string, v double")
+    got = {(r.k, r.v): (r.below, r.total) for r in R.ranked_values(R.value_table(df, ["k"], "v"), ["k"], "v", 5).collect()}
+    assert got == {(None, 1.0): (0, 2), (None, 3.0): (1, 2), ("a", 1.0): (0, 1), ("b", 2.0): (0, 1)}
+    whole = {r.v: (r.below, r.cnt, r.total) for r in R.ranked_values(R.value_table(df, [], "v"), [], "v", 3).collect()}
+    assert whole == {1.0: (0, 2, 4), 2.0: (2, 1, 4), 3.0: (3, 1, 4)}
+    assert R.ranked_values(R.value_table(df.where("false"), ["k"], "v"), ["k"], "v", 5).collect() == []
+
+
+def test_natural_order_of_all_rows(spark):
+    names = [f"{'AbC'[i % 3]}{i * 7 % 23}/{i % 5:03d}.png" for i in range(200)]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, name string").repartition(5)
+    got = {r.i: r.place for r in natural_order(df.withColumn("key", natural_key(F.col("name"))), "key").collect()}
+    key = [[(c.isdigit(), int(c) if c.isdigit() else 0, "" if c.isdigit() else c.lower()) for c in re.findall(r"\d+|\D+", n)] for n in names]
+    assert got == {i: 1 + sum(other < key[i] for other in key) for i in range(200)}
 
 
 def test_summary_matches_numpy(spark):
