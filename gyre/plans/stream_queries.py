@@ -15,22 +15,14 @@ from gyre.streaming import flows
     FROM pixels p JOIN c ON c.series_id = p.series_id AND c.position = p.position WHERE valid AND in_mask GROUP BY 1, 2, 3""",
 )
 def stream_activity_map(t):
-    def to_pixels(batch):
-        k = F.col("k")
-        rows = batch.select(
-            F.floor(F.col("vec_id") / FRAMES).alias("series_id"), F.pmod("vec_id", F.lit(FRAMES)).alias("position"), F.posexplode("embedding").alias("k", "v")
-        )
-        x, y = (k % SIDE).cast("int"), F.floor(k / SIDE).cast("int")
-        inside = (F.abs(x - 3.5) + F.abs(y - 3.5) <= 6) & (F.abs(F.col("v")) < F.lit(0.3).cast("float"))
-        return rows.where(inside).select("series_id", "position", y.alias("y"), x.alias("x"), (F.lit(0.5) + F.col("v").cast("double")).alias("brightness"))
-
-    folder = flows.fresh_folder(t.spark, "activity")
-
-    def partials(batch, batch_id):
-        flows.activity_partials(to_pixels(batch), 0.9).write.mode("overwrite").parquet(f"{folder}/partials/batch={batch_id}")
-
-    flows.drain(flows.table_stream(t.spark, t.sf_dir, "embeddings"), partials, folder)
-    return flows.merge_activity(t.spark.read.parquet(f"{folder}/partials"))
+    rows = flows.table_stream(t.spark, t.sf_dir, "embeddings")
+    cell = F.transform("embedding", lambda v, k: F.struct((k % SIDE).cast("int").alias("x"), F.floor(k / SIDE).cast("int").alias("y"), v.alias("v")))
+    inside = F.filter(cell, lambda c: (F.abs(c["x"] - 3.5) + F.abs(c["y"] - 3.5) <= 6) & (F.abs(c["v"]) < F.lit(0.3).cast("float")))
+    pixels = rows.select("vec_id", inside.alias("cells")).select(
+        F.floor(F.col("vec_id") / FRAMES).alias("series_id"), F.pmod("vec_id", F.lit(FRAMES)).alias("position"),
+        F.size("cells").alias("expected"), F.lit(None).cast("timestamp").alias("arrived"), F.explode("cells").alias("c"),
+    ).select("series_id", "position", "c.y", "c.x", (F.lit(0.5) + F.col("c.v").cast("double")).alias("brightness"), "expected", "arrived")
+    return flows.stream_activity_map(pixels, flows.fresh_folder(t.spark, "activity"), 0.9)[0]
 
 
 @query(
@@ -44,13 +36,11 @@ def stream_activity_map(t):
            coalesce(max(length) FILTER (NOT state), 0) AS longest_false FROM l JOIN f USING (series_id) GROUP BY 1""",
 )
 def stream_runs(t):
-    def to_states(batch):
-        return batch.select(
-            F.pmod("event_id", F.lit(64)).alias("series_id"), F.floor(F.col("event_id") / 64).alias("position"),
-            F.when(F.col("event_type") != "error", F.col("value") < 30).alias("state"),
-        )
-
-    return flows.stream_runs(flows.table_stream(t.spark, t.sf_dir, "events"), to_states, ["series_id"], flows.fresh_folder(t.spark, "runs"))
+    states = flows.table_stream(t.spark, t.sf_dir, "events").select(
+        F.pmod("event_id", F.lit(64)).alias("series_id"), F.floor(F.col("event_id") / 64).alias("position"),
+        F.when(F.col("event_type") != "error", F.col("value") < 30).alias("state"), F.lit(None).cast("timestamp").alias("arrived"),
+    )
+    return flows.stream_runs(states, flows.fresh_folder(t.spark, "runs"))[0]
 
 
 @query(

@@ -1,20 +1,23 @@
 """Streaming forms: frames, states and observations that arrive over time.
 
-Every flow writes its micro-batch results under a folder named by the batch id, so a
-replayed batch overwrites itself (exactly once), and keeps only mergeable partial results.
-Late and out-of-order rows need no buffer: partials merge to the same answer in any order.
+Frames and runs are kept as keyed state until they are whole; how rows are cut into batches, and in which
+order they arrive, changes nothing. Every flow writes its micro-batch results under a folder named by the batch
+id, so a replayed batch overwrites itself (exactly once), and keeps only mergeable results.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gyre.functions.guards import ratio
 from gyre.operators.catalogue import canonical
-from gyre.session import shared_dir
+from gyre.session import scratch_dir
 
 
 def table_stream(spark: SparkSession, folder: str, table: str, schema: str | None = None, files_per_trigger: int = 64) -> DataFrame:
@@ -28,10 +31,11 @@ def table_stream(spark: SparkSession, folder: str, table: str, schema: str | Non
     )
 
 
-def drain(stream: DataFrame, each_batch, folder: str) -> None:
-    """Process all available input and stop; progress is kept under `folder`."""
+def drain(stream: DataFrame, each_batch, folder: str, mode: str = "append") -> None:
+    """Process all available input and stop; progress and state are kept under `folder`."""
     query = (
         stream.writeStream.foreachBatch(each_batch)
+        .outputMode(mode)
         .option("checkpointLocation", f"{folder}/progress")
         .trigger(availableNow=True)
         .start()
@@ -40,15 +44,109 @@ def drain(stream: DataFrame, each_batch, folder: str) -> None:
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def activity_partials(frames_px: DataFrame, dark_ratio: float = 0.65) -> DataFrame:
-    """Per pixel count, sum, sum of squares and dark count; a frame arrives whole in a batch."""
-    cut = frames_px.groupBy("series_id", "position").agg((F.median("brightness") * dark_ratio).alias("cut"))
+def with_state(stream: DataFrame) -> DataFrame:
+    """Keyed state lives in RocksDB, on the executors' disks and in the checkpoint folder."""
+    stream.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    )
+    return stream
+
+
+def passed(timers, at: int) -> bool:
+    """Whether the watermark has reached a timer."""
+    return timers.getCurrentWatermarkInMs() >= at
+
+
+class FrameStates(StatefulProcessor):
+    """Holds the pixels of one frame until it is whole, then emits them with their dark state.
+
+    A frame is whole with its expected number of pixels, or when the watermark has passed its last
+    arrival by `patience_ms`. What arrives for an emitted frame is late; a pixel sent twice counts once.
+    """
+
+    def __init__(self, dark_ratio: float, patience_ms: int | None):
+        self.dark_ratio, self.patience_ms = dark_ratio, patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pixels = handle.getMapState("pixels", "y int, x int", "brightness double")
+        self.emitted = handle.getValueState("emitted", "pixels int")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _out(self, key, rows: list, cut: float | None):
+        n = len(rows)
+        return pd.DataFrame(
+            {
+                "kind": ["late" if cut is None else "pixel"] * n, "series_id": [key[0]] * n, "position": [key[1]] * n,
+                "y": [r[0] for r in rows], "x": [r[1] for r in rows], "brightness": [r[2] for r in rows],
+                "dark": [None if cut is None else bool(r[2] < cut) for r in rows],
+            }
+        )
+
+    def _emit(self, key):
+        rows = sorted((k[0], k[1], v[0]) for k, v in self.pixels.iterator())
+        self.pixels.clear()
+        self.emitted.update((len(rows),))
+        if rows:
+            yield self._out(key, rows, float(np.median([r[2] for r in rows])) * self.dark_ratio)
+
+    def handleInputRows(self, key, rows, timerValues):
+        expected, arrived, late = None, [], []
+        if self.timer.exists() and not self.emitted.exists() and passed(timerValues, self.timer.get()[0]):
+            yield from self._emit(key)  # its timer would fire only after these rows
+        for batch in rows:
+            if self.emitted.exists():
+                late += list(zip(batch["y"], batch["x"], batch["brightness"]))
+                continue
+            for y, x, v in zip(batch["y"], batch["x"], batch["brightness"]):
+                if not self.pixels.containsKey((int(y), int(x))):
+                    self.pixels.updateValue((int(y), int(x)), (float(v),))
+            known = batch["expected"].dropna()
+            expected = int(known.max()) if len(known) else expected
+            arrived += list(batch["arrived"].dropna())
+        if late:
+            yield self._out(key, late, None)
+            return
+        if expected is not None and sum(1 for _ in self.pixels.keys()) >= expected:
+            yield from self._emit(key)
+        elif self.patience_ms is not None and arrived:
+            if self.timer.exists():
+                self.handle.deleteTimer(self.timer.get()[0])
+            at = int(max(arrived).timestamp() * 1000) + self.patience_ms
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if not self.emitted.exists():
+            yield from self._emit(key)
+
+    def close(self) -> None:
+        pass
+
+
+FRAME_STATES = "kind string, series_id long, position long, y int, x int, brightness double, dark boolean"
+
+
+def frame_states(pixels: DataFrame, dark_ratio: float, patience: str | None = None) -> DataFrame:
+    """Pixels of whole frames of a stream (series_id, position, y, x, brightness, expected, arrived), with `dark` against the
+    frame's median; kind `late` for what came after its frame. With `patience` (an interval), `arrived` drives the watermark."""
+    rows = with_state(pixels)
+    if patience is not None:
+        rows = rows.withWatermark("arrived", patience)
+    wait = None if patience is None else int(pd.Timedelta(patience).total_seconds() * 1000)
+    return rows.groupBy("series_id", "position").transformWithStateInPandas(
+        FrameStates(dark_ratio, wait), FRAME_STATES, "append", "None" if patience is None else "EventTime"
+    )
+
+
+def activity_partials(states: DataFrame) -> DataFrame:
+    """Per pixel count, sum, sum of squares and dark count."""
     v = F.col("brightness")
-    return frames_px.join(cut, ["series_id", "position"]).groupBy("series_id", "y", "x").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"), F.count_if(v < F.col("cut")).alias("dark")
+    return states.where("kind = 'pixel'").groupBy("series_id", "y", "x").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"), F.count_if("dark").alias("dark")
     )
 
 
@@ -62,67 +160,172 @@ def merge_activity(partials: DataFrame) -> DataFrame:
     )
 
 
-def stream_activity_map(stream: DataFrame, to_pixels, folder: str) -> DataFrame:
-    """Activity map of a stream of whole frames; `to_pixels` turns a batch into pixel rows."""
-    spark = stream.sparkSession
+def stream_activity_map(pixels: DataFrame, folder: str, dark_ratio: float = 0.65, patience: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(activity map, late pixels) of a stream of pixels; a frame may be spread over batches."""
+    spark = pixels.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        activity_partials(to_pixels(batch)).write.mode("overwrite").parquet(f"{folder}/partials/batch={batch_id}")
+        batch.persist()
+        activity_partials(batch).write.mode("overwrite").parquet(f"{folder}/partials/batch={batch_id}")
+        batch.where("kind = 'late'").drop("kind", "dark").write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
+        batch.unpersist()
 
-    drain(stream, each, folder)
-    return merge_activity(spark.read.parquet(f"{folder}/partials"))
-
-
-def merge_runs(partials: DataFrame, keys: list[str]) -> DataFrame:
-    """Join partial runs that touch and have the same state; far fewer rows than positions."""
-    w = Window.partitionBy(*keys).orderBy("start")
-    touches = (F.lag("end").over(w) == F.col("start") - 1) & (F.lag("state").over(w) == F.col("state"))
-    marked = partials.withColumn("__new", F.coalesce(~touches, F.lit(True)).cast("int"))
-    marked = marked.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "__run").agg(
-        F.first("state").alias("state"), F.min("start").alias("start"), F.max("end").alias("end")
-    ).withColumn("length", F.col("end") - F.col("start") + 1).drop("__run")
-
-
-def run_summary(run_rows: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("start")
-    flips = run_rows.withColumn("__flip", F.coalesce(F.lag("end").over(w) == F.col("start") - 1, F.lit(False)))
-    longest = lambda flag: F.coalesce(F.max(F.when(F.col("state") == flag, F.col("length"))), F.lit(0))
-    return flips.groupBy(*keys).agg(
-        F.sum("length").alias("observed"),
-        F.count_if("__flip").alias("transitions"),
-        longest(True).alias("longest_true"),
-        longest(False).alias("longest_false"),
+    drain(frame_states(pixels, dark_ratio, patience), each, folder)
+    return merge_activity(spark.read.parquet(f"{folder}/partials")), spark.read.parquet(f"{folder}/late").drop("batch")
+
+
+CHUNK = 65_536
+
+
+class RunStates(StatefulProcessor):
+    """Which positions of one chunk of a series are known, and true; emits the chunk's runs in short after every batch.
+
+    Two bits a position are the whole state, so arrival order and batches leave no trace, and a position sent with
+    both states is unknown. When the watermark has passed the last arrival by `patience_ms` the chunk is closed, its
+    bits are dropped, and later positions are late.
+    """
+
+    def __init__(self, chunk: int, patience_ms: int | None):
+        self.chunk, self.patience_ms = chunk, patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bits = handle.getValueState("bits", "true_bits binary, false_bits binary")
+        self.closed = handle.getValueState("closed", "closed boolean")
+        self.timer = handle.getValueState("timer", "at long")
+
+    @staticmethod
+    def _late(key, positions, states):
+        n = len(positions)
+        return pd.DataFrame({"kind": ["late"] * n, "series_id": [key[0]] * n, "chunk": [key[1]] * n, "position": positions, "state": states} | {c: [None] * n for c in SHORT})
+
+    def handleInputRows(self, key, rows, timerValues):
+        bits, arrived = np.zeros((2, self.chunk), bool), []
+        if self.timer.exists() and not self.closed.exists() and passed(timerValues, self.timer.get()[0]):
+            self._close()  # its timer would fire only after these rows
+        if not self.closed.exists() and self.bits.exists():
+            bits = np.stack([np.unpackbits(np.frombuffer(b, np.uint8), count=self.chunk).astype(bool) for b in self.bits.get()])
+        for batch in rows:
+            batch = batch[batch["state"].notna()]
+            if self.closed.exists():
+                if len(batch):
+                    yield self._late(key, list(batch["position"]), [bool(s) for s in batch["state"]])
+                continue
+            at, state = batch["position"].to_numpy(np.int64) - key[1] * self.chunk, batch["state"].to_numpy(bool)
+            bits[0, at[state]] = True
+            bits[1, at[~state]] = True
+            arrived += list(batch["arrived"].dropna())
+        if self.closed.exists():
+            return
+        self.bits.update(tuple(np.packbits(b).tobytes() for b in bits))
+        if self.patience_ms is not None and arrived:
+            if self.timer.exists():
+                self.handle.deleteTimer(self.timer.get()[0])
+            last = int(max(arrived).timestamp() * 1000) + self.patience_ms
+            self.handle.registerTimer(last)
+            self.timer.update((last,))
+        short = short_runs(bits[0], bits[1])
+        if short is not None:
+            first = key[1] * self.chunk
+            short["head"], short["tail"] = short["head"] + first, short["tail"] + first
+            yield pd.DataFrame([{"kind": "runs", "series_id": key[0], "chunk": key[1], "position": None, "state": None} | short])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self._close()
+        return iter(())
+
+    def _close(self) -> None:
+        self.closed.update((True,))
+        self.bits.clear()
+
+    def close(self) -> None:
+        pass
+
+
+SHORT = ("observed", "transitions", "longest_true", "longest_false", "head", "head_state", "head_length", "tail", "tail_state", "tail_length")
+RUN_STATES = (
+    "kind string, series_id long, chunk long, position long, state boolean, observed long, transitions long, longest_true long, longest_false long, "
+    "head long, head_state boolean, head_length long, tail long, tail_state boolean, tail_length long"
+)
+
+
+def short_runs(true: np.ndarray, false: np.ndarray) -> dict | None:
+    """Counts of the runs of a chunk, its longest ones, and the first and last run, which may go on outside."""
+    at = np.flatnonzero(true ^ false)
+    if not len(at):
+        return None
+    state = true[at]
+    touch = np.diff(at) == 1
+    edges = np.flatnonzero(~(touch & (state[1:] == state[:-1])))
+    start, end = np.concatenate([[0], edges + 1]), np.concatenate([edges, [len(at) - 1]])
+    length, kind = end - start + 1, state[start]
+    longest = lambda s: int(length[kind == s].max(initial=0))
+    return {
+        "observed": len(at), "transitions": int((touch & (state[1:] != state[:-1])).sum()), "longest_true": longest(True), "longest_false": longest(False),
+        "head": int(at[0]), "head_state": bool(kind[0]), "head_length": int(length[0]), "tail": int(at[-1]), "tail_state": bool(kind[-1]), "tail_length": int(length[-1]),
+    }
+
+
+def merge_runs(shorts: DataFrame, keys: list[str]) -> DataFrame:
+    """Run summary of every series from the latest short form of its chunks, which a fold joins at their edges;
+    a series has one row a chunk here."""
+    latest = shorts.groupBy(*keys, "chunk").agg(F.max_by(F.struct(*SHORT), "batch").alias("s"))
+    chunks = latest.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk", "s"))).alias("c"))
+    zero = lambda: F.lit(0).cast("bigint")
+    start = F.struct(
+        zero().alias("observed"), zero().alias("transitions"), zero().alias("t"), zero().alias("f"),
+        F.lit(None).cast("boolean").alias("state"), zero().alias("length"), F.lit(-2).cast("bigint").alias("end"),
+    )
+
+    def join(acc: Column, chunk: Column) -> Column:
+        s = chunk["s"]
+        touch = acc["end"] + 1 == s["head"]
+        goes_on = touch & F.coalesce(acc["state"] == s["head_state"], F.lit(False))
+        head = s["head_length"] + F.when(goes_on, acc["length"]).otherwise(zero())
+        one = s["head"] + s["head_length"] - 1 == s["tail"]
+        best = lambda flag, kept, own: F.greatest(acc[kept], s[own], F.when(s["head_state"] == flag, head).otherwise(zero()))
+        return F.struct(
+            (acc["observed"] + s["observed"]).alias("observed"),
+            (acc["transitions"] + s["transitions"] + (touch & ~goes_on).cast("bigint")).alias("transitions"),
+            best(True, "t", "longest_true").alias("t"),
+            best(False, "f", "longest_false").alias("f"),
+            s["tail_state"].alias("state"),
+            F.when(one, head).otherwise(s["tail_length"]).alias("length"),
+            s["tail"].alias("end"),
+        )
+
+    m = F.aggregate("c", start, join)
+    done = chunks.select(*keys, m.alias("m"))
+    return done.select(*keys, "m.observed", "m.transitions", F.col("m.t").alias("longest_true"), F.col("m.f").alias("longest_false"))
+
+
+def run_states(states: DataFrame, patience: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Short runs of every chunk of a stream (series_id, position, state, arrived) that got rows, and late positions."""
+    rows = with_state(states).withColumn("chunk", F.floor(F.col("position") / chunk))
+    if patience is not None:
+        rows = rows.withWatermark("arrived", patience)
+    wait = None if patience is None else int(pd.Timedelta(patience).total_seconds() * 1000)
+    return rows.groupBy("series_id", "chunk").transformWithStateInPandas(
+        RunStates(chunk, wait), RUN_STATES, "update", "None" if patience is None else "EventTime"
     )
 
 
-def stream_runs(stream: DataFrame, to_states, keys: list[str], folder: str) -> DataFrame:
-    """State runs of a stream of (keys, position, state) rows in any arrival order.
+def stream_runs(states: DataFrame, folder: str, patience: str | None = None, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """(run summary of every series, late positions) of a stream of states in any order of arrival.
 
-    Each batch stores its own maximal runs (a hot series is cut into position chunks on
-    the way); a late row simply closes the hole between two stored runs at the merge.
+    A series is cut into chunks of positions, each with a state of its own, so a hot series is spread over tasks; the sink keeps the
+    short forms by batch, and the latest of every chunk are joined.
     """
-    spark = stream.sparkSession
+    spark = states.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        states = to_states(batch)
-        dense = runs_of_sparse(states, keys)
-        dense.write.mode("overwrite").parquet(f"{folder}/runs/batch={batch_id}")
+        batch.persist()
+        batch.where("kind = 'runs'").drop("kind", "position", "state").write.mode("overwrite").parquet(f"{folder}/runs/batch={batch_id}")
+        batch.where("kind = 'late'").select("series_id", "position", "state").write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
+        batch.unpersist()
 
-    drain(stream, each, folder)
-    return run_summary(merge_runs(spark.read.parquet(f"{folder}/runs"), keys), keys)
-
-
-def runs_of_sparse(states: DataFrame, keys: list[str]) -> DataFrame:
-    """Partial runs of a batch whose positions may have holes: a hole ends a run."""
-    rows = states.where("state is not null").select(*keys, "position", "state")
-    w = Window.partitionBy(*keys, F.floor(F.col("position") / 65_536)).orderBy("position")
-    same = (F.lag("position").over(w) == F.col("position") - 1) & (F.lag("state").over(w) == F.col("state"))
-    marked = rows.withColumn("__c", F.floor(F.col("position") / 65_536)).withColumn("__new", F.coalesce(~same, F.lit(True)).cast("int"))
-    inner = Window.partitionBy(*keys, "__c").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("__run", F.sum("__new").over(inner)).groupBy(*keys, "__c", "__run").agg(
-        F.first("state").alias("state"), F.min("position").alias("start"), F.max("position").alias("end")
-    ).drop("__c", "__run")
+    drain(run_states(states, patience, chunk), each, folder, "update")
+    return merge_runs(spark.read.parquet(f"{folder}/runs"), ["series_id"]), spark.read.parquet(f"{folder}/late").drop("batch")
 
 
 def upsert_partials(rows: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
