@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyre.functions.guards import ratio
+from gyre.operators.sequence import neighbours, ordinal
 
 
 def full_cycle(df: DataFrame, keys: list[str], slot: str, period: int, flag: str = "seen") -> DataFrame:
@@ -207,62 +208,84 @@ def two_lobes(
     )
 
 
-def quarter_turns(df: DataFrame, keys: list[str], slot: str, angle: str) -> DataFrame:
-    """Quarter-turn branch per frame minimising the sum of squared circular jumps.
+def _turned(angle: Column) -> Column:
+    """Square of a circular difference in millionths, an exact integer, so sums do not depend on their order."""
+    d = angle + 180.0 - F.lit(360.0) * F.floor((angle + 180.0) / 360.0) - 180.0
+    return F.floor(d * d * 1e6 + 0.5)
 
-    A cycle holds at most n frames, so its ordered angles form one bounded array; the
-    forward pass keeps, for each of the four end branches, the best cost and its branch
-    path. The first frame is the reference (branch 0) and the cycle is closed back to it.
+
+def quarter_turns(df: DataFrame, keys: list[str], slot: str, angle: str, chunk: int = 1024) -> DataFrame:
+    """Quarter-turn branch per frame minimising the sum of squared circular jumps, as a scan.
+
+    A step costs by the difference of the branches at its ends. The steps of `chunk` frames fold to a
+    4 x 4 min-plus matrix (entry branch, exit branch) with the branches of each of its 16 best paths, so a
+    long cycle is spread over tasks; the matrices of a cycle, without paths, are folded in order, and
+    every chunk then looks its own path up by the entry and exit chosen. The first frame is the
+    reference (branch 0) and the cycle is closed back to it. Of equally good paths the one whose last
+    differing branch is the smaller is taken.
     """
-    def jump(a: Column, b: Column) -> Column:
-        d = F.pmod(a - b + 180.0, F.lit(360.0)) - 180.0
-        return d * d
-
-    empty = F.array().cast("array<int>")
-    seed = F.array(
-        *[
-            F.struct(F.lit(0.0 if s == 0 else float("inf")).alias("cost"), F.lit(s).alias("state"), empty.alias("path"))
-            for s in range(4)
-        ]
+    four, far = F.array(*[F.lit(k) for k in range(4)]), 1 << 61
+    rows = neighbours(ordinal(df.select(*keys, slot, angle), keys, slot), keys, "position", [angle])
+    costs = F.array(*[_turned(F.col(f"prev_{angle}") - F.col(angle) - 90.0 * d) for d in range(4)])
+    rows = rows.withColumn("__chunk", F.floor(F.col("position") / chunk)).withColumn("__costs", costs)
+
+    def start(entry: Column) -> Column:
+        return F.transform(four, lambda s: F.struct(F.when(s == entry, F.lit(0)).otherwise(F.lit(far)).cast("bigint").alias("cost"), F.lit("").alias("path")))
+
+    def advance(acc: Column, step: Column) -> Column:
+        def into(s: Column) -> Column:
+            def via(p: Column) -> Column:
+                cost = F.get(acc, p)["cost"] + F.get(step["costs"], F.pmod(s - p, F.lit(4)))
+                return F.struct(cost.alias("cost"), F.concat(p.cast("string"), F.get(acc, p)["path"]).alias("path"))
+
+            return F.array_min(F.transform(four, via))
+
+        return F.transform(four, into)
+
+    step = F.struct("position", F.col(slot).alias("slot"), F.col("__costs").alias("costs"))
+    folded = rows.where("position > 0").groupBy(*keys, "__chunk").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    folded = folded.withColumn("best", F.transform(four, lambda q: F.aggregate("steps", start(q), advance)))
+
+    def place(q: Column, r: Column) -> Column:
+        return F.size(F.filter("best", lambda other: F.get(other, r)["path"] < F.get(F.get("best", q), r)["path"]))
+
+    matrix = F.transform(
+        four, lambda r: F.transform(four, lambda q: F.struct(F.get(F.get("best", q), r)["cost"].alias("cost"), place(q, r).alias("place")))
     )
 
-    def advance(acc: Column, frame: Column) -> Column:
-        def best(state: int) -> Column:
-            options = [
-                F.struct(
-                    (
-                        acc[p]["cost"]
-                        + jump(frame["previous"] + 90.0 * p, frame["angle"] + 90.0 * state)
-                    ).alias("cost"),
-                    F.lit(p).alias("state"),
-                    F.concat(acc[p]["path"], F.array(F.lit(p))).alias("path"),
-                )
-                for p in range(4)
-            ]
-            won = F.array_min(F.array(*options))
-            return F.struct(won["cost"].alias("cost"), F.lit(state).alias("state"), won["path"].alias("path"))
-
-        return F.array(*[best(s) for s in range(4)])
+    def join(acc: Column, link: Column) -> Column:
+        def into(r: Column) -> Column:
+            def via(q: Column) -> Column:
+                here = F.get(F.get(link["matrix"], r), q)
+                return F.struct((F.get(acc, q)["cost"] + here["cost"]).alias("cost"), here["place"].alias("place"), q.alias("q"))
 
-    w = Window.partitionBy(*keys).orderBy(slot)
-    rows = df.select(*keys, slot, angle, F.lag(angle).over(w).alias("__p"))
-    cycles = rows.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(slot).alias("slot"), F.col(angle).alias("angle"), F.col("__p").alias("previous")))).alias("f")
+            won = F.array_min(F.transform(four, via))
+            return F.struct(won["cost"].alias("cost"), F.concat(won["q"].cast("string"), F.get(acc, won["q"])["path"]).alias("path"))
+
+        return F.transform(four, into)
+
+    ends = rows.groupBy(*keys).agg(F.min_by(angle, "position").alias("__first"), F.max_by(angle, "position").alias("__last"))
+    chain = folded.select(*keys, F.struct("__chunk", matrix.alias("matrix")).alias("link")).groupBy(*keys).agg(F.array_sort(F.collect_list("link")).alias("links"))
+    chain = chain.join(ends, keys).withColumn("acc", F.aggregate("links", start(F.lit(0)), join))
+    closed = F.transform(
+        four, lambda r: F.struct((F.get("acc", r)["cost"] + _turned(F.col("__last") - F.col("__first") + 90.0 * r)).alias("cost"), r.alias("r"), F.get("acc", r)["path"].alias("path"))
     )
-    swept = cycles.withColumn("acc", F.aggregate(F.slice("f", 2, F.size("f")), seed, advance))
-    closing = F.transform(
-        F.col("acc"),
-        lambda a: F.struct(
-            (a["cost"] + F.when(F.size("f") > 1, jump(F.element_at("f", -1)["angle"] + 90.0 * a["state"], F.col("f")[0]["angle"])).otherwise(0.0)).alias("cost"),
-            a["state"].alias("state"),
-            a["path"].alias("path"),
-        ),
+    won = chain.select(*keys, F.col("links.__chunk").alias("chunks"), F.array_min(closed).alias("won"))
+    entries = F.transform("chunks", lambda c, i: F.struct(
+        c.alias("chunk"),
+        F.substr(F.col("won.path"), F.size("chunks") - i, F.lit(1)).cast("int").alias("entry"),
+        F.when(i == F.size("chunks") - 1, F.col("won.r")).otherwise(F.substr(F.col("won.path"), F.size("chunks") - i - 1, F.lit(1)).cast("int")).alias("exit"),
+    ))
+    chosen = won.select(*keys, F.explode(entries).alias("e"), (F.col("won.cost") / 1e6).alias("objective")).select(
+        *keys, F.col("e.chunk").alias("__chunk"), F.col("e.entry").alias("entry"), F.col("e.exit").alias("exit"), "objective"
     )
-    won = swept.withColumn("won", F.array_min(closing))
-    path = F.concat(F.col("won.path"), F.array(F.col("won.state")))
-    return won.select(
-        *keys, F.col("won.cost").alias("objective"), F.posexplode(F.arrays_zip(F.col("f.slot").alias("slot"), path.alias("turn"))).alias("i", "z")
-    ).select(*keys, F.col("z.slot").alias(slot), F.col("z.turn").alias("quarter_turn"), "objective")
+    paths = folded.join(chosen, [*keys, "__chunk"])
+    digits = F.concat(F.reverse(F.get(F.get("best", F.col("entry")), F.col("exit"))["path"]), F.col("exit").cast("string"))
+    turned = paths.select(*keys, "objective", F.explode(
+        F.transform("steps", lambda x, i: F.struct(x["slot"].alias("slot"), F.substr(digits, i + 2, F.lit(1)).cast("int").alias("turn")))
+    ).alias("z")).select(*keys, F.col("z.slot").alias(slot), F.col("z.turn").alias("quarter_turn"), "objective")
+    first = rows.where("position = 0").select(*keys, slot, F.lit(0).alias("quarter_turn")).join(won.select(*keys, (F.col("won.cost") / 1e6).alias("objective")), keys, "left")
+    return turned.unionByName(first.fillna(0.0, ["objective"]))
 
 
 def phase_step_errors(df: DataFrame, keys: list[str], slot: str, angle: str, period: int, cycle: float) -> DataFrame:

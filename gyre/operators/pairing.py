@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyre.functions.guards import joined, log_positive, pearson
 from gyre.operators.sequence import direction_summary, paired_changes
+from gyre.session import written
 
 # Opposing sector pairs and the weights of the segment matching cost.
 OPPOSING = (
@@ -82,7 +84,7 @@ def opposing_pairs(paired: DataFrame, keys: list[str], order: str) -> DataFrame:
         F.median(F.abs(F.col("a") - F.col("b"))).alias("median_absolute_difference"),
         F.median(F.col("a") - F.col("b")).alias("median_signed_difference"),
     )
-    moves = paired_changes(paired.withColumn("__src", F.col(order)), keys, order, "__src", "a", "b")
+    moves = paired_changes(paired.withColumn("__src", F.col(order)), keys, order, "__src", "a", "b", dense=False)
     signs = direction_summary(moves, keys, "direction", "flat").select(
         *keys, "observed_pairs", "flat_pairs", F.col("same_fraction").alias("sign_agreement")
     )
@@ -109,6 +111,25 @@ def proximity_pairs(obs: DataFrame, keys: list[str], frame: str, offset: str, to
     )
 
 
+def best_pairs_first(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Greedy one-to-one matching of `edges` (keys, i, j, cost, ...) in ascending order of (cost, i, j).
+
+    Greedy takes an edge as soon as no cheaper edge at either of its ends is left. A round takes all
+    these edges at once, each the best of its i and of its j, and drops what touches them, so edges stay
+    distributed and no list of pairs exists; the cheapest edge left is always taken, so rounds end. What is left is written
+    after every round, which cuts the lineage.
+    """
+    left, taken = written(edges), []
+    rank = F.struct("cost", "i", "j")
+    while not left.isEmpty():
+        best = lambda end: F.min(rank).over(Window.partitionBy(*keys, end))
+        won = left.withColumn("__i", best("i")).withColumn("__j", best("j")).where((F.col("__i") == F.col("__j")) & (F.col("__i") == rank))
+        won = written(won.drop("__i", "__j"))
+        taken.append(won)
+        left = written(left.join(won.select(*keys, "i"), [*keys, "i"], "left_anti").join(won.select(*keys, "j"), [*keys, "j"], "left_anti"))
+    return reduce(DataFrame.unionByName, taken) if taken else left
+
+
 def greedy_match(
     before: DataFrame, after: DataFrame, keys: list[str], family: str, fraction: str, x: str, y: str, ident: str,
     radial_gate: float, euclid_gate: float,
@@ -116,8 +137,7 @@ def greedy_match(
     """One-to-one matching of two frames' segments by ascending (cost, before, after).
 
     Candidates meet only within one key, family and radial bucket of the gate's width (own
-    and neighbouring bucket), then pass both gates. The few gated candidates of one frame
-    pair are folded in cost order, which is the global greedy for that pair. Returns all
+    and neighbouring bucket), then pass both gates; `best_pairs_first` matches them. Returns all
     segments of both frames with `kind` matched / not_redetected / newly_detected.
     """
     bucket = F.floor(F.col(fraction) / radial_gate)
@@ -136,17 +156,8 @@ def greedy_match(
         .withColumn("delta", F.col(f"b_{fraction}") - F.col(f"a_{fraction}"))
         .withColumn("shift", euclid)
     )
-    entry = F.struct("cost", F.col(f"a_{ident}").alias("i"), F.col(f"b_{ident}").alias("j"), "delta", "shift")
-    lists = gated.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("__e"))
-    kind = "array<struct<cost:double,i:bigint,j:bigint,delta:double,shift:double>>"
-    fold = F.aggregate(
-        "__e",
-        F.array().cast(kind),
-        lambda acc, e: F.when(
-            F.exists(acc, lambda m: (m["i"] == e["i"]) | (m["j"] == e["j"])), acc
-        ).otherwise(F.concat(acc, F.array(e)).cast(kind)),
-    )
-    matched = lists.select(*keys, F.explode(fold).alias("m")).select(*keys, "m.i", "m.j", "m.cost", "m.delta", "m.shift")
+    edges = gated.select(*keys, F.col(f"a_{ident}").alias("i"), F.col(f"b_{ident}").alias("j"), "cost", "delta", "shift")
+    matched = best_pairs_first(edges, keys)
     lost = before.select(*keys, F.col(ident).alias("i")).join(matched, keys + ["i"], "left_anti")
     new = after.select(*keys, F.col(ident).alias("j")).join(matched, keys + ["j"], "left_anti")
     return (
@@ -164,109 +175,126 @@ def distance_bins(distance: Column, bins: list[tuple[int, int]]) -> Column:
     return out
 
 
-def _candidate_pairs(rows: DataFrame, keys: list[str], order: str, axis: str, width: float, carry: list[str]) -> DataFrame:
-    """Unordered row pairs whose `axis` differs by at most `width`, by bucketed equi-join."""
-    bucket = F.floor(F.col(axis) / width)
-    left = rows.select(*keys, *[F.col(c).alias(f"{c}_1") for c in carry], bucket.alias("__b"))
-    right = rows.select(
-        *keys, *[F.col(c).alias(f"{c}_2") for c in carry], F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__b")
-    )
-    return left.join(right, keys + ["__b"]).where(
-        (F.col(f"{order}_1") < F.col(f"{order}_2")) & (F.abs(F.col(f"{axis}_1") - F.col(f"{axis}_2")) <= width)
+def _band_best(rows: DataFrame, keys: list[str], order: str, axis: str, measure: str, width: float) -> DataFrame:
+    """Per key the best pair of rows at most `width` apart on `axis`, and the number of such pairs.
+
+    Best: largest difference of `measure`, then smallest of `axis`, then earliest rows. The partner of a row with the largest
+    difference holds the smallest or largest measure of the band below the row, so running
+    extremes do: over the rows before it in its own bucket of the band's width, and over those of the bucket below
+    that are near enough, where the row's lower limit is sorted in as a query. Rows of equal `axis`
+    are collapsed first. Work is that of sorting; no pairs are formed.
+    """
+    first = Window.partitionBy(*keys, axis).orderBy(order)
+    two = rows.withColumn("__n", F.row_number().over(first)).where("__n <= 2").groupBy(*keys, axis).agg(F.min(order).alias("o1"), F.max(order).alias("o2"))
+    level = rows.groupBy(*keys, axis).agg(
+        F.count(F.lit(1)).alias("c"),
+        F.min(F.struct(F.col(measure).alias("m"), F.col(order).alias("o"))).alias("lo"),
+        F.min(F.struct((-F.col(measure)).alias("m"), F.col(order).alias("o"))).alias("hi"),
     )
 
+    def pair(gap: Column, apart: Column, a: Column, b: Column) -> Column:
+        return F.struct(
+            (-F.round(gap, 12) + 0.0).alias("n"), F.round(apart, 12).alias("apart"), F.least(a, b).alias("first"), F.greatest(a, b).alias("second")
+        )
 
-def _closest_neighbours(rows: DataFrame, keys: list[str], order: str, axis: str, carry: list[str]) -> DataFrame:
-    """Pairs adjacent in `axis` order; without any pair in tolerance the closest is among them."""
-    w = Window.partitionBy(*keys).orderBy(axis, order)
-    near = rows.select(*keys, *carry, *[F.lag(c).over(w).alias(f"__{c}") for c in carry]).where(F.col(f"__{order}").isNotNull())
-    first = F.col(f"__{order}") < F.col(order)
-    return near.select(
+    lo, hi = F.col("lo"), F.col("hi")
+    inner = level.where("c > 1").join(two, [*keys, axis]).select(
         *keys,
-        *[F.when(first, F.col(f"__{c}")).otherwise(F.col(c)).alias(f"{c}_1") for c in carry],
-        *[F.when(first, F.col(c)).otherwise(F.col(f"__{c}")).alias(f"{c}_2") for c in carry],
+        F.when(-hi["m"] > lo["m"], pair(-hi["m"] - lo["m"], F.lit(0.0), lo["o"], hi["o"])).otherwise(pair(F.lit(0.0), F.lit(0.0), F.col("o1"), F.col("o2"))).alias("p"),
+        (F.col("c") * (F.col("c") - 1) / 2).cast("bigint").alias("k"),
     )
 
+    bucket = F.floor(F.col(axis) / width)
+    near = F.struct(lo["m"].alias("m"), (-F.col(axis)).alias("at"), lo["o"].alias("o"))
+    far = F.struct(hi["m"].alias("m"), (-F.col(axis)).alias("at"), hi["o"].alias("o"))
+    level = level.withColumn("__b", bucket)
+
+    def met(found: DataFrame) -> DataFrame:
+        """Pairs of each row with the extremes (low, high) found for it."""
+        low, high = F.col("low"), F.col("high")
+        options = F.array(
+            pair(F.abs(-hi["m"] - low["m"]), F.col(axis) + low["at"], hi["o"], low["o"]), pair(F.abs(-high["m"] - lo["m"]), F.col(axis) + high["at"], lo["o"], high["o"])
+        )
+        return found.where("low is not null").select(*keys, F.array_min(options).alias("p"), (F.col("c") * F.col("k")).alias("k"))
+
+    before = Window.partitionBy(*keys, "__b").orderBy(axis).rowsBetween(Window.unboundedPreceding, -1)
+    own = level.withColumns({"low": F.min(near).over(before), "high": F.min(far).over(before), "k": F.sum("c").over(before)})
+    asked = level.select(*keys, (F.col("__b") - 1).alias("__b"), (F.col(axis) - width).alias("at"), F.lit(1).alias("ask"), F.struct(axis, "c", "lo", "hi").alias("row"))
+    held = level.select(*keys, "__b", F.col(axis).alias("at"), F.lit(0).alias("ask"), F.struct(axis, "c", "lo", "hi").alias("row"))
+    above = Window.partitionBy(*keys, "__b").orderBy(F.desc("at"), "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_row = F.col("ask") == 0
+    edge = lambda side: F.struct(F.col(f"row.{side}.m").alias("m"), (-F.col("at")).alias("at"), F.col(f"row.{side}.o").alias("o"))
+    below = held.unionByName(asked).withColumns(
+        {
+            "low": F.min(F.when(is_row, edge("lo"))).over(above),
+            "high": F.min(F.when(is_row, edge("hi"))).over(above),
+            "k": F.sum(F.when(is_row, F.col("row.c"))).over(above),
+        }
+    )
+    below = below.where("ask = 1").select(*keys, "row.*", "low", "high", "k")
+    every = inner.unionByName(met(own)).unionByName(met(below))
+    return every.groupBy(*keys).agg(F.min("p").alias("c"), F.sum("k").alias("candidates"))
+
+
+def _without(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of keys without any pair in the band: at most one row a bucket, so one task can sort a key."""
+    return rows.join(found.select(*keys), keys, "left_anti")
+
 
 def matched_pair(df: DataFrame, keys: list[str], order: str, level: str, measure: str, max_ratio: float = 1.02) -> DataFrame:
     """Pair of equally bright frames with the largest measure gap, else the closest pair.
 
-    Only pairs within the brightness tolerance are formed (bucketed join); the fallback
-    looks at neighbours in brightness order. Ties: smaller brightness gap, earlier frame.
+    Ties: smaller brightness gap, earlier frame. Without any pair in tolerance the closest one is
+    adjacent in brightness order.
     """
-    tolerance = math.log(max_ratio)
-    rows = df.where((F.col(level) > 0) & F.col(measure).isNotNull()).select(
-        *keys, order, F.col(measure).alias("m"), F.ln(level).alias("b")
+    rows = df.where((F.col(level) > 0) & F.col(measure).isNotNull()).select(*keys, order, F.col(measure).cast("double").alias("m"), F.ln(level).alias("b"))
+    best = _band_best(rows, keys, order, "b", "m", math.log(max_ratio))
+    w = Window.partitionBy(*keys).orderBy("b", order)
+    alone = _without(rows, best, keys).select(*keys, order, "m", "b", *[F.lag(c).over(w).alias(f"__{c}") for c in (order, "m", "b")]).where(F.col(f"__{order}").isNotNull())
+    closest = alone.groupBy(*keys).agg(
+        F.min(
+            F.struct(
+                F.round(F.col("b") - F.col("__b"), 12).alias("apart"),
+                (-F.round(F.abs(F.col("m") - F.col("__m")), 12) + 0.0).alias("n"),
+                F.least(order, f"__{order}").alias("first"),
+                F.greatest(order, f"__{order}").alias("second"),
+            )
+        ).alias("c")
     )
-    carry = [order, "m", "b"]
-
-    def gaps(pairs: DataFrame) -> DataFrame:
-        return pairs.select(
-            *keys, f"{order}_1", f"{order}_2",
-            F.round(F.abs(F.col("m_2") - F.col("m_1")), 12).alias("measure_gap"),
-            F.round(F.abs(F.col("b_2") - F.col("b_1")), 12).alias("brightness_gap"),
-        )
-
-    close = gaps(_candidate_pairs(rows, keys, order, "b", tolerance, carry))
-    best = close.groupBy(*keys).agg(
-        F.min(F.struct((-F.col("measure_gap")).alias("n"), "brightness_gap", f"{order}_1", f"{order}_2")).alias("c"),
-        F.count(F.lit(1)).alias("candidates"),
-    )
-    other = gaps(_closest_neighbours(rows, keys, order, "b", carry)).groupBy(*keys).agg(
-        F.min(F.struct("brightness_gap", (-F.col("measure_gap")).alias("n"), f"{order}_1", f"{order}_2")).alias("f")
-    )
-    both = other.join(best, keys, "left")
-    pick = lambda field: F.when(F.col("c").isNotNull(), F.col(f"c.{field}")).otherwise(F.col(f"f.{field}"))
-    return both.select(
-        *keys,
-        pick(f"{order}_1").alias("first"),
-        pick(f"{order}_2").alias("second"),
-        (-pick("n")).alias("measure_gap"),
-        pick("brightness_gap").alias("brightness_gap"),
-        F.col("c").isNotNull().alias("matched"),
-        F.coalesce("candidates", F.lit(0)).alias("candidates"),
+    out = lambda found, matched, n: found.select(
+        *keys, "c.first", "c.second", (-F.col("c.n")).alias("measure_gap"), F.col("c.apart").alias("brightness_gap"), F.lit(matched).alias("matched"), n.alias("candidates")
     )
+    return out(best, True, F.col("candidates")).unionByName(out(closest, False, F.lit(0).cast("bigint")))
 
 
 def matched_area_pair(df: DataFrame, keys: list[str], order: str, area: str, shape: str, tolerance: float = 0.02) -> DataFrame:
     """Pair of equal-area frames with the largest shape difference, else the widest pair.
 
-    Without any pair in tolerance the largest shape difference belongs to an extreme of the
-    shape values: the fallback needs the rows holding the minimum or maximum only.
+    Without any pair in tolerance the largest shape difference joins a lowest and a highest shape; of
+    these the nearest in area are neighbours among the rows that hold either.
     """
-    rows = df.where(F.col(area).isNotNull() & F.col(shape).isNotNull()).select(
-        *keys, order, F.col(area).alias("a"), F.col(shape).alias("s")
-    )
-
-    def score(pairs: DataFrame) -> DataFrame:
-        return pairs.select(
-            *keys, f"{order}_1", f"{order}_2",
-            F.round(-F.abs(F.col("s_1") - F.col("s_2")), 12).alias("n"),
-            F.round(F.abs(F.col("a_1") - F.col("a_2")), 12).alias("area_gap"),
-        ).groupBy(*keys).agg(F.min(F.struct("n", "area_gap", f"{order}_1", f"{order}_2")).alias("c"))
-
-    carry = [order, "a", "s"]
-    close = score(_candidate_pairs(rows, keys, order, "a", tolerance, carry))
+    rows = df.where(F.col(area).isNotNull() & F.col(shape).isNotNull()).select(*keys, order, F.col(area).cast("double").alias("a"), F.col(shape).cast("double").alias("s"))
+    best = _band_best(rows, keys, order, "a", "s", tolerance)
     edge = rows.groupBy(*keys).agg(F.min("s").alias("__lo"), F.max("s").alias("__hi"))
-    ends = rows.join(edge, keys)
-    low = ends.where("s = __lo").select(*keys, *[F.col(c).alias(f"l_{c}") for c in carry])
-    high = ends.where("s = __hi").select(*keys, *[F.col(c).alias(f"h_{c}") for c in carry])
-    swap = F.col(f"l_{order}") < F.col(f"h_{order}")
-    wide = low.join(high, keys).where(F.col(f"l_{order}") != F.col(f"h_{order}")).select(
-        *keys,
-        *[F.when(swap, F.col(f"l_{c}")).otherwise(F.col(f"h_{c}")).alias(f"{c}_1") for c in carry],
-        *[F.when(swap, F.col(f"h_{c}")).otherwise(F.col(f"l_{c}")).alias(f"{c}_2") for c in carry],
+    ends = _without(rows, best, keys).join(edge, keys).where("s = __lo or s = __hi")
+    before = Window.partitionBy(*keys).orderBy("a", order).rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda here: F.last(F.when(here, F.struct("a", "s", F.col(order).alias("o"))), ignorenulls=True).over(before)
+    ends = ends.withColumns({"low": last(F.col("s") == F.col("__lo")), "high": last(F.col("s") == F.col("__hi"))})
+    ends = ends.withColumn("p", F.when(F.col("s") == F.col("__hi"), F.col("low")).otherwise(F.col("high"))).where("p is not null")
+    widest = ends.groupBy(*keys).agg(
+        F.min(
+            F.struct(
+                (-F.round(F.abs(F.col("s") - F.col("p.s")), 12) + 0.0).alias("n"),
+                F.round(F.col("a") - F.col("p.a"), 12).alias("apart"),
+                F.least(order, "p.o").alias("first"),
+                F.greatest(order, "p.o").alias("second"),
+            )
+        ).alias("c")
     )
-    both = score(wide).withColumnRenamed("c", "f").join(close, keys, "full")
-    pick = lambda field: F.when(F.col("c").isNotNull(), F.col(f"c.{field}")).otherwise(F.col(f"f.{field}"))
-    return both.select(
-        *keys,
-        pick(f"{order}_1").alias("first"),
-        pick(f"{order}_2").alias("second"),
-        (-pick("n")).alias("shape_gap"),
-        pick("area_gap").alias("area_gap"),
-        F.col("c").isNotNull().alias("within_tolerance"),
+    out = lambda found, within: found.select(
+        *keys, "c.first", "c.second", (-F.col("c.n")).alias("shape_gap"), F.col("c.apart").alias("area_gap"), F.lit(within).alias("within_tolerance")
     )
+    return out(best, True).unionByName(out(widest, False))
 
 
 def id_set_diff(reference: DataFrame, candidate: DataFrame, ident: str, owner: str) -> DataFrame:

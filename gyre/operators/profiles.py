@@ -30,7 +30,8 @@ SECTORS = 8
 
 
 def u_of(index: Column, n: int) -> Column:
-    return (index + 0.5) / n
+    """Normalised radius of a sample: the first at the centre, the last at the outline."""
+    return index / F.lit(float(n - 1))
 
 
 def profile_arrays(long: DataFrame, keys: list[str], index: str, value: str, ok: str) -> DataFrame:
@@ -63,17 +64,25 @@ def local_peak(profile: Column, z: Column, target: Column, radius: float, minimu
 
 
 def peak_indices(curve: Column, n: int) -> Column:
-    """Strict local maxima, ends excluded."""
-    return F.filter(
-        F.sequence(F.lit(1), F.lit(n - 2)),
-        lambda i: (F.get(curve, i) > F.get(curve, i - 1)) & (F.get(curve, i) > F.get(curve, i + 1)),
-    )
+    """Local maxima, a flat top at its middle (rounded down); tops that reach an end are none."""
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(-1).alias("rise"), none.alias("found"))
+
+    def step(acc: Column, i: Column) -> Column:
+        up, down = F.get(curve, i) > F.get(curve, i - 1), F.get(curve, i) < F.get(curve, i - 1)
+        ends = down & (acc["rise"] >= 0)
+        return F.struct(
+            F.when(up, i).when(down, F.lit(-1)).otherwise(acc["rise"]).alias("rise"),
+            F.when(ends, F.concat(acc["found"], F.array(F.floor((acc["rise"] + i - 1) / 2).cast("int")))).otherwise(acc["found"]).alias("found"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n - 1)), start, step)["found"]
 
 
 def spaced(curve: Column, candidates: Column, distance: int, start: Column | None = None) -> Column:
-    """Highest first, drop anything closer than `distance` to a kept index."""
+    """Highest first, of equal ones the outer first; drop anything closer than `distance` to a kept index."""
     order = F.transform(
-        F.array_sort(F.transform(candidates, lambda i: F.struct((-F.get(curve, i)).alias("h"), i.alias("i")))), lambda s: s["i"]
+        F.array_sort(F.transform(candidates, lambda i: F.struct((-F.get(curve, i)).alias("h"), (-i).alias("i")))), lambda s: -s["i"]
     )
     empty = F.array().cast("array<int>") if start is None else start
     return F.aggregate(
@@ -93,10 +102,31 @@ def prominence(curve: Column, i: Column, n: int) -> Column:
     return h - F.greatest(left, right)
 
 
-def profile_peaks(df: DataFrame, curve: str, n: int, minimum: int = 3, fill_to: int = 6) -> DataFrame:
-    """Interior peaks with prominence; fewer than `minimum` are filled from the strongest samples."""
+def window_peaks(curve: Column, n: int, distance: int) -> Column:
+    """Peaks that compete inside each boundary window only, on the window's own samples."""
+
+    def peaks(first: int, size: int) -> Column:
+        kept = let(F.slice(curve, first + 1, size), lambda part: spaced(part, peak_indices(part, size), distance))
+        return F.transform(kept, lambda i: i + first)
+
+    windows = [[k for k in range(n) if low <= k / (n - 1) <= high] for low, high in WINDOWS]
+    found = [peaks(w[0], len(w)) for w in windows if len(w) >= 3]
+    return F.array_sort(F.array_distinct(F.concat(*found))) if found else F.array().cast("array<int>")
+
+
+def profile_peaks(df: DataFrame, curve: str, n: int, minimum: int = 3, fill_to: int = 6, policy: str = "global") -> DataFrame:
+    """Interior peaks with prominence; fewer than `minimum` are filled from the strongest samples.
+
+    Policy "window": peaks compete inside their boundary window only, and none is made up.
+    """
     c = F.col(curve)
     distance = max(3, round(PEAK_SPACING * (n - 1)))
+    if policy == "window":
+        rows = df.withColumn("__kept", window_peaks(c, n, distance)).select("*", F.explode("__kept").alias("peak_index"))
+        return rows.select(
+            *df.columns, "peak_index", u_of(F.col("peak_index"), n).alias("peak_u"),
+            F.get(c, F.col("peak_index")).alias("height"), prominence(c, F.col("peak_index"), n).alias("prominence"),
+        )
     inside = lambda i: u_of(i, n).between(*INTERIOR)
     rows = df.withColumn("__kept", F.array_sort(F.filter(spaced(c, peak_indices(c, n), distance), inside)))
     samples = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), inside)
@@ -131,42 +161,58 @@ def consensus(profiles: DataFrame, keys: list[str], sector: str, n: int) -> Data
     return curve.join(sectors, keys)
 
 
-def candidates(curves: DataFrame, n: int) -> DataFrame:
+def candidates(curves: DataFrame, n: int, policy: str = "global") -> DataFrame:
     """Peaks of the consensus with their local peak in every sector and the sector support."""
-    rows = profile_peaks(curves, "curve", n)
+    rows = profile_peaks(curves, "curve", n, policy=policy)
     peaks = F.transform("sectors", lambda s: local_peak(s["p"], s["z"], F.col("peak_u"), 0.045, 3, n))
     rows = rows.withColumn("sector_peaks", peaks)
     held = F.size(F.filter("sector_peaks", lambda p: p["z"] >= Z_SUPPORT)) / F.lit(float(SECTORS))
     return rows.withColumn("sector_support", held).drop("sectors", "curve")
 
 
-def boundary_template(cands: DataFrame, keys: list[str], n: int) -> DataFrame:
+def selection_score(prominence: Column, scale: Column, support: Column) -> Column:
+    return F.round(F.log1p(prominence / scale) + 1.25 * support, 12)
+
+
+def _scales(cands: DataFrame, keys: list[str]) -> DataFrame:
+    """Number of candidates of a set and the median of their positive prominences."""
+    return cands.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.greatest(F.coalesce(F.median(F.when(F.col("prominence") > 0, F.col("prominence"))), F.lit(0.0)), F.lit(1e-6)).alias("__scale"),
+    )
+
+
+def boundary_template(cands: DataFrame, keys: list[str], n: int, evidence: DataFrame | None = None) -> DataFrame:
     """Best supported candidate per window, sector controls, and the template's status.
 
-    One row per set and boundary; a window without a candidate makes the set unavailable.
+    One row per set and boundary; a window without a candidate makes the set unavailable. `control`
+    is "full" where all three boundaries were found apart from each other, "partial" for a
+    boundary found beside missing or inseparable ones. With `evidence` (see `candidate_persistence`) a candidate needs
+    the vote of a frame, and frame votes, supported pairs and offset come before the score.
     """
     # The few candidate rows of a set feed several aggregates: compute them once.
     cands = cut_lineage(cands)
-    scale = cands.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.greatest(F.coalesce(F.median(F.when(F.col("prominence") > 0, F.col("prominence"))), F.lit(0.0)), F.lit(1e-6)).alias("__scale"),
-    )
+    scale = _scales(cands, keys)
     windows = F.array(
         *[
             F.struct(F.lit(i).alias("b"), F.lit(name).alias("name"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
             for i, (name, (lo, hi)) in enumerate(zip(BOUNDARIES, WINDOWS))
         ]
     )
-    score = F.log1p(F.col("prominence") / F.col("__scale")) + 1.25 * F.col("sector_support")
+    score = selection_score(F.col("prominence"), F.col("__scale"), F.col("sector_support"))
+    rank = [score.alias("score")]
+    if evidence is not None:
+        cands = cands.join(evidence.select(*keys, "peak_index", "frame_votes", "supported_pairs", "median_offset"), [*keys, "peak_index"]).where("frame_votes >= 1")
+        rank = ["frame_votes", "supported_pairs", F.coalesce(-F.col("median_offset"), F.lit(-1.0)).alias("near"), *rank]
     inside = cands.join(scale, keys).withColumn("w", F.explode(windows)).where(
         F.col("peak_u").between(F.col("w.lo"), F.col("w.hi")) & (F.col("sector_support") >= 0.25)
     )
     best = inside.groupBy(*keys, F.col("w.b").alias("b")).agg(
-        F.max(F.struct(F.round(score, 12).alias("score"), (-F.col("peak_index")).alias("neg"), "peak_u", "prominence", "sector_peaks", "w")).alias("c")
+        F.max(F.struct(*rank, (-F.col("peak_index")).alias("neg"), "peak_u", "prominence", "sector_peaks", "w")).alias("c")
     )
     best = best.select(
         *keys, "b", F.col("c.w.name").alias("boundary"), F.col("c.peak_u").alias("global_u"),
-        (F.least(F.col("c.peak_u") - F.col("c.w.lo"), F.col("c.w.hi") - F.col("c.peak_u")) <= 1.0 / n + 1e-12).alias("near_edge"),
+        (F.least(F.col("c.peak_u") - F.col("c.w.lo"), F.col("c.w.hi") - F.col("c.peak_u")) <= 1.0 / (n - 1) + 1e-12).alias("near_edge"),
         F.posexplode("c.sector_peaks").alias("sector", "p"),
     )
     seen = F.coalesce(F.col("p.z") >= Z_SUPPORT, F.lit(False))
@@ -184,7 +230,7 @@ def boundary_template(cands: DataFrame, keys: list[str], n: int) -> DataFrame:
     rows = cut_lineage(rows.drop("__o", "__u"))
     at = lambda i, c: F.max(F.when(F.col("b") == i, F.col(c)))
     spread = lambda c: F.least(at(1, c) - at(0, c), at(2, c) - at(1, c)) < MIN_SPACING
-    crossing = rows.groupBy(*keys, "sector").agg(spread("u").alias("clash"))
+    crossing = rows.groupBy(*keys, "sector").agg((spread("u") & (F.count(F.lit(1)) == 3)).alias("clash"))
     sets = rows.groupBy(*keys).agg(
         F.count_distinct("b").alias("__have"),
         spread("global_u").alias("__narrow"),
@@ -213,17 +259,20 @@ def boundary_template(cands: DataFrame, keys: list[str], n: int) -> DataFrame:
         .when(F.col("__low") < 0.25, "insufficient_cross_sector_support")
         .when(F.col("__edge"), "semantic_window_edge")
     )
-    keep = lambda c: F.when(usable, c)
     return every.select(
-        *keys, "boundary", keep(F.col("global_u")).alias("global_u"),
-        keep(F.transform("l", lambda x: x["u"])).alias("sector_u"), keep(F.col("sector_support")).alias("sector_support"),
+        *keys, "boundary", "global_u", F.transform("l", lambda x: x["u"]).alias("sector_u"), "sector_support",
+        F.when(usable, "full").when(F.col("global_u").isNotNull(), "partial").alias("control"),
         status.alias("status"), reason.alias("reason"),
     )
 
 
 def candidate_persistence(profiles: DataFrame, cands: DataFrame, keys: list[str], frame: str, n: int) -> DataFrame:
-    """Frames voting for each candidate (four of eight sectors), supported pairs, median offset."""
-    rows = profiles.withColumn("z", robust_z(F.col("profile"))).join(cands.select(*keys, "peak_index", "peak_u"), keys)
+    """Frames voting for each candidate (four of eight sectors), supported pairs, median offset, its score, and
+    its place among the set's candidates that a frame votes for: most votes, most pairs, nearest, best score."""
+    scale = _scales(cands, keys)
+    score = selection_score(F.col("prominence"), F.col("__scale"), F.col("sector_support")).alias("score")
+    named = cands.join(scale, keys).select(*keys, "peak_index", "peak_u", score)
+    rows = profiles.withColumn("z", robust_z(F.col("profile"))).join(named, keys)
     peak = local_peak(F.col("profile"), F.col("z"), F.col("peak_u"), 0.025, 3, n)
     rows = rows.withColumn("p", peak).withColumn("ok", F.coalesce(F.col("p.z") >= Z_SUPPORT, F.lit(False)))
     per_frame = rows.groupBy(*keys, "peak_index", frame).agg(F.count_if("ok").alias("votes"))
@@ -231,12 +280,17 @@ def candidate_persistence(profiles: DataFrame, cands: DataFrame, keys: list[str]
         F.count_if(F.col("votes") >= 4).alias("frame_votes"), F.sum("votes").alias("supported_pairs"), F.count(F.lit(1)).alias("frames")
     )
     offset = rows.groupBy(*keys, "peak_index").agg(F.median(F.when(F.col("ok"), F.abs("p.offset"))).alias("median_offset"))
-    return vote.join(offset, keys + ["peak_index"])
+    found = vote.join(offset, keys + ["peak_index"]).join(named.select(*keys, "peak_index", "score"), keys + ["peak_index"])
+    # A set has few candidates, so one window holds them.
+    best = Window.partitionBy(*keys).orderBy(
+        F.desc("frame_votes"), F.desc("supported_pairs"), F.asc_nulls_last(F.round("median_offset", 12)), F.desc("score"), "peak_index"
+    )
+    return found.withColumn("place", F.when(F.col("frame_votes") >= 1, F.row_number().over(best)))
 
 
 def boundary_alignment(profiles: DataFrame, template: DataFrame, keys: list[str], sector: str, n: int) -> DataFrame:
     """Median local maximum at detected against fixed radii, and their ratio."""
-    rows = profiles.join(template.where("global_u is not null").select(*keys, "boundary", "sector_u"), keys)
+    rows = profiles.join(template.where("control = 'full'").select(*keys, "boundary", "sector_u"), keys)
     coarse = F.lit(None).cast("double")
     for name, radius in zip(BOUNDARIES, COARSE):
         coarse = F.when(F.col("boundary") == name, F.lit(radius)).otherwise(coarse)
@@ -377,48 +431,55 @@ def quarter_turn_distance(a: Column, b: Column) -> Column:
     return F.least(*[rms(t) for t in range(4)])
 
 
-def medoid_consensus(shapes: DataFrame, keys: list[str], ident: str, score: str, floor: float, multiplier: float, top: int, minimum: int = 3) -> DataFrame:
-    """Medoid by median pairwise distance, outlier threshold, then the ranked core.
+def medoid_consensus(
+    shapes: DataFrame, keys: list[str], ident: str, score: str, floor: float, multiplier: float, top: int, minimum: int = 3,
+    error: str | None = None, quality: str | None = None, rank: str | None = None,
+) -> DataFrame:
+    """Medoid by median pairwise distance, outlier threshold, then the ranked core; one row per view.
 
-    The candidate shapes of one series are a short list (a bounded selection of views):
+    The core is taken by highest score, lowest face-on `error`, highest `quality`, distance to the medoid, lowest `rank`,
+    and identifier; the last four are optional columns. A set of fewer than `minimum` views has no medoid, and all
+    its views are unavailable. The candidate shapes of one series are a short list (a bounded selection of views):
     they form one array and the distances are row expressions, so no shape pairs travel.
     """
-    cell = F.struct(F.col(ident).alias("id"), F.col(score).alias("score"), F.col("shape").alias("shape"))
-    sets = shapes.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("__set")).where(F.size("__set") >= minimum)
+    extra = [
+        F.coalesce(F.col(error).cast("double"), F.lit(float("inf"))) if error else F.lit(0.0),
+        -F.coalesce(F.col(quality).cast("double"), F.lit(0.0)) if quality else F.lit(0.0),
+        F.coalesce(F.col(rank).cast("long"), F.lit(10**9)) if rank else F.lit(0),
+    ]
+    order = [(-F.col(score)).alias("n"), *[c.alias(n) for c, n in zip(extra, ("error", "quality", "rank"))]]
+    cell = F.struct(F.col(ident).alias("id"), *order, F.col("shape").alias("shape"))
+    every = shapes.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("__set"))
+    few = every.where(F.size("__set") < minimum).select(*keys, F.explode("__set.id").alias(ident))
+    sets = every.where(F.size("__set") >= minimum)
     medians = F.transform(
         "__set",
         lambda a: F.struct(
             F.round(
-                array_median(
-                    F.transform(F.filter("__set", lambda b: b["id"] != a["id"]), lambda b: quarter_turn_distance(a["shape"], b["shape"]))
-                ),
-                12,
+                array_median(F.transform(F.filter("__set", lambda b: b["id"] != a["id"]), lambda b: quarter_turn_distance(a["shape"], b["shape"]))), 12
             ).alias("m"),
             a["id"].alias("id"),
             a["shape"].alias("shape"),
         ),
     )
     sets = sets.withColumn("medoid", F.array_min(medians))
+    to_medoid = lambda a: quarter_turn_distance(a["shape"], F.col("medoid.shape"))
     sets = sets.withColumn(
-        "__dist", F.transform("__set", lambda a: F.struct(a["id"].alias("id"), a["score"].alias("score"), quarter_turn_distance(a["shape"], F.col("medoid.shape")).alias("distance")))
+        "__dist",
+        F.transform("__set", lambda a: F.struct(*[a[c].alias(c) for c in ("n", "error", "quality")], F.round(to_medoid(a), 12).alias("d"), a["rank"].alias("rank"), a["id"].alias("id"), to_medoid(a).alias("distance"))),
     )
     dist = F.transform("__dist", lambda x: x["distance"])
-    sets = sets.withColumn("__med", array_median(dist)).withColumn(
-        "__mad", array_median(F.transform(dist, lambda v: F.abs(v - F.col("__med"))))
-    )
+    sets = sets.withColumn("__med", array_median(dist)).withColumn("__mad", array_median(F.transform(dist, lambda v: F.abs(v - F.col("__med")))))
     limit = F.greatest(F.lit(floor), F.col("__med") + multiplier * F.greatest(1.4826 * F.col("__mad"), F.lit(1e-6)))
     sets = sets.withColumn("threshold", limit)
-    order = F.array_sort(
-        F.transform(
-            F.filter("__dist", lambda x: x["distance"] <= F.col("threshold")),
-            lambda x: F.struct((-x["score"]).alias("n"), F.round(x["distance"], 12).alias("d"), x["id"].alias("id")),
-        )
-    )
-    chosen = F.transform(F.slice(order, 1, top), lambda x: x["id"])
+    pool = F.array_sort(F.filter("__dist", lambda x: x["distance"] <= F.col("threshold")))
+    chosen = F.transform(F.slice(pool, 1, top), lambda x: x["id"])
     rows = sets.withColumn("__chosen", chosen).select(*keys, "medoid.id", "threshold", "__chosen", F.explode("__dist").alias("x"))
-    status = (
-        F.when(F.array_contains("__chosen", F.col("x.id")), "selected")
-        .when(F.col("x.distance") > F.col("threshold"), "rejected")
-        .otherwise("not_selected")
+    selected, out = F.array_contains("__chosen", F.col("x.id")), F.col("x.distance") > F.col("threshold")
+    rows = rows.select(
+        *keys, F.col("id").alias("medoid"), F.col("x.id").alias(ident), F.col("x.distance").alias("distance"), "threshold",
+        F.when(selected, "selected").when(out, "rejected").otherwise("not_selected").alias("status"),
+        F.when(selected, "").when(out, "outer_octagon_consensus_outlier").otherwise("outside_face_on_outer_core").alias("reason"),
     )
-    return rows.select(*keys, F.col("id").alias("medoid"), F.col("x.id").alias(ident), F.col("x.distance").alias("distance"), "threshold", status.alias("status"))
+    few = few.withColumns({"status": F.lit("unavailable"), "reason": F.lit("insufficient_compatible_outer_views")})
+    return rows.unionByName(few, allowMissingColumns=True)

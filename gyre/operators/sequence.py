@@ -39,9 +39,12 @@ def neighbours(
     cols: list[str],
     following: bool = False,
     width: int = CHUNK,
+    dense: bool = True,
 ) -> DataFrame:
-    """Add `prev_<c>` (and `next_<c>`) of the adjacent positions."""
+    """Add `prev_<c>` (and `next_<c>`) of the adjacent rows; positions have no holes unless `dense` is false."""
     chunk = F.floor(F.col(order) / width)
+    if not dense:
+        return _neighbours_with_holes(df.withColumn("__chunk", chunk), keys, order, cols, following)
     slot = F.pmod(F.col(order), F.lit(width))
     homes = [chunk, F.when(slot == width - 1, chunk + 1)]
     if following:
@@ -54,6 +57,24 @@ def neighbours(
     return out.where(F.col("__chunk") == chunk).drop("__chunk")
 
 
+def _neighbours_with_holes(cut: DataFrame, keys: list[str], order: str, cols: list[str], following: bool) -> DataFrame:
+    """The first row of a chunk follows the last row of the chunk before that has any; these edges are one row a chunk."""
+    edge = lambda pick: pick(F.struct(*cols), order)
+    ends = cut.groupBy(*keys, "__chunk").agg(edge(F.min_by).alias("first"), edge(F.max_by).alias("last"))
+    along = Window.partitionBy(*keys).orderBy("__chunk")
+    ends = ends.select(*keys, "__chunk", F.lag("last").over(along).alias("__before"), F.lead("first").over(along).alias("__after"))
+    ends = ends.where("__before is not null or __after is not null")
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(order)
+    out = cut.withColumns({"__row": F.row_number().over(inside), "__rest": F.lead(F.lit(1)).over(inside)})
+    out = out.withColumns({f"prev_{c}": F.lag(c).over(inside) for c in cols} | ({f"next_{c}": F.lead(c).over(inside) for c in cols} if following else {}))
+    out = out.join(ends, [*keys, "__chunk"], "left")
+    for c in cols:
+        out = out.withColumn(f"prev_{c}", F.when(F.col("__row") == 1, F.col(f"__before.{c}")).otherwise(F.col(f"prev_{c}")))
+        if following:
+            out = out.withColumn(f"next_{c}", F.when(F.col("__rest").isNull(), F.col(f"__after.{c}")).otherwise(F.col(f"next_{c}")))
+    return out.drop("__chunk", "__row", "__rest", "__before", "__after")
+
+
 def adjacent(left: Column, right: Column, wrap: str = "none", period: int | None = None) -> Column:
     """Source-step adjacency: 'none', 'any' (anything > 0 back to 0) or 'exact' (n-1 to 0)."""
     step = right == left + 1
@@ -93,10 +114,10 @@ def change_summary(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def paired_changes(
-    df: DataFrame, keys: list[str], order: str, source: str, a: str, b: str, wrap: str = "none", width: int = CHUNK
+    df: DataFrame, keys: list[str], order: str, source: str, a: str, b: str, wrap: str = "none", width: int = CHUNK, dense: bool = True
 ) -> DataFrame:
     """Aligned changes of two traces, with both published direction vocabularies."""
-    pairs = neighbours(df, keys, order, [order, source, a, b], width=width).where(F.col(f"prev_{order}").isNotNull())
+    pairs = neighbours(df, keys, order, [order, source, a, b], width=width, dense=dense).where(F.col(f"prev_{order}").isNotNull())
     ok_step = adjacent(F.col(f"prev_{source}"), F.col(source), wrap)
     gap = ~all_of([F.col(c).isNotNull() for c in (a, b, f"prev_{a}", f"prev_{b}")])
     pairs = pairs.withColumn(

@@ -475,50 +475,67 @@ def run_event(per_pixel: DataFrame, run_rows: DataFrame, width: int) -> DataFram
 
 
 def components(active: DataFrame, keys: list[str], connectivity: int = 8) -> DataFrame:
-    """Connected components of active cells: (keys, y, x) -> label (row-major first cell).
+    """Connected components of active cells: (keys, y, x) -> label (row-major first cell, a struct).
 
-    Cells are first compressed to horizontal runs, so the graph has runs as nodes and
-    touching runs of neighbouring rows as edges. Labels then spread by repeated minimum
-    over edges with pointer jumping, checkpointed each round, until nothing changes;
-    rounds grow with the logarithm of the chain length. A label is a struct (y, x).
+    A frame becomes one row of horizontal runs in row-major order, after one shuffle. A fold
+    gives every run the lowest label among the runs it touches in the row above, or its own number;
+    labels that meet are noted and renamed in the two open rows only, so a run costs as much as these are long. A
+    second fold over the notes, latest first, resolves renamed labels.
     """
-    from gyre.session import cut_lineage
-
     reach = 1 if connectivity == 8 else 0
-    w = Window.partitionBy(*keys, "y").orderBy("x")
-    cells = active.select(*keys, "y", "x").withColumn("__g", F.col("x") - F.row_number().over(w))
+    w = Window.partitionBy(*keys).orderBy("y", "x")
+    cells = active.select(*keys, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).distinct()
+    cells = cells.withColumn("__g", F.col("x") - F.row_number().over(w))
     run_rows = cells.groupBy(*keys, "y", "__g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    node = F.struct(F.col("y").cast("long").alias("y"), F.col("x0").cast("long").alias("x"))
-    nodes = cut_lineage(run_rows.select(*keys, node.alias("node"), "y", "x0", "x1"))
-    up = nodes.select(*keys, (F.col("y") + 1).alias("y"), F.col("node").alias("b"), F.col("x0").alias("u0"), F.col("x1").alias("u1"))
-    touch = (
-        nodes.join(up, keys + ["y"])
-        .where((F.col("x0") <= F.col("u1") + reach) & (F.col("u0") <= F.col("x1") + reach))
-        .select(*keys, F.col("node").alias("a"), "b")
-    )
-    edges = cut_lineage(touch.unionByName(touch.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = nodes.select(*keys, "node", F.col("node").alias("label"))
-    while True:
-        heard = (
-            edges.join(labels.select(*keys, F.col("node").alias("b"), F.col("label").alias("__l")), keys + ["b"])
-            .groupBy(*keys, F.col("a").alias("node"))
-            .agg(F.min("__l").alias("__l"))
-        )
-        low = labels.join(heard, keys + ["node"], "left").select(
-            *keys, "node", F.col("label").alias("__old"), F.least("label", F.coalesce("__l", "label")).alias("label")
+    frames = run_rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y", "x0", "x1"))).alias("runs"))
+    numbered = F.transform("runs", lambda r, i: F.struct(r["y"].alias("y"), r["x0"].alias("x0"), r["x1"].alias("x1"), i.alias("i")))
+    open_row, notes = "array<struct<x0:int,x1:int,l:int>>", "array<struct<was:int,now:int>>"
+    none = lambda kind: F.array().cast(kind)
+    start = F.struct(
+        F.lit(-2).alias("y"), none(open_row).alias("above"), none(open_row).alias("row"), none("array<int>").alias("labels"), none(notes).alias("notes")
+    )
+
+    def meet(acc: Column, run: Column) -> Column:
+        same = run["y"] == acc["y"]
+        above = F.when(same, acc["above"]).when(run["y"] == acc["y"] + 1, acc["row"]).otherwise(none(open_row))
+        row = F.when(same, acc["row"]).otherwise(none(open_row))
+        met = F.transform(F.filter(above, lambda p: (run["x0"] <= p["x1"] + reach) & (p["x0"] <= run["x1"] + reach)), lambda p: p["l"])
+        # The next two are read several times: a one-element transform names them.
+        named = F.transform(
+            F.array(F.struct(above.alias("above"), row.alias("row"), met.alias("met"), F.coalesce(F.array_min(met), run["i"]).alias("l"))),
+            lambda n: F.struct(n["above"].alias("above"), n["row"].alias("row"), n["l"].alias("l"), F.array_remove(F.array_distinct(n["met"]), n["l"]).alias("gone")),
         )
-        hop = low.select(*keys, F.col("node").alias("label"), F.col("label").alias("__j"))
-        stepped = cut_lineage(
-            low.join(hop, keys + ["label"], "left").select(*keys, "node", F.least("label", "__j").alias("label"), "__old")
+
+        def renamed(runs: Column, n: Column) -> Column:
+            return F.when(F.size(n["gone"]) == 0, runs).otherwise(
+                F.transform(runs, lambda p: F.struct(p["x0"].alias("x0"), p["x1"].alias("x1"), F.when(F.array_contains(n["gone"], p["l"]), n["l"]).otherwise(p["l"]).alias("l")))
+            )
+
+        return F.get(
+            F.transform(
+                named,
+                lambda n: F.struct(
+                    run["y"].alias("y"),
+                    renamed(n["above"], n).alias("above"),
+                    F.concat(renamed(n["row"], n), F.array(F.struct(run["x0"].alias("x0"), run["x1"].alias("x1"), n["l"].alias("l")))).alias("row"),
+                    F.concat(acc["labels"], F.array(n["l"])).alias("labels"),
+                    F.concat(acc["notes"], F.transform(n["gone"], lambda g: F.struct(g.alias("was"), n["l"].alias("now")))).alias("notes"),
+                ),
+            ),
+            F.lit(0),
         )
-        changed = stepped.where("label <> __old").limit(1).count()
-        labels = stepped.drop("__old")
-        if not changed:
-            break
-    return (
-        nodes.join(labels, keys + ["node"])
-        .select(*keys, "y", F.explode(F.sequence("x0", "x1")).alias("x"), "label")
-    )
+
+    def settle(known: Column, note: Column) -> Column:
+        now = F.coalesce(F.element_at(known, note["now"]), note["now"])
+        return F.map_concat(known, F.map_from_arrays(F.array(note["was"]), F.array(now)))
+
+    folded = frames.withColumn("fold", F.aggregate(numbered, start, meet))
+    folded = folded.withColumn("final", F.aggregate(F.reverse("fold.notes"), F.create_map().cast("map<int,int>"), settle))
+    root = lambda i: F.get("runs", F.coalesce(F.element_at("final", F.get("fold.labels", i)), F.get("fold.labels", i)))
+    named = F.transform("runs", lambda r, i: F.struct(r.alias("r"), root(i).alias("root")))
+    rows = folded.select(*keys, F.explode(named).alias("n"))
+    label = F.struct(F.col("n.root.y").cast("long").alias("y"), F.col("n.root.x0").cast("long").alias("x")).alias("label")
+    return rows.select(*keys, F.col("n.r.y").alias("y"), F.explode(F.sequence("n.r.x0", "n.r.x1")).alias("x"), label)
 
 
 def flash_morphology(labelled: DataFrame, support: DataFrame, keys: list[str], connectivity: int = 8) -> DataFrame:

@@ -92,7 +92,7 @@ def band_pairs(t):
     keys = ["series_id", "pair_id"]
     paired = E.paired_traces(traces, KEY, "position", "band", "relative", BANDS).withColumn("src", F.col("position"))
     levels = E.level_correlation(paired, keys, "a", "b")
-    moves = direction_summary(paired_changes(paired, keys, "position", "src", "a", "b"), keys, "relationship", "tie")
+    moves = direction_summary(paired_changes(paired, keys, "position", "src", "a", "b", dense=False), keys, "relationship", "tie")
     both = levels.join(moves.withColumnRenamed("status", "move_status"), keys)
     return both.select(
         *keys, "paired", "pearson_r", "same_pairs", "opposite_pairs", "tie_pairs", "same_fraction",
@@ -177,7 +177,27 @@ def proximity_pairs(t):
     return E.proximity_pairs(strong_samples(t), KEY, "position", "v", 0.002)
 
 
-@query("e9_greedy_match")
+@query(
+    "e9_greedy_match",
+    f"""WITH RECURSIVE s AS (SELECT series_id, position, k // 16 AS family, (k + 0.5) / 64 AS fraction, v AS x, (k % 16) / 16 AS y, CAST(k AS BIGINT) AS k FROM ({BRIGHT_ROWS})),
+    g AS (SELECT a.series_id, a.position, a.k AS i, b.k AS j, abs(a.fraction - b.fraction) AS r, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS e, b.fraction - a.fraction AS delta
+          FROM s a JOIN s b ON b.series_id = a.series_id AND b.position = a.position + 1 AND b.family = a.family),
+    o AS (SELECT *, round(0.75 * r / 0.06 + 0.25 * e / 0.3, 12) AS cost,
+                 row_number() OVER (PARTITION BY series_id, position ORDER BY round(0.75 * r / 0.06 + 0.25 * e / 0.3, 12), i, j) AS n
+          FROM g WHERE r <= 0.06 AND e <= 0.3),
+    fold(series_id, position, n, ti, tj, taken) AS (
+      SELECT DISTINCT series_id, position, 0::BIGINT, CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), false FROM o
+      UNION ALL
+      SELECT o.series_id, o.position, o.n, CASE WHEN ok THEN list_append(ti, i) ELSE ti END, CASE WHEN ok THEN list_append(tj, j) ELSE tj END, ok
+      FROM (SELECT o.*, f.ti, f.tj, NOT list_contains(f.ti, o.i) AND NOT list_contains(f.tj, o.j) AS ok
+            FROM fold f JOIN o ON o.series_id = f.series_id AND o.position = f.position AND o.n = f.n + 1) o),
+    m AS (SELECT o.* FROM o JOIN fold USING (series_id, position, n) WHERE taken)
+    SELECT series_id, position, i, j, {r6("cost")} AS cost, {r6("delta")} AS delta, {r6("e")} AS shift, 'matched' AS kind FROM m
+    UNION ALL
+    SELECT series_id, position, k, NULL, NULL, NULL, NULL, 'not_redetected' FROM s ANTI JOIN (SELECT series_id, position, i AS k FROM m) USING (series_id, position, k)
+    UNION ALL
+    SELECT series_id, position, NULL, k, NULL, NULL, NULL, 'newly_detected' FROM (SELECT series_id, position - 1 AS position, k FROM s) ANTI JOIN (SELECT series_id, position, j AS k FROM m) USING (series_id, position, k)""",
+)
 def greedy_match(t):
     seg = strong_samples(t).select(
         *FRAME,

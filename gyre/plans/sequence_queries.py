@@ -284,9 +284,27 @@ def cyclic_phase(t):
     return C.phase(whole, F.col("slot"), -F.col("r.neg"), 8, 360.0, -1).drop("r", "have")
 
 
-@query("f19_unwrap_quarter_turns")
+@query(
+    "f19_unwrap_quarter_turns",
+    f"""WITH RECURSIVE {CYCLES},
+    a AS (SELECT series_id, slot, x, row_number() OVER w - 1 AS i, first_value(x) OVER w AS x0, lag(x) OVER w AS prev, count(*) OVER (PARTITION BY series_id) AS n
+          FROM (SELECT series_id, slot, peak * 7.0 - 360.0 * floor(peak * 7.0 / 360.0) AS x FROM cycles) WINDOW w AS (PARTITION BY series_id ORDER BY slot)),
+    c AS (SELECT *, list_transform([0, 1, 2, 3], lambda d: prev - x - 90.0 * d) AS v FROM a),
+    j AS (SELECT * EXCLUDE (v), list_transform(v, lambda z: z + 180.0 - 360.0 * floor((z + 180.0) / 360.0) - 180.0) AS d FROM c),
+    dp(series_id, i, best) AS (
+      SELECT series_id, 0::BIGINT, [{{'c': 0::BIGINT, 'p': ''}}, {{'c': 1::BIGINT << 61, 'p': ''}}, {{'c': 1::BIGINT << 61, 'p': ''}}, {{'c': 1::BIGINT << 61, 'p': ''}}] FROM j WHERE i = 0
+      UNION ALL
+      SELECT j.series_id, j.i, [{", ".join("list_min([" + ", ".join(
+          f"{{'c': best[{p + 1}].c + CAST(floor(d[{(s - p) % 4 + 1}] * d[{(s - p) % 4 + 1}] * 1e6 + 0.5) AS BIGINT), 'p': '{p}' || best[{p + 1}].p}}" for p in range(4)
+      ) + "])" for s in range(4))}]
+      FROM dp JOIN j ON j.series_id = dp.series_id AND j.i = dp.i + 1),
+    f AS (SELECT series_id, list_min([{", ".join(f"{{'c': best[{r + 1}].c + CASE WHEN n > 1 THEN CAST(floor(z{r} * z{r} * 1e6 + 0.5) AS BIGINT) ELSE 0 END, 'r': {r}, 'p': '{r}' || best[{r + 1}].p}}" for r in range(4))}]) AS b
+          FROM (SELECT dp.series_id, best, n, {", ".join(f"x - x0 + 90.0 * {r} + 180.0 - 360.0 * floor((x - x0 + 90.0 * {r} + 180.0) / 360.0) - 180.0 AS z{r}" for r in range(4))}
+                FROM dp JOIN j USING (series_id, i) WHERE i = n - 1))
+    SELECT j.series_id, j.slot, CAST(reverse(b.p)[CAST(j.i AS INTEGER) + 1] AS INTEGER) AS quarter_turn, {r6("b.c / 1e6")} AS objective FROM j JOIN f USING (series_id)""",
+)
 def unwrap_quarter_turns(t):
-    angles = t.cycles.select("series_id", "slot", F.pmod(F.col("peak") * 7.0, F.lit(360.0)).alias("angle"))
+    angles = t.cycles.select("series_id", "slot", (F.col("peak") * 7.0 - 360.0 * F.floor(F.col("peak") * 7.0 / 360.0)).alias("angle"))
     return C.quarter_turns(angles, KEY, "slot", "angle")
 
 

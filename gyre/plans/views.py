@@ -3,7 +3,7 @@
 Each view has a DataFrame form and a SQL form (a common table expression for the oracle).
 
 steps    one series per user: dense position, cyclic source index, value null on 'error'
-cycles   one series per user on a 24-slot cycle (hour of day); hours of fewer than SEEN events are gaps
+cycles   one series per user on a 24-slot cycle (hour of day); hours without events are gaps
 pixels   one 8 x 8 frame per vector, 16 frames per series, one row per pixel
 profiles one radial profile of 64 samples per vector, 8 sectors per profile set
 """
@@ -22,7 +22,6 @@ PERIOD = 24
 FRAMES = 16
 SIDE = 8
 SECTORS = 8
-SEEN = 3  # events that make an hour an observed slot
 
 
 class Tables:
@@ -59,10 +58,8 @@ class Tables:
 
     @cached_property
     def cycles(self) -> DataFrame:
-        return (
-            self.events.groupBy(F.col("user_id").alias("series_id"), F.hour("ts").alias("slot"))
-            .agg(F.avg("value").alias("score"), F.count(F.lit(1)).alias("n"), F.max("value").alias("peak"))
-            .where(F.col("n") >= SEEN)
+        return self.events.groupBy(F.col("user_id").alias("series_id"), F.hour("ts").alias("slot")).agg(
+            F.avg("value").alias("score"), F.count(F.lit(1)).alias("n"), F.max("value").alias("peak")
         )
 
     @cached_property
@@ -105,7 +102,7 @@ class Tables:
             "sector",
             "vec_id",
             "k",
-            ((F.col("k") + 0.5) / 64).alias("u"),
+            (F.col("k") / F.lit(63.0)).alias("u"),
             F.col("v").cast("double").alias("value"),
             (F.abs(F.col("v")) < 0.3).alias("supported"),
         )
@@ -148,7 +145,7 @@ CYCLES = """
 cycles AS (
   SELECT user_id AS series_id, CAST(hour(ts) AS INTEGER) AS slot, avg(value) AS score, count(*) AS n,
          max(value) AS peak
-  FROM events GROUP BY 1, 2 HAVING count(*) >= 3)"""
+  FROM events GROUP BY 1, 2)"""
 
 PIXELS = f"""
 flat AS (
@@ -181,6 +178,6 @@ PROFILES = f"""
 samples AS (
   SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS k FROM embeddings),
 profiles AS (
-  SELECT vec_id // {SECTORS} AS series_id, vec_id % {SECTORS} AS sector, vec_id, k, (k + 0.5) / 64 AS u,
+  SELECT vec_id // {SECTORS} AS series_id, vec_id % {SECTORS} AS sector, vec_id, k, k / 63.0::DOUBLE AS u,
          CAST(v AS DOUBLE) AS value, abs(v) < 0.3::FLOAT AS supported
   FROM samples)"""

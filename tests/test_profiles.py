@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 
 from gyre.operators import profiles as R
+from pyspark.sql import functions as F
 
 N = 64
-U = (np.arange(N) + 0.5) / N
+U = np.arange(N) / (N - 1)
 CENTRES = (0.51, 0.73, 0.87)
 
 
@@ -61,7 +62,62 @@ def test_missing_boundary_is_named(spark):
     cands = R.candidates(R.consensus(table(spark, planted((0.30, 0.51, 0.87))), ["set_id"], "sector", N), N)
     rows = R.boundary_template(cands, ["set_id"], N).collect()
     assert len(rows) == 3 and {r.status for r in rows} == {"unavailable"}
-    assert {r.reason for r in rows} == {"no_supported_inner_middle_edge"} and {r.global_u for r in rows} == {None}
+    assert {r.reason for r in rows} == {"no_supported_inner_middle_edge"}
+    by = {r.boundary: r for r in rows}
+    assert {b: r.control for b, r in by.items()} == {"centre_inner": "partial", "inner_middle": None, "middle_outer": "partial"}
+    assert by["inner_middle"].global_u is None and abs(by["centre_inner"].global_u - 0.51) < 1.5 / N and len(by["middle_outer"].sector_u) == 8
+
+
+def flat_peaks(v):
+    """Tops of equal samples that are higher than both sides, at their middle."""
+    out, i = [], 1
+    while i < len(v) - 1:
+        if v[i - 1] < v[i]:
+            j = i
+            while j < len(v) - 1 and v[j + 1] == v[i]:
+                j += 1
+            if j < len(v) - 1 and v[j + 1] < v[i]:
+                out.append((i + j) // 2)
+            i = j
+        i += 1
+    return out
+
+
+def test_flat_tops_and_ties(spark):
+    rng = np.random.default_rng(6)
+    curves = [[float(x) for x in rng.integers(0, 4, N)] for _ in range(40)] + [[0.0] * N, [1.0] * 10 + [0.0] * (N - 10), [float(min(k, 40)) for k in range(N)]]
+    df = spark.createDataFrame(list(enumerate(curves)), "i int, curve array<double>")
+    got = {r.i: r.p for r in df.select("i", R.peak_indices(F.col("curve"), N).alias("p")).collect()}
+    assert got == {i: flat_peaks(c) for i, c in enumerate(curves)}
+    kept = {r.i: r.k for r in df.select("i", R.spaced(F.col("curve"), R.peak_indices(F.col("curve"), N), 6).alias("k")).collect()}
+    for i, c in enumerate(curves):
+        want = []
+        for p in sorted(flat_peaks(c), key=lambda p: (-c[p], -p)):
+            if all(abs(p - k) >= 6 for k in want):
+                want.append(p)
+        assert kept[i] == want
+
+
+def test_window_peaks_compete_inside_their_window_only(spark):
+    """A tall peak between the windows suppresses nothing, and no peak is made up."""
+    curve = [0.0] * N
+    curve[36], curve[39], curve[42], curve[45] = 0.7, 9.0, 2.0, 1.5
+    df = spark.createDataFrame([(curve,)], "curve array<double>")
+    assert {r.peak_index for r in R.profile_peaks(df, "curve", N, policy="window").collect()} == {36, 42}
+    assert 36 not in {r.peak_index for r in R.profile_peaks(df, "curve", N).where("prominence > 0").collect()}
+
+
+def test_temporal_priority_prefers_votes_to_prominence(spark):
+    data = planted((0.45, 0.73, 0.87))
+    extra = np.exp(-(((U - 0.56) / 0.018) ** 2))
+    data[:2, :, :] += 40 * extra  # a strong edge in two frames of eight
+    profiles = table(spark, data)
+    cands = R.candidates(R.consensus(profiles, ["set_id"], "sector", N), N, policy="window")
+    votes = R.candidate_persistence(profiles, cands, ["set_id"], "frame", N)
+    ranked = [r for r in votes.orderBy("place").collect() if r.place]
+    assert [r.frame_votes for r in ranked] == sorted((r.frame_votes for r in ranked), reverse=True)
+    rows = {r.boundary: r for r in R.boundary_template(cands, ["set_id"], N, votes).collect()}
+    assert abs(rows["centre_inner"].global_u - 0.45) < 1.5 / N and rows["centre_inner"].control == "full"
 
 
 def test_candidate_votes(fitted):
