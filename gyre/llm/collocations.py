@@ -2,15 +2,17 @@
 
 Every word of a text opens one window: the word and the words after it in its piece, `ORDER` at most, padded
 where the piece ends. An occurrence of a phrase is the beginning of exactly one window, so only these longest windows
-are counted, and Spark's ROLLUP over (lang, w1, .., w4) sums them to the counts of all shorter phrases and, at its
-top, to the number of words of a language; no shorter n-gram is ever exploded.
+are counted, and Spark's ROLLUP over (w1, .., w4) sums them to the counts of all shorter phrases; no shorter n-gram
+is ever exploded.
 
-A phrase below `LEAST` occurrences is neither a candidate nor a part of one, and no longer phrase that begins with it
-reaches `LEAST`. So windows are padded from there on before they are counted: texts are dealt into chunks,
-each chunk asks the corpus for the counts of its n-grams by hashed name, and cuts a window to its longest
-beginning that is frequent enough. Names that collide only make a count larger, so a window is never cut too
-short; the counts themselves are ROLLUP sums over the words, which are compared as words. A window of no frequent word counts for the
-language's total alone. Windows are summed inside a chunk first, so frequent words, lines and passages take one row a chunk.
+A phrase below `LEAST` occurrences is neither a candidate nor a part of one, and no phrase that holds it
+reaches `LEAST`. So windows are padded from there on: first at words below `LEAST`, which a word count over all texts finds
+and numbers (a number stands for a word of one language), then, when the windows of all chunks meet in buckets, at the longest
+beginning that is frequent. What leaves a bucket are few windows, and ROLLUP sums these exactly.
+
+Hot keys: windows are summed inside a chunk of texts first. A bucket holds all windows of its word pairs; a pair occurs at most
+as often as its rarer word, so a pair whose words are both more frequent than a bucket's share of all words is spread by its third
+word, and likewise by its fourth. Spread beginnings are not cut; the ROLLUP and its final filter settle them.
 
 Text: A-Z in lower case, pieces end at `.,;:!?` and line ends, words at space and tab. Null text has no words; null lang
 is `und`. Ids play no part, repeated rows count each time, tables without words give no rows. Columns of other
@@ -25,8 +27,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gyre.llm.exchange import ASK, _ask, answers, ask_rows, chunk_rows, chunks_for, in_chunks, looked_up, reply_arrays, written
-from gyre.llm.text import BASE, LOWER, batch_bytes, mix, word_hashes, word_spans
+from gyre.llm.exchange import chunk_rows, chunks_for, in_chunks, written
+from gyre.llm.text import LOWER, batch_bytes, mix, word_spans
 
 LEAST = 30
 ORDER = 4
@@ -35,17 +37,21 @@ SCALE = 2_000_000
 ABSORBED = 80  # percent of a phrase's occurrences inside a longer candidate
 UNKNOWN = "und"
 WORDS = tuple(f"w{k + 1}" for k in range(ORDER))
-WINDOW = "lang string, " + ", ".join(f"{w} string" for w in WORDS) + ", n long"
-_NAME = np.uint64((1 << 56) - 1)
+COUNTED = "chunk long, lang string, word string, n long"
+PACKED = "bucket int, payload binary"
+WINDOW = ", ".join(f"{w} int" for w in WORDS) + ", n long"
+_counted = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+_packed = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
+_windows = pa.schema([*((w, pa.int32()) for w in WORDS), ("n", pa.int64())])
+_inner = pa.schema([*((w, pa.uint32()) for w in WORDS), ("n", pa.uint32()), ("keep", pa.uint8())])
 _PIECE_END = np.zeros(256, bool)
 _PIECE_END[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _WORD = ~_PIECE_END
 _WORD[[0x20, 0x09]] = False
-_window = pa.schema([("lang", pa.string()), *((w, pa.string()) for w in WORDS), ("n", pa.int64())])
 
 
 class _Words:
-    """Words of a chunk's texts in order: id and place in the dictionary, hash, and how many words follow in the piece."""
+    """Words of a chunk's texts in order: language, place in the dictionary, and how many are left in the piece."""
 
     def __init__(self, rows: pa.Table):
         data, offsets = batch_bytes(rows["text"])
@@ -53,9 +59,9 @@ class _Words:
         starts, ends, first = word_spans(data, offsets, _WORD)
         lang = rows["lang"].combine_chunks().dictionary_encode()
         lang = lang.combine_chunks() if isinstance(lang, pa.ChunkedArray) else lang
-        self.langs = lang.dictionary.to_pylist()
+        self.langs = lang.dictionary
         self.lang = np.repeat(lang.indices.to_numpy(zero_copy_only=False), np.diff(first)).astype(np.int64)
-        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+        doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(first))
         piece = np.cumsum(_PIECE_END[data], dtype=np.int32)[starts] if len(starts) else starts
         new = np.ones(len(starts) + 1, bool)
         new[1:-1] = (piece[1:] != piece[:-1]) | (doc[1:] != doc[:-1])
@@ -64,130 +70,173 @@ class _Words:
         letters = data[_WORD[data]]
         at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(letters)]).dictionary_encode()
-        self.words, self.ids = words.dictionary, words.indices.to_numpy().astype(np.int64)
-        size = np.diff(np.frombuffer(self.words.buffers()[1], np.int64, len(self.words) + 1)) if len(self.words) else np.zeros(0, np.int64)
-        ends = np.cumsum(size)
-        flat = np.frombuffer(self.words.buffers()[2], np.uint8) if len(self.words) and self.words.buffers()[2] else np.zeros(0, np.uint8)
-        self.hashes = word_hashes(flat, ends - size, ends)[self.ids] if len(self.ids) else np.zeros(0, np.uint64)
-        salts = word_hashes(*_spans([x or "" for x in self.langs]))
-        self.hashes = mix(self.hashes ^ salts[self.lang]) if len(self.ids) else self.hashes
-
-    def names(self, length: int, at: np.ndarray) -> np.ndarray:
-        """Names of the phrases of `length` words that begin at the words `at`."""
-        out = np.full(len(at), length, np.uint64)
-        for j in range(length):
-            out = out * np.uint64(BASE) + self.hashes[at + j]
-        return mix(out) & _NAME
-
-
-def _spans(values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    blobs = [v.encode() for v in values]
-    ends = np.cumsum([len(b) for b in blobs]).astype(np.int64)
-    return np.frombuffer(b"".join(blobs), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
-
-
-def _asked(buckets: int):
-    def run(texts: pa.Table) -> pa.Table:
-        rows = chunk_rows(texts)
-        if rows is None:
-            return _ask.empty_table()
-        words = _Words(rows)
-        out = []
-        for length in range(1, ORDER + 1):
-            names, counts = np.unique(words.names(length, np.flatnonzero(words.left >= length)), return_counts=True)
-            out.append(ask_rows(int(texts["chunk"][0].as_py()), names, counts, buckets))
-        return pa.concat_tables(out)
+        self.words, self.ids = words.dictionary.cast(pa.string()), words.indices.to_numpy().astype(np.int64)
+        self.entry = self.lang * max(len(self.words), 1) + self.ids  # tells language and word
 
-    return run
+    def entries(self, entry: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """(languages, words) of entries."""
+        width = max(len(self.words), 1)
+        return self.langs.take(pa.array(entry // width)), self.words.take(pa.array(entry % width))
 
 
-def _cut_windows(texts: pa.Table, replies: pa.Table) -> pa.Table:
-    """Windows of a chunk, each cut to its longest frequent beginning, with their number."""
+def _count_words(texts: pa.Table) -> pa.Table:
     rows = chunk_rows(texts)
     if rows is None:
-        return _window.empty_table()
+        return _counted.empty_table()
     words = _Words(rows)
-    known = reply_arrays(replies)[0]
-    length, at = np.zeros(len(words.ids), np.int64), np.arange(len(words.ids))
-    for k in range(1, ORDER + 1):
-        at = at[words.left[at] >= k]
-        at = at[looked_up(words.names(k, at), known)[0]]
-        length[at] = k
-    group, base = words.lang.copy(), len(words.words) + 1
-    for k in range(ORDER):  # ids of ever longer beginnings, exact at each step
-        step = np.zeros(len(group), np.int64)
-        here = np.flatnonzero(length > k)
-        step[here] = words.ids[here + k] + 1
-        _, group = np.unique(group * base + step, return_inverse=True)
-    _, first, counts = np.unique(group, return_index=True, return_counts=True)
-    columns = {"lang": pa.array([words.langs[i] for i in words.lang[first].tolist()], pa.string())}
-    for k, name in enumerate(WORDS):
-        have = length[first] > k
-        place = np.where(have, words.ids[np.where(have, first + k, 0)], 0)
-        taken = words.words.take(pa.array(place)).cast(pa.string())
-        columns[name] = pa.compute.if_else(pa.array(have), taken, pa.scalar("", pa.string()))
-    return pa.table(columns | {"n": pa.array(counts.astype(np.int64))}, _window)
-
-
-def windows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> DataFrame:
-    """(lang, w1..w4, n): padded longest windows cut to their frequent beginnings ('' pads)."""
+    entry, counts = np.unique(words.entry, return_counts=True)
+    lang, word = words.entries(entry)
+    return pa.table([pa.array(np.full(len(entry), texts["chunk"][0].as_py()), pa.int64()), lang.cast(pa.string()), word, pa.array(counts, pa.int64())], schema=_counted)
+
+
+def _blob(columns: list[np.ndarray]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _inner, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([pa.array(c, kind.type) for c, kind in zip(columns, _inner)], schema=_inner))
+    return sink.getvalue().to_pybytes()
+
+
+def _summed(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(distinct rows of `columns` in order, sums of `n`, place of the first of each)."""
+    one, two = columns[0] << np.int64(32) | columns[1], columns[2] << np.int64(32) | columns[3]
+    order = np.lexsort((two, one))
+    one, two = one[order], two[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])) if len(one) else order
+    first = order[cuts]
+    return [c[first] for c in columns], np.add.reduceat(n[order], cuts) if len(cuts) else n[:0], first
+
+
+def _windows_of(buckets: int, hot: int):
+    """Distinct windows of frequent words of a chunk with their number, packed by bucket."""
+
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        rows = chunk_rows(texts)
+        if rows is None or not known.num_rows:
+            return _packed.empty_table()
+        words = _Words(rows)
+        entry, place = np.unique(words.entry, return_inverse=True)
+        join = lambda lang, word: pa.compute.binary_join_element_wise(lang, word, pa.scalar("\n", pa.large_string()))  # noqa: E731  no word holds a line end
+        found = pa.compute.index_in(join(*(x.cast(pa.large_string()) for x in words.entries(entry))), join(*(known[c].combine_chunks().cast(pa.large_string()) for c in ("lang", "word"))))
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        number = np.where(at >= 0, known["id"].to_numpy()[at], 0).astype(np.int64)[place]
+        common = np.where(at >= 0, known["f"].to_numpy()[at] >= hot, False)[place]
+        parts, much, alive = [number], [common], number > 0
+        for k in range(1, ORDER):
+            alive = alive & (words.left > k)
+            follows = np.zeros_like(number)
+            follows[: len(number) - k] = number[k:]
+            parts.append(np.where(alive, follows, 0))
+            alive &= parts[-1] > 0
+            shifted = np.zeros_like(common)
+            shifted[: len(number) - k] = common[k:]
+            much.append(much[-1] & shifted & alive)
+        keep = 1 + much[1].astype(np.int64) + much[2]
+        open_ = np.flatnonzero(number)
+        columns, n, first = _summed([p[open_] for p in parts], np.ones(len(open_), np.int64))
+        keep = keep[open_][first]
+        pair = mix((columns[0] << np.int64(32) | columns[1]).view(np.uint64))
+        third = mix(pair ^ columns[2].view(np.uint64))
+        bucket = np.where(keep == 1, pair, np.where(keep == 2, third, mix(third ^ columns[3].view(np.uint64)))) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order].astype(np.int64)
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = np.append(cuts[1:], len(bucket))
+        columns = [c[order] for c in (*columns, n, keep)]
+        blobs = [_blob([c[a:b] for c in columns]) for a, b in zip(cuts.tolist(), ends.tolist())]
+        return pa.table([pa.array(bucket[cuts], pa.int32()), pa.array(blobs, pa.binary())], schema=_packed)
+
+    return run
+
+
+def _cut_windows(least: int):
+    """Windows of a bucket summed over all chunks, each padded after its longest frequent beginning."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in table["payload"]])
+        columns = [rows[w].to_numpy().astype(np.int64) for w in WORDS]
+        columns, n, first = _summed(columns, rows["n"].to_numpy().astype(np.int64))
+        keep, length, whole = rows["keep"].to_numpy()[first], np.ones(len(n), np.int64), np.ones(len(n), bool)
+        new = np.zeros(len(n), bool)
+        new[:1] = True
+        new[1:] = columns[0][1:] != columns[0][:-1]
+        for k in range(1, ORDER):
+            new[1:] |= columns[k][1:] != columns[k][:-1]
+            group = np.cumsum(new) - 1
+            often = np.bincount(group, n, minlength=0)[group] >= least
+            whole &= (columns[k] > 0) & (often | (keep > k))
+            length += whole
+        columns = [np.where(length > k, c, 0) for k, c in enumerate(columns)]
+        columns, n, _ = _summed(columns, n)
+        return pa.table([*(pa.array(c, pa.int32()) for c in columns), pa.array(n, pa.int64())], schema=_windows)
+
+    return run
+
+
+def numbered(words: DataFrame) -> DataFrame:
+    """`words` (lang, word, f) with `id`, from 1 by falling frequency; one number a partition reaches the driver."""
+    rows = written(words.orderBy(F.desc("f"), "lang", "word").withColumn("__at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = {r["p"]: r["n"] for r in rows.groupBy(part.cast("int").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts = np.concatenate([[1], 1 + np.cumsum([sizes.get(p, 0) for p in range(max(sizes, default=0) + 1)])]).tolist()
+    start = F.get(F.array(*[F.lit(int(s)).cast("long") for s in starts]), part.cast("int"))
+    return rows.select("lang", "word", "f", (start + place).cast("int").alias("id"))
+
+
+def windows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((w1..w4, n): padded longest windows of word numbers, 0 pads; the dictionary (lang, word, f, id);
+    the words of each language (lang, n))."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") > 0)
     n = chunks_for(texts, F.octet_length("text"))
     chunks = in_chunks(texts, by=None, chunks=n)
-    asks = chunks.groupBy("chunk").applyInArrow(_asked(n), ASK)
-    return chunks.groupBy("chunk").cogroup(answers(asks, least).groupBy("chunk")).applyInArrow(_cut_windows, WINDOW)
+    counted = written(chunks.groupBy("chunk").applyInArrow(_count_words, COUNTED))
+    totals = written(counted.groupBy("lang").agg(F.sum("n").alias("n")))
+    every = totals.agg(F.sum("n")).first()[0] or 0
+    sums = counted.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    dictionary = written(numbered(sums))
+    known = counted.join(dictionary, ["lang", "word"]).select("chunk", "lang", "word", "f", "id")
+    hot = max(least, every // n)
+    packed = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_windows_of(n, hot), PACKED)
+    return packed.groupBy("bucket").applyInArrow(_cut_windows(least), WINDOW), dictionary, totals
 
 
 def phrase_counts(counted: DataFrame, least: int = LEAST) -> DataFrame:
-    """(lang, words, phrase, f): ROLLUP of the windows to all phrases of `least` occurrences, and, with
-    no words, every language's total."""
-    level = F.lit(ORDER + 1) - F.bit_count(F.grouping_id())
-    sums = counted.rollup("lang", *WORDS).agg(F.sum("n").alias("f"), level.alias("level"))
-    words = F.array(*WORDS)
-    sums = sums.where("level >= 1").withColumn("words", F.slice(words, 1, F.col("level") - 1))
-    sums = sums.where((F.size("words") == 0) | ((F.element_at("words", -1) != "") & (F.col("f") >= least)))
-    return sums.select("lang", "words", F.array_join("words", " ").alias("phrase"), "f")
+    """(words, f): ROLLUP of the windows to all phrases of `least` occurrences, as arrays of word numbers."""
+    level = F.lit(ORDER) - F.bit_count(F.grouping_id())
+    sums = counted.rollup(*WORDS).agg(F.sum("n").alias("f"), level.alias("level")).where((F.col("level") > 0) & (F.col("f") >= least))
+    return sums.select(F.slice(F.array(*WORDS), F.lit(1), F.col("level")).alias("words"), "f").where(F.element_at("words", -1) != 0)
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the `top` phrases of every language."""
-    found = written(phrase_counts(windows(docs, text_col, lang_col, least), least))
-    total = found.where(F.size("words") == 0).select("lang", F.col("f").alias("n"))
-    counts = found.where(F.size("words") > 0).select("lang", "phrase", "f")
-    candidates = found.where(F.size("words") >= 2).withColumnRenamed("f", "a")
+    counted, dictionary, totals = windows(docs, text_col, lang_col, least)
+    counts = written(phrase_counts(counted, least))
+    candidates = counts.where(F.size("words") >= 2).withColumnRenamed("f", "a")
     wide = lambda c: F.col(c).cast("decimal(20,0)")  # noqa: E731  products may pass 64 bits
 
-    cuts = candidates.select("lang", "phrase", "a", "words", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
-    cuts = cuts.select(
-        "lang", "phrase", "a", "k",
-        F.array_join(F.slice("words", F.lit(1), F.col("k")), " ").alias("left"),
-        F.array_join(F.slice("words", F.col("k") + 1, F.size("words")), " ").alias("right"),
-    )
-    cuts = cuts.join(counts.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"])
-    cuts = cuts.join(counts.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
+    cuts = candidates.select("words", "a", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
+    cuts = cuts.withColumns({"left": F.slice("words", F.lit(1), F.col("k")), "right": F.slice("words", F.col("k") + 1, F.size("words"))})
+    cuts = cuts.join(counts.select(F.col("words").alias("left"), F.col("f").alias("l")), "left")
+    cuts = cuts.join(counts.select(F.col("words").alias("right"), F.col("f").alias("r")), "right")
     cuts = cuts.withColumns({"wide_a": wide("a") * F.lit(SCALE).cast("decimal(10,0)"), "parts": wide("l") + wide("r")})
-    worst = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(F.expr("wide_a div parts").alias("score"), "k", "l", "r")).alias("cut"))
+    worst = cuts.groupBy("words", "a").agg(F.min(F.struct(F.expr("wide_a div parts").alias("score"), "k", "l", "r")).alias("cut"))
 
     size = F.size("words")
-    inner = candidates.where(size >= 3).select(
-        "lang",
-        F.col("a").alias("longer"),
-        F.explode(
-            F.flatten(
-                F.transform(
-                    F.sequence(F.lit(2), size - 1),
-                    lambda m: F.transform(F.sequence(F.lit(1), size - m + 1), lambda i: F.array_join(F.slice("words", i, m), " ")),
-                )
-            )
-        ).alias("phrase"),
+    parts = F.flatten(
+        F.transform(F.sequence(F.lit(2), size - 1), lambda m: F.transform(F.sequence(F.lit(1), size - m + 1), lambda i: F.slice("words", i, m)))
     )
-    inner = inner.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
-    kept = worst.join(inner, ["lang", "phrase"], "left").where(
+    inner = candidates.where(size >= 3).select(F.col("a").alias("longer"), F.explode(parts).alias("words"))
+    inner = inner.groupBy("words").agg(F.max("longer").alias("longer"))
+    kept = worst.join(inner, "words", "left").where(
         F.col("longer").isNull() | (wide("longer") * F.lit(100).cast("decimal(3,0)") < wide("a") * F.lit(ABSORBED).cast("decimal(3,0)"))
     )
+    kept = kept.select("words", "a", "cut.score", "cut.l", "cut.r")
+    for k in range(ORDER):
+        names = dictionary.select(F.col("id").alias("__id"), F.col("word").alias(f"t{k}"), *([F.col("lang")] if k == 0 else []))
+        kept = kept.join(names, F.get("words", F.lit(k)) == F.col("__id"), "left").drop("__id")
+    phrase = F.array_join(F.array(*[F.col(f"t{k}") for k in range(ORDER)]), " ").alias("phrase")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = kept.select("lang", "phrase", "a", "cut.score", "cut.l", "cut.r").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    return ranked.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
+    ranked = kept.select("lang", phrase, "a", "score", "l", "r").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
 
 
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

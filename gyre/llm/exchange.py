@@ -8,7 +8,6 @@ ways the rows carry packed arrays, and no name table is ever broadcast or collec
 
 from __future__ import annotations
 
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gyre.llm.text import packed, unpacked
-from gyre.session import shared_dir
+from gyre.session import written  # noqa: F401  the operators here take it from this module
 
 CHUNK_BYTES = 16 << 20
 ASK = "chunk long, bucket int, names binary, counts binary"
@@ -31,13 +30,6 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a compressed table in the shared folder: cuts lineage, and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def coded(names: np.ndarray) -> bytes:
     """Ascending names as differences, byte plane by byte plane, which compresses well."""
     steps = np.diff(names, prepend=np.uint64(0))

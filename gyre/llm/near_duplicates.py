@@ -9,14 +9,15 @@
    length bound, and the shared token's place leaves room for the overlap (position bound).
 4. Round one verifies each set against `CENTRES` sets per prefix token and length band: linear in
    the postings, and enough to join large groups of near copies.
-5. Round two takes all pairs that share a prefix token of the first order, are in bounds and lie in
-   different components (pairs inside one cannot change the result; a token whose sets already
-   form one component emits nothing), drops those without a common prefix token under every other
-   order, and verifies what is left.
+5. Round two meets the sets of different components that share a prefix token and are in bounds. They are
+   dealt into blocks by their commonest such token, and pairs of blocks are worked off in one grouped step: a candidate shares
+   prefix tokens under all orders, only candidates are verified, and a link is emitted only where it joins
+   components that are still apart, so what leaves the step is linear in the sets.
 
-Texts are compared by 56-bit hashes of shingles. Null and empty texts, and texts without words,
+Texts are compared by 56-bit hashes of shingles: a pair of sets of 1000 is miscounted with a probability
+under 10^6 / 2^56, about 10^-11. Null and empty texts, and texts without words,
 have the empty set and link with nothing. Repeated rows are separate rows of one class. A null id
-gets its class's smallest id, or null if there is none. Memory is bounded by a chunk of texts.
+gets its class's smallest id, or null if there is none. Memory is bounded by a chunk of texts or two blocks of sets.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ from gyre.llm.exchange import (
 ORDERS = 3
 CENTRES = 3
 PERCENT = 75
+BLOCK_TOKENS = 1 << 18  # shingles of a block of sets; a larger set is a block of its own
 
 
 def _sets(column, size: int):
@@ -152,18 +154,6 @@ def _postings(percent: int):
     return run
 
 
-def _prefixes(percent: int):
-    """Whole prefix of every set under the first order, in that order."""
-
-    def run(batches):
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("n", "tokens", "rank")))
-            own = [_prefix(n, decoded(t), X.unpacked(r, np.uint8), percent, 0).view(np.int64) for n, t, r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(own, pa.list_(pa.int64()))], names=["sig", "prefix"])
-
-    return run
-
-
 def _verify(percent: int):
     """Pairs that share a prefix token under the other orders too, then the exact similarity."""
 
@@ -199,46 +189,88 @@ def _overlap(percent: int, *sizes: str):
     return F.ceil(sum(F.col(s) for s in sizes) * percent / (100.0 + percent) - 1e-9)
 
 
-def _crossing(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs with a common prefix token whose sets lie in different components and are in bounds,
-    each met once, at the first token that its two prefixes share (where the bounds are widest).
+def _units(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, b, block, sig, comp, n, tokens, rank): the sets of a pair of blocks that have to meet.
 
-    `room` is what is left of a set from the token on and bounds the overlap. In every pair the
-    smaller set needs room for an overlap with one of its own size; sets without it (strong = false)
-    only serve as the larger side, so a token without strong sets emits nothing.
+    A block holds sets of one leader, the commonest prefix token of a set among those at which
+    different components still meet, and about `BLOCK_TOKENS` shingles, so the many sets of a large group
+    lie in a few blocks. A set is sent to another block if both hold one of its tokens: once for
+    a whole block, not once for every partner. `room` is what is left of a set from a token on and bounds
+    the overlap; in every pair the smaller set needs room for an overlap with one of its own size, so
+    tokens where no set has it (strong) are left out.
     """
-    rows = postings.withColumn("room", F.col("n") - F.col("place"))
-    rows = rows.withColumn("strong", F.col("room") >= _overlap(percent, "n", "n"))
-    seats = rows.groupBy("token", "comp").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("room"), F.max("strong").alias("strong")
-    )
-    mixed = seats.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("strong").alias("s"))
-    seats = seats.join(mixed.where("s and c0 != c1").select("token"), "token", "left_semi")
-    seat = lambda x: seats.select(
-        "token", "strong", F.col("comp").alias(f"c{x}"), F.col("low").alias(f"l{x}"), F.col("high").alias(f"h{x}"), F.col("room").alias(f"r{x}")
-    )
-    near = seat("x").where("strong").drop("strong").join(seat("y").drop("strong"), "token").where(
-        (F.col("cx") != F.col("cy"))
-        & (F.col("hy") >= F.col("lx"))
-        & (F.col("hx") * 100 >= F.col("ly") * percent)
-        & (F.least("rx", "ry") >= _overlap(percent, "lx", "ly"))
-    ).select("token", "cx", "cy")
-    near = written(near)
-    wanted = near.select("token", F.col("cx").alias("comp")).union(near.select("token", "cy")).distinct()
-    rows = rows.join(wanted, ["token", "comp"], "left_semi")
-    held = sets.join(rows.select("sig").distinct(), "sig", "left_semi").mapInArrow(_prefixes(percent), "sig long, prefix array<long>")
-    rows = rows.join(held, "sig")
-    member = lambda x, of: of.select(
-        "token", F.col("comp").alias(f"c{x}"), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("room").alias(f"r{x}"), F.col("prefix").alias(f"p{x}")
-    )
-    fits = (
-        (F.col("ny") >= F.col("nx"))
-        & (F.col("nx") * 100 >= F.col("ny") * percent)
-        & (F.least("rx", "ry") >= _overlap(percent, "nx", "ny"))
-        & (F.element_at(F.array_intersect("px", "py"), 1) == F.col("token"))
-    )
-    met = near.join(member("x", rows.where("strong")), ["token", "cx"]).join(member("y", rows), ["token", "cy"]).where(fits)
-    return met.select(F.least("sx", "sy").alias("a"), F.greatest("sx", "sy").alias("b")).distinct()
+    rows = postings.withColumn("strong", F.col("n") - F.col("place") >= _overlap(percent, "n", "n"))
+    shared = rows.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("strong").alias("s"), F.count(F.lit(1)).alias("held"))
+    rows = rows.join(shared.where("s and c0 != c1").select("token", "held"), "token").select("token", "sig", "comp", "n", "held")
+    rows = written(rows)
+    leaders = rows.groupBy("sig", "comp", "n").agg(F.max(F.struct("held", "token"))["token"].alias("leader"))
+    weight = leaders.groupBy("leader").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).alias("blocks"))
+    blocks = leaders.join(weight, "leader").select("sig", "comp", F.xxhash64("leader", F.pmod(F.xxhash64("sig"), F.col("blocks"))).alias("block"))
+    at = rows.select("token", "sig").join(blocks, "sig")
+    seats = at.groupBy("token").agg(F.collect_set("block").alias("others"))
+    meets = at.join(seats, "token").groupBy("sig", "comp", "block").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    meets = meets.select("sig", "comp", "block", F.explode("others").alias("other"))
+    meets = meets.select(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "sig", "comp")
+    return meets.join(sets, "sig").select("a", "b", "block", "sig", "comp", "n", "tokens", "rank")
+
+
+class _Postings:
+    """Which of `n` sets hold a token, for token lists of the sets."""
+
+    def __init__(self, lists: list[np.ndarray], width: int):
+        flat = np.concatenate([np.zeros(0, np.int64), *lists])
+        of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        order = np.argsort(flat, kind="stable")
+        self.sets, self.first, self.n = of[order], np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=width))]), len(lists)
+
+    def holders(self, tokens: np.ndarray) -> np.ndarray:
+        start, size = self.first[tokens], self.first[tokens + 1] - self.first[tokens]
+        out = np.zeros(self.n, bool)
+        out[self.sets[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())]] = True
+        return out
+
+
+def _unit_links(percent: int):
+    """Links between the sets of two blocks that join components not joined before: candidates share prefix
+    tokens under every order, and only these are verified."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sig, block, n = (np.asarray(table[c]) for c in ("sig", "block", "n"))
+        n = n.astype(np.int64)
+        label = np.unique(np.asarray(table["comp"]), return_inverse=True)[1]
+        names = [decoded(t) for t in table["tokens"].to_pylist()]
+        known, flat = np.unique(np.concatenate(names), return_inverse=True)
+        at = np.concatenate([[0], np.cumsum([len(x) for x in names])])
+        ranks = [X.unpacked(r, np.uint8) for r in table["rank"].to_pylist()]
+        prefix = [[np.searchsorted(known, _prefix(int(m), t, r, percent, k)) for m, t, r in zip(n, names, ranks)] for k in range(ORDERS)]
+        one = table["a"][0].as_py() == table["b"][0].as_py()
+        here = np.arange(len(sig)) if one else np.flatnonzero(block == table["a"][0].as_py())
+        there = np.arange(len(sig)) if one else np.flatnonzero(block != table["a"][0].as_py())
+        held = [_Postings([p[i] for i in there], len(known)) for p in prefix]
+        left, right, seen = [], [], np.zeros(len(known), bool)
+        for i in here.tolist():
+            alive = (label[there] != label[i]) & (100 * np.minimum(n[there], n[i]) >= percent * np.maximum(n[there], n[i]))
+            if one:
+                alive[: i + 1] = False
+            for postings, p in zip(held, prefix):
+                if alive.any():
+                    alive &= postings.holders(p[i])
+            found = there[alive]
+            if not len(found):
+                continue
+            own = flat[at[i] : at[i + 1]]
+            seen[own] = True
+            for j in found.tolist():
+                if label[j] != label[i]:
+                    both = int(seen[flat[at[j] : at[j + 1]]].sum())
+                    if 100 * both >= percent * (n[i] + n[j] - both):
+                        left.append(sig[i])
+                        right.append(sig[j])
+                        label[label == label[j]] = label[i]
+            seen[own] = False
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return run
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -268,8 +300,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     with_comp = postings.join(joined.withColumnRenamed("node", "sig"), "sig", "left")
     with_comp = written(with_comp.select("token", "sig", "n", "place", F.coalesce("component", "sig").alias("comp")))
-    pairs = _crossing(with_comp, sets, percent)
-    more = written(_links(pairs.join(star, ["a", "b"], "left_anti"), sets, percent))
+    more = written(_units(with_comp, sets, percent).groupBy("a", "b").applyInArrow(_unit_links(percent), "a long, b long"))
     known = joined.select(F.col("node").alias("sig"), "component")
     side = lambda c: known.select(F.col("sig").alias(c), F.col("component").alias(f"of_{c}"))
     bridge = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(
