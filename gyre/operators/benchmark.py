@@ -250,18 +250,3 @@ def observation_trace(obs: DataFrame, trace: DataFrame, index: str) -> DataFrame
     """Human-selected frames joined to measured rows, order kept, null where absent."""
     rows = obs.select("id", "series_id", F.posexplode("frames").alias("i", index))
     return rows.join(trace, ["series_id", index], "left")
-
-
-def validate_observations(obs: DataFrame, known: DataFrame, families: list[str]) -> DataFrame:
-    """Repeated ids, unknown objects or families, repeated or negative frames."""
-    repeated = obs.groupBy("id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("id", F.lit("repeated_id").alias("problem"))
-    unknown = obs.join(known.select("series_id").distinct(), "series_id", "left_anti").select("id", F.lit("unknown_object").alias("problem"))
-    why = F.array_compact(
-        F.array(
-            F.when(~F.col("family").isin(*families), "unknown_family"),
-            F.when(F.size(F.array_distinct("frames")) < F.size("frames"), "repeated_frame"),
-            F.when(F.exists("frames", lambda x: x < 0), "negative_frame"),
-        )
-    )
-    return repeated.unionByName(unknown).unionByName(obs.select("id", F.explode(why).alias("problem")))
-

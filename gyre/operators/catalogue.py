@@ -124,12 +124,15 @@ def normalise_field(field: Column, value: Column) -> Column:
     """Canonical text of an identity value under its field's narrow equivalences."""
     shape = squeezed(F.translate(value, "-", " "))
     origin = F.trim(F.regexp_replace(F.upper(value), r"[^A-Z]+", " "))
+    sizes = F.regexp_extract_all(value, F.lit(r"([0-9]+\.?[0-9]*|\.[0-9]+)"), F.lit(1))
+    dimensions = F.when(F.size(sizes) > 0, F.array_join(F.transform(sizes, canonical), " x ")).otherwise(F.upper(F.trim(value)))
     return (
         F.when(field == "report_number", F.regexp_replace(F.upper(value), "[^A-Z0-9]", ""))
         .when(field == "lab", F.coalesce(lookup(LAB_ALIASES, squeezed(value)), squeezed(value)))
         .when(field == "origin", F.coalesce(lookup(ORIGINS, origin), origin))
         .when(field == "shape", F.coalesce(lookup(SHAPES, shape), shape))
         .when(field == "carat", canonical(value))
+        .when(field == "dimensions", dimensions)
         .otherwise(F.upper(F.trim(value)))
     )
 
@@ -296,38 +299,6 @@ def curation_view(rows: DataFrame, published: DataFrame, draft: DataFrame, show_
     return out.where("starred") if starred_only else out
 
 
-def apply_changes(state: DataFrame, changes: DataFrame) -> DataFrame:
-    """All-or-nothing flag changes per request; long state (id, field, value).
-
-    A request is rejected when any current value is neither before nor after; a change
-    already applied is a no-op. Only true flags are kept.
-    """
-    current = F.coalesce("value", F.lit(False))
-    checked = changes.join(state, ["id", "field"], "left").withColumn(
-        "__ok", (current == F.col("before")) | (current == F.col("after"))
-    )
-    good = checked.groupBy("request").agg(F.bool_and("__ok").alias("accepted"))
-    accepted = checked.join(good, "request").where("accepted").groupBy("id", "field").agg(
-        F.max(F.struct("request", "after")).alias("c")
-    )
-    return state.join(accepted, ["id", "field"], "full").select(
-        "id", "field", F.coalesce("c.after", "value").alias("value")
-    ).where("value")
-
-
-def state_digest(state: DataFrame, group: Column, content: list[str]) -> DataFrame:
-    """Order-free digest of a large state: each bucket of rows hashes its sorted rows.
-
-    Buckets keep the sorted list of one hash bounded; the final line hashes the few
-    bucket digests in order.
-    """
-    row = F.sha2(F.to_json(F.struct(*content)), 256)
-    buckets = state.select(group.alias("bucket"), row.alias("h")).groupBy("bucket").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"), F.count(F.lit(1)).alias("rows")
-    )
-    return buckets
-
-
 def comparison(long: DataFrame, ids: list, attribute: str, ident: str, value: str) -> DataFrame:
     """Side-by-side attribute table of chosen ids with Unknown for null."""
     picked = long.where(F.col(ident).isin(*ids))
@@ -392,12 +363,6 @@ def reference_index(refs: DataFrame, evidence: DataFrame, certified: DataFrame)
     )
 
 
-def violations(df: DataFrame, ident: str, rules: list[tuple[str, Column]]) -> DataFrame:
-    """One row per broken rule; a rule that evaluates to null counts as broken."""
-    broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules]))
-    return df.select(ident, F.explode(broken).alias("rule"))
-
-
 def extracted(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 

@@ -61,6 +61,7 @@ COMPLEMENT = {
     "q90": "q10",
     "q10": "q90",
 }
+SIGNED = ("strongest_coordinated", "strongest_divergent")
 KINDS = ("frame", "pair", "run")
 
 
@@ -190,6 +191,91 @@ def max_disagreement(cells: DataFrame, keys: list[str], mode: str, left: str, ri
     )
 
 
+# What a family's native events measure; the first column present gives a candidate's importance.
+MEASURE_OF_FAMILY = {
+    "activation": ("delta",),
+    "occupancy": ("delta",),
+    "switching": ("switch_fraction",),
+    "persistence": ("run_length",),
+    "mobility": ("mobility",),
+    "coordination": ("joint_move_strength",),
+    "opposing": ("movement_strength", "divergence_strength"),
+    "morphology": ("shape",),
+}
+MOVES = ("largest_positive_move", "largest_negative_move")
+
+
+def _one(index: str) -> Column:
+    return F.array(F.col(index).cast("int"))
+
+
+def _pair_of(left: str, right: str) -> Column:
+    return F.array(F.col(left).cast("int"), F.col(right).cast("int"))
+
+
+def _by_position(rows: DataFrame, order: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Add `kind` and `source_indices`: the source indices of the positions start..end, empty where any is missing."""
+    base = [c for c in rows.columns]
+    spread = rows.withColumn("__n", end - start + 1).withColumn("position", F.explode_outer(F.when(start <= end, F.sequence(start, end))))
+    at = spread.join(order.select("series_id", "position", F.col("source_index").cast("int").alias("__s")), ["series_id", "position"], "left")
+    held = at.groupBy(*base, "__n").agg(F.array_sort(F.collect_list(F.when(F.col("__s").isNotNull(), F.struct("position", "__s")))).alias("__l"))
+    whole = (F.col("__n") > 0) & (F.size("__l") == F.col("__n"))
+    return held.withColumn("source_indices", F.when(whole, F.transform("__l", lambda x: x["__s"])).otherwise(F.array().cast("array<int>"))).drop("__n", "__l")
+
+
+def adapt(family: str, events: DataFrame, order: DataFrame) -> DataFrame:
+    """Candidates from the native events of a family: series_id, native_id, event_type, field_ids, status, reasons, its
+    measures, and a place.
+
+    A place is a source_index (frames), left_source_index and right_source_index (pairs), or, read through
+    `order` (series_id, position, source_index), the position of a move's second frame or a run's start_position and
+    end_position. Events without a place are dropped; a run or move outside the order is unavailable.
+    """
+    if family not in MEASURE_OF_FAMILY:
+        raise ValueError(f"unknown evidence family: {family}")
+    have = set(events.columns)
+    rows = events
+    for name, kind in (("field_ids", "array<string>"), ("reasons", "array<string>"), ("status", "string"), ("native_id", "string")):
+        if name not in have:
+            usual = {"status": F.lit("ok"), "native_id": F.lit(family)}.get(name, F.array())
+            rows = rows.withColumn(name, usual.cast(kind))
+    measures = [F.abs(F.col(m).cast("double")) for m in MEASURE_OF_FAMILY[family] if m in have]
+    if family == "opposing" and {"movement_strength", "divergence_strength"} <= have:
+        measures = [F.when(F.col("event_type") == "strongest_divergent", measures[1]).otherwise(measures[0])]
+    rows = rows.withColumn("importance", F.coalesce(*measures, F.lit(None).cast("double")) if measures else F.lit(None).cast("double"))
+    held = ["series_id", "native_id", "event_type", "field_ids", "status", "reasons", "importance"]
+    parts = []
+    if "source_index" in have:
+        parts.append(rows.where("source_index is not null").select(*held, F.lit("frame").alias("kind"), _one("source_index").alias("source_indices")))
+    if "left_source_index" in have:
+        pairs = rows.where("left_source_index is not null and right_source_index is not null")
+        parts.append(pairs.select(*held, F.lit("pair").alias("kind"), _pair_of("left_source_index", "right_source_index").alias("source_indices")))
+    if family in ("activation", "occupancy") and "position" in have:
+        moves = rows.where(F.col("event_type").isin(*MOVES) & F.col("position").isNotNull()).select(*held, F.col("position").alias("__end"))
+        parts.append(_by_position(moves, order, F.col("__end") - 1, F.col("__end")).select(*held, F.lit("pair").alias("kind"), "source_indices"))
+    if "start_position" in have:
+        runs = rows.where("start_position is not null").select(*held, "start_position", "end_position")
+        parts.append(_by_position(runs, order, F.col("start_position"), F.col("end_position")).select(*held, F.lit("run").alias("kind"), "source_indices"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    lost = F.size("source_indices") == 0
+    return out.select(
+        "series_id", F.lit(family).alias("family"), "native_id", "event_type", "kind", "source_indices", "field_ids", "importance",
+        F.when(lost, "unavailable").otherwise(F.col("status")).alias("status"),
+        F.when(lost, F.array_append("reasons", F.lit("positions_outside_order"))).otherwise(F.col("reasons")).alias("reasons"),
+    )
+
+
+def collect_candidates(native: dict[str, DataFrame], order: DataFrame) -> DataFrame:
+    """Candidates of all families given, each from its own native events."""
+    out = None
+    for family, events in native.items():
+        part = adapt(family, events, order)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def candidate(df: DataFrame, family: str, native: str, kind: str, indices: Column, fields: list[str], importance: Column) -> DataFrame:
     """Common evidence schema from rows with `series_id` and `rule`."""
     return df.select(
@@ -281,31 +367,49 @@ def _ranked_by(column: Column, order: dict[str, int], default: int) -> Column:
     return out
 
 
-def claim_roles(items: DataFrame) -> DataFrame:
-    """Claims as rows with role, preference tier and item sort key."""
+def _signed(claims: DataFrame, values: DataFrame | None) -> DataFrame:
+    """Add `__mean`, the mean profile value of a claim's fields (null without any)."""
+    if values is None:
+        return claims.withColumn("__mean", F.lit(None).cast("double"))
+    rows = claims.where(F.col("event_type").isin(*SIGNED)).select("series_id", "field_ids").distinct()
+    rows = rows.select("series_id", "field_ids", F.explode("field_ids").alias("field_id"))
+    mean = rows.join(values.select("series_id", "field_id", "value"), ["series_id", "field_id"]).groupBy("series_id", "field_ids").agg(F.avg("value").alias("__mean"))
+    return claims.join(mean, ["series_id", "field_ids"], "left")
+
+
+def claim_roles(items: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """Claims as rows with role, preference tier and item sort key.
+
+    Nested steps and directional pairs prefer the event of the sign that the profile's `values` (series_id,
+    field_id, value) show: divergent below zero, else coordinated; without a value neither is preferred.
+    """
     claims = items.select("series_id", "kind", "source_indices", F.explode("claims").alias("c")).select(
-        "series_id", "kind", "source_indices", "c.family", "c.native_id", "c.event_type", "c.importance", "c.status"
+        "series_id", "kind", "source_indices", "c.family", "c.native_id", "c.event_type", "c.importance", "c.status", "c.field_ids"
     )
+    claims = _signed(claims, values)
+    expected = F.when(F.col("__mean") < 0, SIGNED[1]).when(F.col("__mean").isNotNull(), SIGNED[0])
+    signed = F.when(F.col("event_type") == expected, 0).when(F.col("event_type").isin(*SIGNED), 1).otherwise(2)
     role = F.create_map(*[F.lit(x) for pair in ROLE_OF_FAMILY.items() for x in pair])[F.col("family")]
     claims = claims.withColumn("role", role)
     event = F.lit(20)
     for name, order in EVENT_RANK.items():
         default = 10 if name == "dark_persistence" else 20
         event = F.when(F.col("role") == name, _ranked_by(F.col("event_type"), order, default)).otherwise(event)
+    event = F.when(F.col("role").isin("nested_step", "directional"), signed).otherwise(event)
     return claims.withColumn(
         "tier",
         F.struct(status_rank("status").alias("s"), _ranked_by(F.col("family"), FAMILY_RANK, 0).alias("f"), event.alias("e")),
     ).withColumn("item_key", _item_key(F.struct("kind", "source_indices")))
 
 
-def coverage_select(items: DataFrame, minimum: int = 4, maximum: int = 6) -> DataFrame:
+def coverage_select(items: DataFrame, minimum: int = 4, maximum: int = 6, values: DataFrame | None = None) -> DataFrame:
     """Coverage-first selection: one best-tier item per role in fixed order, then contrasts.
 
     A series has a handful of items (one per rule), so its items form one short array that
     is folded over the six roles and then over at most `minimum` contrast rounds. All
     series are independent rows of one aggregate.
     """
-    claims = claim_roles(items)
+    claims = claim_roles(items, values)
     best = claims.groupBy("series_id", "role").agg(F.min("tier").alias("__best"))
     claims = claims.join(best, ["series_id", "role"]).withColumn("__top", F.col("tier") == F.col("__best"))
     by_role = claims.groupBy("series_id", "item_key", "role").agg(

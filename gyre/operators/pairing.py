@@ -182,7 +182,7 @@ def _band_best(rows: DataFrame, keys: list[str], order: str, axis: str, measure:
     difference holds the smallest or largest measure of the band below the row, so running
     extremes do: over the rows before it in its own bucket of the band's width, and over those of the bucket below
     that are near enough, where the row's lower limit is sorted in as a query. Rows of equal `axis`
-    are collapsed first. Work is that of sorting; no pairs are formed.
+    are collapsed first. Work is that of sorting; no pairs are formed. `axis` has 12 decimals, which decide what is near enough.
     """
     first = Window.partitionBy(*keys, axis).orderBy(order)
     two = rows.withColumn("__n", F.row_number().over(first)).where("__n <= 2").groupBy(*keys, axis).agg(F.min(order).alias("o1"), F.max(order).alias("o2"))
@@ -219,7 +219,7 @@ def _band_best(rows: DataFrame, keys: list[str], order: str, axis: str, measure:
 
     before = Window.partitionBy(*keys, "__b").orderBy(axis).rowsBetween(Window.unboundedPreceding, -1)
     own = level.withColumns({"low": F.min(near).over(before), "high": F.min(far).over(before), "k": F.sum("c").over(before)})
-    asked = level.select(*keys, (F.col("__b") - 1).alias("__b"), (F.col(axis) - width).alias("at"), F.lit(1).alias("ask"), F.struct(axis, "c", "lo", "hi").alias("row"))
+    asked = level.select(*keys, (F.col("__b") - 1).alias("__b"), F.round(F.col(axis) - width, 12).alias("at"), F.lit(1).alias("ask"), F.struct(axis, "c", "lo", "hi").alias("row"))
     held = level.select(*keys, "__b", F.col(axis).alias("at"), F.lit(0).alias("ask"), F.struct(axis, "c", "lo", "hi").alias("row"))
     above = Window.partitionBy(*keys, "__b").orderBy(F.desc("at"), "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_row = F.col("ask") == 0
@@ -247,7 +247,7 @@ def matched_pair(df: DataFrame, keys: list[str], order: str, level: str, measure
     Ties: smaller brightness gap, earlier frame. Without any pair in tolerance the closest one is
     adjacent in brightness order.
     """
-    rows = df.where((F.col(level) > 0) & F.col(measure).isNotNull()).select(*keys, order, F.col(measure).cast("double").alias("m"), F.ln(level).alias("b"))
+    rows = df.where((F.col(level) > 0) & F.col(measure).isNotNull()).select(*keys, order, F.col(measure).cast("double").alias("m"), F.round(F.ln(level), 12).alias("b"))
     best = _band_best(rows, keys, order, "b", "m", math.log(max_ratio))
     w = Window.partitionBy(*keys).orderBy("b", order)
     alone = _without(rows, best, keys).select(*keys, order, "m", "b", *[F.lag(c).over(w).alias(f"__{c}") for c in (order, "m", "b")]).where(F.col(f"__{order}").isNotNull())
@@ -273,7 +273,7 @@ def matched_area_pair(df: DataFrame, keys: list[str], order: str, area: str, sha
     Without any pair in tolerance the largest shape difference joins a lowest and a highest shape; of
     these the nearest in area are neighbours among the rows that hold either.
     """
-    rows = df.where(F.col(area).isNotNull() & F.col(shape).isNotNull()).select(*keys, order, F.col(area).cast("double").alias("a"), F.col(shape).cast("double").alias("s"))
+    rows = df.where(F.col(area).isNotNull() & F.col(shape).isNotNull()).select(*keys, order, F.round(F.col(area).cast("double"), 12).alias("a"), F.col(shape).cast("double").alias("s"))
     best = _band_best(rows, keys, order, "a", "s", tolerance)
     edge = rows.groupBy(*keys).agg(F.min("s").alias("__lo"), F.max("s").alias("__hi"))
     ends = _without(rows, best, keys).join(edge, keys).where("s = __lo or s = __hi")

@@ -363,12 +363,16 @@ def background_reference(rgb: DataFrame, mask: DataFrame, keys: list[str], dilat
 def patch_shift(px: DataFrame, grid: int, max_shift: int, minimum: int, min_std: float, texture: str = "brightness") -> DataFrame:
     """Best displacement of each grid patch between neighbouring frames by correlation.
 
-    Each reference pixel is sent to its (2s+1)^2 displaced partners in the next frame by an
+    Both frames are read inside their common mask: the pixels that are valid in the one and in the other,
+    which also give the patches their box. Each reference pixel is sent to its (2s+1)^2 displaced partners in the next frame by an
     equi-join on the shifted coordinates; correlations are plain moment sums per
     (patch, displacement). The offset table is a literal array of fixed size.
     """
     rows = px.where("observed").withColumn("ok", F.col("valid") & F.col("in_mask"))
-    box = rows.where("ok").groupBy(*FRAME).agg(
+    here = rows.where("ok").select(*FRAME, "y", "x", F.col(texture).alias("a"))
+    there = rows.where("ok").select("series_id", (F.col("position") - 1).alias("position"), "y", "x", F.col(texture).alias("b"))
+    common = here.join(there, [*FRAME, "y", "x"])
+    box = common.groupBy(*FRAME).agg(
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
     )
     frame_box = px.groupBy(*FRAME).agg(F.max("y").alias("__h"), F.max("x").alias("__w"))
@@ -380,8 +384,7 @@ def patch_shift(px: DataFrame, grid: int, max_shift: int, minimum: int, min_std:
         ]
     )
     ref = (
-        rows.where("ok")
-        .join(box, FRAME)
+        common.join(box, FRAME)
         .join(frame_box, FRAME)
         .select(
             *FRAME,
@@ -389,7 +392,7 @@ def patch_shift(px: DataFrame, grid: int, max_shift: int, minimum: int, min_std:
             "x",
             grid_cell("y", F.col("y0"), F.col("y1"), grid).alias("row"),
             grid_cell("x", F.col("x0"), F.col("x1"), grid).alias("col"),
-            F.col(texture).alias("a"),
+            "a",
             "x0", "x1", "y0", "y1", "__h", "__w",
             F.explode(offsets).alias("o"),
         )
@@ -401,11 +404,7 @@ def patch_shift(px: DataFrame, grid: int, max_shift: int, minimum: int, min_std:
         & (cut("y0", "y1", F.col("row") + 1) + F.col("o.dy") <= F.col("__h") + 1)
         & (cut("x0", "x1", F.col("col") + 1) + F.col("o.dx") <= F.col("__w") + 1)
     )
-    target = rows.where("ok").select(
-        "series_id", (F.col("position") - 1).alias("position"), F.col("y").alias("ty"), F.col("x").alias("tx"), F.col(texture).alias("b")
-    )
-    # A pair exists where the next frame was observed at all.
-    have_next = rows.select("series_id", (F.col("position") - 1).alias("position")).distinct()
+    target = common.select(*FRAME, F.col("y").alias("ty"), F.col("x").alias("tx"), "b")
     moved = ref.where(fits).select(
         *FRAME, "row", "col", "a", F.col("o.dy").alias("dy"), F.col("o.dx").alias("dx"),
         (F.col("y") + F.col("o.dy")).alias("ty"), (F.col("x") + F.col("o.dx")).alias("tx"),
@@ -429,7 +428,7 @@ def patch_shift(px: DataFrame, grid: int, max_shift: int, minimum: int, min_std:
         F.coalesce(F.max(F.when(far, F.col("ncc"))), F.max("ncc")).alias("second")
     )
     zero = scored.where("dy = 0 and dx = 0").select(*FRAME, "row", "col", F.col("ncc").alias("zero_shift_ncc"))
-    cells = rows.where("ok").join(box, FRAME).join(have_next, FRAME, "left_semi").select(
+    cells = common.join(box, FRAME).select(
         *FRAME,
         grid_cell("y", F.col("y0"), F.col("y1"), grid).alias("row"),
         grid_cell("x", F.col("x0"), F.col("x1"), grid).alias("col"),

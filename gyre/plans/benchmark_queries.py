@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gyre.operators import benchmark as B
+from gyre.operators import rules as L
 from gyre.operators import sequence as S
 from gyre.plans.pairing_queries import HUMAN_SQL, human_links
 from gyre.plans.registry import query, r6
@@ -333,20 +334,59 @@ def observation_trace(t):
     return B.observation_trace(obs, t.cycles.select("series_id", "slot", "score"), "slot")
 
 
+# What an observation breaks whose event id leaves this remainder by 24.
+BROKEN = (
+    (0, "role"), (1, "explanation"), (2, "summary"), (3, "frames"), (4, "frames"), (5, "unexplained_links"), (6, "explained_links"),
+    (7, "link_field"), (8, "link_repeated"), (9, "link_assessment"), (10, "link_rationale"), (11, "unknown_concept"),
+)
+VOCABULARY = {
+    "family": ("view", "click", "purchase"),
+    "role": ("main", "control"),
+    "explanation": ("explained", "partial", "unexplained"),
+    "field_id": ("core", "wide"),
+    "assessment": ("supports", "contradicts"),
+}
+
+
 @query(
     "h13_validate_observations",
-    """WITH o AS (SELECT event_id // 2 * 2 + CASE WHEN event_id % 10 = 1 THEN 0 ELSE event_id % 2 END AS id, user_id AS series_id, event_type AS family,
-                         [CAST(event_id % 5 AS INTEGER), CAST(event_id % 3 AS INTEGER) - 1] AS frames FROM events)
-    SELECT id, 'repeated_id' AS problem FROM o GROUP BY 1 HAVING count(*) > 1
-    UNION ALL SELECT id, 'unknown_object' FROM o WHERE series_id NOT IN (SELECT s_suppkey FROM supplier)
-    UNION ALL SELECT id, 'unknown_family' FROM o WHERE family NOT IN ('view', 'click', 'purchase')
-    UNION ALL SELECT id, 'repeated_frame' FROM o WHERE frames[1] = frames[2] UNION ALL SELECT id, 'negative_frame' FROM o WHERE frames[2] < 0""",
+    f"""WITH p(r, rule) AS (VALUES {", ".join(f"({r}, '{rule}')" for r, rule in BROKEN)}),
+    o AS (SELECT CAST(CASE WHEN event_id % 24 = 13 THEN event_id - 1 ELSE event_id END AS VARCHAR) AS id, event_id, user_id, event_type FROM events),
+    k AS (SELECT DISTINCT user_id FROM events WHERE user_id % 9 <> 0),
+    w AS (SELECT user_id, unnest(CASE WHEN user_id % 7 = 0 THEN [1, 2] ELSE [1] END) AS n FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 5 <> 0)
+    SELECT id AS subject, rule FROM o JOIN p ON p.r = event_id % 24
+    UNION ALL SELECT id, 'family' FROM o WHERE event_type NOT IN ('view', 'click', 'purchase')
+    UNION ALL SELECT id, 'id_repeated' FROM o GROUP BY 1 HAVING count(*) > 1
+    UNION ALL SELECT id, 'unknown_object' FROM o WHERE user_id % 9 = 0
+    UNION ALL SELECT DISTINCT CAST(user_id AS VARCHAR), 'review_of_unknown_object' FROM w WHERE user_id NOT IN (SELECT user_id FROM k)
+    UNION ALL SELECT CAST(user_id AS VARCHAR), 'review_missing' FROM k WHERE user_id NOT IN (SELECT user_id FROM w)
+    UNION ALL SELECT CAST(user_id AS VARCHAR), 'review_repeated' FROM w GROUP BY 1, user_id HAVING count(*) > 1
+    UNION ALL SELECT CAST(user_id AS VARCHAR), 'review_path' FROM w WHERE user_id % 4 = 0 UNION ALL SELECT CAST(user_id AS VARCHAR), 'review_outcome' FROM w WHERE user_id % 6 = 0""",
 )
 def validate_observations(t):
-    e = F.col("event_id")
-    ident = F.floor(e / 2) * 2 + F.when(e % 10 == 1, 0).otherwise(e % 2)
+    """An observation for every event, sound but for the rule that its id plants, and reviews of the users."""
+    e, u = F.col("event_id"), F.col("user_id")
+    choose = lambda usual, *special: F.coalesce(*[F.when(e % 24 == r, v) for r, v in special], usual)
+    link = lambda field, assessment="supports", why="seen": F.struct(F.lit(field).alias("field_id"), F.lit(assessment).alias("assessment"), F.lit(why).alias("rationale"))
+    no_link = F.array().cast("array<struct<field_id:string,assessment:string,rationale:string>>")
+    whole = lambda *n: F.array(*[F.lit(x) for x in n])
     obs = t.events.select(
-        ident.alias("id"), F.col("user_id").alias("series_id"), F.col("event_type").alias("family"),
-        F.array((e % 5).cast("int"), (e % 3).cast("int") - 1).alias("frames"),
-    )
-    return B.validate_observations(obs, t.supplier.select(F.col("s_suppkey").alias("series_id")), ["view", "click", "purchase"])
+        choose(e, (13, e - 1)).alias("id"), u.alias("series_id"), F.col("event_type").alias("family"),
+        choose(F.lit("main"), (0, F.lit("other"))).alias("role"),
+        choose(F.lit("partial"), (1, F.lit("maybe")), (5, F.lit("unexplained")), (12, F.lit("unexplained"))).alias("explanation"),
+        choose(F.lit("a note"), (2, F.lit(" "))).alias("summary"),
+        choose(whole(0, 3), (3, whole(2, 2)), (4, whole(1, -1))).alias("frames"),
+        choose(F.lit("contrast"), (11, F.lit("unlisted"))).alias("concept"),
+        choose(
+            F.array(link("core"), link("wide")), (6, no_link), (12, no_link), (7, F.array(link("old"))), (8, F.array(link("core"), link("core"))),
+            (9, F.array(link("core", "unsure"))), (10, F.array(link("wide", "supports", " "))),
+        ).alias("links"),
+    )
+    users = t.events.select(u.alias("series_id")).distinct()
+    s = F.col("series_id")
+    reviews = users.where(s % 5 != 0).select(
+        "series_id", F.when(s % 4 != 0, "notes.md").alias("evaluation_path"), F.when(s % 6 != 0, "agrees").otherwise(" ").alias("outcome"),
+        F.explode(F.when(s % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("n"),
+    )
+    concepts = t.region.select(F.lit("contrast").alias("concept")).distinct()
+    return L.broken_observations(obs, reviews.drop("n"), users.where(s % 9 != 0), concepts, VOCABULARY)

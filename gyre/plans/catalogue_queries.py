@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from gyre.operators import catalogue as K
+from gyre.operators import curation as C
+from gyre.operators import rules as L
 from gyre.plans.registry import query, r6
 
 LABS = """CASE c_nationkey % 4 WHEN 0 THEN ' International  Gemological Institute' WHEN 1 THEN 'gia' WHEN 2 THEN 'L@B' ELSE 'igi' END"""
@@ -36,8 +38,11 @@ obs AS (
   SELECT p_partkey AS id, 'listing' AS side, 'shape' AS field, CASE p_size % 3 WHEN 0 THEN 'Round-Brilliant' WHEN 1 THEN 'oval' ELSE 'Asscher cut' END AS v FROM part
   UNION ALL SELECT p_partkey, 'evidence', 'shape', CASE p_size % 5 WHEN 0 THEN 'ROUND' WHEN 1 THEN 'OVAL BRILLIANT' ELSE 'ASSCHER' END FROM part WHERE p_size % 7 <> 0
   UNION ALL SELECT p_partkey, 'listing', 'origin', 'Lab-Grown' FROM part
-  UNION ALL SELECT p_partkey, 'evidence', 'origin', CASE WHEN p_size % 2 = 0 THEN 'laboratory grown' ELSE 'mined' END FROM part),
-nrm AS (SELECT *, CASE WHEN field = 'shape' THEN CASE upper(replace(v, '-', ' ')) WHEN 'ROUND BRILLIANT' THEN 'ROUND' WHEN 'ASSCHER CUT' THEN 'ASSCHER'
+  UNION ALL SELECT p_partkey, 'evidence', 'origin', CASE WHEN p_size % 2 = 0 THEN 'laboratory grown' ELSE 'mined' END FROM part
+  UNION ALL SELECT p_partkey, 'listing', 'dimensions', '[' || p_size || '.50, 0' || p_size % 9 || '.0, ' || p_size // 10 || ']' FROM part
+  UNION ALL SELECT p_partkey, 'evidence', 'dimensions', p_size || '.5 x ' || (p_size + p_partkey % 2) % 9 || ' x ' || p_size // 10 || '.00 mm' FROM part),
+nrm AS (SELECT *, CASE WHEN field = 'dimensions' THEN (SELECT p_size || '.5 x ' || CASE WHEN side = 'listing' THEN p_size % 9 ELSE (p_size + p_partkey % 2) % 9 END || ' x ' || p_size // 10 FROM part WHERE p_partkey = id)
+                    WHEN field = 'shape' THEN CASE upper(replace(v, '-', ' ')) WHEN 'ROUND BRILLIANT' THEN 'ROUND' WHEN 'ASSCHER CUT' THEN 'ASSCHER'
                     WHEN 'OVAL BRILLIANT' THEN 'OVAL' ELSE upper(replace(v, '-', ' ')) END
                     ELSE CASE WHEN upper(v) IN ('LAB-GROWN', 'LABORATORY GROWN') THEN 'LAB-GROWN' ELSE 'NATURAL' END END AS n FROM obs)"""
 
@@ -61,7 +66,18 @@ def identity_obs(t):
             )
         ).alias("z"),
     ).select("id", "z.side", F.lit("origin").alias("field"), "z.v")
-    return listing.unionByName(evidence).unionByName(origin)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    tenth = F.floor(size / 10)
+    sizes = t.part.select(
+        F.col("p_partkey").alias("id"),
+        F.explode(
+            F.array(
+                F.struct(F.lit("listing").alias("side"), text("[", size, ".50, 0", size % 9, ".0, ", tenth, "]").alias("v")),
+                F.struct(F.lit("evidence").alias("side"), text(size, ".5 x ", (size + F.col("p_partkey") % 2) % 9, " x ", tenth, ".00 mm").alias("v")),
+            )
+        ).alias("z"),
+    ).select("id", "z.side", F.lit("dimensions").alias("field"), "z.v")
+    return listing.unionByName(evidence).unionByName(origin).unionByName(sizes)
 
 
 @query("k2_normalise_field", f"""WITH {OBS} SELECT id, side, field, v AS "value", n AS normalised FROM nrm""")
@@ -233,31 +249,62 @@ def curation_view(t):
     return K.curation_view(rows, published, draft)
 
 
+def digest_sql(rows: str, depth: int) -> str:
+    """SQL tables of the hash tree over `rows` (name: hash of the identity, h: hash of the content); the last is root (digest, n)."""
+    out = f"t{depth} AS (SELECT substr(name, 1, {depth}) AS leaf, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM {rows} GROUP BY 1)"
+    for level in range(depth - 1, 0, -1):
+        out += f", t{level} AS (SELECT substr(leaf, 1, {level}) AS leaf, sha256(string_agg(leaf || d, '' ORDER BY leaf)) AS d, sum(n) AS n FROM t{level + 1} GROUP BY 1)"
+    return out + ", root AS (SELECT sha256(coalesce(string_agg(leaf || d, '' ORDER BY leaf), '')) AS digest, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM t1)"
+
+
+REQUESTS = f"""s AS (SELECT s_suppkey AS id, 'starred' AS field FROM supplier WHERE s_suppkey % 2 = 0),
+    hs AS (SELECT sha256('{{"id":' || id || '}}') AS name, sha256('{{"id":' || id || ',"field":"' || field || '"}}') AS h FROM s), {digest_sql("hs", 2)},
+    c AS (SELECT s_suppkey // 4 AS request, s_suppkey AS id, 'starred' AS field, s_suppkey % 24 >= 12 AS a,
+                 CASE WHEN s_suppkey % 40 = 5 THEN s_suppkey % 24 >= 12 ELSE s_suppkey % 24 < 12 END AS b,
+                 CASE s_suppkey // 4 % 3 WHEN 0 THEN root.digest WHEN 1 THEN 'stale' END AS base FROM supplier, root WHERE s_suppkey % 4 < 3),
+    k AS (SELECT c.*, s.id IS NOT NULL AS cur, c.id % 17 = 0 AS unknown FROM c LEFT JOIN s ON s.id = c.id),
+    q AS (SELECT request, max(base) AS base, bool_or(a = b) AS invalid, bool_or(unknown) AS unknown, bool_or(cur <> b AND cur <> a) AS clash, bool_and(cur = a) AS done FROM k GROUP BY 1),
+    w AS (SELECT request, base, CASE WHEN invalid THEN 'invalid' WHEN unknown THEN 'unknown_id' WHEN clash THEN 'conflict' WHEN done THEN 'no_change'
+                                     WHEN base <> (SELECT digest FROM root) THEN 'stale_baseline' ELSE 'applied' END AS outcome FROM q),
+    o AS (SELECT request, CASE WHEN outcome = 'applied' AND base IS NOT NULL AND request > (SELECT min(request) FROM w WHERE outcome = 'applied') THEN 'stale_baseline' ELSE outcome END AS outcome FROM w)"""
+
+
+def requests(t):
+    """(state, changes, known ids, digest): three flags a request, guarded by the right, a wrong or no digest."""
+    k, suppliers = F.col("s_suppkey"), t.supplier
+    state = suppliers.where(k % 2 == 0).select(k.alias("id"), F.lit("starred").alias("field"), F.lit(True).alias("value"))
+    digest = C.state_digest(state, ["id"], ["id", "field"], 2)
+    after = k % 24 >= 12
+    request = F.floor(k / 4)
+    changes = suppliers.where(k % 4 < 3).select(
+        request.alias("request"), F.when(request % 3 == 0, digest.select("digest").scalar()).when(request % 3 == 1, "stale").alias("baseline"),
+        k.alias("id"), F.lit("starred").alias("field"), F.when(k % 40 == 5, after).otherwise(~after).alias("before"), after.alias("after"),
+    )
+    return state, changes, suppliers.where(k % 17 != 0).select(k.alias("id")), digest
+
+
 @query(
     "k12_apply_changes",
-    """WITH s AS (SELECT s_suppkey AS id, 'starred' AS field FROM supplier WHERE s_suppkey % 2 = 0),
-    c AS (SELECT s_suppkey // 4 AS request, s_suppkey AS id, 'starred' AS field, s_suppkey % 6 = 0 AS b, s_suppkey % 6 <> 0 AS a FROM supplier),
-    k AS (SELECT c.*, s.id IS NOT NULL AS cur FROM c LEFT JOIN s ON s.id = c.id),
-    ok AS (SELECT request FROM k GROUP BY 1 HAVING bool_and(cur = b OR cur = a)),
-    n AS (SELECT k.id, CASE WHEN o.request IS NOT NULL THEN a ELSE cur END AS v FROM k LEFT JOIN ok o ON o.request = k.request)
-    SELECT id, 'starred' AS field, true AS "value" FROM n WHERE v""",
+    f"""WITH {REQUESTS}, n AS (SELECT k.id, a FROM k JOIN o USING (request) WHERE outcome = 'applied')
+    SELECT coalesce(s.id, n.id) AS id, 'starred' AS field, true AS "value" FROM s FULL JOIN n ON n.id = s.id WHERE coalesce(n.a, s.id IS NOT NULL)""",
 )
 def apply_changes(t):
-    k = F.col("s_suppkey")
-    state = t.supplier.where(k % 2 == 0).select(k.alias("id"), F.lit("starred").alias("field"), F.lit(True).alias("value"))
-    changes = t.supplier.select(
-        F.floor(k / 4).alias("request"), k.alias("id"), F.lit("starred").alias("field"), (k % 6 == 0).alias("before"), (k % 6 != 0).alias("after")
-    )
-    return K.apply_changes(state, changes)
+    return C.apply_changes(*requests(t))
+
+
+@query("k12_request_outcomes", f"WITH {REQUESTS} SELECT request, outcome FROM o")
+def request_outcomes(t):
+    return C.request_outcomes(*requests(t))
 
 
 @query(
     "k13_state_digest",
-    """WITH r AS (SELECT c_custkey // 100 AS bucket, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}') AS h FROM customer)
-    SELECT bucket, sha256(string_agg(h, '' ORDER BY h)) AS digest, count(*) AS "rows" FROM r GROUP BY 1""",
+    f"""WITH r AS (SELECT sha256('{{"c_custkey":' || c_custkey || '}}') AS name,
+                          sha256('{{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}}') AS h FROM customer), {digest_sql("r", 4)}
+    SELECT digest, n AS "rows" FROM root""",
 )
 def state_digest(t):
-    return K.state_digest(t.customer, F.floor(F.col("c_custkey") / 100), ["c_custkey", "c_mktsegment"])
+    return C.state_digest(t.customer, ["c_custkey"], ["c_custkey", "c_mktsegment"])
 
 
 @query(
@@ -324,22 +371,85 @@ def reference_index(t):
     return K.reference_index(refs, ev, certified)
 
 
+# The rules that a document breaks whose id leaves this remainder by 40; 12 and 39 are sound.
+PLANTED = (
+    (0, "schema"), (1, "id"), (2, "file_id"), (3, "label"), (4, "identity_status"), (4, "certificate_missing"), (5, "identity_lab"), (6, "identity_report"),
+    (7, "certificate_complete"), (8, "certificate_missing"), (9, "link_identity"), (9, "link_target"), (10, "link_missing"), (11, "link_target"),
+    (13, "metadata_text"), (14, "carat"), (15, "dimensions"), (16, "source_links"), (17, "link_kind"), (18, "link_url"), (19, "link_url"),
+    (20, "link_repeated"), (21, "link_note"), (22, "media_kind"), (23, "media_provider"), (24, "media_status"), (25, "topics_repeated"), (26, "topic"),
+    (27, "evidence_kind"), (28, "evidence_key"), (29, "rotation_frames"), (30, "rotation_bundle"), (31, "rotation_assets"), (32, "stored_asset"),
+    (33, "attempt_count"), (34, "attempt_reference"), (35, "attempt_kind"), (36, "attempt_status"), (38, "attempt_locator"),
+)
+
+
+def references(t):
+    """A reference record for every document, sound but for the rule that its id plants, with its own text as commentary."""
+    d = F.col("doc_id")
+    at = lambda r: d % 40 == r
+    choose = lambda usual, *special: F.coalesce(*[F.when(at(r), v) for r, v in special], usual)
+    text = lambda v: F.lit(v).cast("string")
+    asset = lambda size: F.struct(F.sha2(F.lit("x"), 256).alias("sha256"), F.lit(size).cast("long").alias("byte_count"), F.lit("https://media.example.org/a").alias("url"))
+    no_asset = F.when(F.lit(False), asset(1))
+    link = lambda kind, url, note=None: F.struct(text(kind).alias("kind"), text(url).alias("url"), text(note).alias("note"))
+    media = lambda kind, provider, status: F.struct(text(kind).alias("kind"), text("https://view.example.org:443/v?id=1").alias("url"), text(provider).alias("provider"), text(status).alias("status"))
+    frames = lambda n, size: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("source_index"), asset(size).alias("asset")))
+    none = F.when(F.lit(False), frames(1, 1))
+    record = lambda kind, key, its, its_frames: F.struct(text(kind).alias("kind"), text("success").alias("status"), key.alias("record_key"), its.alias("asset"), its_frames.alias("frames"))
+    key = F.sha2(F.lit("record"), 256)
+    attempt = lambda reference, kind, status, locator: F.struct(text(reference).alias("reference"), text(kind).alias("kind"), text(status).alias("status"), text(locator).alias("locator"))
+    good, seen = link("page", "https://shop.example.org/x"), attempt("r1", "still", "missing", None)
+    linked = (9, "linked"), (10, "linked"), (11, "linked"), (12, "linked")
+    return t.documents.select(
+        choose(F.lit("reference/1"), (0, F.lit("other"))).alias("schema"),
+        choose(F.concat(F.lit("d-"), d), (1, F.concat(F.lit("D_"), d)), (37, F.concat(F.lit("d-"), d - 1))).alias("id"),
+        F.when(at(2), "elsewhere").alias("file_id"),
+        choose(F.concat(F.lit("Stone "), d), (3, F.lit("  "))).alias("label"),
+        F.col("text").alias("commentary"),
+        F.struct(
+            choose(F.lit("unverified"), (4, F.lit("bogus")), *[(r, F.lit("reported")) for r in (6, 7, 8)], *[(r, F.lit(v)) for r, v in linked]).alias("status"),
+            choose(text(None), (5, F.lit("L" * 101)), *[(r, F.lit("igi")) for r in (6, 9, 10, 11, 12)]).alias("lab"),
+            choose(text(None), (6, F.lit("9" * 101)), (11, F.lit("777777")), *[(r, F.lit("123456")) for r in (7, 9, 10, 12)]).alias("report_number"),
+        ).alias("identity"),
+        choose(text(None), (9, F.lit("igi-999")), (11, F.lit("igi-777777")), (12, F.lit("igi-123456"))).alias("linked_id"),
+        F.struct(
+            choose(F.lit("Round"), (13, F.lit(""))).alias("shape"), text(None).alias("colour"), text("VS1").alias("clarity"), text(None).alias("origin"),
+            choose(F.lit("1.25"), (14, F.lit("01.5"))).alias("carat"),
+            choose(F.array(F.lit(6.1), F.lit(6.2)), (15, F.array(F.lit(5.0)))).alias("dimensions"),
+        ).alias("metadata"),
+        choose(
+            F.array(good), (16, F.array().cast("array<struct<kind:string,url:string,note:string>>")), (17, F.array(link("", "https://shop.example.org/x"))),
+            (18, F.array(link("page", "http://shop.example.org"))), (19, F.array(link("page", "https://10.0.0.1/x"))), (20, F.array(good, good)),
+            (21, F.array(link("page", "https://shop.example.org/x", ""))),
+        ).alias("source_links"),
+        choose(
+            F.array(media("viewer", "p", "linked_unverified")), (22, F.array(media("sound", "p", "linked_unverified"))),
+            (23, F.array(media("still", None, "linked_unverified"))), (24, F.array(media("video", "p", "ok"))),
+        ).alias("media_sources"),
+        choose(F.array(F.lit("cut"), F.lit("light-return")), (25, F.array(F.lit("a"), F.lit("a"))), (26, F.array(F.lit("Bad Tag")))).alias("topics"),
+        choose(
+            F.array(record("still", key, asset(5), none)), (27, F.array(record("audio", key, asset(5), none))), (28, F.array(record("still", F.lit("xyz"), asset(5), none))),
+            (29, F.array(record("rotation", key, no_asset, frames(255, 1)))), (30, F.array(record("rotation", key, asset(5), frames(256, 1)))),
+            (31, F.array(record("rotation", key, no_asset, frames(256, 0)))), (32, F.array(record("still", key, no_asset, none))),
+            (39, F.array(record("rotation", key, no_asset, frames(256, 1)))),
+        ).alias("evidence"),
+        choose(
+            F.array(seen), (33, F.array_repeat(seen, 3001)), (34, F.array(attempt("", "still", "missing", None))), (35, F.array(attempt("r", "", "missing", None))),
+            (36, F.array(attempt("r", "video", "x", None))), (38, F.array(attempt("r", "video", "missing", ""))),
+        ).alias("attempts"),
+    )
+
+
 @query(
     "k19_validate_references",
-    """WITH r AS (SELECT doc_id, length(text) BETWEEN 1 AND 8000 AS a, coalesce(lang IN ('en', 'fr'), false) AS b, n_chars = length(text) AS c FROM documents)
-    SELECT doc_id, 'commentary_length' AS rule FROM r WHERE NOT a UNION ALL SELECT doc_id, 'known_status' FROM r WHERE NOT b
-    UNION ALL SELECT doc_id, 'declared_size' FROM r WHERE NOT coalesce(c, false)""",
+    rf"""WITH p(r, rule) AS (VALUES {", ".join(f"({r}, '{rule}')" for r, rule in PLANTED)}),
+    d AS (SELECT doc_id, text, CASE doc_id % 40 WHEN 1 THEN 'D_' || doc_id WHEN 37 THEN 'd-' || (doc_id - 1) ELSE 'd-' || doc_id END AS id FROM documents)
+    SELECT id, rule FROM d JOIN p ON p.r = d.doc_id % 40
+    UNION ALL SELECT id, 'id_repeated' FROM d GROUP BY 1 HAVING count(*) > 1
+    UNION ALL SELECT id, 'commentary' FROM d WHERE NOT coalesce(regexp_matches(text, '\S') AND length(text) <= 8000 AND NOT regexp_matches(text, '[\x00-\x08\x0B-\x1F]'), false)""",
 )
 def validate_references(t):
-    return K.violations(
-        t.documents,
-        "doc_id",
-        [
-            ("commentary_length", F.length("text").between(1, 8000)),
-            ("known_status", F.col("lang").isin("en", "fr")),
-            ("declared_size", F.col("n_chars") == F.length("text")),
-        ],
-    )
+    certified = t.region.where("r_regionkey = 0").select(F.lit("igi-123456").alias("id"), F.lit("IGI").alias("lab"), F.lit("123456").alias("report_number"))
+    return L.broken_references(references(t), certified, "reference/1")
 
 
 # Page text with the given row's numbers in certificate wording, so extraction has work to do.

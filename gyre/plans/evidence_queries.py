@@ -169,13 +169,117 @@ def candidates(t):
     return out
 
 
+def native_events(t):
+    """Native events of all eight families from the traces `value` and `other` of a user's events."""
+    from gyre.operators.pairing import matched_area_pair
+    from gyre.operators.selection import extreme
+
+    steps = t.steps.select("series_id", "position", "source_index", "value", "other", (F.col("value") < 0.65 * F.col("other")).alias("state"))
+    steps = steps.withColumn("barrier", F.lit("gap"))
+    index = (F.col("position") % PERIOD).alias("source_index")
+    sides = [((F.col("position") - 1) % PERIOD).alias("left_source_index"), (F.col("position") % PERIOD).alias("right_source_index")]
+    fields = lambda *names: F.array(*[F.lit(n) for n in names]).alias("field_ids")
+    event = F.col("rule").alias("event_type")
+    near = V.nearest_to_quantile(steps, KEY, "position", "value", {"q10": 0.1, "q50": 0.5, "q90": 0.9})
+    moves = S.adjacent_delta(steps, KEY, "position", "source_index", "value", wrap="any").withColumn("signed_delta", F.round("signed_delta", 6))
+    moves = V.extreme_moves(moves, KEY, "position", "signed_delta")
+    activation = near.select("series_id", event, index, F.lit(None).cast("bigint").alias("position"), F.lit(None).cast("double").alias("delta"), fields("core"))
+    activation = activation.unionByName(moves.select("series_id", event, F.lit(None).cast("bigint").alias("source_index"), "position", F.col("signed_delta").alias("delta"), fields("core")))
+    high = extreme(steps, KEY, "highest", "other", "position", True).unionByName(extreme(steps, KEY, "lowest_nonzero", "other", "position", False, F.col("other") > 0))
+    occupancy = high.select("series_id", event, index, fields("wide"))
+    change = lambda c: S.adjacent_delta(steps, KEY, "position", "source_index", c).withColumn("change", F.round("change", 6))
+    other = change("other")
+    switch = extreme(other, KEY, "highest", "change", "position", True).unionByName(extreme(other, KEY, "lowest_nonzero", "change", "position", False, F.col("change") > 0))
+    switching = switch.select("series_id", event, *sides, F.col("change").alias("switch_fraction"), fields("wide"))
+    mobility = V.extreme_rows(change("value"), KEY, "position", "change").select("series_id", event, *sides, F.col("change").alias("mobility"), fields("core"))
+    runs = S.runs(steps, KEY, "position", "state", "barrier").where("state")
+    longest = runs.groupBy(*KEY).agg(F.max(F.struct("length", (-F.col("start")).alias("s"), "end")).alias("r"))
+    persistence = longest.select(
+        "series_id", F.lit("dark_q90_run").alias("event_type"), (-F.col("r.s")).alias("start_position"), F.col("r.end").alias("end_position"),
+        F.col("r.length").alias("run_length"), fields("dark"),
+    )
+    pairs = S.paired_changes(steps, KEY, "position", "source_index", "value", "other", wrap="any")
+    pairs = pairs.withColumns({c: F.round(c, 6) for c in ("joint_strength", "divergence", "movement")})
+    both = V.pair_events(pairs, KEY, "position").select("series_id", event, *sides, F.col("joint_strength").alias("joint_move_strength"), fields("core", "wide"))
+    apart = extreme(pairs, KEY, "strongest_divergent", "divergence", "position", True, F.col("relationship") == "opposite").withColumnRenamed("divergence", "divergence_strength")
+    along = extreme(pairs, KEY, "strongest_coordinated", "movement", "position", True, F.col("relationship") == "same").withColumnRenamed("movement", "movement_strength")
+    opposing = apart.unionByName(along, allowMissingColumns=True).select("series_id", event, *sides, "divergence_strength", "movement_strength", fields("wide", "core"))
+    whole = steps.where("value is not null and other is not null")
+    broad = extreme(whole, KEY, "broadest", "value", "position", True).withColumnRenamed("value", "shape")
+    split = extreme(whole, KEY, "most_fragmented", "other", "position", True).withColumnRenamed("other", "shape")
+    matched = matched_area_pair(whole, KEY, "position", "value", "other", 0.5)
+    none = F.lit(None).cast("bigint")
+    morphology = broad.unionByName(split).select("series_id", event, index, none.alias("left_source_index"), none.alias("right_source_index"), "shape", fields("dark"))
+    morphology = morphology.unionByName(
+        matched.select(
+            "series_id", F.lit("matched_active_area_pair").alias("event_type"), none.alias("source_index"), (F.col("first") % PERIOD).alias("left_source_index"),
+            (F.col("second") % PERIOD).alias("right_source_index"), F.col("shape_gap").alias("shape"), fields("dark"),
+        )
+    )
+    return {
+        "activation": activation, "occupancy": occupancy, "switching": switching, "persistence": persistence,
+        "mobility": mobility, "coordination": both, "opposing": opposing, "morphology": morphology,
+    }
+
+
+def native_candidates(t):
+    return V.collect_candidates(native_events(t), t.steps.select("series_id", "position", "source_index"))
+
+
+FRAME_AT, PAIR_AT = f"CAST(position % {PERIOD} AS VARCHAR)", f"(position - 1) % {PERIOD} || ',' || position % {PERIOD}"
+NATIVE = f"""{STEPS}{WRAPPED.replace("pairs AS", "pairs2 AS").replace("value - pv AS da", "round(value - pv, 6) AS da").replace("other - po AS db", "other - po AS db")},
+    {nearest_sql("steps", "value", (("q10", 0.1), ("q50", 0.5), ("q90", 0.9)))},
+    mv AS (SELECT series_id, position, da, row_number() OVER (PARTITION BY series_id ORDER BY da DESC, position) AS up,
+                  row_number() OVER (PARTITION BY series_id ORDER BY da, position) AS dn FROM moves WHERE stepped AND da IS NOT NULL),
+    ot AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY other DESC, position) AS hi, row_number() OVER (PARTITION BY series_id, other > 0 ORDER BY other, position) AS lo FROM steps WHERE other IS NOT NULL),
+    ch AS (SELECT series_id, position, CASE WHEN source_index = psi + 1 THEN round(abs(value - pv), 6) END AS c, CASE WHEN source_index = psi + 1 THEN round(abs(other - po), 6) END AS o
+           FROM hops WHERE pp IS NOT NULL),
+    sw AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY o DESC, position) AS hi, row_number() OVER (PARTITION BY series_id, o > 0 ORDER BY o, position) AS lo FROM ch WHERE o IS NOT NULL),
+    mo AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY c DESC, position) AS hi, row_number() OVER (PARTITION BY series_id ORDER BY c, position) AS lo,
+                  row_number() OVER (PARTITION BY series_id, c > 0 ORDER BY c, position) AS nz FROM ch WHERE c IS NOT NULL),
+    mq AS (SELECT series_id, 'median' AS r, quantile_cont(c, 0.5) AS x FROM mo GROUP BY 1 UNION ALL SELECT series_id, 'q90', quantile_cont(c, 0.9) FROM mo GROUP BY 1),
+    mn AS (SELECT mo.series_id, r, position, c, row_number() OVER (PARTITION BY mo.series_id, r ORDER BY round(abs(c - x), 9), position) AS k FROM mo JOIN mq ON mq.series_id = mo.series_id),
+    ds AS (SELECT series_id, position, value < 0.65 * other AS state FROM steps),
+    dg AS (SELECT *, sum(CASE WHEN state THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY position) AS g FROM (SELECT series_id, position, coalesce(state, false) AS state FROM ds)),
+    dr AS (SELECT series_id, min(position) AS a, max(position) AS b, count(*) AS n FROM dg WHERE state GROUP BY series_id, g),
+    dl AS (SELECT * FROM dr QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY n DESC, a) = 1),
+    cp AS (SELECT series_id, position, da, db, round(least(abs(da), abs(db)), 6) AS st, round(abs(da - db), 6) AS dv, round(greatest(abs(da), abs(db)), 6) AS mm FROM pairs2 WHERE da * db <> 0),
+    cs AS (SELECT *, row_number() OVER (PARTITION BY series_id, da * db > 0 ORDER BY st DESC, position) AS k, row_number() OVER (PARTITION BY series_id, da * db > 0 ORDER BY dv DESC, position) AS kd,
+                  row_number() OVER (PARTITION BY series_id, da * db > 0 ORDER BY mm DESC, position) AS km FROM cp),
+    ct AS (SELECT series_id, quantile_cont(st, 0.5) AS x FROM cp GROUP BY 1),
+    cn AS (SELECT cp.series_id, position, st, row_number() OVER (PARTITION BY cp.series_id ORDER BY round(abs(st - x), 9), position) AS k FROM cp JOIN ct ON ct.series_id = cp.series_id),
+    wh AS (SELECT * FROM steps WHERE value IS NOT NULL AND other IS NOT NULL),
+    wx AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY value DESC, position) AS kb, row_number() OVER (PARTITION BY series_id ORDER BY other DESC, position) AS kf FROM wh),
+    wp AS (SELECT a.series_id, a.position AS f, b.position AS s, round(abs(a.other - b.other), 12) AS g, row_number() OVER (PARTITION BY a.series_id ORDER BY round(abs(a.value - b.value), 12) <= 0.5 DESC,
+                  round(-abs(a.other - b.other), 12), round(abs(a.value - b.value), 12), a.position, b.position) AS k FROM wh a JOIN wh b ON b.series_id = a.series_id AND a.position < b.position),
+    nat AS (
+      SELECT series_id, 'activation' AS family, rule AS event_type, 'frame' AS kind, {FRAME_AT} AS idx, 'core' AS fields, NULL::DOUBLE AS imp FROM nr WHERE k = 1
+      UNION ALL SELECT series_id, 'activation', 'largest_positive_move', 'pair', {PAIR_AT}, 'core', da FROM mv WHERE up = 1 AND da > 0
+      UNION ALL SELECT series_id, 'activation', 'largest_negative_move', 'pair', {PAIR_AT}, 'core', -da FROM mv WHERE dn = 1 AND da < 0
+      UNION ALL SELECT series_id, 'occupancy', 'highest', 'frame', {FRAME_AT}, 'wide', NULL FROM ot WHERE hi = 1
+      UNION ALL SELECT series_id, 'occupancy', 'lowest_nonzero', 'frame', {FRAME_AT}, 'wide', NULL FROM ot WHERE lo = 1 AND other > 0
+      UNION ALL SELECT series_id, 'switching', 'highest', 'pair', {PAIR_AT}, 'wide', o FROM sw WHERE hi = 1
+      UNION ALL SELECT series_id, 'switching', 'lowest_nonzero', 'pair', {PAIR_AT}, 'wide', o FROM sw WHERE lo = 1 AND o > 0
+      UNION ALL SELECT series_id, 'mobility', 'largest', 'pair', {PAIR_AT}, 'core', c FROM mo WHERE hi = 1
+      UNION ALL SELECT series_id, 'mobility', 'lowest', 'pair', {PAIR_AT}, 'core', c FROM mo WHERE lo = 1
+      UNION ALL SELECT series_id, 'mobility', 'lowest_nonzero', 'pair', {PAIR_AT}, 'core', c FROM mo WHERE nz = 1 AND c > 0
+      UNION ALL SELECT series_id, 'mobility', r, 'pair', {PAIR_AT}, 'core', c FROM mn WHERE k = 1
+      UNION ALL SELECT series_id, 'persistence', 'dark_q90_run', 'run', array_to_string(list_transform(range(a, b + 1), lambda x: x % {PERIOD}), ','), 'dark', n FROM dl
+      UNION ALL SELECT series_id, 'coordination', CASE WHEN da * db > 0 THEN 'strongest_coordinated' ELSE 'strongest_divergent' END, 'pair', {PAIR_AT}, 'core|wide', st FROM cs WHERE k = 1
+      UNION ALL SELECT series_id, 'coordination', 'typical_directional', 'pair', {PAIR_AT}, 'core|wide', st FROM cn WHERE k = 1
+      UNION ALL SELECT series_id, 'opposing', 'strongest_divergent', 'pair', {PAIR_AT}, 'wide|core', dv FROM cs WHERE kd = 1 AND da * db < 0
+      UNION ALL SELECT series_id, 'opposing', 'strongest_coordinated', 'pair', {PAIR_AT}, 'wide|core', mm FROM cs WHERE km = 1 AND da * db > 0
+      UNION ALL SELECT series_id, 'morphology', 'broadest', 'frame', {FRAME_AT}, 'dark', value FROM wx WHERE kb = 1
+      UNION ALL SELECT series_id, 'morphology', 'most_fragmented', 'frame', {FRAME_AT}, 'dark', other FROM wx WHERE kf = 1
+      UNION ALL SELECT series_id, 'morphology', 'matched_active_area_pair', 'pair', f % {PERIOD} || ',' || s % {PERIOD}, 'dark', g FROM wp WHERE k = 1)"""
+
+
 @query(
     "g6_collect_candidates",
-    f"""WITH {CYCLES}, {CAND} SELECT series_id, family, native_id, event_type, kind, idx AS source_indices, fields AS field_ids,
-        {r6("imp")} AS importance, 'ok' AS status FROM cand""",
+    f"""WITH {NATIVE} SELECT series_id, family, family AS native_id, event_type, kind, idx AS source_indices, fields AS field_ids, {r6("imp")} AS importance, 'ok' AS status FROM nat""",
 )
 def collect_candidates(t):
-    return candidates(t).select(
+    return native_candidates(t).select(
         "series_id", "family", "native_id", "event_type", "kind", F.array_join("source_indices", ",").alias("source_indices"),
         F.array_join("field_ids", "|").alias("field_ids"), "importance", "status",
     )
@@ -230,29 +334,53 @@ def merge_exact(t):
     )
 
 
+def kept(t):
+    """The contracted candidates of the hourly cycle, and the strongest pairs of either sign of two traces."""
+    from gyre.operators.selection import extreme
+
+    pairs = S.paired_changes(t.steps, KEY, "position", "source_index", "value", "other", wrap="any").withColumn("joint_strength", F.round("joint_strength", 6))
+    strong = extreme(pairs, KEY, "strongest_coordinated", "joint_strength", "position", True, F.col("relationship") == "same").unionByName(
+        extreme(pairs, KEY, "strongest_divergent", "joint_strength", "position", True, F.col("relationship") == "opposite")
+    )
+    events = strong.select(
+        "series_id", F.col("rule").alias("event_type"), ((F.col("position") - 1) % PERIOD).alias("left_source_index"), (F.col("position") % PERIOD).alias("right_source_index"),
+        F.col("joint_strength").alias("joint_move_strength"), F.array(F.lit("core"), F.lit("wide")).alias("field_ids"),
+    )
+    return contracted(t).unionByName(V.collect_candidates({"coordination": events}, t.steps))
+
+
 @query("g9_near_groups")
 def near_groups(t):
-    groups = V.near_groups(V.merge_exact(contracted(t)), PERIOD, 1)
+    groups = V.near_groups(V.merge_exact(kept(t)), PERIOD, 1)
     return groups.withColumn("source_indices", F.array_join("source_indices", ","))
 
 
+def values(t):
+    """Profile values of a series: how its two traces lean."""
+    lean = t.steps.groupBy(*KEY).agg(F.avg(F.col("value") - F.col("other")).alias("v"))
+    return lean.select("series_id", F.explode(F.array(F.lit("core"), F.lit("wide"))).alias("field_id"), F.round("v", 6).alias("value"))
+
+
+def selected(t):
+    return V.coverage_select(V.merge_exact(kept(t)), values=values(t))
+
+
 @query("g10_coverage_select")
 def coverage_select(t):
-    return V.coverage_select(V.merge_exact(contracted(t))).withColumn("source_indices", F.array_join("source_indices", ","))
+    return selected(t).withColumn("source_indices", F.array_join("source_indices", ","))
 
 
 @query("g11_inventory_counts")
 def inventory_counts(t):
-    kept = contracted(t)
-    items = V.merge_exact(kept)
-    return V.inventory(kept, items, V.near_groups(items, PERIOD, 1), V.coverage_select(items))
+    found = kept(t)
+    items = V.merge_exact(found)
+    return V.inventory(found, items, V.near_groups(items, PERIOD, 1), V.coverage_select(items, values=values(t)))
 
 
 @query("g12_packet")
 def packet(t):
-    selected = V.coverage_select(V.merge_exact(contracted(t)))
-    frames = t.cycles.select("series_id", F.col("slot").cast("int").alias("source_index"), F.concat(F.lit("frame-"), F.col("slot")).alias("path"))
-    return V.packet(selected, frames, "source_index", "path")
+    frames = t.events.select(F.col("user_id").alias("series_id")).distinct().withColumn("source_index", F.explode(F.sequence(F.lit(0), F.lit(PERIOD - 1))))
+    return V.packet(selected(t), frames.withColumn("path", F.concat(F.lit("frame-"), F.col("source_index"))), "source_index", "path")
 
 
 @query(

@@ -242,7 +242,7 @@ def distance_bins(t):
     "e12_matched_pair",
     f"""WITH {SUPPORT}, r AS (SELECT series_id, position, gs AS m, ln(g) AS b FROM whole WHERE g > 0),
     c AS (SELECT a.series_id, a.position AS f, z.position AS s, round(abs(z.m - a.m), 12) AS mg, round(abs(z.b - a.b), 12) AS bg,
-                 abs(z.b - a.b) <= ln(1.02) AS ok
+                 round(abs(z.b - a.b), 12) <= ln(1.02) AS ok
           FROM r a JOIN r z ON z.series_id = a.series_id AND a.position < z.position),
     k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ok DESC, CASE WHEN ok THEN -mg ELSE bg END,
                  CASE WHEN ok THEN bg ELSE -mg END, f, s) AS o, count(*) FILTER (ok) OVER (PARTITION BY series_id) AS n FROM c)
@@ -261,7 +261,7 @@ def matched_pair(t):
     "e13_matched_area_pair",
     f"""WITH RECURSIVE {MORPH}, r AS (SELECT series_id, position, af AS a, lf AS s FROM morph WHERE status = 'ok'),
     c AS (SELECT x.series_id, x.position AS f, z.position AS s, round(abs(x.a - z.a), 12) AS ag, round(-abs(x.s - z.s), 12) AS n,
-                 abs(x.a - z.a) <= 0.02 AS ok
+                 round(abs(x.a - z.a), 12) <= 0.02 AS ok
           FROM r x JOIN r z ON z.series_id = x.series_id AND x.position < z.position),
     k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ok DESC, n, ag, f, s) AS o FROM c)
     SELECT series_id, f AS "first", s AS "second", {r6("-n")} AS shape_gap, {r6("ag")} AS area_gap, ok AS within_tolerance FROM k WHERE o = 1""",

@@ -396,16 +396,16 @@ def contrast_trace(t):
 
 
 TILES = STEP + """,
-ok AS (SELECT * FROM pixels WHERE observed AND valid AND in_mask),
+ok1 AS (SELECT * FROM pixels WHERE observed AND valid AND in_mask),
+ok AS (SELECT p.series_id, p.position, p.y, p.x, p.brightness, n.brightness AS b FROM ok1 p JOIN ok1 n ON n.y = p.y AND n.x = p.x AND n.series_id = p.series_id AND n.position = p.position + 1),
 box AS (SELECT series_id, position, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM ok GROUP BY 1, 2),
 ref AS (SELECT o.series_id, o.position, y, x, brightness AS a, CAST(ceil((y - y0 + 1) * 2 / (y1 - y0 + 1)) - 1 AS INTEGER) AS r,
                CAST(ceil((x - x0 + 1) * 2 / (x1 - x0 + 1)) - 1 AS INTEGER) AS c, x0, x1, y0, y1
         FROM ok o JOIN box USING (series_id, position)),
-nxt AS (SELECT DISTINCT series_id, position - 1 AS position FROM pixels WHERE observed),
 off AS (SELECT CAST(dy AS INTEGER) AS dy, CAST(dx AS INTEGER) AS dx FROM range(-1, 2) AS p(dy), range(-1, 2) AS q(dx)),
-sc AS (SELECT f.series_id, f.position, r, c, dy, dx, count(*) AS n, stddev_pop(f.a) AS sa, stddev_pop(t.brightness) AS sb,
-              covar_pop(f.a, t.brightness) AS cv
-       FROM ref f, off JOIN ok t ON t.series_id = f.series_id AND t.position = f.position + 1 AND t.y = f.y + dy AND t.x = f.x + dx
+sc AS (SELECT f.series_id, f.position, r, c, dy, dx, count(*) AS n, stddev_pop(f.a) AS sa, stddev_pop(t.b) AS sb,
+              covar_pop(f.a, t.b) AS cv
+       FROM ref f, off JOIN ok t ON t.series_id = f.series_id AND t.position = f.position AND t.y = f.y + dy AND t.x = f.x + dx
        WHERE y0 + floor((y1 - y0 + 1) * r / 2) + dy >= 0 AND x0 + floor((x1 - x0 + 1) * c / 2) + dx >= 0
          AND y0 + floor((y1 - y0 + 1) * (r + 1) / 2) + dy <= 8 AND x0 + floor((x1 - x0 + 1) * (c + 1) / 2) + dx <= 8
        GROUP BY 1, 2, 3, 4, 5, 6),
@@ -416,7 +416,7 @@ snd AS (SELECT k.series_id, k.position, k.r, k.c,
                coalesce(max(k.ncc) FILTER ((k.dy - b.dy) * (k.dy - b.dy) + (k.dx - b.dx) * (k.dx - b.dx) >= 4), max(k.ncc)) AS s
         FROM rk k JOIN bst b ON b.series_id = k.series_id AND b.position = k.position AND b.r = k.r AND b.c = k.c
         WHERE k.k > 1 GROUP BY 1, 2, 3, 4),
-tl AS (SELECT DISTINCT series_id, position, r, c FROM ref SEMI JOIN nxt USING (series_id, position)),
+tl AS (SELECT DISTINCT series_id, position, r, c FROM ref),
 tiles AS (
   SELECT l.series_id, l.position, l.r, l.c, b.ncc AS best, z.ncc AS zero, coalesce(b.ncc - s.s, 1.0) AS margin, b.n, b.dx, b.dy,
          CASE WHEN b.ncc IS NULL THEN 'unavailable' WHEN b.ncc >= 0.25 AND coalesce(b.ncc - s.s, 1.0) >= 0.035 THEN 'measured'

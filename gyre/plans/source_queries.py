@@ -104,6 +104,32 @@ def reorder_by_permutation(t):
     return A.reorder_by_permutation(rows, ["series_id"], "serial", 16)
 
 
+# Per-level permutations of three levels (4, 4 and 8 frames) from the keys of `nation`.
+LEVELS = """lv AS (SELECT CASE WHEN n_nationkey < 4 THEN 1 WHEN n_nationkey < 8 THEN 2 ELSE 3 END AS level, CASE WHEN n_nationkey < 8 THEN n_nationkey % 4 ELSE n_nationkey - 8 END AS i FROM nation WHERE n_nationkey < 16),
+sm AS (SELECT *, (i * 3 + 1) % CASE WHEN level < 3 THEN 4 ELSE 8 END AS "value", CASE level WHEN 1 THEN 0 WHEN 2 THEN 4 ELSE 8 END AS first FROM lv)"""
+
+
+def scrambles(t):
+    k = F.col("n_nationkey")
+    level = F.when(k < 4, 1).when(k < 8, 2).otherwise(3)
+    i = F.when(k < 8, k % 4).otherwise(k - 8)
+    return t.nation.where(k < 16).select(level.alias("level"), i.alias("i"), ((i * 3 + 1) % F.when(k < 8, 4).otherwise(8)).alias("value"))
+
+
+@query(
+    "a7_scrambled_order",
+    f"""WITH {LEVELS}, p(serial, slot) AS (
+      SELECT * FROM (VALUES (1, 1), (2, 5), (3, 9), (4, 13)) AS v(serial, slot) UNION ALL SELECT 5 + j, 2 * (2 * j + 1) + 1 FROM range(4) AS r(j)
+      UNION ALL SELECT 9 + j, 1 * (2 * j + 1) + 1 FROM range(8) AS r(j)),
+    m AS (SELECT first + i + 1 AS serial, first + "value" + 1 AS shuffled FROM sm)
+    SELECT vec_id // 16 AS series_id, vec_id % 16 + 1 AS serial, CAST(slot - 1 AS BIGINT) AS final_position
+    FROM embeddings JOIN m ON m.serial = vec_id % 16 + 1 JOIN p ON p.serial = m.shuffled""",
+)
+def scrambled_order(t):
+    rows = t.vectors.select("series_id", (F.col("position") + 1).alias("serial"))
+    return A.reorder_by_permutation(rows, ["series_id"], "serial", 16, A.scramble_map(scrambles(t)))
+
+
 @query(
     "a8_mark_duplicates",
     """WITH d AS (SELECT doc_id, sha256(text) AS h, sha256(lower(text)) AS p FROM documents),

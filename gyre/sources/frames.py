@@ -163,8 +163,34 @@ def progressive_slot(serial: Column, total: int) -> Column:
     return F.when(serial <= 4, quarter).otherwise(inner).cast("bigint")
 
 
+def level_start(level: Column) -> Column:
+    """Serials before a progressive level: levels hold 4, 4, 8, 16, .. frames."""
+    return F.when(level == 1, F.lit(0)).otherwise(F.pow(F.lit(2.0), level)).cast("bigint")
+
+
+def scramble_map(levels: DataFrame) -> DataFrame:
+    """(serial, shuffled) from per-level permutations (level, i, value), each counted from 0."""
+    return levels.select((level_start(F.col("level")) + F.col("i") + 1).alias("serial"), (level_start(F.col("level")) + F.col("value") + 1).alias("shuffled"))
+
+
+def scramble_problems(levels: DataFrame, total: int) -> DataFrame:
+    """(level, problem): levels of `total` frames that are absent, incomplete or no permutation, and ones too many."""
+    wanted = [(1, 4)]
+    while sum(n for _, n in wanted) < total:
+        wanted.append((len(wanted) + 1, sum(n for _, n in wanted)))
+    size = F.create_map(*[F.lit(x) for pair in wanted for x in pair])
+    every = F.explode(F.array(*[F.lit(level) for level, _ in wanted]))
+    seen = levels.groupBy("level").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("values"), F.min("value").alias("low"), F.max("value").alias("high"), F.count_distinct("i").alias("places")
+    )
+    both = levels.sparkSession.range(1).select(every.alias("level")).join(seen, "level", "full")
+    whole = (F.col("n") == size[F.col("level")]) & (F.col("values") == F.col("n")) & (F.col("places") == F.col("n")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1)
+    why = F.when(size[F.col("level")].isNull(), "unknown_level").when(F.col("n").isNull(), "missing_level").when(~whole, "not_a_permutation")
+    return both.select("level", why.alias("problem")).where("problem is not null")
+
+
 def reorder_by_permutation(df: DataFrame, keys: list[str], serial: str, total: int, scramble: DataFrame | None = None) -> DataFrame:
-    """Stored serial to final position; `scramble` (serial, shuffled) is applied first."""
+    """Stored serial to final position; `scramble` (serial, shuffled; see `scramble_map`) is applied first."""
     rows = df
     if scramble is not None:
         rows = df.join(scramble.select(F.col("serial").alias(serial), "shuffled"), serial).withColumn("__s", F.col("shuffled")).drop("shuffled")
