@@ -34,6 +34,7 @@ LEAST = 30
 ORDER = 4
 TOP = 2000
 SCALE = 2_000_000
+CHUNK_BYTES = 6 << 20  # text of a chunk; a task holds some forty times that
 ABSORBED = 80  # percent of a phrase's occurrences inside a longer candidate
 UNKNOWN = "und"
 WORDS = tuple(f"w{k + 1}" for k in range(ORDER))
@@ -60,18 +61,20 @@ class _Words:
         lang = rows["lang"].combine_chunks().dictionary_encode()
         lang = lang.combine_chunks() if isinstance(lang, pa.ChunkedArray) else lang
         self.langs = lang.dictionary
-        self.lang = np.repeat(lang.indices.to_numpy(zero_copy_only=False), np.diff(first)).astype(np.int64)
+        of = np.repeat(lang.indices.to_numpy(zero_copy_only=False).astype(np.int32), np.diff(first))
         doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(first))
         piece = np.cumsum(_PIECE_END[data], dtype=np.int32)[starts] if len(starts) else starts
         new = np.ones(len(starts) + 1, bool)
         new[1:-1] = (piece[1:] != piece[:-1]) | (doc[1:] != doc[:-1])
         edges = np.flatnonzero(new)
-        self.left = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(starts)) if len(starts) else starts
+        left = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(starts)) if len(starts) else starts
+        self.left = np.minimum(left, ORDER).astype(np.int8)
+        del doc, piece, new, left
         letters = data[_WORD[data]]
         at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(letters)]).dictionary_encode()
-        self.words, self.ids = words.dictionary.cast(pa.string()), words.indices.to_numpy().astype(np.int64)
-        self.entry = self.lang * max(len(self.words), 1) + self.ids  # tells language and word
+        self.words = words.dictionary.cast(pa.string())
+        self.entry = of.astype(np.int64) * max(len(self.words), 1) + words.indices.to_numpy()  # tells language and word
 
     def entries(self, entry: np.ndarray) -> tuple[pa.Array, pa.Array]:
         """(languages, words) of entries."""
@@ -114,12 +117,15 @@ def _windows_of(buckets: int, hot: int):
         if rows is None or not known.num_rows:
             return _packed.empty_table()
         words = _Words(rows)
-        entry, place = np.unique(words.entry, return_inverse=True)
+        entry = np.unique(words.entry)
         join = lambda lang, word: pa.compute.binary_join_element_wise(lang, word, pa.scalar("\n", pa.large_string()))  # noqa: E731  no word holds a line end
         found = pa.compute.index_in(join(*(x.cast(pa.large_string()) for x in words.entries(entry))), join(*(known[c].combine_chunks().cast(pa.large_string()) for c in ("lang", "word"))))
         at = found.fill_null(-1).to_numpy().astype(np.int64)
-        number = np.where(at >= 0, known["id"].to_numpy()[at], 0).astype(np.int64)[place]
+        place = np.searchsorted(entry, words.entry).astype(np.int32)
+        words.entry = None
+        number = np.where(at >= 0, known["id"].to_numpy()[at], 0).astype(np.int32)[place]
         common = np.where(at >= 0, known["f"].to_numpy()[at] >= hot, False)[place]
+        del place
         parts, much, alive = [number], [common], number > 0
         for k in range(1, ORDER):
             alive = alive & (words.left > k)
@@ -130,9 +136,11 @@ def _windows_of(buckets: int, hot: int):
             shifted = np.zeros_like(common)
             shifted[: len(number) - k] = common[k:]
             much.append(much[-1] & shifted & alive)
-        keep = 1 + much[1].astype(np.int64) + much[2]
+        keep = 1 + much[1].astype(np.int8) + much[2]
         open_ = np.flatnonzero(number)
-        columns, n, first = _summed([p[open_] for p in parts], np.ones(len(open_), np.int64))
+        columns = [p[open_].astype(np.int64) for p in parts]
+        del parts, much, alive, follows, shifted, number, common
+        columns, n, first = _summed(columns, np.ones(len(open_), np.int64))
         keep = keep[open_][first]
         pair = mix((columns[0] << np.int64(32) | columns[1]).view(np.uint64))
         third = mix(pair ^ columns[2].view(np.uint64))
@@ -186,7 +194,7 @@ def windows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
     """((w1..w4, n): padded longest windows of word numbers, 0 pads; the dictionary (lang, word, f, id);
     the words of each language (lang, n))."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") > 0)
-    n = chunks_for(texts, F.octet_length("text"))
+    n = chunks_for(texts, F.octet_length("text"), CHUNK_BYTES)
     chunks = in_chunks(texts, by=None, chunks=n)
     counted = written(chunks.groupBy("chunk").applyInArrow(_count_words, COUNTED))
     totals = written(counted.groupBy("lang").agg(F.sum("n").alias("n")))
