@@ -17,7 +17,7 @@ from gyre.llm.mixing import mixed
 from gyre.llm.near_duplicates import jaccard_components
 from gyre.llm.substrings import remove_repeats
 from gyre.llm.toxicity import remainder, toxicity
-from gyre.session import shared_dir
+from gyre.session import scratch_dir, scratch_scope
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,12 +30,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group linked by shingle similarity stays. Rows equal
-    in id and text count once; rows of null id stay, as nothing names them."""
-    docs = docs.select(*COLUMNS)
-    groups = jaccard_components(docs.select("doc_id", "text"))
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return rows_with_ids(docs, keep).unionByName(docs.where("doc_id is null"))
+    """The document with the smallest id (null last) of every group linked by shingle similarity stays. Rows are
+    told apart by a hash of all their columns, so null and repeated ids take part; rows equal in all
+    columns count once."""
+    row = F.xxhash64(*[c for name in COLUMNS for c in (F.isnull(name), F.col(name))]).alias("row_key")
+    docs = docs.select(*COLUMNS, row)
+    groups = jaccard_components(docs.select("row_key", "text"), id_col="row_key").select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    named = groups.join(docs.select("row_key", "doc_id").distinct(), "row_key")
+    first = F.min(F.struct(F.isnull("doc_id"), "doc_id", "row_key"))["row_key"].alias("row_key")
+    keep = named.groupBy("component_id").agg(first).select("row_key")
+    return rows_with_ids(docs, keep, id_col="row_key").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,11 +72,11 @@ ORACLE_SQL = None  # toxicity and repeated strings have no SQL; tests compare wi
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; tables that a stage made on its way are deleted when its own rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-            docs.write.option("compression", "zstd").parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
