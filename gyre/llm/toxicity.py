@@ -6,8 +6,8 @@ examples' texts; inverse document frequencies are counted over all documents. A
 multiplied by the root of one tenth plus its log-likelihood ratio between the labels: terms without evidence
 weigh little, but every shared term counts. The cosine is taken over these terms. Each document that
 shares any term finds its `k` nearest examples in a block-max inverted index: postings of the rarer terms are summed, for terms
-held by more than one in `COMMON` examples the largest weight of every block of examples bounds what they can add, and an
-example's own common terms are read only where its bound reaches the k-th best cosine, so the result is the exact one. Votes weigh
+held by more than one in `COMMON` examples the largest weight of every block of examples bounds what they can add, and
+blocks are read, for `BATCH` documents at once, only where a bound reaches a k-th best cosine, so the result is the exact one. Votes weigh
 cosine squared times the number of labelled rows an example stands for; a logistic map fitted on
 leave-one-out votes of the examples turns them into probabilities. Ids, languages, sources and labels are no
 inputs of a score.
@@ -31,7 +31,8 @@ from gyre.llm import text as X
 PER_CLASS = 2000
 NEIGHBOURS = 15
 BLOCK_EXAMPLES = 32
-COMMON = 24  # terms of more than 1 / COMMON of the examples are bounded first and read last
+COMMON = 8  # terms of more than 1 / COMMON of the examples are bounded first and read last
+BATCH = 64  # documents that are searched together
 NO_EVIDENCE = 0.1
 BEGINNINGS = (4, 5, 6, 7, 8)
 
@@ -85,15 +86,36 @@ class Vocabulary:
     def counts(self, column):
         """(first row, row after the last, (row, term, count) of all occurrences, rows ascending) of each
         block of a batch; memory is that of one block."""
-        width = max(len(self.terms), 1)
         for lo, hi, data, offsets in _blocks(column):
-            keys = [np.zeros(0, np.int64)]
-            for features, doc in _features(data, offsets):
-                place = self.places(features)
-                good = place >= 0
-                keys.append((doc[good] + lo) * width + place[good])
-            key, count = np.unique(np.concatenate(keys), return_counts=True)
-            yield lo, hi, key // width, key % width, count
+            row, term, count = self._block(data, offsets)
+            yield lo, hi, row + lo, term, count
+
+    def _block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features are made and looked up once for each distinct word of the block."""
+        part = X.LOWER[data]
+        starts, ends, first = X.word_spans(part, offsets, X.ALNUM)
+        names, one, which = np.unique(X.word_hashes(part, starts, ends), return_index=True, return_inverse=True)
+        starts, ends, sums = starts[one], ends[one], X.prefix_hash(part)
+        words, places = [np.arange(len(names))], [self.places(names)]
+        for size in BEGINNINGS:
+            long = np.flatnonzero(ends - starts > size)
+            words.append(long)
+            places.append(self.places(X.salted(X.span_hash(sums, starts[long], starts[long] + size), size)))
+        words, places = np.concatenate(words), np.concatenate(places)
+        known = np.flatnonzero(places >= 0)
+        known = known[np.argsort(words[known], kind="stable")]
+        places, held = places[known], np.bincount(words[known], minlength=len(names))
+        begin = np.cumsum(held) - held
+        pair, times = np.unique(np.repeat(np.arange(len(offsets) - 1), np.diff(first)) * max(len(names), 1) + which, return_counts=True)
+        doc, word = pair // max(len(names), 1), pair % max(len(names), 1)
+        size = held[word]
+        at = np.repeat(begin[word] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        width = max(len(self.terms), 1)
+        key, times = np.repeat(doc, size) * width + places[at], np.repeat(times, size)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+        return key[cuts] // width, key[cuts] % width, np.add.reduceat(times[order], cuts) if len(cuts) else times
 
 
 def _document_frequency(shared):
@@ -163,56 +185,57 @@ class BlockMaxIndex:
     def _build(self, row, term, weight, n: int, width: int, block: int) -> None:
         held = np.bincount(term, minlength=width)
         common = held * COMMON > n
-        self.n, self.width = n, width
-        self.common = np.where(common, np.cumsum(common) - 1, -1).astype(np.int32)
+        self.n, self.common = n, np.where(common, np.cumsum(common) - 1, -1).astype(np.int32)
+        self.dense = np.zeros((n, int(common.sum())))
         often = common[term]
-        order = np.lexsort((term[often], row[often]))
-        self.own_terms, self.own_weights = term[often][order].astype(np.int32), weight[often][order].astype(float)
-        self.own_first = np.concatenate([[0], np.cumsum(np.bincount(row[often], minlength=n))])
-        self.block_of = np.arange(n) // block
-        self.tops = np.zeros((int(common.sum()), -(-n // block) if n else 0))
-        np.maximum.at(self.tops, (self.common[term[often]], row[often] // block), weight[often])
+        self.dense[row[often], self.common[term[often]]] = weight[often]
         row, term, weight = row[~often], term[~often], weight[~often]
         order = np.lexsort((row, term))
         self.examples, self.weights = row[order].astype(np.int32), weight[order].astype(float)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=width))])
-
-    def _read(self, place: np.ndarray, query: np.ndarray) -> np.ndarray:
-        """What the common terms add to the examples at `place`; `query` has the weights of all terms."""
-        start = self.own_first[place]
-        size = self.own_first[place + 1] - start
-        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return np.bincount(np.repeat(np.arange(len(place)), size), self.own_weights[at] * query[self.own_terms[at]], minlength=len(place))
+        self.starts = np.arange(0, n, block)
+        self.block_of = np.arange(n) // block
+        self.tops = np.maximum.reduceat(self.dense, self.starts, axis=0).T.copy() if n else np.zeros((self.dense.shape[1], 0))
+
+    def nearest_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: int = -1) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(examples, cosines) of each query (terms, unit weights), in falling order; cosines have 12
+        decimals, ties go to the lower place in the index.
+
+        Postings of the rarer terms are summed. What the common ones can add to a block of examples is bounded by the
+        block's largest weights, and only blocks that can reach some query's k-th best sum are read.
+        """
+        if not self.n or not queries:
+            return [(np.zeros(0, int), np.zeros(0))] * len(queries)
+        score, heavy = np.empty((len(queries), self.n)), np.zeros((len(queries), self.dense.shape[1]))
+        for i, (term, weight) in enumerate(queries):
+            start = self.first[term]
+            size = self.first[term + 1] - start
+            at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+            score[i] = np.bincount(self.examples[at], self.weights[at] * np.repeat(weight, size), minlength=self.n)
+            column = self.common[term]
+            heavy[i, column[column >= 0]] = weight[column >= 0]
+        if heavy.shape[1]:
+            reach = np.maximum.reduceat(score, self.starts, axis=1) + heavy @ self.tops
+            least = k + (skip >= 0)
+            floor = np.partition(score, self.n - least, axis=1)[:, self.n - least] if self.n > least else np.zeros(len(queries))
+            wanted = (reach * (1 + 1e-9) >= floor[:, None] * (1 - 1e-9)).any(axis=0)[self.block_of]
+            if wanted.all():
+                score += heavy @ self.dense.T
+            else:
+                score[:, wanted] += heavy @ self.dense[wanted].T
+        score = np.round(score, 12)
+        if skip >= 0:
+            score[:, skip] = 0.0
+        out = []
+        for s in score:
+            lowest = np.partition(s, self.n - k)[self.n - k] if self.n > k else 0.0
+            place = np.flatnonzero((s >= lowest) & (s > 0))
+            place = place[np.lexsort((place, -s[place]))[:k]]
+            out.append((place, s[place]))
+        return out
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) in falling order; ties go to the lower place in the index."""
-        if not self.n:
-            return np.zeros(0, int), np.zeros(0)
-        start = self.first[term]
-        size = self.first[term + 1] - start
-        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-        sure = np.bincount(self.examples[at], self.weights[at] * np.repeat(weight, size), minlength=self.n)
-        column = self.common[term]
-        often = column >= 0
-        query = np.zeros(self.width)
-        query[term[often]] = weight[often]
-        bound = sure + (np.einsum("i,ij->j", weight[often], self.tops[column[often]]) * (1 + 1e-9))[self.block_of]
-        place = np.arange(self.n)
-        if self.n > k + 1:
-            ahead = np.argpartition(-bound, k)[: k + 1]
-            good = ahead[ahead != skip]
-            worst = np.sort(sure[good] + self._read(good, query))[-k]
-            place = np.flatnonzero(bound >= worst * (1 - 1e-9))
-            if len(place) > 4 * k:  # a second look at the best of what is left raises the bar
-                ahead = place[np.argpartition(-bound[place], 4 * k - 1)[: 4 * k]]
-                good = ahead[ahead != skip]
-                worst = np.sort(sure[good] + self._read(good, query))[-k]
-                place = place[bound[place] >= worst * (1 - 1e-9)]
-        place = place[place != skip]
-        score = sure[place] + self._read(place, query)
-        best = np.lexsort((place, -score))[:k]
-        best = best[score[best] > 0]
-        return place[best], score[best]
+        return self.nearest_many([(term, weight)], k, skip)[0]
 
 
 class Model:
@@ -281,14 +304,14 @@ def _scorer(shared):
             n = len(column)
             score, nearest, votes = np.full(n, blank), np.zeros(n), np.zeros(n, np.int64)
             for lo, hi, row, term, count in vocabulary.counts(column):
-                cut = np.searchsorted(row, np.arange(lo, hi + 1))
-                for i in np.unique(row).tolist():
-                    a, b = cut[i - lo], cut[i - lo + 1]
-                    weight = _weights(term[a:b], count[a:b], model.scale)
-                    example, cosine = model.index.nearest(term[a:b], weight, model.k)
-                    score[i] = model.score(model.vote(example, cosine))
-                    votes[i] = model.labels[example].sum()
-                    nearest[i] = cosine[0] if len(cosine) else 0.0
+                rows, cut = np.unique(row, return_index=True)
+                cut = np.append(cut, len(row)).tolist()
+                for first in range(0, len(rows), BATCH):
+                    asked = [(term[a:b], _weights(term[a:b], count[a:b], model.scale)) for a, b in zip(cut[first : first + BATCH], cut[first + 1 : first + BATCH + 1])]
+                    for i, (example, cosine) in zip(rows[first : first + BATCH].tolist(), model.index.nearest_many(asked, model.k)):
+                        score[i] = model.score(model.vote(example, cosine))
+                        votes[i] = model.labels[example].sum()
+                        nearest[i] = cosine[0] if len(cosine) else 0.0
             yield pa.StructArray.from_arrays([pa.array(score), pa.array(nearest), pa.array(votes)], names=["score", "nearest", "toxic_votes"])
 
     return scored

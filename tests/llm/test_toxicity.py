@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from gyre.llm.toxicity import BlockMaxIndex, toxicity
+from gyre.llm.toxicity import BlockMaxIndex, fit, toxicity
 from llm_helpers import documents, sentence
 
 
@@ -76,3 +76,84 @@ def test_every_shared_term_counts(spark):
     rows = {r.row.doc_id: r for r in toxicity(documents(spark, texts), labels).collect()}
     assert rows[2].nearest > 0 and rows[3].nearest > 0 and rows[4].nearest == 0
     assert rows[2].score > rows[3].score
+
+
+def test_index_with_common_terms_is_exact():
+    """Most terms are held by most examples, so bounds and blocks decide what is read."""
+    rng = np.random.default_rng(8)
+    m = rng.random((400, 30)) ** 4 * (rng.random((400, 30)) < 0.6)
+    m[:, 20:] *= rng.random((400, 10)) < 0.05
+    m[rng.integers(0, 400, 60)] = m[7]
+    m = m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-9)
+    index = BlockMaxIndex(m, 16)
+    assert index.dense.shape[1] >= 20
+    queries = [(np.flatnonzero(q), q[np.flatnonzero(q)]) for q in m[:150] if q.any()]
+    for skip in (-1, 3):
+        for (term, weight), (example, cosine) in zip(queries, index.nearest_many(queries, 9, skip)):
+            q = np.zeros(30)
+            q[term] = weight
+            every = np.round(m @ q, 12)
+            if skip >= 0:
+                every[skip] = 0
+            best = np.lexsort((np.arange(400), -every))[:9]
+            best = best[every[best] > 0]
+            assert list(example) == list(best) and np.allclose(cosine, every[best], atol=1e-11)
+
+
+def plain_scores(texts, labelled, model):
+    """Scores by whole cosines over dictionaries of features; the two calibration figures are the model's."""
+    import math
+    import re
+    from collections import Counter
+
+    from gyre.llm.toxicity import BEGINNINGS, NEIGHBOURS, NO_EVIDENCE
+
+    def features(text):
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+        return Counter([(0, w) for w in words] + [(n, w[:n]) for w in words for n in BEGINNINGS if len(w) > n])
+
+    found = [features(t) for t in texts]
+    df = Counter(f for c in found for f in c)
+    held = {x: Counter(f for i, label in labelled.items() if label == x for f in found[i]) for x in (0, 1)}
+    size = {x: sum(label == x for label in labelled.values()) for x in (0, 1)}
+
+    def ratio(f):
+        total, out = held[0][f] + held[1][f], 0.0
+        for x in (0, 1):
+            for seen, share in ((held[x][f], total / sum(size.values())), (size[x] - held[x][f], 1 - total / sum(size.values()))):
+                out += 2 * seen * math.log(seen / (size[x] * share)) if seen else 0.0
+        return max(out, 0.0)
+
+    known = set(held[0]) | set(held[1])
+    scale = {f: math.log1p(len(texts) / df[f]) * math.sqrt(NO_EVIDENCE + ratio(f)) for f in known}
+
+    def vector(c):
+        v = {f: (1 + math.log(n)) * scale[f] for f, n in c.items() if f in known}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {f: x / norm for f, x in v.items()} if v else {}
+
+    examples = [(label, vector(found[i])) for i, label in labelled.items() if vector(found[i])]
+    out = []
+    for c in found:
+        v = vector(c)
+        near = sorted(((sum(x * e.get(f, 0.0) for f, x in v.items()), label) for label, e in examples), key=lambda x: -x[0])
+        near = [(cos, label) for cos, label in near[:NEIGHBOURS] if round(cos, 12) > 0]
+        votes, strength = [cos**2 * model.stands_for[label] for cos, label in near], 0.25 * min(model.stands_for)
+        raw = (sum(w for w, (_, label) in zip(votes, near) if label) + strength * model.base) / (sum(votes) + strength) if v else model.blank_raw
+        out.append(1 / (1 + math.exp(-(model.slope * math.log(raw / (1 - raw)) + model.shift))))
+    return out
+
+
+def test_whole_scores_equal_plain_cosines(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 11))) for _ in range(120)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) + (" Grubling" if i % 4 == 0 else "") for i in range(160)]
+    texts += ["", None, "zzz yyy", "Grubling " * 2000, texts[0], texts[0]]
+    labelled = {i: int(i % 4 == 0) for i in range(90)}
+    docs = documents(spark, texts).repartition(3)
+    labels = spark.createDataFrame(list(labelled.items()), "doc_id long, toxic int")
+    model = fit(docs.select("doc_id", "text"), labels)
+    want = plain_scores(texts, labelled, model)
+    rows = {r.row.doc_id: r.score for r in toxicity(docs, labels).collect()}
+    assert max(abs(rows[i] - want[i]) for i in range(len(texts))) < 1e-6
+    assert rows[0] == rows[164] == rows[165]
