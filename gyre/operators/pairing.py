@@ -185,11 +185,11 @@ def _band_best(rows: DataFrame, keys: list[str], order: str, axis: str, measure:
     are collapsed first. Work is that of sorting; no pairs are formed. `axis` has 12 decimals, which decide what is near enough.
     """
     first = Window.partitionBy(*keys, axis).orderBy(order)
-    two = rows.withColumn("__n", F.row_number().over(first)).where("__n <= 2").groupBy(*keys, axis).agg(F.min(order).alias("o1"), F.max(order).alias("o2"))
+    two = rows.withColumn("__n", F.row_number().over(first)).where("__n <= 2").groupBy(*keys, axis).agg(F.min(order).alias("__o1"), F.max(order).alias("__o2"))
     level = rows.groupBy(*keys, axis).agg(
-        F.count(F.lit(1)).alias("c"),
-        F.min(F.struct(F.col(measure).alias("m"), F.col(order).alias("o"))).alias("lo"),
-        F.min(F.struct((-F.col(measure)).alias("m"), F.col(order).alias("o"))).alias("hi"),
+        F.count(F.lit(1)).alias("__c"),
+        F.min(F.struct(F.col(measure).alias("m"), F.col(order).alias("o"))).alias("__lo"),
+        F.min(F.struct((-F.col(measure)).alias("m"), F.col(order).alias("o"))).alias("__hi"),
     )
 
     def pair(gap: Column, apart: Column, a: Column, b: Column) -> Column:
@@ -197,43 +197,43 @@ def _band_best(rows: DataFrame, keys: list[str], order: str, axis: str, measure:
             (-F.round(gap, 12) + 0.0).alias("n"), F.round(apart, 12).alias("apart"), F.least(a, b).alias("first"), F.greatest(a, b).alias("second")
         )
 
-    lo, hi = F.col("lo"), F.col("hi")
-    inner = level.where("c > 1").join(two, [*keys, axis]).select(
+    lo, hi = F.col("__lo"), F.col("__hi")
+    inner = level.where("__c > 1").join(two, [*keys, axis]).select(
         *keys,
-        F.when(-hi["m"] > lo["m"], pair(-hi["m"] - lo["m"], F.lit(0.0), lo["o"], hi["o"])).otherwise(pair(F.lit(0.0), F.lit(0.0), F.col("o1"), F.col("o2"))).alias("p"),
-        (F.col("c") * (F.col("c") - 1) / 2).cast("bigint").alias("k"),
+        F.when(-hi["m"] > lo["m"], pair(-hi["m"] - lo["m"], F.lit(0.0), lo["o"], hi["o"])).otherwise(pair(F.lit(0.0), F.lit(0.0), F.col("__o1"), F.col("__o2"))).alias("__p"),
+        (F.col("__c") * (F.col("__c") - 1) / 2).cast("bigint").alias("__k"),
     )
 
     bucket = F.floor(F.col(axis) / width)
     near = F.struct(lo["m"].alias("m"), (-F.col(axis)).alias("at"), lo["o"].alias("o"))
     far = F.struct(hi["m"].alias("m"), (-F.col(axis)).alias("at"), hi["o"].alias("o"))
-    level = level.withColumn("__b", bucket)
+    level = level.withColumn("__bucket", bucket)
 
     def met(found: DataFrame) -> DataFrame:
         """Pairs of each row with the extremes (low, high) found for it."""
-        low, high = F.col("low"), F.col("high")
+        low, high = F.col("__low"), F.col("__high")
         options = F.array(
             pair(F.abs(-hi["m"] - low["m"]), F.col(axis) + low["at"], hi["o"], low["o"]), pair(F.abs(-high["m"] - lo["m"]), F.col(axis) + high["at"], lo["o"], high["o"])
         )
-        return found.where("low is not null").select(*keys, F.array_min(options).alias("p"), (F.col("c") * F.col("k")).alias("k"))
-
-    before = Window.partitionBy(*keys, "__b").orderBy(axis).rowsBetween(Window.unboundedPreceding, -1)
-    own = level.withColumns({"low": F.min(near).over(before), "high": F.min(far).over(before), "k": F.sum("c").over(before)})
-    asked = level.select(*keys, (F.col("__b") - 1).alias("__b"), F.round(F.col(axis) - width, 12).alias("at"), F.lit(1).alias("ask"), F.struct(axis, "c", "lo", "hi").alias("row"))
-    held = level.select(*keys, "__b", F.col(axis).alias("at"), F.lit(0).alias("ask"), F.struct(axis, "c", "lo", "hi").alias("row"))
-    above = Window.partitionBy(*keys, "__b").orderBy(F.desc("at"), "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_row = F.col("ask") == 0
-    edge = lambda side: F.struct(F.col(f"row.{side}.m").alias("m"), (-F.col("at")).alias("at"), F.col(f"row.{side}.o").alias("o"))
+        return found.where("__low is not null").select(*keys, F.array_min(options).alias("__p"), (F.col("__c") * F.col("__k")).alias("__k"))
+
+    before = Window.partitionBy(*keys, "__bucket").orderBy(axis).rowsBetween(Window.unboundedPreceding, -1)
+    own = level.withColumns({"__low": F.min(near).over(before), "__high": F.min(far).over(before), "__k": F.sum("__c").over(before)})
+    asked = level.select(*keys, (F.col("__bucket") - 1).alias("__bucket"), F.round(F.col(axis) - width, 12).alias("__at"), F.lit(1).alias("__ask"), F.struct(axis, "__c", "__lo", "__hi").alias("__row"))
+    held = level.select(*keys, "__bucket", F.col(axis).alias("__at"), F.lit(0).alias("__ask"), F.struct(axis, "__c", "__lo", "__hi").alias("__row"))
+    above = Window.partitionBy(*keys, "__bucket").orderBy(F.desc("__at"), "__ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_row = F.col("__ask") == 0
+    edge = lambda side: F.struct(F.col(f"__row.__{side}.m").alias("m"), (-F.col("__at")).alias("at"), F.col(f"__row.__{side}.o").alias("o"))
     below = held.unionByName(asked).withColumns(
         {
-            "low": F.min(F.when(is_row, edge("lo"))).over(above),
-            "high": F.min(F.when(is_row, edge("hi"))).over(above),
-            "k": F.sum(F.when(is_row, F.col("row.c"))).over(above),
+            "__low": F.min(F.when(is_row, edge("lo"))).over(above),
+            "__high": F.min(F.when(is_row, edge("hi"))).over(above),
+            "__k": F.sum(F.when(is_row, F.col("__row.__c"))).over(above),
         }
     )
-    below = below.where("ask = 1").select(*keys, "row.*", "low", "high", "k")
+    below = below.where("__ask = 1").select(*keys, "__row.*", "__low", "__high", "__k")
     every = inner.unionByName(met(own)).unionByName(met(below))
-    return every.groupBy(*keys).agg(F.min("p").alias("c"), F.sum("k").alias("candidates"))
+    return every.groupBy(*keys).agg(F.min("__p").alias("__c"), F.sum("__k").alias("__candidates"))
 
 
 def _without(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
@@ -247,24 +247,24 @@ def matched_pair(df: DataFrame, keys: list[str], order: str, level: str, measure
     Ties: smaller brightness gap, earlier frame. Without any pair in tolerance the closest one is
     adjacent in brightness order.
     """
-    rows = df.where((F.col(level) > 0) & F.col(measure).isNotNull()).select(*keys, order, F.col(measure).cast("double").alias("m"), F.round(F.ln(level), 12).alias("b"))
-    best = _band_best(rows, keys, order, "b", "m", math.log(max_ratio))
-    w = Window.partitionBy(*keys).orderBy("b", order)
-    alone = _without(rows, best, keys).select(*keys, order, "m", "b", *[F.lag(c).over(w).alias(f"__{c}") for c in (order, "m", "b")]).where(F.col(f"__{order}").isNotNull())
+    rows = df.where((F.col(level) > 0) & F.col(measure).isNotNull()).select(*keys, order, F.col(measure).cast("double").alias("__m"), F.round(F.ln(level), 12).alias("__b"))
+    best = _band_best(rows, keys, order, "__b", "__m", math.log(max_ratio))
+    w = Window.partitionBy(*keys).orderBy("__b", order)
+    alone = _without(rows, best, keys).select(*keys, order, "__m", "__b", F.lag(F.struct(F.col(order).alias("o"), "__m", "__b")).over(w).alias("__p")).where("__p is not null")
     closest = alone.groupBy(*keys).agg(
         F.min(
             F.struct(
-                F.round(F.col("b") - F.col("__b"), 12).alias("apart"),
-                (-F.round(F.abs(F.col("m") - F.col("__m")), 12) + 0.0).alias("n"),
-                F.least(order, f"__{order}").alias("first"),
-                F.greatest(order, f"__{order}").alias("second"),
+                F.round(F.col("__b") - F.col("__p.__b"), 12).alias("apart"),
+                (-F.round(F.abs(F.col("__m") - F.col("__p.__m")), 12) + 0.0).alias("n"),
+                F.least(order, "__p.o").alias("first"),
+                F.greatest(order, "__p.o").alias("second"),
             )
-        ).alias("c")
+        ).alias("__c")
     )
     out = lambda found, matched, n: found.select(
-        *keys, "c.first", "c.second", (-F.col("c.n")).alias("measure_gap"), F.col("c.apart").alias("brightness_gap"), F.lit(matched).alias("matched"), n.alias("candidates")
+        *keys, "__c.first", "__c.second", (-F.col("__c.n")).alias("measure_gap"), F.col("__c.apart").alias("brightness_gap"), F.lit(matched).alias("matched"), n.alias("candidates")
     )
-    return out(best, True, F.col("candidates")).unionByName(out(closest, False, F.lit(0).cast("bigint")))
+    return out(best, True, F.col("__candidates")).unionByName(out(closest, False, F.lit(0).cast("bigint")))
 
 
 def matched_area_pair(df: DataFrame, keys: list[str], order: str, area: str, shape: str, tolerance: float = 0.02) -> DataFrame:
@@ -273,26 +273,26 @@ def matched_area_pair(df: DataFrame, keys: list[str], order: str, area: str, sha
     Without any pair in tolerance the largest shape difference joins a lowest and a highest shape; of
     these the nearest in area are neighbours among the rows that hold either.
     """
-    rows = df.where(F.col(area).isNotNull() & F.col(shape).isNotNull()).select(*keys, order, F.round(F.col(area).cast("double"), 12).alias("a"), F.col(shape).cast("double").alias("s"))
-    best = _band_best(rows, keys, order, "a", "s", tolerance)
-    edge = rows.groupBy(*keys).agg(F.min("s").alias("__lo"), F.max("s").alias("__hi"))
-    ends = _without(rows, best, keys).join(edge, keys).where("s = __lo or s = __hi")
-    before = Window.partitionBy(*keys).orderBy("a", order).rowsBetween(Window.unboundedPreceding, -1)
-    last = lambda here: F.last(F.when(here, F.struct("a", "s", F.col(order).alias("o"))), ignorenulls=True).over(before)
-    ends = ends.withColumns({"low": last(F.col("s") == F.col("__lo")), "high": last(F.col("s") == F.col("__hi"))})
-    ends = ends.withColumn("p", F.when(F.col("s") == F.col("__hi"), F.col("low")).otherwise(F.col("high"))).where("p is not null")
+    rows = df.where(F.col(area).isNotNull() & F.col(shape).isNotNull()).select(*keys, order, F.round(F.col(area).cast("double"), 12).alias("__a"), F.col(shape).cast("double").alias("__s"))
+    best = _band_best(rows, keys, order, "__a", "__s", tolerance)
+    edge = rows.groupBy(*keys).agg(F.min("__s").alias("__lo"), F.max("__s").alias("__hi"))
+    ends = _without(rows, best, keys).join(edge, keys).where("__s = __lo or __s = __hi")
+    before = Window.partitionBy(*keys).orderBy("__a", order).rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda here: F.last(F.when(here, F.struct("__a", "__s", F.col(order).alias("o"))), ignorenulls=True).over(before)
+    ends = ends.withColumns({"__low": last(F.col("__s") == F.col("__lo")), "__high": last(F.col("__s") == F.col("__hi"))})
+    ends = ends.withColumn("__p", F.when(F.col("__s") == F.col("__hi"), F.col("__low")).otherwise(F.col("__high"))).where("__p is not null")
     widest = ends.groupBy(*keys).agg(
         F.min(
             F.struct(
-                (-F.round(F.abs(F.col("s") - F.col("p.s")), 12) + 0.0).alias("n"),
-                F.round(F.col("a") - F.col("p.a"), 12).alias("apart"),
-                F.least(order, "p.o").alias("first"),
-                F.greatest(order, "p.o").alias("second"),
+                (-F.round(F.abs(F.col("__s") - F.col("__p.__s")), 12) + 0.0).alias("n"),
+                F.round(F.col("__a") - F.col("__p.__a"), 12).alias("apart"),
+                F.least(order, "__p.o").alias("first"),
+                F.greatest(order, "__p.o").alias("second"),
             )
-        ).alias("c")
+        ).alias("__c")
     )
     out = lambda found, within: found.select(
-        *keys, "c.first", "c.second", (-F.col("c.n")).alias("shape_gap"), F.col("c.apart").alias("area_gap"), F.lit(within).alias("within_tolerance")
+        *keys, "__c.first", "__c.second", (-F.col("__c.n")).alias("shape_gap"), F.col("__c.apart").alias("area_gap"), F.lit(within).alias("within_tolerance")
     )
     return out(best, True).unionByName(out(widest, False))
 
