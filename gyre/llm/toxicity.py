@@ -20,6 +20,7 @@ repeated rows score alike. Texts are read whole; only sums and bounded samples a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -243,15 +244,16 @@ class Model:
 
     def __init__(self, terms: np.ndarray, scale: np.ndarray, rows: list[tuple], stands_for: dict[int, float], k: int):
         self.terms, self.scale, self.k = terms, scale, k
-        rows = sorted(rows, key=lambda r: (r[1].tobytes(), r[2].tobytes(), r[0]))
+        rows = sorted(rows, key=lambda r: (blake2b(r[1].tobytes() + r[2].tobytes()).digest(), r[0]))
         full = [r for r in rows if len(r[1])]
         blank = [sum(stands_for[x] for t, term, _ in rows if t == x and not len(term)) for x in (0, 1)]
         vectors = [_weights(term, count, scale) for _, term, count in full]
         self.labels = np.array([r[0] for r in full], np.int64)
         self.stands_for = np.array([stands_for.get(x, 1.0) for x in (0, 1)])
         join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-        row = np.repeat(np.arange(len(full)), [len(v) for v in vectors])
-        self.index = BlockMaxIndex.of(row, join([r[1] for r in full], np.int64), join(vectors, float), len(full), len(terms))
+        row = np.repeat(np.arange(len(full), dtype=np.int32), [len(v) for v in vectors])
+        self.index = BlockMaxIndex.of(row, join([r[1] for r in full], np.int32), join(vectors, float), len(full), len(terms))
+        del row
         everyone = np.array(blank) + [self.stands_for[x] * (self.labels == x).sum() for x in (0, 1)]
         self.base = (everyone[1] + 0.5) / (everyone.sum() + 1.0)
         self.blank_raw = (blank[1] + 0.5 * self.base) / (sum(blank) + 0.5)
@@ -328,10 +330,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int =
     have = {x: min(per_class, totals.get(x, 0)) for x in (0, 1)}
     seen = [(r["toxic"], X.unpacked(r["feature"]), X.unpacked(r["count"], np.int32)) for r in examples.mapInArrow(_example_rows, "toxic int, feature binary, count binary").collect()]
     terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *(f for _, f, _ in seen)]))
-    rows = [(x, np.searchsorted(terms, f), c) for x, f, c in seen]
-    held = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for x, t, _ in rows if x == label)]), minlength=len(terms)) for label in (0, 1)]
+    rows = [(x, np.searchsorted(terms, f).astype(np.int32), c) for x, f, c in seen]
+    del seen
+    held = [np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)]
+    for x, term, _ in rows:
+        held[x][term] += 1  # a row holds a term once
     shared = spark.sparkContext.broadcast(terms)
     counts = docs.select("text").mapInArrow(_document_frequency(shared), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    shared.destroy()
     term, df = counts["term"].to_numpy(), counts["df"].to_numpy()
     n, df_of = df[term < 0].sum(), np.ones(len(terms), np.int64)
     df_of[term[term >= 0]] = df[term >= 0]
