@@ -1,17 +1,19 @@
 """Operator 1: licence scan by sparse TF-IDF cosine to templates, inherited along directories.
 
-Built-in functions only. A page's mark-up is cut into segments; those with a cue word are tokenised and compared
-with the licence templates over the templates' vocabulary, weighted by document frequency over all
-pages. A segment states the licence of the most similar template when the cosine reaches `least_cosine` and
-at least `least_share` of its words are vocabulary. Licence files (named so, or the front page of a directory) speak for
+Built-in functions only. A page's mark-up is cut at tags and blank lines into segments; those with a cue word are
+tokenised, without copyright lines, and compared with the licence templates (titles, SPDX ids, statements, notices and the leading
+paragraphs of licence texts) by the cosine of their TF-IDF vectors over all words, with document frequencies over all pages: a word
+that no template has lengthens the vector, so a restricting word keeps a statement away from the licence
+without the restriction. A segment states the licence of the most similar template when the cosine reaches `least_cosine`.
+Licence files (named so, or the front page of a directory) speak for
 their directory; failing those, at least `agreeing` pages of a directory that all state the same licence
 do. A page without its own statement takes the nearest ancestor directory's licence by joins of the distinct
 directories' ancestor paths.
 
-Only statements and directories are shuffled, not pages' texts; broadcasts are bounded by the template
-vocabulary. Equal cosines go to the earlier template; several statements of a page to the best one, then the
+Only statements, word counts and directories are shuffled, not pages' texts; broadcasts are bounded by the
+templates. Equal cosines go to the earlier template; several statements of a page to the best one, then the
 first. Null or empty texts state nothing; a null address has no directory and inherits nothing; repeated rows get equal
-rows. An empty table gives no rows.
+rows and count each in the document frequencies. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,26 +23,72 @@ from pyspark.sql import functions as F
 
 from gyre.llm.exchange import written
 
-# Statements that point to a licence.
+# Statements, titles, identifiers, notices and opening paragraphs that stand for a licence.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("Apache-2.0", "Apache License Version 2.0"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("MIT", "Released under the MIT License"),
+    ("MIT", "MIT License"),
+    ("MIT", "Licensed under the MIT License"),
+    ("MIT", "This project is licensed under the MIT License"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("ISC", "ISC License"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("GPL-3.0", "GNU General Public License version 3"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-3.0-or-later", "GNU GPL, version 3 or later"),
+    ("GPL-3.0-or-later", "GNU General Public License, version 3 or later"),
+    ("GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "GNU General Public License version 2"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-2.0-or-later", "GNU GPL, version 2 or later"),
+    ("GPL-2.0-or-later", "GNU General Public License, version 2 or later"),
+    ("GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "GNU Lesser General Public License version 3"),
+    ("LGPL-2.1", "GNU Lesser General Public License version 2.1"),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("AGPL-3.0", "GNU Affero General Public License version 3"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0"),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0"),
     ("CC0-1.0", "To the extent possible under law, all copyright is waived under CC0 1.0 public domain dedication"),
+    ("CC0-1.0", "CC0 1.0 Universal public domain dedication"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("Proprietary", "All rights reserved"),
 )
-CUES = "licen[sc]e|copyright|spdx|permission is hereby|redistribution and use|public domain|creative commons|rights reserved|\\bcc[ -]by"
+CUES = "licen[sc]e|copyright|spdx|permission (is hereby|to use)|redistribution and use|neither the name of|public domain|creative commons|rights reserved|free software|\\bgnu\\b|\\bcc[ -]by|\\bcc0"
+COPYRIGHT_LINE = "copyright *(\\(c\\)|\u00a9|&copy;)? *[0-9][^.\n]*\\.?"
+CUT = "\n[ \t\r]*\n+"
 TOKEN = "[a-z0-9]+(?:\\.[0-9]+)*"
 FILE_NAME = "^(licen[sc]e|copying|notice|unlicense)([._-].*)?$"
 FRONT_NAME = "^(index\\.[a-z]+)?$"
@@ -50,41 +98,38 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def _template_weights(spark: SparkSession, df: dict[str, int], n: int) -> tuple[DataFrame, DataFrame]:
-    """(token, idf) and (token, template, unit weight), both bounded by the templates."""
+def _idf(df: Column, n: int) -> Column:
+    return F.ln((F.lit(n) + 1.0) / (F.coalesce(df, F.lit(0)) + 1)) + 1
+
+
+def _template_weights(spark: SparkSession, df: DataFrame, n: int) -> DataFrame:
+    """(token, template, unit weight), bounded by the templates."""
     texts = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(TEMPLATES)], "template int, text string")
-    known = spark.createDataFrame(sorted(df.items()) or [("", 0)], "token string, df long")
     rows = texts.select("template", F.explode(_tokens(F.col("text"))).alias("token")).groupBy("template", "token").agg(F.count(F.lit(1)).alias("tf"))
-    idf = (F.ln((F.lit(n) + 1.0) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf")
-    weighed = rows.join(F.broadcast(known), "token", "left").select("template", "token", "tf", idf)
-    weighed = weighed.withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
+    known = df.join(F.broadcast(rows.select("token").distinct()), "token", "left_semi")
+    weighed = rows.join(known, "token", "left").withColumn("w", (1 + F.ln("tf")) * _idf(F.col("df"), n))
     size = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    unit = weighed.join(F.broadcast(size), "template").select("template", "token", (F.col("w") / F.col("size")).alias("tw"))
-    return weighed.select("token", "idf").distinct(), unit
+    return weighed.join(size, "template").select("template", "token", (F.col("w") / F.col("size")).alias("tw"))
 
 
-def statements(pages: DataFrame, least_cosine: float, least_share: float) -> DataFrame:
+def statements(pages: DataFrame, least_cosine: float) -> DataFrame:
     """(key, licence, cosine) of the pages (key, text) that state a licence; a row a key."""
-    spark = pages.sparkSession
-    vocabulary = sorted({r["token"] for r in spark.createDataFrame([(t,) for _, t in TEMPLATES], "text string").select(F.explode(_tokens(F.col("text"))).alias("token")).collect()})
-    plain = F.regexp_replace("text", "<[^>]*>", "\n")
-    cut = pages.select("key", F.filter(F.split(plain, "\n+"), lambda s: F.lower(s).rlike(CUES)).alias("segments"), F.array_intersect(_tokens(plain), F.lit(vocabulary)).alias("held"))
-    cut = written(cut)
-    counted = cut.select(F.explode("held").alias("token")).groupBy("token").count()
-    df = {r["token"]: r["count"] for r in counted.collect()}
-    idf, unit = _template_weights(spark, df, cut.count())
+    plain = F.regexp_replace("text", "<[^>]*>", "\n\n")
+    cut = written(pages.select("key", F.filter(F.split(plain, CUT), lambda s: F.lower(s).rlike(CUES)).alias("segments"), F.array_distinct(_tokens(plain)).alias("held")))
+    n = cut.count()
+    df = written(cut.select(F.explode("held").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+    unit = _template_weights(pages.sparkSession, df, n)
     names = F.array(*[F.lit(n) for n, _ in TEMPLATES])
 
-    stating = cut.where(F.size("segments") > 0).dropDuplicates(["key"])
-    tokens = stating.select("key", F.posexplode("segments").alias("place", "segment")).select("key", "place", F.posexplode(_tokens(F.col("segment"))).alias("at", "token"))
+    stating = cut.where(F.size("segments") > 0).select("key", "segments").dropDuplicates(["key"])
+    words = _tokens(F.regexp_replace(F.lower("segment"), COPYRIGHT_LINE, " "))
+    tokens = stating.select("key", F.posexplode("segments").alias("place", "segment")).select("key", "place", F.explode(words).alias("token"))
     tf = tokens.groupBy("key", "place", "token").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = tf.join(F.broadcast(idf), "token", "left").withColumn("w", F.coalesce((1 + F.ln("tf")) * F.col("idf"), F.lit(0.0)))
-    size = weighed.groupBy("key", "place").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"), (F.sum(F.when(F.col("idf").isNotNull(), F.col("tf")).otherwise(0)) / F.sum("tf")).alias("share")
-    )
+    weighed = tf.join(df, "token", "left").withColumn("w", (1 + F.ln("tf")) * _idf(F.col("df"), n))
+    weighed = written(weighed.select("key", "place", "token", "w"))
+    size = weighed.groupBy("key", "place").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     dot = weighed.join(F.broadcast(unit), "token").groupBy("key", "place", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    met = dot.join(size, ["key", "place"]).withColumn("cosine", F.round(F.col("dot") / F.col("size"), 9))
-    met = met.where((F.col("cosine") >= least_cosine) & (F.col("share") >= least_share))
+    met = dot.join(size, ["key", "place"]).withColumn("cosine", F.round(F.col("dot") / F.col("size"), 9)).where(F.col("cosine") >= least_cosine)
     best = met.groupBy("key").agg(F.max(F.struct("cosine", (-F.col("template")).alias("t"), (-F.col("place")).alias("p"))).alias("best"))
     return best.select("key", F.element_at(names, 1 - F.col("best.t")).alias("licence"), F.col("best.cosine").alias("cosine"))
 
@@ -94,7 +139,7 @@ def _address(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(url), "^[A-Za-z][A-Za-z0-9+.-]*://", ""), "[?#].*$", "")
 
 
-def licences(table: DataFrame, id_col: str = "page_id", path_col: str = "url", text_col: str = "html", least_cosine: float = 0.8, least_share: float = 0.5, agreeing: int = 2) -> DataFrame:
+def licences(table: DataFrame, id_col: str = "page_id", path_col: str = "url", text_col: str = "html", least_cosine: float = 0.8, agreeing: int = 2) -> DataFrame:
     """page_id, licence, basis (own, inherited or none), cosine, directory per row of `table`."""
     address = _address(F.col(path_col).cast("string"))
     rows = table.select(
@@ -104,7 +149,7 @@ def licences(table: DataFrame, id_col: str = "page_id", path_col: str = "url", t
         F.when(address.contains("/"), F.regexp_extract(address, "^(.*/)", 1)).otherwise(F.concat(address, F.lit("/"))).alias("dir"),
         F.when(address.contains("/"), F.lower(F.regexp_extract(address, "([^/]*)$", 1))).otherwise("").alias("name"),
     )
-    own = written(statements(rows.select("key", "text"), least_cosine, least_share))
+    own = written(statements(rows.select("key", "text"), least_cosine))
     narrow = rows.select("page_id", "key", "dir", "name")
     stated = narrow.dropDuplicates(["key"]).join(own, "key").where("dir is not null")
     rank = F.when(F.col("name").rlike(FILE_NAME), 2).when(F.col("name").rlike(FRONT_NAME), 1).otherwise(0)
@@ -137,21 +182,22 @@ _VALUES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerat
 ORACLES = {
     "op1_licence_scan": f"""
 WITH t AS (SELECT * FROM (VALUES {_VALUES}) AS v(template, name, text)),
-a AS (SELECT row_number() OVER () AS r, page_id, regexp_replace(html, '<[^>]*>', chr(10), 'g') AS plain,
+a AS (SELECT row_number() OVER () AS r, page_id, regexp_replace(html, '<[^>]*>', chr(10) || chr(10), 'g') AS plain,
              regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[?#].*$', '') AS address FROM pages),
 p AS (SELECT r, page_id, plain, CASE WHEN contains(address, '/') THEN regexp_extract(address, '^(.*/)', 1) ELSE address || '/' END AS dir,
              CASE WHEN contains(address, '/') THEN lower(regexp_extract(address, '([^/]*)$', 1)) ELSE '' END AS file FROM a),
 tt AS (SELECT template, token, count(*) AS tf FROM (SELECT template, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS token FROM t) GROUP BY 1, 2),
-held AS (SELECT r, unnest(list_distinct(regexp_extract_all(lower(plain), '{TOKEN}'))) AS token FROM p),
-df AS (SELECT token, count(r) AS df FROM (SELECT DISTINCT token FROM tt) LEFT JOIN held USING (token) GROUP BY 1),
-idf AS (SELECT token, ln(((SELECT count(*) FROM p) + 1.0) / (df + 1)) + 1 AS idf FROM df),
+held AS (SELECT token, count(*) AS df FROM (SELECT r, unnest(list_distinct(regexp_extract_all(lower(plain), '{TOKEN}'))) AS token FROM p) GROUP BY 1),
+seg AS (SELECT r, generate_subscripts(s, 1) AS place, unnest(s) AS segment FROM (SELECT r, string_split_regex(plain, '{CUT}') AS s FROM p)),
+tok AS (SELECT r, place, token, count(*) AS tf FROM (
+          SELECT r, place, unnest(regexp_extract_all(regexp_replace(lower(segment), '{COPYRIGHT_LINE}', ' ', 'g'), '{TOKEN}')) AS token FROM seg WHERE regexp_matches(lower(segment), '{CUES}'))
+        GROUP BY 1, 2, 3),
+idf AS (SELECT token, ln(((SELECT count(*) FROM p) + 1.0) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT token FROM tt UNION SELECT token FROM tok) LEFT JOIN held USING (token)),
 tw AS (SELECT template, token, (1 + ln(tf)) * idf / sqrt(sum(((1 + ln(tf)) * idf) ** 2) OVER (PARTITION BY template)) AS tw FROM tt JOIN idf USING (token)),
-seg AS (SELECT r, generate_subscripts(s, 1) AS place, unnest(s) AS segment FROM (SELECT r, string_split_regex(plain, '\n+') AS s FROM p)),
-tok AS (SELECT r, place, token, count(*) AS tf FROM (SELECT r, place, unnest(regexp_extract_all(lower(segment), '{TOKEN}')) AS token FROM seg WHERE regexp_matches(lower(segment), '{CUES}')) GROUP BY 1, 2, 3),
-w AS (SELECT r, place, token, tf, idf, coalesce((1 + ln(tf)) * idf, 0) AS w FROM tok LEFT JOIN idf USING (token)),
-sz AS (SELECT r, place, sqrt(sum(w * w)) AS size, sum(CASE WHEN idf IS NULL THEN 0 ELSE tf END) / sum(tf) AS share FROM w GROUP BY 1, 2),
+w AS (SELECT r, place, token, (1 + ln(tf)) * idf AS w FROM tok JOIN idf USING (token)),
+sz AS (SELECT r, place, sqrt(sum(w * w)) AS size FROM w GROUP BY 1, 2),
 dot AS (SELECT r, place, template, sum(w * tw) AS dot FROM w JOIN tw USING (token) GROUP BY 1, 2, 3),
-met AS (SELECT r, place, template, round(dot / size, 9) AS cosine FROM dot JOIN sz USING (r, place) WHERE size > 0 AND share >= 0.5 AND round(dot / size, 9) >= 0.8),
+met AS (SELECT r, place, template, round(dot / size, 9) AS cosine FROM dot JOIN sz USING (r, place) WHERE round(dot / size, 9) >= 0.8),
 own AS (SELECT r, name AS licence, cosine FROM met JOIN t USING (template) QUALIFY row_number() OVER (PARTITION BY r ORDER BY cosine DESC, template, place) = 1),
 st AS (SELECT DISTINCT dir, file, plain, licence, cosine, CASE WHEN regexp_matches(file, '{FILE_NAME}') THEN 2 WHEN regexp_matches(file, '{FRONT_NAME}') THEN 1 ELSE 0 END AS rank
        FROM own JOIN p USING (r) WHERE dir IS NOT NULL),
