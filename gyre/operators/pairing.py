@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyre.functions.guards import joined, log_positive, pearson
+from gyre.functions.guards import log_positive, pearson
 from gyre.operators.sequence import direction_summary, paired_changes
 from gyre.session import written
 
@@ -355,34 +355,6 @@ def referential_check(child: DataFrame, parent: DataFrame, link: str, ident: str
     return links.join(targets, link, "left").withColumn("problem", problem).where("problem is not null").drop("__have", "__tag")
 
 
-def can_compare(pairs: DataFrame, assessed: DataFrame, ident: str, extra: list[tuple[str, str, Column]]) -> DataFrame:
-    """Status and prefixed reasons for requested pairs and every measurement family.
-
-    `assessed` is (ident, family, status, reasons, facts...); `extra` lists
-    (family, reason, condition over left_ / right_ facts) that worsen a pair to review.
-    Work is linear in the requested pairs.
-    """
-    from gyre.functions.guards import worst_status
-
-    facts = [c for c in assessed.columns if c not in (ident, "family")]
-    side = lambda s: assessed.select(F.col(ident).alias(s), "family", *[F.col(c).alias(f"{s}_{c}") for c in facts])
-    both = pairs.join(side("left"), "left").join(side("right"), ["right", "family"])
-    base = worst_status("left_status", "right_status")
-    prefixed = F.concat(
-        F.transform("left_reasons", lambda r: F.concat(F.lit("left:"), r)),
-        F.transform("right_reasons", lambda r: F.concat(F.lit("right:"), r)),
-    )
-    added = F.array_compact(F.array(*[F.when((F.col("family") == f) & c, F.lit(r)) for f, r, c in extra]))
-    added = F.when(base == "unavailable", F.array().cast("array<string>")).otherwise(added)
-    return both.select(
-        "left",
-        "right",
-        "family",
-        F.when(base == "ok", F.when(F.size(added) > 0, "review").otherwise("ok")).otherwise(base).alias("status"),
-        joined(F.array_sort(F.array_distinct(F.concat(prefixed, added)))).alias("reasons"),
-    )
-
-
 def human_links(obs: DataFrame, items: DataFrame, period: int) -> DataFrame:
     """Each observation link to evidence by exact field, else by family; overlap and distance.
 

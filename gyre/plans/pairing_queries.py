@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gyre.operators import cycles as C
+from gyre.operators import comparability as CMP
 from gyre.operators import pairing as E
 from gyre.operators import pixels as P
 from gyre.operators import traces as D
@@ -336,52 +337,78 @@ def referential_check(t):
     return E.referential_check(child, parent, "target", "s_suppkey", "tag", "kind")
 
 
-FAMILY_SQL = """
-facts AS (SELECT s_suppkey AS id, s_nationkey % 3 = 0 AS calibrated, s_nationkey % 5 AS pipeline, s_acctbal AS b FROM supplier),
+SOURCES = """src AS (SELECT s_suppkey AS id, s_suppkey AS k, s_nationkey AS n, s_acctbal AS b FROM supplier),
+pro AS (
+  SELECT id, CASE WHEN b < 0 THEN 'unavailable' WHEN b < 3000 THEN 'review' ELSE 'ok' END AS pose, CASE WHEN b < 0 THEN ['no_frames'] WHEN b < 3000 THEN ['few_frames'] ELSE [] END AS pose_r,
+         CASE k % 11 WHEN 0 THEN 'unavailable' WHEN 1 THEN 'review' ELSE 'ok' END AS spat, CASE k % 11 WHEN 0 THEN ['no_scale'] WHEN 1 THEN ['coarse'] ELSE [] END AS spat_r,
+         k % 7 = 0 AS soft, k % 4 * 64 AS px, CASE k % 13 WHEN 0 THEN 'unavailable' WHEN 1 THEN 'review' ELSE 'ok' END AS ord,
+         CASE k % 13 WHEN 0 THEN ['unordered'] WHEN 1 THEN ['inferred_order'] ELSE [] END AS ord_r, CASE k % 5 WHEN 0 THEN 'unavailable' WHEN 1 THEN 'assumed' ELSE 'available' END AS pha,
+         CASE WHEN k % 3 = 0 THEN 180 ELSE 360 END AS deg, k % 2 = 0 AS phys, CASE WHEN k % 6 = 0 THEN ['exposure_drift'] ELSE [] END AS pho_r, k % 9 = 0 AS nobg,
+         n % 3 = 0 AS rad, n % 4 = 0 AS col, k % 10 / 100.0 AS clip, k % 8 = 0 AS nosize, n % 5 AS pipe FROM src),
+sp AS (SELECT *, CASE WHEN spat = 'unavailable' THEN 'unavailable' WHEN spat = 'review' OR soft THEN 'review' ELSE 'ok' END AS ss,
+              CASE WHEN spat = 'unavailable' THEN spat_r WHEN spat = 'review' OR soft THEN spat_r || CASE WHEN soft THEN ['transfer_soft'] ELSE [] END ELSE [] END AS sr FROM pro),
+rs AS (
+  SELECT *, CASE WHEN pose = 'unavailable' THEN pose_r WHEN ss = 'unavailable' THEN sr ELSE pose_r || sr END AS geo_r,
+         CASE WHEN ord = 'unavailable' OR pha = 'unavailable' THEN list_sort(list_distinct(ord_r || CASE WHEN pha = 'unavailable' THEN ['no_phase'] ELSE [] END))
+              ELSE ord_r || CASE WHEN pha <> 'available' THEN ['phase_contract_requires_review'] ELSE [] END || CASE WHEN pose = 'unavailable' THEN ['pose_coverage_unavailable'] ELSE [] END END AS ang_r,
+         list_sort(list_distinct(pho_r || CASE WHEN nobg THEN ['source_global_photometric_stability_unresolved'] ELSE [] END)) AS lum_r,
+         CASE WHEN rad THEN [] ELSE ['source_is_not_radiometrically_calibrated'] END AS abs_r,
+         list_sort(list_distinct(pho_r || CASE WHEN col THEN [] ELSE ['source_is_not_colour_calibrated'] END || CASE WHEN clip > CLIP THEN ['material_stone_channel_clipping'] ELSE [] END)) AS chr_r FROM sp),
 assessed AS (
-  SELECT id, 'geometry' AS family, CASE WHEN b < 0 THEN 'unavailable' WHEN b < 3000 THEN 'review' ELSE 'ok' END AS status,
-         CASE WHEN b < 0 THEN ['no_frames'] WHEN b < 3000 THEN ['few_frames'] ELSE [] END AS reasons, calibrated, pipeline FROM facts
-  UNION ALL
-  SELECT id, 'luminance', CASE WHEN calibrated THEN 'ok' ELSE 'review' END, CASE WHEN calibrated THEN [] ELSE ['not_calibrated'] END,
-         calibrated, pipeline FROM facts)"""
+  SELECT id, 'geometry_topology' AS family, CASE WHEN pose = 'unavailable' OR ss = 'unavailable' THEN 'unavailable' WHEN len(geo_r) > 0 THEN 'review' ELSE 'ok' END AS status, geo_r AS reasons FROM rs
+  UNION ALL SELECT id, 'spatial_optical_morphology', ss, sr FROM rs UNION ALL SELECT id, 'tier_edge_crispness', ss, sr FROM rs
+  UNION ALL SELECT id, 'physical_spatial_scale', CASE WHEN nosize THEN 'unavailable' ELSE 'ok' END, CASE WHEN nosize THEN ['no_size'] ELSE [] END FROM rs
+  UNION ALL SELECT id, 'ordered_dynamics', ord, ord_r FROM rs
+  UNION ALL SELECT id, 'angular_persistence', CASE WHEN ord = 'unavailable' OR pha = 'unavailable' THEN 'unavailable' WHEN len(ang_r) > 0 THEN 'review' ELSE 'ok' END, ang_r FROM rs
+  UNION ALL SELECT id, 'relative_luminance_dynamics', CASE WHEN len(lum_r) > 0 THEN 'review' ELSE 'ok' END, lum_r FROM rs
+  UNION ALL SELECT id, 'absolute_luminance_amplitude', CASE WHEN len(abs_r) > 0 THEN 'review' ELSE 'ok' END, abs_r FROM rs
+  UNION ALL SELECT id, 'chromatic_activity', CASE WHEN len(chr_r) > 0 THEN 'review' ELSE 'ok' END, chr_r FROM rs)""".replace("CLIP THEN", f"{CMP.CLIPPING_REVIEW} THEN")
+
+
+def sources(t):
+    """A source profile for every supplier."""
+    k, n, b = F.col("s_suppkey"), F.col("s_nationkey"), F.col("s_acctbal")
+    none = F.array().cast("array<string>")
+    state = lambda bad, weak=None: F.when(bad, "unavailable").when(weak if weak is not None else F.lit(False), "review").otherwise("ok")
+    told = lambda *said: F.coalesce(*[F.when(c, F.array(F.lit(r))) for c, r in said], none)
+    return t.supplier.select(
+        k.alias("id"), state(b < 0, b < 3000).alias("pose_status"), told((b < 0, "no_frames"), (b < 3000, "few_frames")).alias("pose_reasons"),
+        state(k % 11 == 0, k % 11 == 1).alias("spatial_status"), told((k % 11 == 0, "no_scale"), (k % 11 == 1, "coarse")).alias("spatial_reasons"),
+        F.when(k % 7 == 0, "review").otherwise("ok").alias("transfer_status"), told((k % 7 == 0, "transfer_soft")).alias("transfer_reasons"), (k % 4 * 64).alias("target_px"),
+        state(k % 13 == 0, k % 13 == 1).alias("ordering_status"), told((k % 13 == 0, "unordered"), (k % 13 == 1, "inferred_order")).alias("ordering_reasons"),
+        F.when(k % 5 == 0, "unavailable").when(k % 5 == 1, "assumed").otherwise("available").alias("phase_status"), none.alias("phase_reasons"),
+        F.when(k % 5 == 0, "no_phase").alias("phase_reason"), F.when(k % 3 == 0, 180).otherwise(360).alias("period_deg"), (k % 2 == 0).alias("physical_angle"),
+        told((k % 6 == 0, "exposure_drift")).alias("photometric_reasons"), F.when(k % 9 == 0, "unavailable").otherwise("ok").alias("background_status"),
+        (n % 3 == 0).alias("radiometric"), (n % 4 == 0).alias("colour"), (k % 10 / 100.0).alias("clipping_max"),
+        state(k % 8 == 0).alias("physical_status"), told((k % 8 == 0, "no_size")).alias("physical_reasons"), (n % 5).alias("pipeline"),
+    )
+
+
+@query("e21_assess", f"""WITH {SOURCES} SELECT id, family, status, array_to_string(reasons, '|') AS reasons FROM assessed""")
+def assess(t):
+    return CMP.assess(sources(t), "id").select("id", "family", "status", F.array_join("reasons", "|").alias("reasons"))
 
 
 @query(
     "e21_can_compare",
-    f"""WITH {FAMILY_SQL}, p AS (SELECT id AS l, id + 1 AS r FROM facts),
+    f"""WITH {SOURCES}, p AS (SELECT id AS l, id + 1 AS r FROM src),
     j AS (SELECT l, r, a.family, CASE WHEN 'unavailable' IN (a.status, b.status) THEN 'unavailable' WHEN 'review' IN (a.status, b.status) THEN 'review' ELSE 'ok' END AS st,
                  list_concat(list_transform(a.reasons, lambda x: 'left:' || x), list_transform(b.reasons, lambda x: 'right:' || x)) AS rs,
-                 CASE WHEN a.family = 'luminance' AND NOT (a.calibrated AND b.calibrated) THEN ['calibration_missing'] ELSE [] END
-                 || CASE WHEN a.family = 'luminance' AND a.pipeline <> b.pipeline THEN ['different_pipelines'] ELSE [] END AS ex
-          FROM p JOIN assessed a ON a.id = l JOIN assessed b ON b.id = r AND b.family = a.family)
+                 CASE WHEN a.family = 'absolute_luminance_amplitude' AND NOT (u.rad AND v.rad) THEN ['cross_source_radiometric_calibration_missing']
+                      WHEN a.family = 'chromatic_activity' AND NOT (u.col AND v.col) THEN ['cross_source_colour_calibration_missing']
+                      WHEN a.family IN ('spatial_optical_morphology', 'tier_edge_crispness') AND u.px <> v.px THEN ['common_spatial_transfer_mismatch']
+                      WHEN a.family = 'angular_persistence' AND u.deg <> v.deg THEN ['viewer_phase_period_mismatch']
+                      WHEN a.family = 'relative_luminance_dynamics' AND u.pipe <> v.pipe THEN ['different_source_pipelines'] ELSE [] END AS ex,
+                 CASE WHEN a.family = 'angular_persistence' AND NOT (u.phys AND v.phys) THEN ['viewer_sequence_phase_not_physical_angle'] ELSE [] END AS nt
+          FROM p JOIN assessed a ON a.id = l JOIN assessed b ON b.id = r AND b.family = a.family JOIN pro u ON u.id = l JOIN pro v ON v.id = r)
     SELECT l AS "left", r AS "right", family, CASE WHEN st = 'ok' AND len(ex) > 0 THEN 'review' ELSE st END AS status,
-           array_to_string(list_sort(list_distinct(list_concat(rs, CASE WHEN st = 'unavailable' THEN [] ELSE ex END))), '|') AS reasons
+           array_to_string(list_sort(list_distinct(list_concat(rs, CASE WHEN st = 'unavailable' THEN [] ELSE ex || nt END))), '|') AS reasons
     FROM j""",
 )
 def can_compare(t):
-    facts = t.supplier.select(
-        F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 3 == 0).alias("calibrated"),
-        (F.col("s_nationkey") % 5).alias("pipeline"), F.col("s_acctbal").alias("b"),
-    )
-    none = F.array().cast("array<string>")
-    geometry = facts.select(
-        "id", F.lit("geometry").alias("family"),
-        F.when(F.col("b") < 0, "unavailable").when(F.col("b") < 3000, "review").otherwise("ok").alias("status"),
-        F.when(F.col("b") < 0, F.array(F.lit("no_frames"))).when(F.col("b") < 3000, F.array(F.lit("few_frames"))).otherwise(none).alias("reasons"),
-        "calibrated", "pipeline",
-    )
-    luminance = facts.select(
-        "id", F.lit("luminance").alias("family"),
-        F.when(F.col("calibrated"), "ok").otherwise("review").alias("status"),
-        F.when(F.col("calibrated"), none).otherwise(F.array(F.lit("not_calibrated"))).alias("reasons"),
-        "calibrated", "pipeline",
-    )
-    pairs = facts.select(F.col("id").alias("left"), (F.col("id") + 1).alias("right"))
-    extra = [
-        ("luminance", "calibration_missing", ~(F.col("left_calibrated") & F.col("right_calibrated"))),
-        ("luminance", "different_pipelines", F.col("left_pipeline") != F.col("right_pipeline")),
-    ]
-    return E.can_compare(pairs, geometry.unionByName(luminance), "id", extra)
+    profiles = sources(t)
+    pairs = profiles.select(F.col("id").alias("left"), (F.col("id") + 1).alias("right"))
+    return CMP.can_compare(pairs, CMP.assess(profiles, "id"), "id")
 
 
 HUMAN_SQL = f"""
