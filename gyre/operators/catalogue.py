@@ -299,11 +299,91 @@ def curation_view(rows: DataFrame, published: DataFrame, draft: DataFrame, show_
     return out.where("starred") if starred_only else out
 
 
+# The rows of a comparison in their order, and the signs of currencies written before the amount.
+COMPARED = (
+    ("carat", "Carat"), ("colour", "Colour"), ("clarity", "Clarity"), ("shape", "Shape"), ("origin", "Origin"), ("dimensions", "Dimensions (mm)"),
+    ("depth", "Reported depth"), ("table", "Reported table"), ("ratio", "L/W ratio"), ("polish", "Polish"), ("symmetry", "Symmetry"),
+    ("fluorescence", "Fluorescence"), ("price", "Observed price"), ("tax", "Tax basis"), ("retrieval", "Retrieval status"), ("motion", "Motion evidence"),
+)
+SIGNS = {"GBP": "\u00a3", "EUR": "\u20ac", "USD": "US$"}
+UNKNOWN = "Unknown"
+
+
+def shown(value: Column, suffix: str = "") -> Column:
+    """Text of a value with its unit; Unknown where there is none."""
+    text = value.cast("string")
+    return F.when(F.trim(text) != "", F.concat(text, F.lit(suffix))).otherwise(UNKNOWN)
+
+
+def price_text(price: Column, currency: Column) -> Column:
+    """An amount with two decimals and its currency, in groups of thousands where the currency has a sign."""
+    code = F.upper(F.coalesce(currency, F.lit("")))
+    plain = F.regexp_replace(F.format_number(price, 2), ",", "")
+    sign = lookup(SIGNS, code)
+    named = F.when(code == "", F.concat(plain, F.lit(" (currency unknown)"))).otherwise(F.concat_ws(" ", plain, code))
+    return F.when(price.isNull(), "Price unavailable").when(sign.isNotNull(), F.concat(sign, F.format_number(price, 2))).otherwise(named)
+
+
+def latest(df: DataFrame, key: str, at: str, *fields: str) -> DataFrame:
+    """The fields of every key's latest row; of rows of one time the one with the largest fields."""
+    last = F.max(F.struct(F.col(at).alias("__at"), *fields)).alias("__l")
+    return df.groupBy(key).agg(last).select(key, *[F.col(f"__l.{f}").alias(f) for f in fields])
+
+
+def motion_text(evidence: DataFrame, key: str) -> DataFrame:
+    """(key, motion): validated rotations with their frames, a video, an incomplete rotation, or nothing."""
+    rotation = F.col("kind") == "rotation"
+    valid = F.coalesce(rotation & (F.col("status") == "success") & F.col("complete") & (F.col("frames") > 0) & F.col("asset_url").isNotNull(), F.lit(False))
+    video = F.coalesce((F.col("kind") == "video") & (F.col("status") == "success") & F.col("asset_url").isNotNull(), F.lit(False))
+    said = evidence.groupBy(key).agg(
+        F.transform(F.array_sort(F.collect_list(F.when(valid, F.struct("ordinal", "frames")))), lambda x: x["frames"]).alias("f"),
+        F.bool_or(video).alias("v"),
+        F.bool_or(rotation).alias("r"),
+    )
+    n = F.size("f")
+    whole = F.concat(
+        n.cast("string"), F.when(n == 1, " validated sequence (").otherwise(" validated sequences ("), F.array_join(F.transform("f", lambda x: x.cast("string")), ", "),
+        F.lit(" frames); ordinal, not angle-calibrated"),
+    )
+    text = F.when(n > 0, whole).when(F.col("v"), "Video available; no validated frame sequence").when(F.col("r"), "Rotation missing, failed or incomplete")
+    return said.select(key, text.otherwise("No recovered rotation").alias("motion"))
+
+
+def comparison_values(objects: DataFrame, listings: DataFrame, retrievals: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
+    """(key, place, attribute, label, value): the 16 rows that a comparison shows of every object.
+
+    `objects` has the reported properties (dimensions as an array), `listings` observed_at, price, currency, tax,
+    `retrievals` retrieved_at and retrieval, `evidence` kind, status, complete, frames, ordinal, asset_url. Price,
+    tax and retrieval are the latest ones.
+    """
+    rows = (
+        objects.join(latest(listings, key, "observed_at", "price", "currency", "tax"), key, "left")
+        .join(latest(retrievals, key, "retrieved_at", "retrieval"), key, "left")
+        .join(motion_text(evidence, key), key, "left")
+    )
+    sizes = F.array_join(F.transform("dimensions", lambda x: F.coalesce(x.cast("string"), F.lit("?"))), " \u00d7 ")
+    values = {
+        "carat": shown(F.col("carat"), " ct"),
+        "dimensions": F.when(F.size("dimensions") >= 2, F.concat(sizes, F.lit(" mm"))).otherwise(UNKNOWN),
+        "depth": shown(F.col("depth"), "%"),
+        "table": shown(F.col("table"), "%"),
+        "price": price_text(F.col("price"), F.col("currency")),
+        "motion": F.coalesce("motion", F.lit("No recovered rotation")),
+    }
+    cells = F.array(
+        *[
+            F.struct(F.lit(i).alias("place"), F.lit(name).alias("attribute"), F.lit(label).alias("label"), values.get(name, shown(F.col(name))).alias("value"))
+            for i, (name, label) in enumerate(COMPARED)
+        ]
+    )
+    return rows.select(key, F.explode(cells).alias("c")).select(key, "c.*")
+
+
 def comparison(long: DataFrame, ids: list, attribute: str, ident: str, value: str) -> DataFrame:
     """Side-by-side attribute table of chosen ids with Unknown for null."""
     picked = long.where(F.col(ident).isin(*ids))
     return picked.groupBy(attribute).agg(
-        *[F.coalesce(F.max(F.when(F.col(ident) == i, F.col(value))), F.lit("Unknown")).alias(f"object_{i}") for i in ids]
+        *[F.coalesce(F.max(F.when(F.col(ident) == i, F.col(value))), F.lit(UNKNOWN)).alias(f"object_{i}") for i in ids]
     )
 
 

@@ -317,6 +317,43 @@ def comparison(t):
     return K.comparison(long, [0, 1], "attribute", "o", "v")
 
 
+@query(
+    "k14_comparison_values",
+    f"""WITH {EVID}, li AS (SELECT ps AS id, arg_max(CAST(o_totalprice AS DECIMAL(15, 2)), (o_orderdate, o_totalprice, cur, tax)) AS price, arg_max(cur, (o_orderdate, o_totalprice, cur, tax)) AS cur,
+           arg_max(tax, (o_orderdate, o_totalprice, cur, tax)) AS tax, arg_max(o_orderstatus, (o_orderdate, o_orderstatus)) AS ret
+         FROM (SELECT o_custkey AS ps, o_orderdate, o_totalprice, o_orderstatus, CASE o_orderkey % 5 WHEN 0 THEN 'gbp' WHEN 1 THEN 'USD' WHEN 2 THEN '' WHEN 3 THEN 'CHF' ELSE 'EUR' END AS cur,
+                      substr(o_orderpriority, 1, 1) AS tax FROM orders) GROUP BY 1),
+    mo AS (SELECT id, list(frames ORDER BY ordinal, frames) FILTER (kind = 'rotation' AND status = 'success' AND complete AND frames > 0 AND url IS NOT NULL) AS f,
+                  bool_or(kind = 'video' AND status = 'success' AND url IS NOT NULL) AS v, bool_or(kind = 'rotation') AS r FROM ev GROUP BY 1),
+    ob AS (SELECT c_custkey AS id, c_custkey % 7 AS k, c_mktsegment AS seg, li.*, mo.f, mo.v, mo.r FROM customer LEFT JOIN li ON li.id = c_custkey LEFT JOIN mo ON mo.id = c_custkey),
+    vals AS (SELECT id, unnest([
+      CASE WHEN k = 0 THEN 'Unknown' ELSE k || '.25 ct' END, CASE WHEN k = 1 THEN 'Unknown' ELSE seg END, 'VS1', 'Round', 'Unknown',
+      CASE WHEN k < 2 THEN 'Unknown' WHEN k = 2 THEN '2 \u00d7 ? mm' ELSE k || ' \u00d7 ' || (k + 1) || ' mm' END, k || '%', 'Unknown', '1.0', 'EX', 'Unknown', 'NON',
+      CASE WHEN price IS NULL THEN 'Price unavailable' WHEN upper(cur) = 'GBP' THEN '\u00a3' || format('{{:,.2f}}', CAST(price AS DOUBLE)) WHEN cur = 'EUR' THEN '\u20ac' || format('{{:,.2f}}', CAST(price AS DOUBLE))
+           WHEN cur = 'USD' THEN 'US$' || format('{{:,.2f}}', CAST(price AS DOUBLE)) WHEN cur = '' THEN format('{{:.2f}}', CAST(price AS DOUBLE)) || ' (currency unknown)' ELSE format('{{:.2f}}', CAST(price AS DOUBLE)) || ' CHF' END,
+      coalesce(tax, 'Unknown'), coalesce(ret, 'Unknown'),
+      CASE WHEN len(f) > 0 THEN len(f) || CASE WHEN len(f) = 1 THEN ' validated sequence (' ELSE ' validated sequences (' END || array_to_string(f, ', ') || ' frames); ordinal, not angle-calibrated'
+           WHEN v THEN 'Video available; no validated frame sequence' WHEN r THEN 'Rotation missing, failed or incomplete' ELSE 'No recovered rotation' END]) AS "value",
+      unnest(range(16)) AS place FROM ob)
+    SELECT vals.id, CAST(place AS INTEGER) AS place, attribute, label, "value" FROM vals JOIN (VALUES {", ".join(f"({i}, '{n}', '{x}')" for i, (n, x) in enumerate(K.COMPARED))}) n(p, attribute, label) ON p = place""",
+)
+def comparison_values(t):
+    k = F.col("c_custkey") % 7
+    number = lambda c: c.cast("string")
+    objects = t.customer.select(
+        F.col("c_custkey").alias("id"), F.when(k > 0, F.concat(number(k), F.lit(".25"))).alias("carat"), F.when(k != 1, F.col("c_mktsegment")).alias("colour"), F.lit("VS1").alias("clarity"),
+        F.lit("Round").alias("shape"), F.lit(" ").alias("origin"), F.when(k == 0, F.array(k)).when(k == 2, F.array(k, F.lit(None).cast("bigint"))).when(k > 2, F.array(k, k + 1)).alias("dimensions"),
+        k.alias("depth"), F.lit(None).cast("string").alias("table"), F.lit("1.0").alias("ratio"), F.lit("EX").alias("polish"), F.lit("").alias("symmetry"), F.lit("NON").alias("fluorescence"),
+    )
+    code = F.col("o_orderkey") % 5
+    listings = t.orders.select(
+        F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("observed_at"), F.col("o_totalprice").alias("price"),
+        F.when(code == 0, "gbp").when(code == 1, "USD").when(code == 2, "").when(code == 3, "CHF").otherwise("EUR").alias("currency"), F.substring("o_orderpriority", 1, 1).alias("tax"),
+    )
+    retrievals = t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("retrieved_at"), F.col("o_orderstatus").alias("retrieval"))
+    return K.comparison_values(objects, listings, retrievals, evidence(t), "id")
+
+
 @query(
     "k15_motion_class",
     f"""WITH {EVID}, v AS (SELECT *, kind = 'rotation' AND status = 'success' AND complete AND frames > 0 AS ok FROM ev)
