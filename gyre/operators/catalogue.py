@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gyre.functions.arrays import let
 from gyre.functions.guards import all_of, any_of
 
 # Alias tables, grade orders, closed vocabularies and text patterns.
@@ -444,7 +445,8 @@ def reference_index(refs: DataFrame, evidence: DataFrame, certified: DataFrame)
 
 
 def extracted(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    """The group's text or null; the pattern runs once."""
+    return let(F.regexp_extract(text, pattern, group), lambda v: F.when(v != "", v))
 
 
 def extract_certificate_fields(df: DataFrame, text: str) -> DataFrame:
