@@ -29,5 +29,23 @@ def test_recall_and_exactness(spark):
     assert len({by[i].component_id for i in range(1020, 1080)}) == 1
 
 
+def test_recall_with_many_more_cells_than_probes(spark):
+    """500 cells, 12 of them read; pairs just above the threshold, between random vectors and in clusters."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(20, 32))
+    base = np.concatenate([rng.normal(size=(1000, 32)), centres[rng.integers(0, 20, 1000)] + 0.6 * rng.normal(size=(1000, 32))])
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.95001, 0.96, len(base))[:, None]
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * side])
+    table = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sum(r.n_links for r in near_vectors(table, cell_rows=8).collect())
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = int((unit @ unit.T >= 0.95).sum()) - len(x)
+    assert true >= 4000 and 0.99 * true <= got <= true
+
+
 def test_empty(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
