@@ -165,6 +165,29 @@ def read_catalogue(t):
     return count("listings").join(count("evidence"), "id", "left").join(count("frames"), "id", "left").na.fill(0)
 
 
+@query(
+    "a9_read_files",
+    """SELECT CAST(o_custkey AS VARCHAR) AS id, count(*) AS listings, sum(CAST(o_totalprice AS DECIMAL(15, 2))) AS total, count(*) FILTER (o_orderstatus = 'F') AS evidence,
+              count(*) FILTER (o_orderstatus = 'F') * 2 AS frames FROM orders GROUP BY 1""",
+)
+def read_files(t):
+    """Manifests of many listings, one for every object and month, written as files and read again."""
+    frame = lambda i: F.struct(F.lit(i).alias("source_index"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("sha256"))
+    listing = F.struct(
+        F.col("o_orderdate").alias("observed_at"), F.concat(F.lit("https://x/"), F.col("o_orderkey")).alias("url"),
+        F.col("o_totalprice").cast("decimal(12,2)").alias("price"), F.lit("GBP").alias("currency"),
+    )
+    item = F.struct(F.col("o_orderkey").cast("string").alias("record_key"), F.lit("rotation").alias("kind"), F.lit("success").alias("status"), F.array(frame(0), frame(1)).alias("frames"))
+    docs = t.orders.groupBy(F.col("o_custkey").cast("string").alias("id"), F.trunc("o_orderdate", "month").alias("month")).agg(
+        F.collect_list(listing).alias("listings"), F.collect_list(F.when(F.col("o_orderstatus") == "F", item)).alias("evidence")
+    )
+    path = A.write_table(docs.drop("month"), scratch_dir(t.spark), "json")
+    tables = A.read_catalogue(t.spark, path, lines=True)
+    count = lambda name: tables[name].groupBy("id").agg(F.count(F.lit(1)).alias(name))
+    sums = tables["listings"].groupBy("id").agg(F.count(F.lit(1)).alias("listings"), F.sum("price").cast("decimal(38,2)").alias("total"))
+    return sums.join(count("evidence"), "id", "left").join(count("frames"), "id", "left").na.fill(0, ["evidence", "frames"])
+
+
 @query(
     "a10_write_trace",
     f"""SELECT user_id AS series_id, count(*) AS "rows", count(CASE WHEN value < 400 THEN value END) AS finite_rows, {r6("sum(CASE WHEN value < 400 THEN value END)")} AS total FROM events GROUP BY 1""",

@@ -242,8 +242,9 @@ def catalogue_tables(manifests: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def read_catalogue(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return catalogue_tables(spark.read.schema(MANIFEST).option("multiLine", "true").json(path))
+def read_catalogue(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """Child tables of the manifests under a path: a document a file, or a document a line."""
+    return catalogue_tables(spark.read.schema(MANIFEST).option("multiLine", str(not lines).lower()).json(path))
 
 
 def parse_manifests(df: DataFrame, text: str) -> DataFrame:
