@@ -242,25 +242,27 @@ class BlockMaxIndex:
 class Model:
     """Index, votes and calibration; fitted on the driver from bounded samples."""
 
-    def __init__(self, terms: np.ndarray, scale: np.ndarray, rows: list[tuple], stands_for: dict[int, float], k: int):
+    def __init__(self, terms: np.ndarray, scale: np.ndarray, labels: np.ndarray, first: np.ndarray, term: np.ndarray, count: np.ndarray, stands_for: dict[int, float], k: int):
+        """Examples as one list of (term, count), those of example i from first[i] on."""
         self.terms, self.scale, self.k = terms, scale, k
-        rows = sorted(rows, key=lambda r: (blake2b(r[1].tobytes() + r[2].tobytes()).digest(), r[0]))
-        full = [r for r in rows if len(r[1])]
-        blank = [sum(stands_for[x] for t, term, _ in rows if t == x and not len(term)) for x in (0, 1)]
-        vectors = [_weights(term, count, scale) for _, term, count in full]
-        self.labels = np.array([r[0] for r in full], np.int64)
+        size = np.diff(first)
+        full = size > 0
+        blank = [stands_for.get(x, 0.0) * int((labels[~full] == x).sum()) for x in (0, 1)]
+        weight = (1 + np.log(count)) * scale[term]
+        if full.any():
+            weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, first[:-1][full])), size[full])
+        self.labels = labels[full].astype(np.int64)
         self.stands_for = np.array([stands_for.get(x, 1.0) for x in (0, 1)])
-        join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-        row = np.repeat(np.arange(len(full), dtype=np.int32), [len(v) for v in vectors])
-        self.index = BlockMaxIndex.of(row, join([r[1] for r in full], np.int32), join(vectors, float), len(full), len(terms))
-        del row
+        n = int(full.sum())
+        self.index = BlockMaxIndex.of(np.repeat(np.arange(n, dtype=np.int32), size[full]), term, weight, n, len(terms))
         everyone = np.array(blank) + [self.stands_for[x] * (self.labels == x).sum() for x in (0, 1)]
         self.base = (everyone[1] + 0.5) / (everyone.sum() + 1.0)
         self.blank_raw = (blank[1] + 0.5 * self.base) / (sum(blank) + 0.5)
         self.slope, self.shift = 1.0, 0.0
-        self.known = bool(rows)
+        self.known = len(labels) > 0
         if len(set(self.labels)) == 2:
-            raw = [self.raw(r[1], v, i) for i, (r, v) in enumerate(zip(full, vectors))]
+            cut = np.concatenate([[0], np.cumsum(size[full])]).tolist()
+            raw = [self.raw(term[a:b], weight[a:b], i) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:]))]
             self._calibrate(np.array([*raw, self.blank_raw, self.blank_raw]), np.array([*self.labels, 0, 1]), np.array([*self.stands_for[self.labels], *blank]))
 
     def raw(self, term: np.ndarray, weight: np.ndarray, skip: int = -1) -> float:
@@ -328,21 +330,27 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int =
     sample = spark.createDataFrame([tuple(r) for p in picked for r in p.collect()], "doc_id long, toxic int")
     examples = docs.join(F.broadcast(sample), "doc_id").select("toxic", "text")
     have = {x: min(per_class, totals.get(x, 0)) for x in (0, 1)}
-    seen = [(r["toxic"], X.unpacked(r["feature"]), X.unpacked(r["count"], np.int32)) for r in examples.mapInArrow(_example_rows, "toxic int, feature binary, count binary").collect()]
-    terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *(f for _, f, _ in seen)]))
-    rows = [(x, np.searchsorted(terms, f).astype(np.int32), c) for x, f, c in seen]
-    del seen
-    held = [np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)]
-    for x, term, _ in rows:
-        held[x][term] += 1  # a row holds a term once
+    # As columns, not rows: a few large arrays, which leave no holes in the driver's memory.
+    seen = examples.mapInArrow(_example_rows, "toxic int, feature binary, count binary").toArrow()
+    digests = [blake2b(f.as_buffer().to_pybytes() + c.as_buffer().to_pybytes()).digest() for f, c in zip(seen["feature"], seen["count"])]
+    labels = seen["toxic"].to_numpy()
+    order = sorted(range(len(labels)), key=lambda i: (digests[i], labels[i]))
+    labels, seen = labels[order], seen.take(pa.array(order, pa.int64())).combine_chunks()
+    data, at = X.batch_bytes(seen["feature"])
+    terms, term = np.unique(data.view(np.uint64), return_inverse=True)
+    term, first, count = term.astype(np.int32), at // 8, X.batch_bytes(seen["count"])[0].view(np.int32).copy()
+    del seen, data
+    of = np.repeat(labels, np.diff(first))
+    held = [np.bincount(term[of == x], minlength=len(terms)) for x in (0, 1)]  # a row holds a term once
     shared = spark.sparkContext.broadcast(terms)
     counts = docs.select("text").mapInArrow(_document_frequency(shared), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     shared.destroy()
-    term, df = counts["term"].to_numpy(), counts["df"].to_numpy()
-    n, df_of = df[term < 0].sum(), np.ones(len(terms), np.int64)
-    df_of[term[term >= 0]] = df[term >= 0]
-    evidence = _evidence(held[1], held[0], *(sum(x == label for x, _, _ in rows) for label in (1, 0)))
-    return Model(terms, np.log1p(n / df_of) * np.sqrt(NO_EVIDENCE + evidence), rows, {x: totals.get(x, 0) / max(have[x], 1) for x in (0, 1)}, k)
+    known, df = counts["term"].to_numpy(), counts["df"].to_numpy()
+    n, df_of = df[known < 0].sum(), np.ones(len(terms), np.int64)
+    df_of[known[known >= 0]] = df[known >= 0]
+    evidence = _evidence(held[1], held[0], int((labels == 1).sum()), int((labels == 0).sum()))
+    scale = np.log1p(n / df_of) * np.sqrt(NO_EVIDENCE + evidence)
+    return Model(terms, scale, labels, first, term, count, {x: totals.get(x, 0) / max(have[x], 1) for x in (0, 1)}, k)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn: Column | None = None, **parameters) -> DataFrame:
