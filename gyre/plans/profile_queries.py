@@ -220,6 +220,15 @@ def boundary_template(t):
     return template(t).withColumn("sector_u", text)
 
 
+@query("f25_temporal_template")
+def temporal_template(t):
+    """The template under the window-local peaks, with frame votes before the score."""
+    found = R.candidates(R.consensus(arrays(t), SET, "sector", N), N, "window")
+    votes = R.candidate_persistence(arrays(t), found, SET, "frame", N)
+    text = F.array_join(F.transform("sector_u", lambda v: F.format_number(v, 6)), ",")
+    return R.boundary_template(found, SET, N, votes).withColumn("sector_u", text)
+
+
 @query("f26_candidate_persistence")
 def candidate_persistence(t):
     return R.candidate_persistence(arrays(t), candidates(t), SET, "frame", N)
