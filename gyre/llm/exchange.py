@@ -8,6 +8,7 @@ ways the rows carry packed arrays, and no name table is ever broadcast or collec
 
 from __future__ import annotations
 
+import ctypes
 
 import numpy as np
 import pyarrow as pa
@@ -74,11 +75,19 @@ def in_chunks(docs: DataFrame, by: tuple[str, ...] | None = ("doc_id", "text"),
     return docs.select(chunk, *docs.columns).mapInArrow(_payloads, "chunk long, payload binary").repartition(n, "chunk")
 
 
+def give_back() -> None:
+    """Free memory that this worker keeps from chunks and stages before goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def chunk_rows(table: pa.Table) -> pa.Table | None:
     """The rows packed in a chunk, or None for an empty chunk."""
     if not table.num_rows:
         return None
-    pa.default_memory_pool().release_unused()  # a worker that served other stages gives its rest back
+    give_back()
     return pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in table["payload"]])
 
 

@@ -39,6 +39,7 @@ from gyre.llm.exchange import (
     coded,
     counted,
     decoded,
+    give_back,
     in_chunks,
     looked_up,
     partitions,
@@ -139,6 +140,7 @@ def _postings(percent: int):
     """Prefix tokens under the first order; `place` counts the tokens before, unshared ones too."""
 
     def run(batches):
+        give_back()
         for batch in batches:
             out = ([], [], [], [])
             for sig, n, tokens, rank in zip(*(batch.column(c).to_pylist() for c in ("sig", "n", "tokens", "rank"))):
@@ -158,6 +160,7 @@ def _verify(percent: int):
     """Pairs that share a prefix token under the other orders too, then the exact similarity."""
 
     def run(batches):
+        give_back()
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "ta", "tb", "ra", "rb")]
             keep_a, keep_b = [], []
@@ -276,7 +279,7 @@ def _unit_links(percent: int):
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_rows) per row of `docs`; see the module's notes."""
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chunks = in_chunks(chosen, per_partition=2)
+    chunks = in_chunks(chosen, per_partition=4)
     buckets = partitions(docs) * 2
     replies = answers(chunks.groupBy("chunk").applyInArrow(_asks(size, buckets), ASK))
     local = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_classes(size, percent), CLASS)
