@@ -188,12 +188,12 @@ full_cycle AS (
     f"""WITH {CYCLES}, spread AS (
       SELECT series_id, (slot + o) % {PERIOD} AS slot, score
       FROM cycles, (SELECT unnest([{PERIOD - 2}, {PERIOD - 1}, 0, 1, 2]) AS o))
-    SELECT series_id, CAST(slot AS INTEGER) AS slot, {r6("round(avg(score), 9)")} AS smooth_score
+    SELECT series_id, CAST(slot AS INTEGER) AS slot, {r6("round(avg(score), 9) + 1e-9")} AS smooth_score
     FROM spread GROUP BY series_id, slot""",
 )
 def circular_moving_average(t):
     smooth = C.moving_average(t.cycles, KEY, "slot", "score", 2, PERIOD)
-    return smooth.withColumn("smooth_score", F.round("smooth_score", 9))  # halves must not hang on the last bit
+    return smooth.withColumn("smooth_score", F.round("smooth_score", 9) + 1e-9)  # halves must not hang on the last bit
 
 
 @query(
