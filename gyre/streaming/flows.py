@@ -21,14 +21,14 @@ from gyre.session import scratch_dir
 
 
 def table_stream(spark: SparkSession, folder: str, table: str, schema: str | None = None, files_per_trigger: int = 64) -> DataFrame:
-    """Stream one table of a folder of parquet files; the schema is declared, not inferred."""
-    shape = schema or spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return (
-        spark.readStream.schema(shape)
-        .option("pathGlobFilter", f"{table}.parquet")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
-    )
+    """Stream one table of a folder, a parquet file or a folder of them; the schema is declared, not inferred."""
+    named = f"{folder}/{table}.parquet"
+    shape = schema or spark.read.parquet(named).schema
+    rows = spark.readStream.schema(shape).option("maxFilesPerTrigger", files_per_trigger)
+    path = spark._jvm.org.apache.hadoop.fs.Path(named)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return rows.parquet(named)
+    return rows.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
 def drain(stream: DataFrame, each_batch, folder: str, mode: str = "append") -> None:
@@ -86,33 +86,43 @@ class FrameStates(StatefulProcessor):
             }
         )
 
-    def _emit(self, key):
-        rows = sorted((k[0], k[1], v[0]) for k, v in self.pixels.iterator())
+    def _held(self) -> dict:
+        return {(k[0], k[1]): v[0] for k, v in self.pixels.iterator()} if self.pixels.exists() else {}
+
+    def _emit(self, key, held: dict):
+        rows = sorted((y, x, v) for (y, x), v in held.items())
         self.pixels.clear()
         self.emitted.update((len(rows),))
         if rows:
             yield self._out(key, rows, float(np.median([r[2] for r in rows])) * self.dark_ratio)
 
     def handleInputRows(self, key, rows, timerValues):
-        expected, arrived, late = None, [], []
-        if self.timer.exists() and not self.emitted.exists() and passed(timerValues, self.timer.get()[0]):
-            yield from self._emit(key)  # its timer would fire only after these rows
+        expected, arrived, late, new = None, [], [], {}
+        gone = self.emitted.exists()
+        if not gone and self.timer.exists() and passed(timerValues, self.timer.get()[0]):
+            yield from self._emit(key, self._held())  # its timer would fire only after these rows
+            gone = True
+        held = {} if gone else self._held()
         for batch in rows:
-            if self.emitted.exists():
+            if gone:
                 late += list(zip(batch["y"], batch["x"], batch["brightness"]))
                 continue
             for y, x, v in zip(batch["y"], batch["x"], batch["brightness"]):
-                if not self.pixels.containsKey((int(y), int(x))):
-                    self.pixels.updateValue((int(y), int(x)), (float(v),))
+                if (int(y), int(x)) not in held:
+                    new.setdefault((int(y), int(x)), float(v))
             known = batch["expected"].dropna()
             expected = int(known.max()) if len(known) else expected
             arrived += list(batch["arrived"].dropna())
         if late:
             yield self._out(key, late, None)
+        if gone:
             return
-        if expected is not None and sum(1 for _ in self.pixels.keys()) >= expected:
-            yield from self._emit(key)
-        elif self.patience_ms is not None and arrived:
+        if expected is not None and len(held) + len(new) >= expected:
+            yield from self._emit(key, held | new)
+            return
+        for at, v in new.items():  # what arrives with the rest of its frame never becomes state
+            self.pixels.updateValue(at, (v,))
+        if self.patience_ms is not None and arrived:
             if self.timer.exists():
                 self.handle.deleteTimer(self.timer.get()[0])
             at = int(max(arrived).timestamp() * 1000) + self.patience_ms
@@ -121,7 +131,7 @@ class FrameStates(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if not self.emitted.exists():
-            yield from self._emit(key)
+            yield from self._emit(key, self._held())
 
     def close(self) -> None:
         pass

@@ -22,6 +22,19 @@ def source(spark, folder, files, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
 
 
+def test_a_table_may_be_a_file_or_a_folder_of_files(spark, tmp_path):
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "parts" / "t.parquet"))
+    spark.range(10, 20).coalesce(1).write.mode("append").parquet(str(tmp_path / "parts" / "t.parquet"))
+    (tmp_path / "one").mkdir()
+    part = next((tmp_path / "parts" / "t.parquet").glob("part-*.parquet"))
+    (tmp_path / "one" / "t.parquet").write_bytes(part.read_bytes())
+    for name, n in (("parts", 20), ("one", 10)):
+        seen = []
+        stream = flows.table_stream(spark, str(tmp_path / name), "t")
+        flows.drain(stream, lambda batch, _: seen.extend(r.id for r in batch.collect()), str(tmp_path / f"out-{name}"))  # noqa: B023
+        assert len(seen) == len(set(seen)) == n
+
+
 def at(second):
     return dt.datetime(2024, 1, 1) + dt.timedelta(seconds=second)
 
