@@ -182,8 +182,11 @@ def _band_best(rows: DataFrame, keys: list[str], order: str, axis: str, measure:
     difference holds the smallest or largest measure of the band below the row, so running
     extremes do: over the rows before it in its own bucket of the band's width, and over those of the bucket below
     that are near enough, where the row's lower limit is sorted in as a query. Rows of equal `axis`
-    are collapsed first. Work is that of sorting; no pairs are formed. `axis` has 12 decimals, which decide what is near enough.
+    are collapsed first. Work is that of sorting; no pairs are formed. Differences of `axis` count at 12 decimals, which decide what is
+    near enough and which pairs tie; `axis` itself is not rounded, as equal differences would then come out 1e-12 apart.
     """
+    last_step = round(width, 12)
+    limit = last_step - (1e-12 if last_step > width else 0) + 5e-13  # differences below this are at most `width` at 12 decimals
     first = Window.partitionBy(*keys, axis).orderBy(order)
     two = rows.withColumn("__n", F.row_number().over(first)).where("__n <= 2").groupBy(*keys, axis).agg(F.min(order).alias("__o1"), F.max(order).alias("__o2"))
     level = rows.groupBy(*keys, axis).agg(
@@ -204,7 +207,7 @@ def _band_best(rows: DataFrame, keys: list[str], order: str, axis: str, measure:
         (F.col("__c") * (F.col("__c") - 1) / 2).cast("bigint").alias("__k"),
     )
 
-    bucket = F.floor(F.col(axis) / width)
+    bucket = F.floor(F.col(axis) / limit)
     near = F.struct(lo["m"].alias("m"), (-F.col(axis)).alias("at"), lo["o"].alias("o"))
     far = F.struct(hi["m"].alias("m"), (-F.col(axis)).alias("at"), hi["o"].alias("o"))
     level = level.withColumn("__bucket", bucket)
@@ -219,7 +222,7 @@ def _band_best(rows: DataFrame, keys: list[str], order: str, axis: str, measure:
 
     before = Window.partitionBy(*keys, "__bucket").orderBy(axis).rowsBetween(Window.unboundedPreceding, -1)
     own = level.withColumns({"__low": F.min(near).over(before), "__high": F.min(far).over(before), "__k": F.sum("__c").over(before)})
-    asked = level.select(*keys, (F.col("__bucket") - 1).alias("__bucket"), F.round(F.col(axis) - width, 12).alias("__at"), F.lit(1).alias("__ask"), F.struct(axis, "__c", "__lo", "__hi").alias("__row"))
+    asked = level.select(*keys, (F.col("__bucket") - 1).alias("__bucket"), (F.col(axis) - limit).alias("__at"), F.lit(1).alias("__ask"), F.struct(axis, "__c", "__lo", "__hi").alias("__row"))
     held = level.select(*keys, "__bucket", F.col(axis).alias("__at"), F.lit(0).alias("__ask"), F.struct(axis, "__c", "__lo", "__hi").alias("__row"))
     above = Window.partitionBy(*keys, "__bucket").orderBy(F.desc("__at"), "__ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_row = F.col("__ask") == 0
@@ -247,7 +250,7 @@ def matched_pair(df: DataFrame, keys: list[str], order: str, level: str, measure
     Ties: smaller brightness gap, earlier frame. Without any pair in tolerance the closest one is
     adjacent in brightness order.
     """
-    rows = df.where((F.col(level) > 0) & F.col(measure).isNotNull()).select(*keys, order, F.col(measure).cast("double").alias("__m"), F.round(F.ln(level), 12).alias("__b"))
+    rows = df.where((F.col(level) > 0) & F.col(measure).isNotNull()).select(*keys, order, F.col(measure).cast("double").alias("__m"), F.ln(level).alias("__b"))
     best = _band_best(rows, keys, order, "__b", "__m", math.log(max_ratio))
     w = Window.partitionBy(*keys).orderBy("__b", order)
     alone = _without(rows, best, keys).select(*keys, order, "__m", "__b", F.lag(F.struct(F.col(order).alias("o"), "__m", "__b")).over(w).alias("__p")).where("__p is not null")
@@ -273,7 +276,7 @@ def matched_area_pair(df: DataFrame, keys: list[str], order: str, area: str, sha
     Without any pair in tolerance the largest shape difference joins a lowest and a highest shape; of
     these the nearest in area are neighbours among the rows that hold either.
     """
-    rows = df.where(F.col(area).isNotNull() & F.col(shape).isNotNull()).select(*keys, order, F.round(F.col(area).cast("double"), 12).alias("__a"), F.col(shape).cast("double").alias("__s"))
+    rows = df.where(F.col(area).isNotNull() & F.col(shape).isNotNull()).select(*keys, order, F.col(area).cast("double").alias("__a"), F.col(shape).cast("double").alias("__s"))
     best = _band_best(rows, keys, order, "__a", "__s", tolerance)
     edge = rows.groupBy(*keys).agg(F.min("__s").alias("__lo"), F.max("__s").alias("__hi"))
     ends = _without(rows, best, keys).join(edge, keys).where("__s = __lo or __s = __hi")

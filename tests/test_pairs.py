@@ -79,6 +79,17 @@ def test_matched_area_pair_equals_all_pairs(spark, seed):
         assert got[k].within_tolerance == bool(near) and (got[k].first, got[k].second) == want[2:4], k
 
 
+@pytest.mark.parametrize("parts", [54, 53, 51, 7])
+def test_equal_area_gaps_of_fractions_tie(spark, parts):
+    rng = random.Random(parts)
+    series = {str(k): [(i, rng.randint(1, parts) / parts, rng.choice([3, 5, 10]) / 10) for i in range(12)] for k in range(25)}
+    df = spark.createDataFrame([(k, *r) for k, rows in series.items() for r in rows], "k string, p int, a double, s double").repartition(3)
+    got = {r.k: (r.first, r.second) for r in E.matched_area_pair(df, ["k"], "p", "a", "s", 2.5 / parts).collect()}
+    for k, rows in series.items():
+        near, pairs = best_pair(rows, 2.5 / parts)
+        assert got[k] == min((-g, d, a, b) for g, d, a, b, _ in (near or pairs))[2:4], k
+
+
 @pytest.mark.parametrize("connectivity", [4, 8])
 def test_components_equal_flooding(spark, connectivity):
     rng = random.Random(connectivity)
