@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gyre.functions.guards import all_of, ratio
 from gyre.functions.ranking import average_rank, quantiles, ranked_values, value_table
+from gyre.session import written
 
 CHUNK = 65_536
 
@@ -234,9 +235,9 @@ def state_summary(run_rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def average_ranks(df: DataFrame, keys: list[str], value: str, weight: Column | None = None) -> DataFrame:
     """(keys, value) -> zero-based tie-averaged rank and group size."""
-    ranked = ranked_values(value_table(df, keys, value), keys, value)
+    ranked = ranked_values(value_table(df, keys, value, weight), keys, value)
     return ranked.select(*keys, value, "cnt", average_rank().alias("rank"), "total")
 
 
@@ -244,13 +245,15 @@ def paired_ranks(df: DataFrame, keys: list[str], a: str, b: str, carry: dict[str
     """Ranks of both measures over rows where both are present.
 
     Equal (a, b) rows collapse first; `carry` aggregates (for example the first position)
-    travel with the collapsed row, `cnt` is its multiplicity.
+    travel with the collapsed row, `cnt` is its multiplicity. The collapsed rows are kept as a table: they meet their
+    ranks by value, and an average that is computed again may differ in its last digit and meet nothing.
     """
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     cells = both.groupBy(*keys, a, b).agg(
         F.count(F.lit(1)).alias("cnt"), *[c.alias(n) for n, c in (carry or {}).items()]
     )
-    rank_of = lambda v: average_ranks(both, keys, v).select(*keys, v, F.col("rank").alias(f"rank_{v}"), F.col("total"))
+    cells = written(cells)
+    rank_of = lambda v: average_ranks(cells, keys, v, F.col("cnt")).select(*keys, v, F.col("rank").alias(f"rank_{v}"), F.col("total"))
     return cells.join(rank_of(a), keys + [a]).join(rank_of(b).drop("total"), keys + [b])
 
 
@@ -293,7 +296,7 @@ def field_orders(df: DataFrame, keys: list[str], ident: str, value: str) -> Data
     among themselves by the same cutting rank, so neither a dominating key nor a dominating
     value is sorted in one task. Text ids fall back to a window over one value's rows.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, ident, value)
+    rows = written(df.where(F.col(value).isNotNull()).select(*keys, ident, value))  # rows meet their ranks by value
     ranked = ranked_values(value_table(rows, keys, value), keys, value)
     same = keys + [value]
     if dict(rows.dtypes)[ident] == "string":

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -106,3 +107,10 @@ def test_result_does_not_depend_on_input_order(spark):
     first = R.quantiles(df, ["k"], "v", {"m": 0.5}).orderBy("k").collect()
     again = R.quantiles(df.orderBy(F.rand(5)).repartition(3), ["k"], "v", {"m": 0.5}).orderBy("k").collect()
     assert first == again
+
+
+def test_values_that_differ_when_computed_again_keep_their_ranks(spark):
+    draw = F.udf(lambda i: random.random(), "double").asNondeterministic()
+    df = spark.range(200).repartition(4).select(F.lit("a").alias("s"), F.col("id"), draw("id").alias("x"), draw("id").alias("y"))
+    assert [r.paired for r in S.spearman(df, ["s"], "x", "y").collect()] == [200]
+    assert sorted(r.rank_descending for r in S.field_orders(df, ["s"], "id", "x").collect()) == list(range(1, 201))
