@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -282,45 +284,60 @@ def polar_profile(px: DataFrame, size: int, rays: int, samples: int, keys: list[
 
     Rays end at the largest mask radius of the frame's outline in their direction. Support
     is limited to 0.08 <= u <= 0.92; a ray whose median is below 0.05 loses its support.
+    Only the pixels travel, one frame to a call; samples and their four corners never do.
     """
-    r, theta = polar(size)
-    step = 2 * math.pi / rays
-    ray = F.pmod(F.round(theta / step), F.lit(rays)).cast("int")
-    rims = px.where("in_mask").groupBy(*keys, ray.alias("ray")).agg(F.max(r).alias("outline"))
-    grid = rims.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn(
-        "u", F.col("k") / F.lit(float(samples - 1))
-    )
-    middle = (size - 1) / 2
-    sx = middle + F.col("u") * F.col("outline") * F.cos(F.col("ray") * step)
-    sy = middle + F.col("u") * F.col("outline") * F.sin(F.col("ray") * step)
-    grid = grid.withColumn("sx", F.round(sx, 9)).withColumn("sy", F.round(sy, 9))
-    corners = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
-    corner = grid.withColumn("c", F.explode(corners)).select(
-        *keys, "ray", "k", "u", "sx", "sy",
-        (F.floor("sy") + F.col("c.a")).cast("int").alias("y"),
-        (F.floor("sx") + F.col("c.b")).cast("int").alias("x"),
-    )
-    weight = (1 - F.abs(F.col("sx") - F.col("x"))) * (1 - F.abs(F.col("sy") - F.col("y")))
-    nearest = (F.abs(F.col("sx") - F.col("x")) <= 0.5) & (F.abs(F.col("sy") - F.col("y")) <= 0.5)
-    sampled = (
-        corner.withColumn("w", weight)
-        .withColumn("near", nearest)
-        .where("w > 1e-9")
-        .join(px.select(*keys, "y", "x", "brightness", "valid", "in_mask"), keys + ["y", "x"], "left")
-        .groupBy(*keys, "ray", "k", "u")
-        .agg(
-            F.sum(F.col("w") * F.col("brightness")).alias("raw"),
-            F.bool_and(F.when(F.col("near"), F.coalesce(F.col("valid"), F.lit(False)))).alias("ok"),
-        )
-    )
-    sampled = sampled.withColumn("ok", F.coalesce("ok", F.lit(False)) & F.col("u").between(0.08, 0.92) & F.col("raw").isNotNull())
-    scale = sampled.where("ok").groupBy(*keys, "ray").agg(F.median("raw").alias("scale"))
-    good = F.coalesce(F.col("scale") >= 0.05, F.lit(False))
-    return sampled.join(scale, keys + ["ray"], "left").select(
-        *keys, "ray", "k", "u",
-        F.when(good, ratio("raw", "scale")).otherwise(F.col("raw")).alias("value"),
-        (F.col("ok") & good).alias("supported"),
-    )
+    step, middle = 2 * math.pi / rays, (size - 1) / 2
+    u = np.arange(samples) / float(samples - 1)
+    inside = (u >= 0.08) & (u <= 0.92)
+
+    def sample(key: tuple, frame: pa.Table) -> pa.Table:
+        y, x = frame["y"].to_numpy().astype(np.int64), frame["x"].to_numpy().astype(np.int64)
+        known = ~frame["brightness"].is_null().to_numpy()
+        masked, valid = (frame[c].fill_null(False).to_numpy() for c in ("in_mask", "valid"))
+        y0, x0, h, w = y.min(), x.min(), np.ptp(y) + 1, np.ptp(x) + 1
+        light, have, good = np.zeros((h, w)), np.zeros((h, w), bool), np.zeros((h, w), bool)
+        light[y - y0, x - x0] = np.where(known, frame["brightness"].fill_null(0.0).to_numpy(), 0.0)
+        have[y - y0, x - x0], good[y - y0, x - x0] = known, valid
+
+        dy, dx = y[masked] - middle, x[masked] - middle
+        ray = np.floor((np.arctan2(dy, dx) + 2 * math.pi) % (2 * math.pi) / step + 0.5).astype(np.int64) % rays
+        rim = np.full(rays, -1.0)
+        np.maximum.at(rim, ray, np.sqrt(dx * dx + dy * dy))
+        ray = np.flatnonzero(rim >= 0)
+        reach = u * rim[ray, None]
+        sx = np.round(middle + reach * np.cos(ray * step)[:, None], 9)
+        sy = np.round(middle + reach * np.sin(ray * step)[:, None], 9)
+        raw, any_raw = np.zeros(sx.shape), np.zeros(sx.shape, bool)
+        ok, any_near = np.ones(sx.shape, bool), np.zeros(sx.shape, bool)
+        for a in (0, 1):
+            for b in (0, 1):
+                cy, cx = np.floor(sy).astype(np.int64) + a, np.floor(sx).astype(np.int64) + b
+                weight = (1 - np.abs(sx - cx)) * (1 - np.abs(sy - cy))
+                used = weight > 1e-9
+                near = used & (np.abs(sx - cx) <= 0.5) & (np.abs(sy - cy) <= 0.5)
+                held = used & (cy >= y0) & (cy < y0 + h) & (cx >= x0) & (cx < x0 + w)
+                at = np.where(held, cy - y0, 0), np.where(held, cx - x0, 0)
+                seen = held & have[at]
+                raw += np.where(seen, weight * light[at], 0.0)
+                any_raw |= seen
+                ok &= ~near | (held & good[at])
+                any_near |= near
+        ok &= any_near & any_raw & inside
+        n = ok.sum(axis=1)
+        ordered = np.sort(np.where(ok, raw, np.inf), axis=1)
+        row, last = np.arange(len(ray)), np.maximum(n - 1, 0)
+        scale = 0.5 * ordered[row, last // 2] + 0.5 * ordered[row, (last + 1) // 2]
+        scaled = ((n > 0) & ~(scale < 0.05))[:, None]
+        value = np.divide(raw, scale[:, None], out=raw.copy(), where=scaled)
+        columns = [pa.repeat(k, sx.size) for k in key] + [
+            pa.array(np.repeat(ray, samples).astype(np.int32)), pa.array(np.tile(np.arange(samples, dtype=np.int32), len(ray))),
+            pa.array(np.tile(u, len(ray))), pa.array(value.ravel(), mask=~any_raw.ravel()), pa.array((ok & scaled).ravel()),
+        ]
+        return pa.Table.from_arrays(columns, names=[*keys, "ray", "k", "u", "value", "supported"])
+
+    rows = px.select(*keys, F.col("y").cast("int"), F.col("x").cast("int"), F.col("brightness").cast("double"), "valid", "in_mask")
+    shape = rows.select(*keys).schema.add("ray", "integer").add("k", "integer").add("u", "double").add("value", "double").add("supported", "boolean")
+    return rows.groupBy(*keys).applyInArrow(sample, shape)
 
 
 def edge_strength(

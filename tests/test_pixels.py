@@ -1,3 +1,6 @@
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +119,32 @@ def test_validity_order(spark):
     df = spark.createDataFrame(rows, "k string, o int, status string, reasons array<string>")
     got = {r.k: (r.status, r.reasons) for r in U.compose_validity(df, ["k"], "o", "status", "reasons").collect()}
     assert got == {"a": ("unavailable", ["y", "x", "z"]), "b": ("ok", [])}
+
+
+def test_polar_profile_of_an_incomplete_frame_sends_pixels_only(spark):
+    light = {(y, x): 1.0 + 0.1 * y + 0.01 * x for y in range(8) for x in range(8) if (y, x) != (3, 6)}
+    rows = [(1, 0, y, x, None if (y, x) == (6, 3) else v, (y, x) != (0, 3), True) for (y, x), v in light.items()]
+    px = spark.createDataFrame(rows, "series_id long, position long, y int, x int, brightness double, valid boolean, in_mask boolean")
+    profile = P.polar_profile(px, 8, 4, 8)
+    plan = profile._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Generate" not in plan
+    got = {(r.ray, r.k): r for r in profile.collect()}
+    assert len(got) == 32
+    steps = {0: (0, 1), 1: (1, 0), 2: (0, -1), 3: (-1, 0)}
+    reach = {a: max(math.hypot(y - 3.5, x - 3.5) for y, x in light if int((math.atan2(y - 3.5, x - 3.5) + 2 * math.pi) % (2 * math.pi) / (math.pi / 2) + 0.5) % 4 == a) for a in steps}
+    for a, (dy, dx) in steps.items():
+        raw, ok = {}, {}
+        for k in range(8):
+            sy, sx = (round(3.5 + k / 7 * reach[a] * d, 9) for d in (dy, dx))
+            corners = [(y, x, (1 - abs(sy - y)) * (1 - abs(sx - x))) for y in (math.floor(sy), math.floor(sy) + 1) for x in (math.floor(sx), math.floor(sx) + 1)]
+            corners = [c for c in corners if c[2] > 1e-9]
+            seen = [w * light[y, x] for y, x, w in corners if (y, x) in light and (y, x) != (6, 3)]
+            near = [(y, x) for y, x, _ in corners if abs(sy - y) <= 0.5 and abs(sx - x) <= 0.5]
+            raw[k] = sum(seen) if seen else None
+            ok[k] = bool(near) and all(c in light and c != (0, 3) for c in near) and 0.08 <= k / 7 <= 0.92 and bool(seen)
+        scale = float(np.median([raw[k] for k in raw if ok[k]])) if any(ok.values()) else None
+        for k in range(8):
+            r = got[a, k]
+            assert r.supported == (ok[k] and scale is not None and scale >= 0.05), (a, k)
+            assert (r.value is None) == (raw[k] is None)
+            assert raw[k] is None or r.value == pytest.approx(raw[k] / scale if scale and scale >= 0.05 else raw[k])
