@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -431,6 +433,32 @@ def quarter_turn_distance(a: Column, b: Column) -> Column:
     return F.least(*[rms(t) for t in range(4)])
 
 
+def _medians_to_others():
+    """Per view of a set of eight-sided shapes the median distance to the views of another place; null for a null set."""
+
+    def one(place, shapes):
+        place, x = np.asarray(place), np.array([np.asarray(v, float) for v in shapes])
+        turned = [np.roll(x, 2 * t, axis=1) for t in range(4)]
+        out = []
+        for i, a in enumerate(x):
+            sums = []
+            for b in turned:
+                s = np.zeros(len(x))
+                for side in range(8):  # in the order of `quarter_turn_distance`
+                    s += (a[side] - b[:, side]) * (a[side] - b[:, side])
+                sums.append(np.sqrt(s / 8))
+            d = np.sort(np.min(sums, axis=0)[place != place[i]])
+            at = (len(d) - 1) * 0.5
+            lo = int(at)
+            out.append(d[lo] + (d[int(np.ceil(at))] - d[lo]) * (at - lo) if len(d) else None)
+        return out
+
+    def many(place: pd.Series, shapes: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else one(p, s) for p, s in zip(place, shapes)], dtype=object)
+
+    return F.pandas_udf(many, "array<double>")
+
+
 def medoid_consensus(
     shapes: DataFrame, keys: list[str], ident: str, score: str, floor: float, multiplier: float, top: int, minimum: int = 3,
     error: str | None = None, quality: str | None = None, rank: str | None = None,
@@ -452,21 +480,18 @@ def medoid_consensus(
     every = shapes.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("__set"))
     few = every.where(F.size("__set") < minimum).select(*keys, F.explode("__set.id").alias(ident))
     sets = every.where(F.size("__set") >= minimum)
-    medians = F.transform(
-        "__set",
-        lambda a: F.struct(
-            F.round(
-                array_median(F.transform(F.filter("__set", lambda b: b["id"] != a["id"]), lambda b: quarter_turn_distance(a["shape"], b["shape"]))), 12
-            ).alias("m"),
-            a["id"].alias("id"),
-            a["shape"].alias("shape"),
-        ),
-    )
-    sets = sets.withColumn("medoid", F.array_min(medians))
-    to_medoid = lambda a: quarter_turn_distance(a["shape"], F.col("medoid.shape"))
+    sets = sets.withColumn("__ids", F.col("__set.id")).withColumn("__place", F.transform("__ids", lambda i: F.array_position("__ids", i)))
+    plain = F.forall("__set.shape", lambda v: F.coalesce((F.size(v) == 8) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False)))
+    others = lambda a: F.filter("__set", lambda b: b["id"] != a["id"])
+    odd = F.transform("__set", lambda a: array_median(F.transform(others(a), lambda b: quarter_turn_distance(a["shape"], b["shape"]))))
+    shapes_of = F.when(plain, F.transform("__set", lambda a: F.transform(a["shape"], lambda x: x.cast("double"))))
+    sets = sets.withColumn("__plain", _medians_to_others()("__place", shapes_of)).withColumn("__medians", F.coalesce("__plain", odd))
+    named = F.zip_with("__medians", "__set", lambda m, a: F.struct(F.round(m, 12).alias("m"), a["id"].alias("id"), a["shape"].alias("shape")))
+    sets = sets.withColumn("medoid", F.array_min(named))
+    sets = sets.withColumn("__far", F.transform("__set", lambda a: quarter_turn_distance(a["shape"], F.col("medoid.shape"))))
     sets = sets.withColumn(
         "__dist",
-        F.transform("__set", lambda a: F.struct(*[a[c].alias(c) for c in ("n", "error", "quality")], F.round(to_medoid(a), 12).alias("d"), a["rank"].alias("rank"), a["id"].alias("id"), to_medoid(a).alias("distance"))),
+        F.zip_with("__set", "__far", lambda a, d: F.struct(*[a[c].alias(c) for c in ("n", "error", "quality")], F.round(d, 12).alias("d"), a["rank"].alias("rank"), a["id"].alias("id"), d.alias("distance"))),
     )
     dist = F.transform("__dist", lambda x: x["distance"])
     sets = sets.withColumn("__med", array_median(dist)).withColumn("__mad", array_median(F.transform(dist, lambda v: F.abs(v - F.col("__med")))))

@@ -137,6 +137,29 @@ def test_medoid_rejects_the_odd_shape(spark):
     assert got[7] == "rejected" and got[6] != "rejected" and list(got.values()).count("selected") == 5
 
 
+def test_medoids_of_whole_and_odd_sets(spark):
+    rng = np.random.default_rng(5)
+    sets = {s: [[float(x) for x in rng.normal(size=8)] for _ in range(n)] for s, n in (("a", 3), ("b", 9), ("odd", 6))}
+    sets["odd"][2][5] = None  # a shape without one side is at no distance from any other
+
+    def far(a, b):
+        if None in a or None in b:
+            return None
+        return min(float(np.sqrt(np.mean((np.array(a) - np.roll(b, 2 * t)) ** 2))) for t in range(4))
+
+    rows = [(s, i, 1.0, v) for s, views in sets.items() for i, v in enumerate(views)]
+    df = spark.createDataFrame(rows, "s string, id int, score double, shape array<double>")
+    found = R.medoid_consensus(df, ["s"], "id", "score", 9.0, 2.5, 5)
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()  # no nested row expressions over pairs of whole shapes
+    got = {(r.s, r.id): r for r in found.collect()}
+    for s in ("a", "b"):
+        med = [np.median([far(a, b) for j, b in enumerate(sets[s]) if j != i]) for i, a in enumerate(sets[s])]
+        best = int(np.argmin(np.round(med, 12)))
+        for i, a in enumerate(sets[s]):
+            assert got[s, i].medoid == best and got[s, i].distance == pytest.approx(far(a, sets[s][best]))
+    assert got["odd", 0].medoid == 2  # a null median is the smallest, as before
+
+
 def golden():
     rows = []
     for line in (ROOT / "FIXTURES.md").read_text().splitlines():
