@@ -21,6 +21,7 @@ from gyre.llm.text import packed, unpacked
 from gyre.session import written  # noqa: F401  the operators here take it from this module
 
 CHUNK_BYTES = 16 << 20
+PIECE_BYTES = 2 << 10  # text behind what one chunk asks of one bucket, at least
 ASK = "chunk long, bucket int, names binary, counts binary"
 REPLY = "chunk long, names binary, counts binary, first binary"
 _ask = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("names", pa.binary()), ("counts", pa.binary())])
@@ -59,10 +60,19 @@ def _payloads(batches):
         yield pa.RecordBatch.from_arrays([pa.array(chunk[cuts], pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "payload"])
 
 
+def total_bytes(df: DataFrame, size: Column) -> int:
+    return df.agg(F.sum(size.cast("long"))).first()[0] or 0
+
+
 def chunks_for(df: DataFrame, size: Column, chunk_bytes: int = CHUNK_BYTES) -> int:
     """So many chunks that one holds about `chunk_bytes`, one a shuffle partition at least."""
-    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
-    return max(partitions(df), -(-total // chunk_bytes))
+    return max(partitions(df), -(-total_bytes(df, size) // chunk_bytes))
+
+
+def buckets_for(size: int, chunks: int) -> int:
+    """Buckets for the names of `chunks` chunks of `size` bytes together: half as many as chunks, but only as many as leave
+    each pair of them `PIECE_BYTES`. A pair is a row of `ASK`, so the rows grow with the texts, however many chunks there are."""
+    return max(1, min(-(-chunks // 2), size // (chunks * PIECE_BYTES)))
 
 
 def in_chunks(docs: DataFrame, by: tuple[str, ...] | None = ("doc_id", "text"), per_partition: int = 1, chunks: int | None = None) -> DataFrame:

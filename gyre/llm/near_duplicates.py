@@ -35,6 +35,7 @@ from gyre.llm.exchange import (
     ASK,
     answers,
     ask_rows,
+    buckets_for,
     chunk_rows,
     coded,
     counted,
@@ -44,12 +45,14 @@ from gyre.llm.exchange import (
     looked_up,
     partitions,
     reply_arrays,
+    total_bytes,
     written,
 )
 
 ORDERS = 3
 CENTRES = 3
 PERCENT = 75
+CHUNK_BYTES = 5 << 20
 BLOCK_TOKENS = 1 << 18  # shingles of a block of sets; a larger set is a block of its own
 
 
@@ -279,8 +282,9 @@ def _unit_links(percent: int):
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_rows) per row of `docs`; see the module's notes."""
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chunks = in_chunks(chosen, per_partition=4)
-    buckets = partitions(docs) * 2
+    size_sum, n = total_bytes(chosen, F.octet_length("text")), partitions(docs)
+    per_partition = max(1, -(-size_sum // (n * CHUNK_BYTES)))
+    chunks, buckets = in_chunks(chosen, per_partition=per_partition), buckets_for(size_sum, n * per_partition)
     replies = answers(chunks.groupBy("chunk").applyInArrow(_asks(size, buckets), ASK))
     local = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_classes(size, percent), CLASS)
     local = written(local)

@@ -1,6 +1,8 @@
 import itertools
 
+from gyre.llm import near_duplicates
 from gyre.llm.components import components
+from gyre.llm.exchange import PIECE_BYTES, buckets_for
 from gyre.llm.near_duplicates import jaccard_components
 from llm_helpers import documents, edge_texts, words
 
@@ -47,3 +49,20 @@ def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (7, 7), (None, 3)] + [(200, 200 + k) for k in range(1, 30)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(41)}, **{i: 100 for i in (100, 101, 102)}, **{200 + k: 200 for k in range(30)}}
+
+
+def test_rows_between_chunks_and_buckets_grow_with_the_texts(spark, monkeypatch):
+    for size, chunks in ((0, 12), (54_592_527, 211), (863_738_755, 204), (30 * 10**9, 9000)):
+        assert 1 <= buckets_for(size, chunks) <= max(1, chunks)
+        assert chunks * buckets_for(size, chunks) <= max(chunks, size // PIECE_BYTES)
+    asked, was = [], near_duplicates.answers
+    monkeypatch.setattr(near_duplicates, "answers", lambda asks: asked.append(asks) or was(asks))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        texts = edge_texts()
+        rows = jaccard_components(documents(spark, texts)).collect()
+        assert asked[0].count() <= max(40, sum(len((t or "").encode()) for t in texts) // PIECE_BYTES)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == expected(texts)
