@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gyre.llm import text as X
+from gyre.llm.exchange import give_back
 
 PER_CLASS = 2000
 NEIGHBOURS = 15
@@ -121,12 +122,14 @@ class Vocabulary:
 
 def _document_frequency(shared):
     def run(batches):
+        give_back()
         vocabulary = Vocabulary(shared.value)
         df, n = np.zeros(len(vocabulary.terms), np.int64), 0
         for batch in batches:
             for _, _, _, term, _ in vocabulary.counts(batch.column("text")):
                 df += np.bincount(term, minlength=len(df))
             n += batch.num_rows
+            give_back()
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([*held, -1], pa.int32()), pa.array([*df[held], n], pa.int64())], names=["term", "df"])
 
@@ -135,6 +138,7 @@ def _document_frequency(shared):
 
 def _example_rows(batches):
     """Distinct features of an example and their counts."""
+    give_back()
     for batch in batches:
         for lo, hi, data, offsets in _blocks(batch.column("text")):
             found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)), *_features(data, offsets)]
@@ -301,10 +305,12 @@ class Model:
 def _scorer(shared):
     @F.arrow_udf("score double, nearest double, toxic_votes long")
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
         model = shared.value
         vocabulary = Vocabulary(model.terms)
         blank = model.score(model.blank_raw)
         for column in texts:
+            give_back()
             n = len(column)
             score, nearest, votes = np.full(n, blank), np.zeros(n), np.zeros(n, np.int64)
             for lo, hi, row, term, count in vocabulary.counts(column):
@@ -316,6 +322,7 @@ def _scorer(shared):
                         score[i] = model.score(model.vote(example, cosine))
                         votes[i] = model.labels[example].sum()
                         nearest[i] = cosine[0] if len(cosine) else 0.0
+            del column
             yield pa.StructArray.from_arrays([pa.array(score), pa.array(nearest), pa.array(votes)], names=["score", "nearest", "toxic_votes"])
 
     return scored
@@ -335,11 +342,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int =
     digests = [blake2b(f.as_buffer().to_pybytes() + c.as_buffer().to_pybytes()).digest() for f, c in zip(seen["feature"], seen["count"])]
     labels = seen["toxic"].to_numpy()
     order = sorted(range(len(labels)), key=lambda i: (digests[i], labels[i]))
+    give_back()
     labels, seen = labels[order], seen.take(pa.array(order, pa.int64())).combine_chunks()
     data, at = X.batch_bytes(seen["feature"])
     terms, term = np.unique(data.view(np.uint64), return_inverse=True)
     term, first, count = term.astype(np.int32), at // 8, X.batch_bytes(seen["count"])[0].view(np.int32).copy()
     del seen, data
+    give_back()
     of = np.repeat(labels, np.diff(first))
     held = [np.bincount(term[of == x], minlength=len(terms)) for x in (0, 1)]  # a row holds a term once
     shared = spark.sparkContext.broadcast(terms)

@@ -1,6 +1,9 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+from gyre.llm import toxicity as module
 from gyre.llm.toxicity import BlockMaxIndex, fit, toxicity
 from llm_helpers import documents, sentence
 
@@ -157,3 +160,13 @@ def test_whole_scores_equal_plain_cosines(spark):
     rows = {r.row.doc_id: r.score for r in toxicity(docs, labels).collect()}
     assert max(abs(rows[i] - want[i]) for i in range(len(texts))) < 1e-6
     assert rows[0] == rows[164] == rows[165]
+
+
+def test_workers_give_memory_back_after_every_batch(spark, monkeypatch):
+    docs = documents(spark, [f"plain words {i} and more" if i % 2 else f"vile words {i} and more" for i in range(40)])
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(40)], "doc_id long, toxic int")
+    model, calls = fit(docs, labels), []
+    monkeypatch.setattr(module, "give_back", lambda: calls.append(1))
+    batches = [pa.array(["vile words", "plain words"]), pa.array([None, "and more"])]
+    found = list(module._scorer(SimpleNamespace(value=model)).func(iter(batches)))
+    assert [len(x) for x in found] == [2, 2] and len(calls) >= 1 + len(batches)
