@@ -11,8 +11,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gyre.functions.arrays import array_median, array_quantile, array_sum, let, present, robust_z, smooth_reflect
 from gyre.functions.guards import ratio
@@ -143,24 +146,51 @@ def profile_peaks(df: DataFrame, curve: str, n: int, minimum: int = 3, fill_to:
     )
 
 
+def _medians_of_sets(keys: list[str], sector: str, schema: pa.Schema):
+    def medians(values: np.ndarray, valid: np.ndarray):
+        """Of the columns of a matrix, and which have one; the mean of the middle two as Spark's median takes it."""
+        n = valid.sum(axis=0)
+        ordered = np.sort(np.where(valid, values, np.nan), axis=0)
+        low, high = (np.take_along_axis(ordered, at[None, :], axis=0)[0] for at in (np.maximum(n - 1, 0) // 2, np.minimum(n // 2, len(valid) - 1)))
+        return np.where(n % 2 == 1, low, 0.5 * low + 0.5 * high), n > 0
+
+    def run(table: pa.Table) -> pa.Table:
+        lists = table["profile"].combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(int)
+        if not size.sum():
+            return schema.empty_table()
+        flat = lists.flatten()
+        row, place = np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        values, valid = np.full((len(size), size.max()), np.nan), np.zeros((len(size), size.max()), bool)
+        values[row, place] = flat.to_numpy(zero_copy_only=False)
+        valid[row, place] = flat.is_valid().to_numpy(zero_copy_only=False)
+        of: dict = {}
+        for i, name in enumerate(table[sector].to_pylist()):
+            if size[i]:
+                of.setdefault(name, []).append(i)
+        cells = {name: (size[rows].max(), *medians(values[rows], valid[rows])) for name, rows in of.items()}
+        middle, found = medians(np.array([v for _, v, _ in cells.values()]), np.array([ok for _, _, ok in cells.values()]))
+        listed = [{"s": name, "p": pa.array(v[:k], mask=~ok[:k]).to_pylist()} for name, (k, v, ok) in cells.items()]
+        one = {c: table[c].slice(0, 1) for c in keys}
+        return pa.table(one | {"raw": [np.where(found, middle, 0.0)], "cells": [listed]}, schema)
+
+    return run
+
+
 def consensus(profiles: DataFrame, keys: list[str], sector: str, n: int) -> DataFrame:
     """Per set: eight sector medians over frames, and their smoothed median profile.
 
-    Sample positions are exploded so that each median is an aggregate over the frames of
-    one sector and sample.
+    A set meets as a whole, one array a profile: its frames x sectors are bounded, and its medians by sample need no
+    rows of their own.
     """
-    long = profiles.select(*keys, sector, F.posexplode("profile").alias("k", "v"))
-    cells = long.groupBy(*keys, sector, "k").agg(F.median("v").alias("v"))
-    mid = cells.groupBy(*keys, "k").agg(F.median("v").alias("c"))
-    # One row per set: the sample-ordered median curve.
-    rows = mid.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("c", F.lit(0.0)).alias("c")))).alias("r"))
-    curve = rows.select(*keys, F.transform("r", lambda x: x["c"]).alias("raw"))
-    curve = curve.select(*keys, smooth_reflect(F.col("raw"), gaussian_kernel(SMOOTHING)).alias("curve"))
-    by_sector = cells.groupBy(*keys, sector).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("r"))
-    by_sector = by_sector.select(*keys, sector, F.transform("r", lambda x: x["v"]).alias("p"))
-    scored = by_sector.select(*keys, F.struct(F.col(sector).alias("s"), "p", robust_z(F.col("p")).alias("z")).alias("e"))
-    sectors = scored.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("sectors"))
-    return curve.join(sectors, keys)
+    whole = profiles.dropna(subset=keys).select(*keys, sector, F.col("profile").cast("array<double>").alias("profile"))
+    kind = T.StructType([whole.schema[c] for c in keys]).add("raw", T.ArrayType(T.DoubleType()))
+    kind = kind.add("cells", T.ArrayType(T.StructType().add("s", whole.schema[sector].dataType).add("p", T.ArrayType(T.DoubleType()))))
+    sets = whole.groupBy(*keys).applyInArrow(_medians_of_sets(keys, sector, to_arrow_schema(kind)), kind)
+    scored = F.transform("cells", lambda c: F.struct(c["s"].alias("s"), c["p"].alias("p"), robust_z(c["p"]).alias("z")))
+    # The peaks read the curve many times over: without a cut Spark would smooth it again for every read.
+    return cut_lineage(sets.select(*keys, smooth_reflect(F.col("raw"), gaussian_kernel(SMOOTHING)).alias("curve"), F.array_sort(scored).alias("sectors")))
 
 
 def candidates(curves: DataFrame, n: int, policy: str = "global") -> DataFrame:
@@ -271,17 +301,20 @@ def boundary_template(cands: DataFrame, keys: list[str], n: int, evidence: DataF
 def candidate_persistence(profiles: DataFrame, cands: DataFrame, keys: list[str], frame: str, n: int) -> DataFrame:
     """Frames voting for each candidate (four of eight sectors), supported pairs, median offset, its score, and
     its place among the set's candidates that a frame votes for: most votes, most pairs, nearest, best score."""
+    # The few candidate rows and the votes feed several aggregates: compute them once.
+    cands = cut_lineage(cands)
     scale = _scales(cands, keys)
     score = selection_score(F.col("prominence"), F.col("__scale"), F.col("sector_support")).alias("score")
     named = cands.join(scale, keys).select(*keys, "peak_index", "peak_u", score)
     rows = profiles.withColumn("z", robust_z(F.col("profile"))).join(named, keys)
     peak = local_peak(F.col("profile"), F.col("z"), F.col("peak_u"), 0.025, 3, n)
     rows = rows.withColumn("p", peak).withColumn("ok", F.coalesce(F.col("p.z") >= Z_SUPPORT, F.lit(False)))
+    rows = cut_lineage(rows.select(*keys, "peak_index", frame, "ok", F.col("p.offset").alias("offset")))
     per_frame = rows.groupBy(*keys, "peak_index", frame).agg(F.count_if("ok").alias("votes"))
     vote = per_frame.groupBy(*keys, "peak_index").agg(
         F.count_if(F.col("votes") >= 4).alias("frame_votes"), F.sum("votes").alias("supported_pairs"), F.count(F.lit(1)).alias("frames")
     )
-    offset = rows.groupBy(*keys, "peak_index").agg(F.median(F.when(F.col("ok"), F.abs("p.offset"))).alias("median_offset"))
+    offset = rows.groupBy(*keys, "peak_index").agg(F.median(F.when(F.col("ok"), F.abs("offset"))).alias("median_offset"))
     found = vote.join(offset, keys + ["peak_index"]).join(named.select(*keys, "peak_index", "score"), keys + ["peak_index"])
     # A set has few candidates, so one window holds them.
     best = Window.partitionBy(*keys).orderBy(

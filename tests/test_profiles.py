@@ -154,3 +154,17 @@ def test_crossfit_scores_every_frame_once(fitted):
     for (r,) in by.values():
         assert (r.scored_frames, r.requested_frames, r.crossfit_status, r.status, r.reasons) == (8, 8, "ok", "ok", "")
         assert r.continuity_median == 1.0 and r.worst_gap == 0.0
+
+
+def test_consensus_reads_a_set_once_and_takes_plain_medians(spark):
+    data = [(s, f, r, [None if (s + f + r + k) % 5 == 0 or (s == 1 and k == 7) else float((7 * s + 3 * f + 5 * r + k * k) % 11) for k in range(N)]) for s in range(3) for f in range(4) for r in range(8)]
+    rows = spark.createDataFrame([*data, (3, 0, 0, None)], "set_id long, frame int, sector int, profile array<double>")
+    found = R.consensus(rows, ["set_id"], "sector", N)
+    # The curve is a stored column: its readers do not smooth it again.
+    assert "Scan ExistingRDD" in spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    for row in found.collect():
+        for sector in row.sectors:
+            for k, got in enumerate(sector.p):
+                seen = [p[k] for s, f, r, p in data if s == row.set_id and r == sector.s and p[k] is not None]
+                assert got == (float(np.median(seen)) if seen else None)
+    assert {r.set_id for r in found.collect()} == {0, 1, 2}
