@@ -53,9 +53,10 @@ CARAT_PATTERN = r"(?i)CARAT\s+WEIGHT\s*:?[ ]*([0-9.]+)"
 COLOUR_PATTERN = r"(?i)COL(?:O|OU)R\s+GRADE\s*:?[ ]*([A-Z]+)"
 CLARITY_PATTERN = r"(?i)CLARITY\s+GRADE\s*:?[ ]*(FL|IF|VVS1|VVS2|VS1|VS2|SI1|SI2|I1|I2|I3)"
 SHAPE_PATTERN = r"(?im)^[ \t]*SHAPE(?:[ \t]+AND[ \t]+(?:CUTTING[ \t]+STYLE|CUT))?[ \t]*:?[ \t]*(?:\r?\n\s*)?([^\r\n]*)$"
-TABLE_PATTERN = r"(?i)\bTable\s*%?\s*:?\s*([0-9]+(?:\.[0-9]+)?)\s*%"
-DEPTH_PATTERN = r"(?i)\bDepth\s*%?\s*:?\s*([0-9]+(?:\.[0-9]+)?)\s*%"
-RATIO_PATTERN = r"(?i)\b(?:L/W Ratio|Ratio)\s*:?\s*([0-9]+(?:\.[0-9]+)?)\b"
+# On text in lower case; a pattern begins with its plain label, so that the search jumps from label to label.
+TABLE_PATTERN = r"table(?<=\btable)\s*%?\s*:?\s*([0-9]+(?:\.[0-9]+)?)\s*%"
+DEPTH_PATTERN = r"depth(?<=\bdepth)\s*%?\s*:?\s*([0-9]+(?:\.[0-9]+)?)\s*%"
+RATIO_PATTERN = r"ratio(?<=\bratio)\s*:?\s*([0-9]+(?:\.[0-9]+)?)\b"  # L/W Ratio, too
 # Words and abbreviations of a grade, of fluorescence, of the girdle and of the culet.
 GRADES = {
     "ideal": "Ideal",
@@ -91,6 +92,7 @@ FLUORESCENCE = {
 GIRDLE = ("extremely thin", "very thin", "slightly thin", "thin", "medium", "slightly thick", "thick", "very thick", "extremely thick")
 CULET = ("none", "pointed", "very small", "small", "medium", "slightly large", "large", "very large")
 EXCERPT = 180
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CERT_FIELDS = ("shape", "origin", "colour", "clarity", "carat")
 
 
@@ -472,29 +474,33 @@ def extract_certificate_fields(df: DataFrame, text: str) -> DataFrame:
 def extract_proportions(df: DataFrame, text: str) -> DataFrame:
     """Table, depth and ratio within their ranges, and the closed vocabularies of grades, fluorescence,
     girdle (one level or a range) and culet; placeholders are no grade and stay null."""
-    t = F.col(text)
+    t = F.col("__lower")
+    names = [c for c in df.columns if c != text]
+    # Only A-Z are lowered; one byte a character means that no other letters are there.
+    plain = F.octet_length(text) == F.char_length(text)
+    df = df.withColumn("__lower", F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower())))
 
     def number(pattern: str, limit: float) -> Column:
         v = extracted(t, pattern).try_cast("double")
         return F.when((v > 0) & (v <= limit), v)
 
-    def word(label: str, words, tail: str = "") -> Column:
+    def word(label: str, words, tail: str = "", after: str = "") -> Column:
         one_of = "|".join(w.replace(" ", r"\s+") for w in sorted(words, key=len, reverse=True))
-        found = extracted(t, rf"(?i)\b{label}\s*:?\s*((?:{one_of}){tail.format(one_of)})\b")
-        return F.lower(F.regexp_replace(found, r"\s+", " "))
+        found = extracted(t, rf"{label}(?<=\b{label}){after}\s*:?\s*((?:{one_of}){tail.format(one_of)})\b")
+        return F.regexp_replace(found, r"\s+", " ")
 
-    grade = lambda label: lookup(GRADES, word(label, GRADES))
+    grade = lambda label, after="": lookup(GRADES, word(label, GRADES, after=after))
     return df.select(
-        *[c for c in df.columns if c != text],
+        *names,
         number(TABLE_PATTERN, 100).alias("table_percent"),
         number(DEPTH_PATTERN, 100).alias("depth_percent"),
         number(RATIO_PATTERN, 10).alias("length_width_ratio"),
-        grade(r"Cut(?:\s+Grade)?").alias("cut"),
-        grade("Polish").alias("polish"),
-        grade("Symmetry").alias("symmetry"),
-        lookup(FLUORESCENCE, word("Fluorescence", FLUORESCENCE)).alias("fluorescence"),
-        F.replace(F.initcap(word("Girdle", GIRDLE, r"(?:\s+to\s+(?:{}))?")), F.lit(" To "), F.lit(" to ")).alias("girdle"),
-        F.initcap(word("Culet", CULET)).alias("culet"),
+        grade("cut", r"(?:\s+grade)?").alias("cut"),
+        grade("polish").alias("polish"),
+        grade("symmetry").alias("symmetry"),
+        lookup(FLUORESCENCE, word("fluorescence", FLUORESCENCE)).alias("fluorescence"),
+        F.replace(F.initcap(word("girdle", GIRDLE, r"(?:\s+to\s+(?:{}))?")), F.lit(" To "), F.lit(" to ")).alias("girdle"),
+        F.initcap(word("culet", CULET)).alias("culet"),
     )
 
 

@@ -72,3 +72,18 @@ def test_nulls_in_a_source_profile(spark):
     rows = {r.family: (r.status, r.reasons) for r in P.can_compare(pairs, P.assess(df, "id"), "id").collect()}
     assert rows["geometry_topology"] == ("ok", "") and rows["relative_luminance_dynamics"] == ("ok", "")
     assert rows["absolute_luminance_amplitude"][0] == "review" and "cross_source_radiometric_calibration_missing" in rows["absolute_luminance_amplitude"][1]
+
+
+def test_proportions_are_searched_by_plain_labels(spark):
+    for pattern in (K.TABLE_PATTERN, K.DEPTH_PATTERN, K.RATIO_PATTERN):
+        assert pattern[:5].isalpha() and pattern[:5].islower()
+    rows = [
+        (1, "xTable 3% TABLE: 58.5% é l/w RATIO 1.25 cut GRADE: vg GIRDLE Thin TO very  THICK Culet NONE"),
+        (2, "Girdle: thicK Tables 5% Ratio: 12 Polish İdeal Symmetry: EX"),
+        (3, None),
+    ]
+    found = {r.id: r for r in K.extract_proportions(spark.createDataFrame(rows, "id long, text string"), "text").collect()}
+    one, two = found[1], found[2]
+    assert (one.table_percent, one.length_width_ratio, one.cut, one.girdle, one.culet) == (58.5, 1.25, "Very Good", "Thin to Very Thick", "None")
+    assert (two.table_percent, two.length_width_ratio, two.girdle, two.polish, two.symmetry) == (None, None, None, None, "Excellent")
+    assert set(found[3][1:]) == {None}
