@@ -10,6 +10,7 @@ from gyre.plans.registry import query, r6
 from gyre.plans.sequence_queries import PAIRS, WRAPPED
 from gyre.plans.trace_queries import BANDED, MORPH, banded, flash_cells
 from gyre.plans.views import CYCLES, PERIOD, STEPS
+from gyre.session import written
 
 KEY = ["series_id"]
 FRAME = ["series_id", "position"]
@@ -169,12 +170,17 @@ def candidates(t):
     return out
 
 
-def native_events(t):
+def native_steps(t):
+    """The steps that all families read, kept as a table: every family would count the positions again."""
+    steps = t.steps.select("series_id", "position", "source_index", "value", "other", (F.col("value") < 0.65 * F.col("other")).alias("state"))
+    return written(steps)
+
+
+def native_events(steps):
     """Native events of all eight families from the traces `value` and `other` of a user's events."""
     from gyre.operators.pairing import matched_area_pair
     from gyre.operators.selection import extreme
 
-    steps = t.steps.select("series_id", "position", "source_index", "value", "other", (F.col("value") < 0.65 * F.col("other")).alias("state"))
     steps = steps.withColumn("barrier", F.lit("gap"))
     index = (F.col("position") % PERIOD).alias("source_index")
     sides = [((F.col("position") - 1) % PERIOD).alias("left_source_index"), (F.col("position") % PERIOD).alias("right_source_index")]
@@ -223,7 +229,8 @@ def native_events(t):
 
 
 def native_candidates(t):
-    return V.collect_candidates(native_events(t), t.steps.select("series_id", "position", "source_index"))
+    steps = native_steps(t)
+    return V.collect_candidates(native_events(steps), steps.select("series_id", "position", "source_index"))
 
 
 FRAME_AT, PAIR_AT = f"CAST(position % {PERIOD} AS VARCHAR)", f"(position - 1) % {PERIOD} || ',' || position % {PERIOD}"

@@ -277,3 +277,14 @@ def test_record_keys_keep_parts_apart(spark):
 def test_weighted_quantile_counts_points(spark):
     df = spark.createDataFrame([("one", 5.0, 1.0), ("two", 5.0, 1.0), ("two", 5.0, 2.0), ("none", 1.0, 0.0)], "k string, v double, w double")
     assert {r.k: r.value for r in V.weighted_quantile(df, ["k"], "v", "w", [0.5]).collect()} == {"one": None, "two": 5.0, "none": None}
+
+
+def test_native_candidates_count_positions_once(spark, tmp_path):
+    from gyre.plans.evidence_queries import native_candidates
+    from gyre.plans.views import Tables
+
+    rows = [(i, i % 3, "click" if i % 7 else "error", float(i * i % 17), '{"k": %d}' % (i % 5 + 1)) for i in range(90)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    found = native_candidates(Tables(spark, str(tmp_path)))
+    assert "events.parquet" not in " ".join(found.inputFiles())
+    assert {r.series_id for r in found.select("series_id").distinct().collect()} == {0, 1, 2}
