@@ -45,19 +45,22 @@ def decoded(blob) -> np.ndarray:
 
 def _payloads(batches):
     """Rows of a batch by chunk, each chunk's rows as one compressed arrow stream."""
+    give_back()
     for batch in batches:
         chunk = batch.column("chunk").to_numpy()
         order = np.argsort(chunk, kind="stable")
-        rows = pa.Table.from_batches([batch]).drop_columns("chunk").take(pa.array(order))
+        rows = pa.Table.from_batches([batch]).drop_columns("chunk")
         chunk = chunk[order]
         cuts = np.flatnonzero(np.diff(chunk, prepend=-1))
         blobs = []
         for a, b in zip(cuts, np.append(cuts[1:], len(chunk))):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(rows.slice(a, b - a).combine_chunks())
+                out.write_table(rows.take(pa.array(order[a:b])).combine_chunks())
             blobs.append(sink.getvalue().to_pybytes())
+        del batch, rows
         yield pa.RecordBatch.from_arrays([pa.array(chunk[cuts], pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "payload"])
+        give_back()
 
 
 def total_bytes(df: DataFrame, size: Column) -> int:

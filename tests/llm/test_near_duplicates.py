@@ -1,6 +1,7 @@
 import itertools
 
-from gyre.llm import near_duplicates
+import pyarrow as pa
+from gyre.llm import exchange, near_duplicates
 from gyre.llm.components import components
 from gyre.llm.exchange import PIECE_BYTES, buckets_for
 from gyre.llm.near_duplicates import jaccard_components
@@ -66,3 +67,11 @@ def test_rows_between_chunks_and_buckets_grow_with_the_texts(spark, monkeypatch)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == expected(texts)
+
+
+def test_dealing_gives_memory_back_after_every_batch(monkeypatch):
+    calls = []
+    monkeypatch.setattr(exchange, "give_back", lambda: calls.append(1))
+    batches = [pa.record_batch({"chunk": pa.array([2, 1, 2], pa.int64()), "text": ["a", None, "c"]}), pa.record_batch({"chunk": pa.array([5], pa.int64()), "text": ["d"]})]
+    got = [(k, pa.ipc.open_stream(p).read_all()["text"].to_pylist()) for b in exchange._payloads(iter(batches)) for k, p in zip(b["chunk"].to_pylist(), b["payload"].to_pylist())]
+    assert got == [(1, [None]), (2, ["a", "c"]), (5, ["d"])] and len(calls) == 1 + len(batches)
