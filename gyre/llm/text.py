@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 20
+STRETCH = 1 << 16  # bytes whose words are hashed at once
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -32,7 +33,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i for i < n."""
     if len(_powers[0]) < n:
-        size = max(n, BLOCK + 4096)
+        size = STRETCH + 4096 if n <= STRETCH + 4096 else max(n, BLOCK + 4096)
         for k, b in enumerate((BASE, BASE_INVERSE)):
             p = np.full(size, b, np.uint64)
             p[0] = 1
@@ -117,13 +118,25 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     out = np.empty(len(starts), np.uint64)
     first = 0
     while first < len(starts):
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + BLOCK, "right")))
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + STRETCH, "right")))
         lo, hi = starts[first], ends[last - 1]
         out[first:last] = span_hash(prefix_hash(data[lo:hi]), starts[first:last] - lo, ends[first:last] - lo)
         first = last
     return mix(out + (ends - starts).astype(np.uint64))
 
 
+def beginning_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...]):
+    """(size, spans longer than that, their first bytes as `span_hash` reads them) for ascending `sizes`."""
+    long, found, done = np.arange(len(starts)), np.zeros(len(starts), np.uint64), 0
+    for size in sizes:
+        keep = ends[long] - starts[long] > size
+        long, found = long[keep], found[keep]
+        for i in range(done, size):
+            found += BYTE_VALUE[data[starts[long] + i]] * np.uint64(pow(BASE, i, 1 << 64))
+        done = size
+        yield size, long, found
+
+
 def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of `size` consecutive words per document; a document of fewer words, but not none,
     has one shingle of them all. Returns hashes and the first shingle of each document."""

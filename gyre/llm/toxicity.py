@@ -20,6 +20,7 @@ repeated rows score alike. Texts are read whole; only sums and bounded samples a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 from hashlib import blake2b
 
 import numpy as np
@@ -97,12 +98,11 @@ class Vocabulary:
         part = X.LOWER[data]
         starts, ends, first = X.word_spans(part, offsets, X.ALNUM)
         names, one, which = np.unique(X.word_hashes(part, starts, ends), return_index=True, return_inverse=True)
-        starts, ends, sums = starts[one], ends[one], X.prefix_hash(part)
+        starts, ends = starts[one], ends[one]
         words, places = [np.arange(len(names))], [self.places(names)]
-        for size in BEGINNINGS:
-            long = np.flatnonzero(ends - starts > size)
+        for size, long, found in X.beginning_hashes(part, starts, ends, BEGINNINGS):
             words.append(long)
-            places.append(self.places(X.salted(X.span_hash(sums, starts[long], starts[long] + size), size)))
+            places.append(self.places(X.salted(found, size)))
         words, places = np.concatenate(words), np.concatenate(places)
         known = np.flatnonzero(places >= 0)
         known = known[np.argsort(words[known], kind="stable")]
@@ -131,7 +131,9 @@ def _document_frequency(shared):
             n += batch.num_rows
             give_back()
         held = np.flatnonzero(df)
+        del vocabulary
         yield pa.RecordBatch.from_arrays([pa.array([*held, -1], pa.int32()), pa.array([*df[held], n], pa.int64())], names=["term", "df"])
+        give_back()
 
     return run
 
@@ -188,16 +190,18 @@ class BlockMaxIndex:
         return index
 
     def _build(self, row, term, weight, n: int, width: int, block: int) -> None:
-        held = np.bincount(term, minlength=width)
+        order = np.lexsort((row, term))
+        self._fill(row[order].astype(np.int32), np.bincount(term, minlength=width), weight[order].astype(float), n, block)
+
+    def _fill(self, row, held, weight, n: int, block: int) -> None:
+        """`held` postings of every term, those of a term one after the other and by row."""
         common = held * COMMON > n
         self.n, self.common = n, np.where(common, np.cumsum(common) - 1, -1).astype(np.int32)
         self.dense = np.zeros((n, int(common.sum())))
-        often = common[term]
-        self.dense[row[often], self.common[term[often]]] = weight[often]
-        row, term, weight = row[~often], term[~often], weight[~often]
-        order = np.lexsort((row, term))
-        self.examples, self.weights = row[order].astype(np.int32), weight[order].astype(float)
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=width))])
+        often = np.repeat(common, held)
+        self.dense[row[often], np.repeat(self.common[common], held[common])] = weight[often]
+        self.examples, self.weights = row[~often], weight[~often]
+        self.first = np.concatenate([[0], np.cumsum(np.where(common, 0, held))])
         self.starts = np.arange(0, n, block)
         self.block_of = np.arange(n) // block
         self.tops = np.maximum.reduceat(self.dense, self.starts, axis=0).T.copy() if n else np.zeros((self.dense.shape[1], 0))
@@ -243,8 +247,32 @@ class BlockMaxIndex:
         return self.nearest_many([(term, weight)], k, skip)[0]
 
 
+def _small(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+class Postings:
+    """The examples of every term with their counts: a third of the index in bytes, which is made from them
+    without sorting. `row`, `term` and `count` ascend by row; `norm` is the length of each example's vector."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, norm: np.ndarray, width: int):
+        order = np.lexsort((row, term))
+        self.held, self.norm = _small(np.bincount(term, minlength=width)), norm
+        self.examples, self.counts = _small(row[order]), _small(count[order])
+
+    def index(self, scale: np.ndarray, block: int = BLOCK_EXAMPLES) -> BlockMaxIndex:
+        held = self.held.astype(np.int64)
+        weight = (1 + np.log(np.arange(1.0, int(self.counts.max(initial=0)) + 2)))[self.counts - 1]
+        weight *= np.repeat(scale, held)
+        weight /= self.norm[self.examples]
+        index = BlockMaxIndex.__new__(BlockMaxIndex)
+        index._fill(self.examples, held, weight, len(self.norm), block)
+        return index
+
+
 class Model:
-    """Index, votes and calibration; fitted on the driver from bounded samples."""
+    """Index, votes and calibration; fitted on the driver from bounded samples. Only its postings travel:
+    `opened` makes the index again, for as long as a task needs it."""
 
     def __init__(self, terms: np.ndarray, scale: np.ndarray, labels: np.ndarray, first: np.ndarray, term: np.ndarray, count: np.ndarray, stands_for: dict[int, float], k: int):
         """Examples as one list of (term, count), those of example i from first[i] on."""
@@ -253,12 +281,13 @@ class Model:
         full = size > 0
         blank = [stands_for.get(x, 0.0) * int((labels[~full] == x).sum()) for x in (0, 1)]
         weight = (1 + np.log(count)) * scale[term]
-        if full.any():
-            weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, first[:-1][full])), size[full])
+        norm = np.sqrt(np.add.reduceat(weight * weight, first[:-1][full])) if full.any() else np.zeros(0)
+        weight /= np.repeat(norm, size[full])
         self.labels = labels[full].astype(np.int64)
         self.stands_for = np.array([stands_for.get(x, 1.0) for x in (0, 1)])
         n = int(full.sum())
-        self.index = BlockMaxIndex.of(np.repeat(np.arange(n, dtype=np.int32), size[full]), term, weight, n, len(terms))
+        self.postings = Postings(np.repeat(np.arange(n, dtype=np.int32), size[full]), term, count, norm, len(terms))
+        self.index = self.postings.index(scale)
         everyone = np.array(blank) + [self.stands_for[x] * (self.labels == x).sum() for x in (0, 1)]
         self.base = (everyone[1] + 0.5) / (everyone.sum() + 1.0)
         self.blank_raw = (blank[1] + 0.5 * self.base) / (sum(blank) + 0.5)
@@ -269,6 +298,15 @@ class Model:
             raw = [self.raw(term[a:b], weight[a:b], i) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:]))]
             self._calibrate(np.array([*raw, self.blank_raw, self.blank_raw]), np.array([*self.labels, 0, 1]), np.array([*self.stands_for[self.labels], *blank]))
 
+    def __getstate__(self) -> dict:
+        return {**vars(self), "index": None}
+
+    def opened(self) -> Model:
+        """This model with its index, which is kept by what is returned alone."""
+        out = copy(self)
+        out.index = self.index or self.postings.index(self.scale)
+        return out
+
     def raw(self, term: np.ndarray, weight: np.ndarray, skip: int = -1) -> float:
         return self.vote(*self.index.nearest(term, weight, self.k, skip))
 
@@ -302,28 +340,37 @@ class Model:
         return float(1 / (1 + np.exp(-(self.slope * self._logit(raw) + self.shift)))) if self.known else 0.0
 
 
+def _scores(model: Model, vocabulary: Vocabulary, blank: float, column: pa.Array) -> pa.StructArray:
+    n = len(column)
+    score, nearest, votes = np.full(n, blank), np.zeros(n), np.zeros(n, np.int64)
+    for lo, hi, row, term, count in vocabulary.counts(column):
+        rows, cut = np.unique(row, return_index=True)
+        cut = np.append(cut, len(row)).tolist()
+        for first in range(0, len(rows), BATCH):
+            asked = [(term[a:b], _weights(term[a:b], count[a:b], model.scale)) for a, b in zip(cut[first : first + BATCH], cut[first + 1 : first + BATCH + 1])]
+            for i, (example, cosine) in zip(rows[first : first + BATCH].tolist(), model.index.nearest_many(asked, model.k)):
+                score[i] = model.score(model.vote(example, cosine))
+                votes[i] = model.labels[example].sum()
+                nearest[i] = cosine[0] if len(cosine) else 0.0
+        del row, term, count
+    return pa.StructArray.from_arrays([pa.array(score), pa.array(nearest), pa.array(votes)], names=["score", "nearest", "toxic_votes"])
+
+
 def _scorer(shared):
     @F.arrow_udf("score double, nearest double, toxic_votes long")
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         give_back()
-        model = shared.value
+        model = shared.value.opened()
         vocabulary = Vocabulary(model.terms)
         blank = model.score(model.blank_raw)
+        give_back()
         for column in texts:
             give_back()
-            n = len(column)
-            score, nearest, votes = np.full(n, blank), np.zeros(n), np.zeros(n, np.int64)
-            for lo, hi, row, term, count in vocabulary.counts(column):
-                rows, cut = np.unique(row, return_index=True)
-                cut = np.append(cut, len(row)).tolist()
-                for first in range(0, len(rows), BATCH):
-                    asked = [(term[a:b], _weights(term[a:b], count[a:b], model.scale)) for a, b in zip(cut[first : first + BATCH], cut[first + 1 : first + BATCH + 1])]
-                    for i, (example, cosine) in zip(rows[first : first + BATCH].tolist(), model.index.nearest_many(asked, model.k)):
-                        score[i] = model.score(model.vote(example, cosine))
-                        votes[i] = model.labels[example].sum()
-                        nearest[i] = cosine[0] if len(cosine) else 0.0
+            found = _scores(model, vocabulary, blank, column)
             del column
-            yield pa.StructArray.from_arrays([pa.array(score), pa.array(nearest), pa.array(votes)], names=["score", "nearest", "toxic_votes"])
+            yield found
+        del model, vocabulary
+        give_back()
 
     return scored
 

@@ -1,8 +1,10 @@
+import pickle
 import random
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+from gyre.llm import text as X
 from gyre.llm import toxicity as module
 from gyre.llm.toxicity import BlockMaxIndex, fit, toxicity
 from llm_helpers import documents, sentence
@@ -170,3 +172,27 @@ def test_workers_give_memory_back_after_every_batch(spark, monkeypatch):
     batches = [pa.array(["vile words", "plain words"]), pa.array([None, "and more"])]
     found = list(module._scorer(SimpleNamespace(value=model)).func(iter(batches)))
     assert [len(x) for x in found] == [2, 2] and len(calls) >= 1 + len(batches)
+
+
+def test_only_postings_travel_and_make_the_same_index(spark):
+    texts = [" ".join(f"w{(i * j) % 37}common{j % 5}" for j in range(30)) + (" vile" if i % 2 else "") for i in range(60)]
+    model = fit(documents(spark, texts), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
+    sent = pickle.loads(pickle.dumps(model))
+    opened = sent.opened()
+    assert sent.index is None and model.index is not None
+    for name in ("examples", "weights", "first", "dense", "common", "tops"):
+        assert np.array_equal(getattr(opened.index, name), getattr(model.index, name))
+    dense = np.zeros((60, len(model.terms)))
+    index, held = opened.index, np.diff(opened.index.first)
+    dense[index.examples, np.repeat(np.arange(len(held)), held)] = index.weights
+    dense[:, index.common >= 0] = index.dense
+    assert index.dense.shape[1] and len(index.weights) and np.allclose((dense * dense).sum(1), 1)
+
+
+def test_beginnings_have_the_hashes_of_spans():
+    data = np.frombuffer("a abcd abcde abcdefghijkl ünlängst 1234567890".encode(), np.uint8)
+    starts, ends, _ = X.word_spans(data, np.array([0, len(data)]), X.ALNUM)
+    sums = X.prefix_hash(data)
+    for size, long, found in X.beginning_hashes(data, starts, ends, (4, 5, 6, 7, 8)):
+        assert list(long) == list(np.flatnonzero(ends - starts > size)) and len(long) >= 3
+        assert np.array_equal(found, X.span_hash(sums, starts[long], starts[long] + size))
