@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gyre.llm import text as X
+from gyre.llm.exchange import give_back
 from gyre.session import cut_lineage
 
 SIZE = 10
@@ -122,6 +123,7 @@ def _find(shared, text_col: str):
         tokens, lengths, window_of, offset_of, begin, matrix, size_of, items_of = shared.value
         probe = _Probe(tokens, lengths)
         for batch in batches:
+            give_back()
             n = batch.num_rows
             n_words, spans, items = np.zeros(n, np.int64), [b""] * n, [None] * n
             text = batch.column("text") if "text" in batch.schema.names else batch.column("row").field(text_col)

@@ -9,6 +9,7 @@ ways the rows carry packed arrays, and no name table is ever broadcast or collec
 from __future__ import annotations
 
 import ctypes
+import inspect
 
 import numpy as np
 import pyarrow as pa
@@ -43,23 +44,29 @@ def decoded(blob) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _packed_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    chunk = batch.column("chunk").to_numpy()
+    order = np.argsort(chunk, kind="stable")
+    rows = pa.Table.from_batches([batch]).drop_columns("chunk")
+    chunk = chunk[order]
+    cuts = np.flatnonzero(np.diff(chunk, prepend=-1))
+    blobs = []
+    for a, b in zip(cuts, np.append(cuts[1:], len(chunk))):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(rows.take(pa.array(order[a:b])).combine_chunks())
+        blobs.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(chunk[cuts], pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "payload"])
+
+
 def _payloads(batches):
     """Rows of a batch by chunk, each chunk's rows as one compressed arrow stream."""
     give_back()
     for batch in batches:
-        chunk = batch.column("chunk").to_numpy()
-        order = np.argsort(chunk, kind="stable")
-        rows = pa.Table.from_batches([batch]).drop_columns("chunk")
-        chunk = chunk[order]
-        cuts = np.flatnonzero(np.diff(chunk, prepend=-1))
-        blobs = []
-        for a, b in zip(cuts, np.append(cuts[1:], len(chunk))):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(rows.take(pa.array(order[a:b])).combine_chunks())
-            blobs.append(sink.getvalue().to_pybytes())
-        del batch, rows
-        yield pa.RecordBatch.from_arrays([pa.array(chunk[cuts], pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "payload"])
+        dealt = _packed_rows(batch)
+        del batch
+        yield dealt
+        del dealt
         give_back()
 
 
@@ -96,6 +103,23 @@ def give_back() -> None:
         trim(0)
 
 
+def giving_back(step):
+    """`step` of one or two tables, for applyInArrow; what it worked in goes back when it is done, as its worker may idle
+    while others run."""
+
+    def one(table: pa.Table) -> pa.Table:
+        found = step(table)
+        give_back()
+        return found
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = step(left, right)
+        give_back()
+        return found
+
+    return one if len(inspect.signature(step).parameters) == 1 else two
+
+
 def chunk_rows(table: pa.Table) -> pa.Table | None:
     """The rows packed in a chunk, or None for an empty chunk."""
     if not table.num_rows:
@@ -156,6 +180,7 @@ def answers(asks: DataFrame, least: int = 2) -> DataFrame:
     """Rows of `ASK` to rows of `REPLY`: names with a total of `least` or more, `first` marking the
     one chunk (the lowest) that stands for the name."""
 
+    @giving_back
     def run(table: pa.Table) -> pa.Table:
         return _answer(table, least)
 
@@ -187,6 +212,7 @@ def looked_up(names: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _kept_rows(id_col: str, text_col: str, empty: pa.Table):
+    @giving_back
     def run(texts: pa.Table, ids: pa.Table) -> pa.Table:
         rows = chunk_rows(texts)
         if rows is None or not ids.num_rows:

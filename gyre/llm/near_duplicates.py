@@ -41,6 +41,7 @@ from gyre.llm.exchange import (
     counted,
     decoded,
     give_back,
+    giving_back,
     in_chunks,
     looked_up,
     partitions,
@@ -77,6 +78,7 @@ def _first_tokens(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _asks(size: int, buckets: int):
+    @giving_back
     def run(table: pa.Table) -> pa.Table:
         seen, parts = set(), []
         for _, shingles in _sets(chunk_rows(table)["text"], size):
@@ -99,6 +101,7 @@ CLASS = "sig long, n int, ids array<long>, tokens binary, rank binary"
 def _classes(size: int, percent: int):
     """Rows of one chunk: the sets in it with their ids, and their shared tokens with rarity."""
 
+    @giving_back
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
         known, counts, _ = reply_arrays(replies)
         rarity = np.floor(np.log2(np.maximum(counts, 1))).astype(np.uint8)

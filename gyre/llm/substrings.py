@@ -32,12 +32,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gyre.llm import text as X
-from gyre.llm.exchange import ASK, answers, ask_rows, chunk_rows, in_chunks, looked_up, partitions, reply_arrays
+from gyre.llm.exchange import ASK, answers, ask_rows, chunk_rows, giving_back, in_chunks, looked_up, partitions, reply_arrays
 
 LENGTH = 200
 RESULT = (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"))
 CONTEXT = 8
 PHRASE = 28
+PARSED = 1 << 18  # bytes parsed at once, or one longer text
 _TRIGGER = np.uint64(2**64 // PHRASE)
 _STIR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -104,7 +105,7 @@ def _ranges(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def _parses(column, length: int):
     data, offsets = X.batch_bytes(column)
-    for lo, hi in X.blocks(offsets):
+    for lo, hi in X.blocks(offsets, PARSED):
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         yield lo, part, Parse(part, at, length)
 
@@ -120,6 +121,7 @@ def _asks(table: pa.Table, chunk: int, names: list[np.ndarray], counts: list[np.
 
 
 def _parse_asks(length: int, buckets: int):
+    @giving_back
     def run(table: pa.Table) -> pa.Table:
         names = []
         for _, _, parse in _parses(chunk_rows(table)["text"], length):
@@ -130,6 +132,7 @@ def _parse_asks(length: int, buckets: int):
 
 
 def _window_asks(length: int, buckets: int):
+    @giving_back
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return _asks(texts, 0, [], [], buckets)
@@ -149,6 +152,7 @@ def _window_asks(length: int, buckets: int):
 def _removal(length: int, carried: list[str], empty: pa.Table, with_text: bool):
     """Per document: counts, digest and, if asked for, the kept bytes as text."""
 
+    @giving_back
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
         fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
         if with_text:

@@ -33,7 +33,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i for i < n."""
     if len(_powers[0]) < n:
-        size = STRETCH + 4096 if n <= STRETCH + 4096 else max(n, BLOCK + 4096)
+        size = max(n + 4096, STRETCH + 4096, min(2 * len(_powers[0]), BLOCK + 4096))
         for k, b in enumerate((BASE, BASE_INVERSE)):
             p = np.full(size, b, np.uint64)
             p[0] = 1

@@ -75,3 +75,15 @@ def test_dealing_gives_memory_back_after_every_batch(monkeypatch):
     batches = [pa.record_batch({"chunk": pa.array([2, 1, 2], pa.int64()), "text": ["a", None, "c"]}), pa.record_batch({"chunk": pa.array([5], pa.int64()), "text": ["d"]})]
     got = [(k, pa.ipc.open_stream(p).read_all()["text"].to_pylist()) for b in exchange._payloads(iter(batches)) for k, p in zip(b["chunk"].to_pylist(), b["payload"].to_pylist())]
     assert got == [(1, [None]), (2, ["a", "c"]), (5, ["d"])] and len(calls) == 1 + len(batches)
+
+
+def test_steps_give_memory_back_when_done(monkeypatch):
+    calls = []
+    monkeypatch.setattr(exchange, "give_back", lambda: calls.append(1))
+    dealt = next(exchange._payloads(iter([pa.record_batch({"chunk": pa.array([3], pa.int64()), "doc_id": pa.array([1], pa.int64()), "text": ["a b c d e f"]})])))
+    table = pa.Table.from_batches([dealt])
+    calls.clear()
+    asked = near_duplicates._asks(5, 1)(table)
+    assert asked["chunk"].to_pylist() == [3] and len(calls) == 2  # before the texts are unpacked and after the names are made
+    near_duplicates._classes(5, 75)(table, exchange._reply.empty_table())
+    assert len(calls) == 4
