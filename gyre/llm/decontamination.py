@@ -159,6 +159,8 @@ def _find(shared, text_col: str):
                 [*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(n_words), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.int64()))],
                 names=[*(c for c in batch.schema.names if c != "text"), "n_words", "spans", "items"],
             )
+        batch = text = words = hits = probe = None
+        give_back()
 
     return run
 

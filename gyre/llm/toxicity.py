@@ -138,25 +138,32 @@ def _document_frequency(shared):
     return run
 
 
+def _example_block(toxic: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)), *_features(data, offsets)]
+    names, place = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+    width = max(len(names), 1)
+    key, count = np.unique(np.concatenate([x for _, x in found]) * width + place, return_counts=True)
+    row, feature = key // width, names[key % width]
+    cut = np.searchsorted(row, np.arange(len(toxic) + 1))
+    return pa.RecordBatch.from_arrays(
+        [
+            toxic,
+            pa.array([X.packed(feature[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
+            pa.array([X.packed(count[a:b].astype(np.int32)) for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
+        ],
+        names=["toxic", "feature", "count"],
+    )
+
+
 def _example_rows(batches):
     """Distinct features of an example and their counts."""
     give_back()
     for batch in batches:
         for lo, hi, data, offsets in _blocks(batch.column("text")):
-            found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)), *_features(data, offsets)]
-            names, place = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
-            width = max(len(names), 1)
-            key, count = np.unique(np.concatenate([x for _, x in found]) * width + place, return_counts=True)
-            row, feature = key // width, names[key % width]
-            cut = np.searchsorted(row, np.arange(hi - lo + 1))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("toxic").slice(lo, hi - lo),
-                    pa.array([X.packed(feature[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                    pa.array([X.packed(count[a:b].astype(np.int32)) for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                ],
-                names=["toxic", "feature", "count"],
-            )
+            yield _example_block(batch.column("toxic").slice(lo, hi - lo), data, offsets)
+            give_back()
+        del batch
+    give_back()
 
 
 def _evidence(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:

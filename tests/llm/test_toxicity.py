@@ -196,3 +196,12 @@ def test_beginnings_have_the_hashes_of_spans():
     for size, long, found in X.beginning_hashes(data, starts, ends, (4, 5, 6, 7, 8)):
         assert list(long) == list(np.flatnonzero(ends - starts > size)) and len(long) >= 3
         assert np.array_equal(found, X.span_hash(sums, starts[long], starts[long] + size))
+
+
+def test_example_rows_give_memory_back_after_every_block(monkeypatch):
+    calls = []
+    monkeypatch.setattr(module, "give_back", lambda: calls.append(1))
+    batches = [pa.record_batch({"toxic": pa.array([1, 0], pa.int32()), "text": ["bad worded words", None]}), pa.record_batch({"toxic": pa.array([0], pa.int32()), "text": ["mild"]})]
+    found = list(module._example_rows(iter(batches)))
+    assert [x.num_rows for x in found] == [2, 1] and found[0]["toxic"].to_pylist() == [1, 0] and len(calls) == 4
+    assert [len(b.as_py()) // 8 for b in found[0]["feature"]] == [5, 0]
