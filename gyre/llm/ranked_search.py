@@ -5,7 +5,8 @@ are the (term, document) pairs; quadrants are split level by level, empty ones t
 impact below it (rounded up to 16 bits). A range is one row of the index table: child masks of the cells in breadth-first
 order, their maxima, the term frequencies at the leaves, and the hashes of its terms. Rows are ordered by document
 frequency and columns by which frequent terms they hold, so that cells are alike inside. Ranges are cut by
-bytes inside each scan task; texts are never shuffled, and no range grows with the corpus.
+bytes inside each scan task; texts are never shuffled, and no range grows with the corpus. Arrays are compressed before they leave
+the worker, and the table's row groups hold a range or two: Spark reads a row group of such rows at once, whatever its size.
 
 Search: an item follows the rows of its terms, all at once. A stretch of documents at some depth is bounded by the sum
 of weight times maximum over the cells where the rows meet it; the stretches with the highest bounds are opened
@@ -32,20 +33,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gyre.llm.exchange import written
+from gyre.llm.exchange import give_back, written
 from gyre.llm.text import ALNUM, LOWER, batch_bytes, blocks, word_hashes, word_spans
 
 TOP = 20
-RANGE_BYTES = 16 << 20  # text of a range; a longer document is a range of its own
+RANGE_BYTES = 8 << 20  # text of a range; a longer document is a range of its own
+GROUP_BYTES = 4 << 20  # a row group of the index ends behind the range that reaches this
 BLOCK_ITEMS = 2000
 FREQUENT = 24  # terms whose presence orders the documents of a range
 STEP = 32  # stretches opened at a time
 INDEX = "ids binary, null_ids binary, norms binary, terms binary, term_rows binary, df binary, height int, masks binary, maxima binary, tf binary"
 _index = pa.schema([(c.split()[0], pa.int32() if c.endswith("int") else pa.binary()) for c in INDEX.split(", ")])
 _BITS = np.array([bin(i).count("1") for i in range(16)], np.int32)
+_ZSTD = pa.Codec("zstd", 3)
 _NO_ID = np.iinfo(np.int64).max
 
 
+def _blob(x: np.ndarray, kind) -> bytes:
+    """The values as their number of bytes and a compressed block."""
+    raw = np.ascontiguousarray(x.astype(kind)).tobytes()
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _values(blob: pa.Buffer, kind) -> np.ndarray:
+    return np.frombuffer(_ZSTD.decompress(blob[8:], int.from_bytes(blob[:8].to_pybytes(), "little")), kind)
+
+
 def _terms(column) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the terms of all texts, in order, and the first of each text (n + 1 values)."""
     data, offsets = batch_bytes(column)
@@ -113,18 +126,17 @@ def _treap(ids: np.ndarray, null_ids: np.ndarray, hashes: np.ndarray, counts: np
         highest = np.maximum.reduceat(highest, cuts)
         maxima.append(highest.astype(np.uint16))
         cells = parents[cuts]
-    blob = lambda x, kind: np.ascontiguousarray(x.astype(kind)).tobytes()
     row = (
-        blob(ids[by_likeness], np.int64),
-        blob(null_ids[by_likeness], bool),
-        blob(norms[by_likeness], np.int64),
-        blob(terms, np.uint64),
-        blob(rows, np.uint32),
-        blob(df, np.uint32),
+        _blob(ids[by_likeness], np.int64),
+        _blob(null_ids[by_likeness], bool),
+        _blob(norms[by_likeness], np.int64),
+        _blob(terms, np.uint64),
+        _blob(rows, np.uint32),
+        _blob(df, np.uint32),
         height,
-        blob(np.concatenate(masks[::-1]), np.uint8),
-        blob(np.concatenate(maxima[::-1]), np.uint16),
-        blob(tf, np.uint32),
+        _blob(np.concatenate(masks[::-1]), np.uint8),
+        _blob(np.concatenate(maxima[::-1]), np.uint16),
+        _blob(tf, np.uint32),
     )
     return pa.RecordBatch.from_arrays([pa.array([x], kind.type) for x, kind in zip(row, _index)], schema=_index)
 
@@ -134,29 +146,37 @@ def _indexed(n_docs: int, n_terms: int, range_bytes: int):
         kept, size = [], 0
 
         def full():
-            ids, nulls, hashes, counts = (np.concatenate(x) for x in zip(*kept))
-            return _treap(ids, nulls, hashes, counts, n_docs, n_terms)
-
+            nonlocal kept, size
+            columns, kept, size = list(zip(*kept)), [], 0
+            row = _treap(*(np.concatenate(x) for x in columns), n_docs, n_terms)
+            del columns
+            give_back()
+            return row
+
+        give_back()
         for batch in batches:
-            column = batch.column("doc_id")
+            column, texts = batch.column("doc_id"), batch.column("text")
             nulls, ids = np.asarray(column.is_null()), np.asarray(column.fill_null(_NO_ID))
-            hashes, first = _terms(batch.column("text"))
-            counts, length = np.diff(first), np.diff(batch_bytes(batch.column("text"))[1])
-            begin = 0
+            length, begin = np.diff(batch_bytes(texts)[1]), 0
             while begin < len(ids):
                 room = np.searchsorted(np.cumsum(length[begin:]), max(range_bytes - size, 0), "right")
                 end = min(len(ids), begin + max(int(room), 0 if kept else 1))
-                have = begin + np.flatnonzero(counts[begin:end])
+                hashes, first = _terms(texts.slice(begin, end - begin))
+                counts = np.diff(first)
+                have = np.flatnonzero(counts)
                 if len(have):
-                    kept.append((ids[have], nulls[have], hashes[first[begin] : first[end]], counts[have]))
+                    kept.append((ids[begin + have], nulls[begin + have], hashes, counts[have]))
+                del hashes
                 size += int(length[begin:end].sum())
                 begin = end
                 if begin < len(ids):
                     if kept:
                         yield full()
-                    kept, size = [], 0
+                    size = 0
+            del batch, column, texts
         if kept:
             yield full()
+        give_back()
 
     return run
 
@@ -165,18 +185,22 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The index table, written to the shared folder, and the number of documents that hold a term."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") > 0)
     n, total = texts.select("text").mapInArrow(_sizes, "n long, total long").agg(F.sum("n"), F.sum("total")).first()
-    return written(texts.mapInArrow(_indexed(n or 0, total or 1, range_bytes), INDEX)), n or 0
+    index = texts.mapInArrow(_indexed(n or 0, total or 1, range_bytes), INDEX)
+    return written(index, **{"compression": "uncompressed", "parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 1}), n or 0
 
 
 class _Range:
     """A row of the index, unpacked."""
 
     def __init__(self, row: dict):
-        take = lambda c, kind: np.frombuffer(row[c], kind)
+        take = lambda c, kind: _values(row[c], kind)
         self.ids, self.null_ids, self.norms = take("ids", np.int64), take("null_ids", bool), take("norms", np.int64)
         self.terms, self.term_rows, self.height = take("terms", np.uint64), take("term_rows", np.uint32), row["height"]
         self.masks, self.maxima, self.tf = take("masks", np.uint8), take("maxima", np.uint16), take("tf", np.uint32)
-        self.child = np.cumsum(_BITS[self.masks], dtype=np.int64) - _BITS[self.masks] + 1
+        bits = _BITS[self.masks]
+        self.child = np.cumsum(bits, dtype=np.int32 if len(bits) < 1 << 29 else np.int64)
+        self.child -= bits
+        self.child += 1
 
     def rows(self, terms: np.ndarray) -> np.ndarray:
         """Row of each term, -1 where the range does not hold it."""
@@ -229,15 +253,17 @@ class _Range:
 
 
 def _rows_of(batches, columns):
+    """Rows as views of their batch; nothing is copied."""
     for batch in batches:
         for i in range(batch.num_rows):
-            yield {c: batch.column(c)[i].as_py() for c in columns}
+            cells = {c: batch.column(c)[i] for c in columns}
+            yield {c: x.as_buffer() if pa.types.is_binary(x.type) else x.as_py() for c, x in cells.items()}
 
 
 def _frequencies(asked: np.ndarray):
     def run(batches):
         for row in _rows_of(batches, ("terms", "df")):
-            terms, df = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["df"], np.uint32)
+            terms, df = _values(row["terms"], np.uint64), _values(row["df"], np.uint32)
             at = np.minimum(np.searchsorted(terms, asked), len(terms) - 1)
             here = np.flatnonzero(terms[at] == asked)
             yield pa.RecordBatch.from_arrays([pa.array(here, pa.int64()), pa.array(df[at[here]].astype(np.int64))], names=["term", "df"])
@@ -247,6 +273,7 @@ def _frequencies(asked: np.ndarray):
 
 def _searched(items: list[tuple[int, np.ndarray, np.ndarray]], top: int):
     def run(batches):
+        give_back()
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
         kept = {no: none for no, _, _ in items}
         for row in _rows_of(batches, _index.names):
@@ -256,6 +283,8 @@ def _searched(items: list[tuple[int, np.ndarray, np.ndarray]], top: int):
                 here = rows >= 0
                 if here.any():
                     kept[no] = index.best(rows[here], weights[here], top, kept[no])
+            del index, row
+            give_back()
         for no, (score, ids, nulls) in kept.items():
             if len(score):
                 yield pa.RecordBatch.from_arrays(

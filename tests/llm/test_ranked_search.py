@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.parquet
 import pytest
 from gyre.llm import ranked_search as S
 from llm_helpers import documents, edge_texts, sentence, words
@@ -61,3 +63,38 @@ def test_empty_tables(spark):
     assert searched(spark, [], [(1, "word")]) == []
     assert searched(spark, [(1, "word")], []) == []
     assert searched(spark, [(1, None), (2, "  ")], [(1, "word")]) == []
+
+
+def long_batch(n=400, size=200):
+    rng = random.Random(8)
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([sentence(rng, size) for _ in range(n)])], names=["doc_id", "text"])
+
+
+def test_a_batch_is_read_range_by_range(monkeypatch):
+    batch, read, given = long_batch(), [], []
+    limit = batch.column("text").nbytes // 5
+    terms = S._terms
+    monkeypatch.setattr(S, "_terms", lambda column: read.append(column.slice(0).nbytes) or terms(column))
+    monkeypatch.setattr(S, "give_back", lambda: given.append(1), raising=False)
+    rows = list(S._indexed(400, 80000, limit)(iter([batch])))
+    assert len(rows) > 4 and max(read) <= limit + 4 * 401
+    assert len(given) > len(rows)
+
+
+def test_index_leaves_the_worker_smaller_than_its_texts():
+    rng = random.Random(9)
+    common = sentence(rng, 3000).split()
+    texts = pa.array([" ".join(common[int(3000 * rng.random() ** 3)] for _ in range(400)) for _ in range(300)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), texts], names=["doc_id", "text"])
+    (row,) = S._indexed(300, 120000, S.RANGE_BYTES)(iter([batch]))
+    assert row.nbytes < 0.8 * texts.nbytes
+
+
+def test_index_is_cut_into_row_groups(spark, monkeypatch):
+    monkeypatch.setattr(S, "GROUP_BYTES", 4000, raising=False)
+    docs = documents(spark, [sentence(random.Random(i), 60) for i in range(90)]).coalesce(1)
+    index, _ = S.build_index(docs, range_bytes=2000)
+    (file,) = index.inputFiles()
+    meta = pa.parquet.ParquetFile(file.removeprefix("file://")).metadata
+    assert meta.num_rows > 6
+    assert meta.num_row_groups >= meta.num_rows // 2
